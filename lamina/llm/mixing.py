@@ -161,3 +161,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
             "copies", "rate", "text_key",
         )
     )
+
+
+def take(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The ``columns`` of every document, once per copy taken.
+
+    Copies are found by doc_id and text, so that repeated rows meet their own.
+    """
+    chosen = mix(docs).where("copies > 0").groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies"))
+    keyed = docs.select(*columns, F.xxhash64("text", "doc_id").alias("text_key")).dropDuplicates(["doc_id", "text_key"])
+    chosen = chosen.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "copies")
+    joined = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")

@@ -8,12 +8,42 @@ from pyspark.sql import functions as F
 from lamina.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.suffix_dedup import removed_spans
+
+    return removed_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.sharding import shard
 
@@ -22,6 +52,34 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.langid import held_out
+    from lamina.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.warc import read_records, write_bundles
+
+    return read_records(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.quality import judge
 
@@ -31,9 +89,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_mix_sources": op3_mix_sources,
-    "op5_shard": op5_shard,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (op1_pack, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_shard, op6_toxicity, op7_top_k, op8_language_id, op9_warc, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
