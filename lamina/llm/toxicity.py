@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import materialize
 from lamina.llm.langid import _words, held_out
 from lamina.llm.packing import chunks
 
 #: Labelled rows used for learning, about, at most.
 FIT_ROWS = 40_000
-MAX_TERMS = 2_000
+MAX_TERMS = 400
 MIN_DOCS = 5
 MIN_WEIGHT = 2.5
 PREFIXES = (4, 5, 6)
@@ -53,7 +54,7 @@ def normal(word: str) -> str:
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class Trie:
@@ -62,28 +63,33 @@ class Trie:
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.root: dict = {}
-        heads, tails = set(), set()
+        self.parts: dict[tuple[int, int], set[str]] = {}  # (place, length) -> what a near word may hold there
         for i, term in enumerate(terms):
             core = term.rstrip("*")
-            node = self.root
+            k, node = allowed_edits(core), self.root
+            node["most"] = max(node.get("most", 0), k)
             for c in core:
                 node = node.setdefault(c, {})
-            node.setdefault("ends", []).append((i, term.endswith("*"), allowed_edits(core)))
-            # A word within k edits of a term keeps one of the term's k + 1 parts unchanged.
-            k = allowed_edits(core) + 1
-            for j in range(k):
-                part = core[j * len(core) // k : (j + 1) * len(core) // k]
-                (heads if j == 0 else tails).add(part)
-        self.heads = re.compile("|".join(map(re.escape, sorted(heads)))) if heads else None
-        self.tails = re.compile("|".join(map(re.escape, sorted(tails)))) if tails else None
-        self.most = max((allowed_edits(t.rstrip("*")) for t in terms), default=0)
+                node["most"] = max(node.get("most", 0), k)
+            node.setdefault("ends", []).append((i, term.endswith("*"), k))
+            # A word within k edits of a term keeps one of the term's k + 1 parts unchanged, moved by k places at most.
+            for j in range(k + 1):
+                at, to = j * len(core) // (k + 1), (j + 1) * len(core) // (k + 1)
+                for place in range(max(0, at - k), at + k + 1) if j else (0,):
+                    self.parts.setdefault((place, to - at), set()).add(core[at:to])
+        self.longest = max((len(t.rstrip("*")) for t in terms), default=0) + self.root.get("most", 0) + 1
+        self.tests = [(p, p + n, found) for (p, n), found in sorted(self.parts.items())]
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term: fewest edits, then the longest, then the first."""
-        if not self.heads or not (self.heads.match(word) or (self.tails and self.tails.search(word, 1))):
+        word = word[: self.longest]  # what follows changes no term's verdict
+        for i, j, found in self.tests:
+            if word[i:j] in found:
+                break
+        else:
             return None
         best: tuple | None = None
-        n, most = len(word), self.most
+        n, most = len(word), self.root["most"]
         # The automaton's state is the row of edit distances to the word's beginnings, cut at most + 1.
         stack = [(self.root, tuple(range(min(n, most) + 1)) + (most + 1,) * (n - min(n, most)), 0)]
         while stack:
@@ -91,12 +97,11 @@ class Trie:
             for i, prefix, k in node.get("ends", ()):
                 edits = min(row) if prefix else row[n]
                 if edits <= k:
-                    found = (edits, -depth, i)
-                    if best is None or found < best:
-                        best = found
+                    best = min(best or (9, 0, 0), (edits, -depth, i))
             for c, child in node.items():
-                if c == "ends":
+                if len(c) > 1:
                     continue
+                limit = child["most"]
                 first = row[0] + 1
                 new, low = [first], first
                 for j in range(1, n + 1):
@@ -107,7 +112,7 @@ class Trie:
                     x = x if x < z else z
                     new.append(x)
                     low = x if x < low else low
-                if low <= most:
+                if low <= limit:
                     stack.append((child, tuple(new), depth + 1))
         return best and (best[2], best[0])
 
@@ -138,7 +143,7 @@ def lexicon(fit: DataFrame) -> list[tuple[str, float]]:
         return []
     weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     rows = (
-        counted.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") * 200 >= bad))
+        counted.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") * 100 >= bad))
         .withColumn("w", weight)
         .where(F.col("w") >= MIN_WEIGHT)
         .orderBy((F.col("w") * F.col("bad")).desc(), "term")
@@ -247,6 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Sc
     share = min(1.0, FIT_ROWS / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) < F.lit(share * 1_000_000))
     fit = docs.select("doc_id", "text").join(marks, "doc_id").where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
+    # Copies of one text would make its plain words look like terms: texts that begin or end alike count once.
+    for place in (r"^\s*(?:\S+\s+){0,5}\S*", r"\S*(?:\s+\S+){0,5}\s*$"):
+        edge = F.substring("text", 1, 400) if place[0] == "^" else F.substring("text", -400, 400)
+        fit = fit.withColumn("edge", F.regexp_extract(edge, place, 0)).dropDuplicates(["edge"]).drop("edge")
+    fit = materialize(fit.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-fit")
     terms = lexicon(fit)
     scorer = Scorer(terms)
     if not terms:
