@@ -37,6 +37,7 @@ repeated bytes; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import lru_cache
 
@@ -51,7 +52,9 @@ LENGTH = 100
 V = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # fixed values: a perfect difference set modulo 57
 TUPLE = LENGTH - V + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
+#: Bits of a fingerprint that the filter sorts in one bucket; more would only save false alarms.
+FILTER_BITS = 26
 SORT_ENTRIES = 2_000_000
 SEGMENT = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -127,6 +130,18 @@ class Block:
         return self.ord[doc], (self.rep[doc] << PLACE_BITS) | (at - self.start[doc])
 
 
+def _encode(values: np.ndarray) -> bytes:
+    """Sorted values below 2**FILTER_BITS: how many share each high part, then their low 16 bits."""
+    counts = np.bincount(values >> np.uint32(16), minlength=1 << (FILTER_BITS - 16))
+    return counts.astype("<u4").tobytes() + (values & np.uint32(0xFFFF)).astype("<u2").tobytes()
+
+
+def _decode(data: bytes) -> np.ndarray:
+    slots = 1 << (FILTER_BITS - 16)
+    counts = np.frombuffer(data, "<u4", slots)
+    return np.repeat(np.arange(slots, dtype=np.uint32) << np.uint32(16), counts) | np.frombuffer(data, "<u2", offset=4 * slots)
+
+
 class Sent:
     """Entries of a block that go to the sorts, grouped by bucket and deduplicated."""
 
@@ -134,11 +149,11 @@ class Sent:
         self.block, self.places, self.length = block, places, length
         h = _rolling(1).at(block.data, places, length)
         self.bucket = _buckets(h, buckets)
-        self.low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.low = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.uint32)
 
     def filter_rows(self) -> list[tuple]:
-        """(bucket, payload): the distinct low halves, those met twice sent twice."""
-        return [(b, np.repeat(v, np.minimum(n, 2)).astype("<u4").tobytes()) for b, v, n, _ in self._distinct()]
+        """(bucket, payload): the distinct low bits, those met twice sent twice."""
+        return [(b, _encode(np.repeat(v, np.minimum(n, 2)))) for b, v, n, _ in self._distinct()]
 
     def _distinct(self):
         key = self.bucket << np.uint64(32) | self.low
@@ -182,9 +197,9 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _find_repeated(rows: pa.Table) -> pa.Table:
-    """Sort one bucket's low halves; back to each block goes which of its distinct ones occur twice or more."""
+    """Sort one bucket's low bits; back to each block goes which of its distinct ones occur twice or more."""
     blks, bucket = rows.column("blk").to_pylist(), rows.column("bucket")[0].as_py()
-    parts = [np.frombuffer(p, "<u4") for p in rows.column("payload").to_pylist()]
+    parts = [_decode(p) for p in rows.column("payload").to_pylist()]
     everything = np.sort(np.concatenate(parts))
     twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
     out = []
@@ -289,19 +304,20 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     stats = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     total = stats["bytes"] or 0
-    blocks = max(1, total // BLOCK_BYTES)
-    files = max(shuffle_partitions(spark), total // (8 * BLOCK_BYTES))
+    files = max(shuffle_partitions(spark), total // (4 * BLOCK_BYTES))
     sorts = max(1, total * len(COVER) // V // SORT_ENTRIES, shuffle_partitions(spark) if total > 64 * BLOCK_BYTES else 1)
     rows = docs.select(F.col("doc_id").cast("long"), *extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("ord"), data.alias("data"))
     if stats["ids"] == stats["rows"]:
         rows = rows.withColumn("rep", F.lit(0).cast("long"))
     else:
         rows = rows.withColumn("rep", (F.row_number().over(Window.partitionBy("ord").orderBy(F.xxhash64("data"))) - 1).cast("long"))
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("ord", "rep"), F.lit(blocks)))
+    # Blocks are parts of the partitions that are read, so the text is not shuffled; written, they stay as they are.
+    parts = max(1, rows.rdd.getNumPartitions())
+    each = total // (parts * BLOCK_BYTES) + 1
+    rows = rows.withColumn("blk", F.spark_partition_id().cast("long") * each + F.pmod(F.xxhash64("ord", "rep"), F.lit(each)))
     name = f"lamina_suffix_{uuid.uuid4().hex}"
     (
-        rows.repartition(files, "blk")
-        .write.bucketBy(files, "blk").sortBy("blk")
+        rows.write.bucketBy(files, "blk").sortBy("blk")
         .option("path", f"{shared_dir(spark)}/lamina/{name}").option("compression", "zstd")
         .saveAsTable(name)
     )
@@ -309,6 +325,7 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
 
     def gone() -> None:
         # Shuffle files of passes that are over go with their plans; without this they stay until the driver is short of memory.
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
 
     def sorted_by_bucket(df: DataFrame, f) -> DataFrame:
