@@ -4,12 +4,564 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.fixtures import PAGE_HEIGHT, PAGE_WIDTH, duck, relation
+from lamina.functions import geometry as g
+from lamina.functions import text as t
+from lamina.operators import assign, catalog, headings, memory, order, search, stats, suppress, tables
+from lamina.plans import document
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+LAYOUT, OCR, MASK, LINES = duck("layout_boxes"), duck("ocr_boxes"), duck("mask_rows"), duck("heading_lines")
+PARTS, CELLS, RULES, FILES = duck("table_parts"), duck("table_cells"), duck("rules"), duck("files")
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# ---- text (T1-T8, T11-T17) ------------------------------------------------
+
+_W, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+_SENSITIVE_SQL = (
+    rf"regexp_matches(lower(text), '{_W}[0-9]{{1,3}}([.,][0-9]{{3}})+(\s*(đồng|vnd|vnđ|usd))?{_E}')"
+    rf" OR regexp_matches(text, '{_W}[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}{_E}')"
+    rf" OR regexp_matches(text, '{_W}[0-9]{{9,12}}{_E}')"
+    rf" OR regexp_matches(lower(text), '{_W}(số|so|mã|ma|mst|cccd|cmnd|hợp\s*đồng|hop\s*dong|đơn|don){_E}')"
+)
+_CHECKBOX_SQL = r"regexp_matches(lower(text), '(\[[ x]\]|☐|☑|✓|□|■|checkbox|tick|chọn|chon)')"
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk categories of document lines by language."""
+    lines = _docs(spark, sf).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    risks = lines.select("lang", "doc_id", F.explode(t.risk_categories(F.col("line"))).alias("category"))
+    return risks.groupBy("lang", "category", t.severity(F.col("category")).alias("severity")).agg(
+        F.count(F.lit(1)).alias("n_risks"), F.countDistinct("doc_id").alias("n_docs")
+    )
+
+
+QUERIES["t5_risks_by_language"] = flagship
+
+
+@register(f"SELECT doc_id, ({_SENSITIVE_SQL}) AS sensitive FROM documents")
+def t1_sensitive_value(spark, sf):
+    return _docs(spark, sf).select("doc_id", t.sensitive(F.col("text")).alias("sensitive"))
+
+
+@register()
+def t2_ambiguous_characters(spark, sf):
+    return _docs(spark, sf).select("doc_id", t.ambiguous(F.col("text")).alias("ambiguous"))
+
+
+@register(f"SELECT doc_id, {_CHECKBOX_SQL} AS checkbox FROM documents")
+def t3_checkbox(spark, sf):
+    return _docs(spark, sf).select("doc_id", t.checkbox(F.col("text")).alias("checkbox"))
+
+
+@register("SELECT doc_id, length(trim(text)) > 0 AND doc_id * 40000 >= 120000 AND length(trim(text, ' \t\n\r')) / (doc_id * 40000) < 0.00025 AS too_short FROM documents WHERE doc_id > 0")
+def t4_too_short(spark, sf):
+    return _docs(spark, sf).where("doc_id > 0").select("doc_id", t.too_short(F.col("text"), F.col("doc_id") * 40000).alias("too_short"))
+
+
+@register(f"""SELECT page_id, 'table_or_form_block' AS category, 'high' AS severity FROM {LAYOUT} l WHERE type = 'table'
+UNION ALL SELECT page_id, 'signature_stamp_qr_or_visual_mark', 'medium' FROM {LAYOUT} l WHERE type IN ('figure', 'equation')
+UNION ALL SELECT page_id, 'multi_column_page', 'high' FROM (
+  SELECT page_id, x0 + x1 AS c2, top, bottom FROM {LAYOUT} l
+  WHERE type IN ('text', 'title', 'table') AND score >= 0.15 AND x1 - x0 <= 435.2 AND bottom - top >= 32) f
+GROUP BY page_id
+HAVING count(*) FILTER (WHERE c2 < 614.4) >= 2 AND count(*) FILTER (WHERE c2 > 665.6) >= 2
+ AND max(bottom) FILTER (WHERE c2 < 614.4) - min(top) FILTER (WHERE c2 < 614.4) > 200
+ AND max(bottom) FILTER (WHERE c2 > 665.6) - min(top) FILTER (WHERE c2 > 665.6) > 200""")
+def t6_structural_risks(spark, sf):
+    return document.structural_risks(relation(spark, sf, "layout_boxes"), PAGE_WIDTH, PAGE_HEIGHT)
+
+
+@register(f"SELECT doc_id, line_no, regexp_matches(text, '^(#|\\||!\\[|```|- |\\+ |\\* )') AS passthrough FROM {LINES} l")
+def t7_passthrough(spark, sf):
+    return relation(spark, sf, "heading_lines").select("doc_id", "line_no", t.passthrough(F.col("text")).alias("passthrough"))
+
+
+@register("SELECT item_id, length(text) >= 3 AND length(text) <= 140 AND regexp_matches(text, '\\p{L}') AS candidate FROM benchmark")
+def t8_heading_candidate(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", t.heading_candidate(F.col("text")).alias("candidate"))
+
+
+@register(f"""WITH k AS (SELECT doc_id, line_no, text, CASE
+    WHEN text = 'Quyết định số 5' THEN 'title' WHEN text = 'Điều 4. Phạm vi' THEN 'article' WHEN text = 'Nơi nhận' THEN 'receiver_section'
+    WHEN text = 'Chương II' THEN 'chương' WHEN text = 'Mục 3' THEN 'mục' WHEN text = '1.2. Tiến độ' THEN 'numbered_subsection'
+    WHEN text IN ('1. Mục tiêu', '12. Kinh phí') THEN 'numbered_section' WHEN text = '12 Kinh phí' THEN 'dense' END AS kind FROM {LINES} l),
+m AS (SELECT *, CASE kind WHEN 'numbered_subsection' THEN '1' WHEN 'numbered_section' THEN split_part(text, '.', 1) WHEN 'dense' THEN NULL ELSE '' END AS number FROM k WHERE kind IS NOT NULL),
+g AS (SELECT *, count(number) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp,
+    count(CASE WHEN kind = 'title' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS titles FROM m),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, number FROM m WHERE number IS NOT NULL),
+s AS (SELECT g.*, n.number AS parent FROM g LEFT JOIN n ON n.doc_id = g.doc_id AND n.i = g.grp)
+SELECT doc_id, line_no,
+  CASE WHEN kind = 'title' THEN CASE WHEN titles = 0 THEN 1 ELSE 2 END WHEN kind IN ('numbered_section', 'mục') THEN 3 WHEN kind IN ('numbered_subsection', 'dense') THEN 4 ELSE 2 END AS level,
+  CASE WHEN kind = 'title' THEN CASE WHEN titles = 0 THEN 'document_title' ELSE 'document_section_title' END WHEN kind = 'dense' THEN 'dense_numbered_subsection' ELSE kind END AS reason,
+  CASE WHEN kind = 'dense' THEN '1.2. Kinh phí' ELSE text END AS heading
+FROM s WHERE kind <> 'dense' OR parent = '1'""")
+def t9_headings(spark, sf):
+    return headings.classify(relation(spark, sf, "heading_lines"))
+
+
+@register()
+def t10_apply_headings(spark, sf):
+    lines = relation(spark, sf, "heading_lines")
+    return headings.apply(lines, headings.classify(lines))
+
+
+@register("""SELECT o_orderkey, CASE
+  WHEN regexp_matches(v, '^[0-9.,+%/ -]+$') THEN 'Nu' WHEN regexp_matches(v, '^[0-9A-Z/._~-]+$') THEN 'Ca'
+  WHEN regexp_matches(v, '^[A-Z]*[a-z'' -]+$') THEN 'En' WHEN regexp_matches(v, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') THEN 'NE' END AS btype
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN o_orderpriority WHEN 2 THEN upper(o_orderstatus) || '-' || CAST(o_custkey AS VARCHAR) ELSE lower(o_orderstatus) || ' kept' END AS v FROM orders) o""")
+def t11_block_type(spark, sf):
+    v = F.expr("CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN o_orderpriority WHEN 2 THEN upper(o_orderstatus) || '-' || CAST(o_custkey AS STRING) ELSE lower(o_orderstatus) || ' kept' END")
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", t.block_type(v).alias("btype"))
+
+
+@register("SELECT p_partkey, substring(sha256(p_name || chr(0) || p_brand), 1, 16) AS rule_id FROM part")
+def t13_rule_id(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", t.rule_id(F.col("p_name"), F.col("p_brand")).alias("rule_id"))
+
+
+@register("SELECT event_id, regexp_extract(props, '\\{.*\\}') AS reply FROM events")
+def t14_json_reply(spark, sf):
+    wrapped = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.json_reply(wrapped).alias("reply"))
+
+
+@register("SELECT doc_id, CASE WHEN length(text) > 1800 THEN substring(text, 1, 1800) || '...' ELSE text END AS snippet FROM documents")
+def t16_shortened(spark, sf):
+    return _docs(spark, sf).select("doc_id", t.shortened(F.col("text"), 1800, "...").alias("snippet"))
+
+
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'disabled' ELSE 'unavailable' END AS status FROM events")
+def t17_postcheck_status(spark, sf):
+    meta = F.expr("CASE event_id % 3 WHEN 0 THEN '{\"ai_postcheck\":{\"status\":\"ok\"}}' WHEN 1 THEN '{\"pages\":[]}' ELSE '{}' END")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.postcheck_status(meta).alias("status"))
+
+
+@register("SELECT event_id, printf('%02d:%02d:%02d', event_id * 977 // 3600, event_id * 977 // 60 % 60, event_id * 977 % 60) AS clock FROM events")
+def t18_clock(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.clock(F.col("event_id") * 977000).alias("clock"))
+
+
+# ---- names, predicates, projections (S3-S10, P1-P12) ---------------------
+
+
+@register("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'visual' WHEN 2 THEN 'doc' ELSE 'other' END AS kind, page_id % 4 < 2 AS upload FROM pages")
+def s3_file_kind(spark, sf):
+    name = F.expr("concat('F', page_id, CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.docx' ELSE '.bin' END)")
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.file_kind(name).alias("kind"), t.may_upload(name).alias("upload"))
+
+
+@register("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(url, '[^/]*$'), '[^\\p{L}\\p{N}._\\- ()]', '', 'g')), ''), 'upload') AS name FROM pages WHERE NOT ends_with(url, '/')")
+def s5_safe_filename(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").where("NOT endswith(url, '/')").select("page_id", t.safe_filename(F.col("url")).alias("name"))
+
+
+@register(f"SELECT file_id, 'out/job' || CAST(job_id AS VARCHAR) || '/job' || CAST(job_id AS VARCHAR) || '_metadata.json' AS metadata_json FROM {FILES} f")
+def s6_artifact_paths(spark, sf):
+    return relation(spark, sf, "files").select("file_id", *t.artifact_paths(F.col("path"))).select("file_id", "metadata_json")
+
+
+@register("SELECT p_partkey, printf('page_%03d_region_%03d_%s.png', CAST(p_partkey % 1000 AS INTEGER), p_size, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'image')) AS asset FROM part")
+def s7_asset_name(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", t.asset_name((F.col("p_partkey") % 1000).cast("int"), F.col("p_size"), F.col("p_type")).alias("asset"))
+
+
+@register(f"""SELECT job_id, coalesce(max(CASE WHEN ends_with(path, '_vlm_checked.md') THEN k END), max(CASE WHEN ends_with(path, '_full.md') THEN k END), max(CASE WHEN ends_with(path, '_ocr_raw.md') THEN k END))[6:] AS markdown,
+  max(CASE WHEN ends_with(path, '_metadata.json') THEN k END)[6:] AS metadata FROM (SELECT *, printf('%05d', mtime) || path AS k FROM {FILES} f) x GROUP BY job_id""")
+def s9_latest_outputs(spark, sf):
+    return catalog.latest_outputs(relation(spark, sf, "files"))
+
+
+@register("SELECT doc_id, strlen(text) > 256 AS truncated FROM documents")
+def s10_preview(spark, sf):
+    return _docs(spark, sf).select("doc_id", *t.preview(F.col("text").cast("binary"), 256)).select("doc_id", "truncated")
+
+
+@register("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer""")
+def s14_upsert(spark, sf):
+    old = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
+    new = old.where("c_custkey % 3 = 0")
+    new = new.withColumn("seq", F.lit(0)).withColumn("c_acctbal", F.lit(0.0)).unionByName(new.withColumn("seq", F.lit(1)).withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    return catalog.upsert(old, new, "c_custkey")
+
+
+@register(f"SELECT job_id, max(CASE WHEN ends_with(path, '_metadata.json') THEN printf('%05d', mtime) || path END)[6:] AS metadata FROM {FILES} f WHERE job_id % 2 = 1 GROUP BY job_id")
+def s13_missing_jobs(spark, sf):
+    files = relation(spark, sf, "files")
+    return catalog.missing_jobs(files, files.where("job_id % 2 = 0").select("job_id").distinct()).select("job_id", "metadata")
+
+
+@register(f"SELECT page_id, seq, greatest(0, least(x0 - 24, 640)) AS x0, greatest(0, least(top - 24, 800)) AS top, greatest(0, least(x1 + 24, 640)) AS x1, greatest(0, least(bottom + 24, 800)) AS bottom, (x1 - x0) * (bottom - top) AS area FROM {LAYOUT} l")
+def p2_padded_box(spark, sf):
+    boxes = relation(spark, sf, "layout_boxes")
+    return boxes.select("page_id", "seq", g.area().alias("area"), *g.clamped_box(PAGE_WIDTH, PAGE_HEIGHT, pad=24))
+
+
+@register(f"SELECT page_id, seq, type FROM {LAYOUT} l WHERE score > 0.08 AND NOT (type IN ('figure', 'equation') AND score < 0.4)")
+def p6_score_filter(spark, sf):
+    return relation(spark, sf, "layout_boxes").where("score > 0.08 AND NOT (type IN ('figure', 'equation') AND score < 0.4)").select("page_id", "seq", "type")
+
+
+@register("SELECT page_id, regexp_matches(v, '^•+$') OR regexp_matches(v, '^[0-9]{1,2} / ?[0-9]{1,2}$') OR regexp_matches(v, '^[0-9]{1,2} of [0-9]{1,2}$') OR regexp_matches(v, '^http://[^ ]{12,}') AS garbage FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN CAST(page_id % 100 AS VARCHAR) || ' of 12' WHEN 2 THEN '3 / 4' ELSE 'text' END AS v FROM pages) p")
+def p7_garbage(spark, sf):
+    v = F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN CAST(page_id % 100 AS STRING) || ' of 12' WHEN 2 THEN '3 / 4' ELSE 'text' END")
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.garbage(v).alias("garbage"))
+
+
+@register(f"SELECT page_id, seq, (CAST(x0 + x1 AS DOUBLE) / 2 - CAST(x1 - x0 AS DOUBLE) / 2 - 8) * 2 AS x0, (CAST(top + bottom AS DOUBLE) / 2 - CAST(bottom - top AS DOUBLE) / 2 - 4) * 2 AS top, (CAST(x0 + x1 AS DOUBLE) / 2 + CAST(x1 - x0 AS DOUBLE) / 2 - 8) * 2 AS x1, (CAST(top + bottom AS DOUBLE) / 2 + CAST(bottom - top AS DOUBLE) / 2 - 4) * 2 AS bottom FROM {LAYOUT} l")
+def p9_unpad(spark, sf):
+    c = F.col
+    return relation(spark, sf, "layout_boxes").select(
+        "page_id", "seq", *g.from_center((c("x0") + c("x1")) / 2, (c("top") + c("bottom")) / 2, c("x1") - c("x0"), c("bottom") - c("top"), F.lit(8), F.lit(4), F.lit(2))
+    )
+
+
+@register("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 150000")
+def p10_find(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return catalog.find(orders, o_orderstatus={"F", "O"}, o_totalprice=[1000, 150000], o_orderkey=None).select("o_orderkey", "o_custkey")
+
+
+@register("""SELECT o_orderkey, place, total FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS total
+FROM orders WHERE o_orderpriority LIKE '%-URGENT' AND o_custkey >= 10) o WHERE place <= 20""")
+def p12_page(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    query = {"o_orderpriority": ("%", "%-URGENT"), "o_custkey": (">=", 10)}
+    return catalog.page(orders, query, [F.col("o_totalprice").desc(), F.col("o_orderkey")], limit=20).select("o_orderkey", "place", "total")
+
+
+# ---- spatial joins (J1-J9), suppression (D1-D5) --------------------------
+
+_TOUCH = "a.x1 >= b.x0 AND a.x0 <= b.x1 AND a.bottom >= b.top AND a.top <= b.bottom"
+_COMMON = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.bottom, b.bottom) - greatest(a.top, b.top))"
+_AREA = "((a.x1 - a.x0) * (a.bottom - a.top))"
+_AREA_B = "((b.x1 - b.x0) * (b.bottom - b.top))"
+_OV = f"CAST({_COMMON} AS DOUBLE) / {_AREA}"
+_OV2 = f"CAST({_COMMON} AS DOUBLE) / {_AREA_B}"
+
+
+@register(f"SELECT a.page_id, a.seq AS a_seq, b.seq AS b_seq, {_COMMON} AS common, CAST(floor({_COMMON} * 10000 / {_AREA}) AS BIGINT) AS share FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id AND {_TOUCH}")
+def j1_overlap(spark, sf):
+    found = assign.pairs(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"), ("page_id",))
+    share = F.floor(g.intersection("a_", "b_") * 10000 / g.area("a_"))
+    return found.select("page_id", "a_seq", "b_seq", g.intersection("a_", "b_").alias("common"), share.alias("share"))
+
+
+@register(f"""SELECT page_id, seq, hit FROM (SELECT a.page_id, a.seq, b.seq AS hit, row_number() OVER (PARTITION BY a.page_id, a.seq ORDER BY {_OV} DESC, {_OV2} DESC, b.seq DESC) AS r
+FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id AND {_TOUCH} WHERE {_OV} >= 0.3) x WHERE r = 1""")
+def j2_best_overlap(spark, sf):
+    return assign.best_overlap(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"), 0.3)
+
+
+@register(f"""SELECT page_id, seq, hit FROM (SELECT a.page_id, a.seq, b.seq AS hit, row_number() OVER (PARTITION BY a.page_id, a.seq
+  ORDER BY least(2 * abs(a.x0 - b.x0), 2 * abs(a.x1 - b.x1), abs(a.x0 + a.x1 - b.x0 - b.x1)), b.seq) AS r
+FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id) x WHERE r = 1""")
+def j3_nearest_column(spark, sf):
+    return assign.nearest_column(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"))
+
+
+@register(f"SELECT table_id, seq, seq // 4 AS R, CASE WHEN seq // 4 = 0 THEN 0 END AS H, seq % 4 AS C FROM {CELLS} c")
+def j5_tag_cells(spark, sf):
+    return assign.tag_cells(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts")).select("table_id", "seq", "R", "H", "C")
+
+
+_TAGS = f"""(SELECT page_id, seq, CASE WHEN type = 'equation' THEN 'figure' ELSE type END AS layout_type, hit AS layout_seq FROM (
+  SELECT a.page_id, a.seq, b.type, b.seq AS hit, row_number() OVER (PARTITION BY a.page_id, a.seq
+    ORDER BY CASE b.type WHEN 'title' THEN 1 WHEN 'table' THEN 2 WHEN 'text' THEN 3 WHEN 'figure' THEN 4 ELSE 5 END, {_OV} DESC, {_OV2} DESC, b.seq DESC) AS r
+  FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id AND {_TOUCH} WHERE {_OV} >= 0.4) x WHERE r = 1)"""
+
+
+@register(f"SELECT * FROM {_TAGS} t")
+def j6_tag_layout(spark, sf):
+    return assign.tag_layout(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"))
+
+
+@register(f"SELECT page_id, seq FROM {LAYOUT} b WHERE NOT (type = 'text' AND NOT bottom < 720) AND NOT (type = 'title' AND NOT top > 80)")
+def j7_drop_page_edges(spark, sf):
+    kind = F.when(F.col("type") == "text", "footer").when(F.col("type") == "title", "header").otherwise(F.col("type"))
+    return assign.drop_page_edges(relation(spark, sf, "layout_boxes").withColumn("layout_type", kind), PAGE_HEIGHT).select("page_id", "seq")
+
+
+@register(f"SELECT page_id, seq, '' AS text FROM {LAYOUT} l WHERE type IN ('figure', 'equation') AND NOT EXISTS (SELECT 1 FROM {_TAGS} t WHERE t.page_id = l.page_id AND t.layout_seq = l.seq)")
+def j8_orphan_visuals(spark, sf):
+    layouts = relation(spark, sf, "layout_boxes")
+    tags = assign.tag_layout(relation(spark, sf, "ocr_boxes"), layouts)
+    return assign.orphan_visuals(layouts, tags).select("page_id", "seq", "text")
+
+
+@register()
+def d1_suppress(spark, sf):
+    return suppress.suppress(relation(spark, sf, "layout_boxes"), 0.45)
+
+
+@register()
+def d2_suppress_strict(spark, sf):
+    return suppress.suppress(relation(spark, sf, "layout_boxes"), 0.2, pixel_border=False)
+
+
+@register()
+def d3_clean_layouts(spark, sf):
+    return suppress.clean_layouts(relation(spark, sf, "layout_boxes"))
+
+
+_GARBAGE_SQL = f"(SELECT split_part(text, ' ', 1) AS t FROM {OCR} g WHERE seq = 0 GROUP BY t HAVING count(*) > 1)"
+
+
+@register(f"SELECT page_id, seq FROM {OCR} b WHERE page_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {_GARBAGE_SQL} x WHERE x.t = CASE WHEN b.seq < 4 THEN split_part(b.text, ' ', 1) ELSE b.text END)")
+def d4_repeated_garbage(spark, sf):
+    boxes = relation(spark, sf, "ocr_boxes")
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    dropped = boxes.where("seq = 0").select(F.lit("header").alias("layout_type"), word.alias("text"))
+    shown = boxes.where("page_id % 2 = 0").withColumn("text", F.when(F.col("seq") < 4, word).otherwise(F.col("text")))
+    return assign.repeated_garbage(shown, dropped).select("page_id", "seq")
+
+
+@register("SELECT event_id, [1, 2, 1] AS decoded FROM events")
+def d5_ctc_collapse(spark, sf):
+    steps = spark.read.parquet(f"{sf}/events.parquet").withColumn("steps", F.array(*[F.lit(x) for x in (0, 1, 1, 0, 2, 2, 2, 0, 1)]))
+    return steps.select("event_id", suppress.ctc_collapse("steps").alias("decoded"))
+
+
+# ---- order and bands (O1-O9, W1) ------------------------------------------
+
+
+@register()
+def o1_sort_rows(spark, sf):
+    return order.ordered(relation(spark, sf, "ocr_boxes"), lambda rows: order.fuzzy(rows, "top", "x0", 10))
+
+
+@register()
+def o4_reading_order(spark, sf):
+    return order.ordered(relation(spark, sf, "ocr_boxes"), order.reading_order)
+
+
+@register(f"SELECT page_id AS doc_id, string_agg(text, '\n\n' ORDER BY top, seq) AS markdown FROM {OCR} o GROUP BY page_id")
+def o5_assemble(spark, sf):
+    regions = relation(spark, sf, "ocr_boxes").withColumnRenamed("page_id", "doc_id").withColumn("page_no", F.lit(0))
+    return document.assemble(regions)
+
+
+@register(f"SELECT page_id, seq, place FROM (SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, seq) AS place FROM {OCR} o) x WHERE place <= 3")
+def o9_first_k(spark, sf):
+    return order.first_k(relation(spark, sf, "ocr_boxes"), ["page_id"], [F.col("score").desc(), F.col("seq")], 3).select("page_id", "seq", F.col("place").cast("long").alias("place"))
+
+
+@register(f"""WITH c AS (SELECT page_id, y, y - lag(y) OVER (PARTITION BY page_id ORDER BY y) AS d FROM {MASK} m WHERE has_content),
+r AS (SELECT page_id, y, sum(CASE WHEN d > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y) AS band FROM c),
+e AS (SELECT page_id, max(y) AS last FROM {MASK} m GROUP BY page_id)
+SELECT r.page_id, CAST(band AS BIGINT) AS band, min(y) AS top, CASE WHEN max(last) - max(y) < 8 THEN max(last) ELSE max(y) END AS bottom FROM r JOIN e ON e.page_id = r.page_id GROUP BY r.page_id, band""")
+def w1_bands(spark, sf):
+    return order.bands(relation(spark, sf, "mask_rows"))
+
+
+# ---- statistics and gate (A1-A9, R1-R2) ----------------------------------
+
+_MILLI = "CAST(round(score * 1000) AS BIGINT)"
+
+
+@register(f"SELECT page_id, count(*) AS line_count, CAST(sum(length(text)) AS BIGINT) AS char_count, CAST(sum({_MILLI}) AS BIGINT) AS score_sum, min(score) AS min_score, median(score) AS median_score, count(*) FILTER (WHERE score < 0.78) AS low_score_count FROM {OCR} o GROUP BY page_id")
+def a1_line_stats(spark, sf):
+    out = stats.line_stats(relation(spark, sf, "ocr_boxes"), ["page_id"])
+    return out.withColumn("score_sum", F.round(F.col("score_sum") * 1000).cast("long"))
+
+
+@register(f"SELECT page_id // 10 AS doc_id, count(*) AS line_count, CAST(sum(length(text)) AS BIGINT) AS char_count, min(score) AS min_score, count(*) FILTER (WHERE score < 0.78) AS low_score_count FROM {OCR} o GROUP BY 1")
+def a2_roll_up(spark, sf):
+    pages = stats.line_stats(relation(spark, sf, "ocr_boxes"), ["page_id"]).withColumn("doc_id", F.expr("page_id div 10"))
+    return stats.roll_up(pages, ["doc_id"]).select("doc_id", "line_count", "char_count", "min_score", "low_score_count")
+
+
+@register(f"SELECT page_id, count(*) AS region_count, min(score) AS min_score, median(score) AS median_score, count(*) FILTER (WHERE score < 0.55) AS low_score_count FROM {LAYOUT} l GROUP BY page_id")
+def a3_layout_stats(spark, sf):
+    return stats.layout_stats(relation(spark, sf, "layout_boxes"), ["page_id"]).drop("score_sum")
+
+
+@register(f"SELECT page_id // 10 AS doc_id, count(DISTINCT page_id % 10) AS pages, count(*) AS regions, count(*) FILTER (WHERE type = 'figure') AS assets, count(*) FILTER (WHERE type = 'title') AS headings, count(*) FILTER (WHERE type = 'table') AS risks FROM {LAYOUT} l GROUP BY 1")
+def a4_document_counts(spark, sf):
+    content = F.when(F.col("type") == "figure", "image").otherwise("text")
+    regions = relation(spark, sf, "layout_boxes").select(F.expr("page_id div 10").alias("doc_id"), (F.col("page_id") % 10).alias("page_no"), "type", content.alias("content_type"))
+    return document.metadata(regions, regions.where("type = 'title'"), regions.where("type = 'table'"))
+
+
+@register(f"""SELECT page_id, type FROM (SELECT page_id, type, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(seq)) AS r FROM {LAYOUT} l GROUP BY page_id, type) x WHERE r = 1""")
+def a5_majority(spark, sf):
+    return stats.majority(relation(spark, sf, "layout_boxes"), ["page_id"], "type", "seq")
+
+
+@register(f"SELECT table_id, seq, label, CAST(x0 AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS top, CAST(x1 AS DOUBLE) AS x1, CAST(bottom AS DOUBLE) AS bottom FROM {PARTS} p")
+def a6_align_parts(spark, sf):
+    return tables.align_parts(relation(spark, sf, "table_parts"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'prompt=' || CAST(event_id AS VARCHAR) || ', total=' || CAST(event_id * 2 AS VARCHAR) ELSE 'total=' || CAST(event_id * 2 AS VARCHAR) END AS usage FROM events")
+def a9_token_usage(spark, sf):
+    usage = F.expr("CASE WHEN event_id % 2 = 0 THEN concat('{\"prompt_token_count\":', event_id, ',\"total_token_count\":', event_id * 2, '}') ELSE concat('{\"total_token_count\":', event_id * 2, '}') END")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.token_usage(usage, (("prompt_token_count", "prompt"), ("total_token_count", "total"))).alias("usage"))
+
+
+@register(f"""WITH o AS (SELECT page_id, count(*) AS n, sum({_MILLI}) AS s, min(score) AS lo, count(*) FILTER (WHERE score < 0.78) AS low FROM {OCR} o GROUP BY page_id),
+l AS (SELECT page_id, count(*) AS n, sum({_MILLI}) AS s, count(*) FILTER (WHERE score < 0.55) AS low FROM {LAYOUT} l GROUP BY page_id),
+r AS (SELECT o.page_id, o.s < 860 * o.n AS a, lo < 0.6 AS b, o.low * 5 >= o.n AS c, l.s < 600 * l.n AS d, l.low * 20 >= 7 * l.n AS e FROM o JOIN l ON o.page_id = l.page_id)
+SELECT page_id, (CASE WHEN a THEN 'low_average;' ELSE '' END) || (CASE WHEN b THEN 'very_low_line;' ELSE '' END) || (CASE WHEN c THEN 'low_line_ratio;' ELSE '' END) || (CASE WHEN d THEN 'low_layout_average;' ELSE '' END) || (CASE WHEN e THEN 'low_layout_ratio;' ELSE '' END) AS reasons, a OR b OR c OR d OR e AS run FROM r""")
+def r1_review_gate(spark, sf):
+    out = document.review(relation(spark, sf, "ocr_boxes").withColumn("text", F.lit("plain")), relation(spark, sf, "layout_boxes"))
+    return out.select("page_id", F.concat(F.array_join("reasons", ";"), F.when(F.size("reasons") > 0, ";").otherwise("")).alias("reasons"), "run")
+
+
+# ---- tables (W2-W10) -------------------------------------------------------
+
+
+def _tagged(spark, sf):
+    return assign.tag_cells(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts"))
+
+
+@register(f"SELECT table_id, seq, CAST(seq // 4 AS BIGINT) AS rn, CAST(seq % 4 AS BIGINT) AS cn FROM {CELLS} c")
+def w4_grid(spark, sf):
+    return tables.grid(_tagged(spark, sf)).select("table_id", "seq", "rn", "cn")
+
+
+@register("SELECT CAST(n_nationkey AS BIGINT) AS table_id, CAST(r AS BIGINT) AS rn, FALSE AS header FROM nation, (SELECT unnest(range(6)) AS r) x WHERE r > 0")
+def w6_header_rows(spark, sf):
+    return tables.header_rows(tables.grid(_tagged(spark, sf))).where("rn > 0")
+
+
+@register(f"""SELECT table_id, string_agg(line, '' ORDER BY r) AS markdown FROM (
+  SELECT table_id, seq // 4 AS r, '| ' || string_agg(text, ' | ' ORDER BY seq) || ' |' || chr(10) || CASE WHEN seq // 4 = 0 THEN '| --- | --- | --- | --- |' || chr(10) ELSE '' END AS line
+  FROM {CELLS} c GROUP BY table_id, seq // 4) x GROUP BY table_id""")
+def w8_markdown(spark, sf):
+    return document.extract_tables(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts"))
+
+
+@register()
+def w9_rebuild_tables(spark, sf):
+    return tables.rebuild(_tagged(spark, sf))
+
+
+@register(f"SELECT page_id, page_id % 10 + 1 AS page_number FROM (SELECT DISTINCT page_id FROM {LAYOUT} l) x")
+def w13_page_numbers(spark, sf):
+    pages = relation(spark, sf, "layout_boxes").select("page_id").distinct()
+    by_doc = Window.partitionBy(F.expr("page_id div 10")).orderBy("page_id")
+    return pages.select("page_id", F.row_number().over(by_doc).cast("long").alias("page_number"))
+
+
+@register(f"SELECT page_id, seq, printf('p%03d_r%03d', page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq)) AS risk_id FROM {LAYOUT} l WHERE type = 'table'")
+def w12_numbered_risks(spark, sf):
+    return memory.numbered(relation(spark, sf, "layout_boxes").where("type = 'table'")).select("page_id", "seq", "risk_id")
+
+
+# ---- correction memory (R3-R12) -------------------------------------------
+
+
+def _rules(spark, sf):
+    rules = relation(spark, sf, "rules").withColumn("id", t.rule_id(F.col("wrong"), F.col("correct")))
+    return rules.withColumn("applied_count", F.lit(0).cast("long"))
+
+
+def _edited(spark, sf):
+    changed = F.regexp_replace("text", r"(?m)^([A-Z])", "$1x")
+    return _docs(spark, sf).select("doc_id", F.col("text").alias("source_text"), F.when(F.col("doc_id") % 3 == 0, changed).otherwise(F.col("text")).alias("checked_text"))
+
+
+@register()
+def r3_hunks(spark, sf):
+    return memory.hunks(_edited(spark, sf))
+
+
+@register()
+def r6_candidates(spark, sf):
+    return memory.candidates(memory.hunks(_edited(spark, sf)))
+
+
+@register("SELECT p_partkey, replace(replace(p_brand, 'Brand#1', 'One'), 'Brand', 'B') AS corrected FROM part")
+def r7_replay(spark, sf):
+    rules = spark.createDataFrame([(0, "a", "Brand", "B"), (1, "b", "Brand#1", "One")], "seq int, id string, wrong string, correct string")
+    return memory.replay(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand"), rules, "p_brand").select("p_partkey", "corrected")
+
+
+_RULE_ID = "substring(sha256(wrong || chr(0) || correct), 1, 16)"
+_LEARNED = f"SELECT DISTINCT lower(p_brand) AS wrong, upper(p_type) AS correct FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT 'new' || lower(p_brand), 'x' FROM part"
+
+
+@register(f"""WITH r AS (SELECT {_RULE_ID} AS id, max(seen_count) AS seen FROM {RULES} r GROUP BY 1),
+c AS (SELECT {_RULE_ID} AS id, count(*) AS n FROM ({_LEARNED}) l GROUP BY 1)
+SELECT coalesce(r.id, c.id) AS id, coalesce(seen, 0) + coalesce(n, 0) AS seen_count FROM r FULL OUTER JOIN c ON r.id = c.id""")
+def r8_learn(spark, sf):
+    rules = _rules(spark, sf).groupBy("id").agg(F.first("wrong").alias("wrong"), F.first("correct").alias("correct"), F.max("seen_count").alias("seen_count"), F.max("applied_count").alias("applied_count"))
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    found = part.where("p_partkey % 2 = 0").select(F.lower("p_brand").alias("wrong"), F.upper("p_type").alias("correct")).distinct()
+    found = found.union(part.select(F.concat(F.lit("new"), F.lower("p_brand")), F.lit("x")).distinct())
+    return memory.learn(rules, found.withColumn("id", t.rule_id(F.col("wrong"), F.col("correct")))).select("id", "seen_count")
+
+
+@register(f"SELECT seq, CASE WHEN seq % 11 = 0 THEN TRUE WHEN seq % 7 = 0 THEN seq % 2 = 0 ELSE blocked END AS blocked FROM {RULES} r")
+def r9_set_blocked(spark, sf):
+    rules = relation(spark, sf, "rules").withColumn("id", F.col("seq"))
+    first = rules.where("seq % 7 = 0").select("id", (F.col("seq") % 2 == 0).alias("blocked"), F.lit(1).alias("at"))
+    commands = first.unionByName(rules.where("seq % 11 = 0").select("id", F.lit(True).alias("blocked"), F.lit(2).alias("at")))
+    return memory.set_blocked(rules, commands).select("seq", "blocked")
+
+
+@register(f"SELECT count(*) AS n FROM {RULES} r WHERE NOT blocked AND NOT EXISTS (SELECT 1 FROM {RULES} b WHERE b.blocked AND b.wrong = r.wrong AND b.correct = r.correct)")
+def j9_not_blocked(spark, sf):
+    rules = relation(spark, sf, "rules")
+    return memory.not_blocked(rules, rules.where("blocked")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register()
+def r10_change_rows(spark, sf):
+    changes = memory.hunks(_edited(spark, sf))
+    return memory.change_rows(changes, changes.where("change_id % 2 = 0").select("doc_id", "change_id"))
+
+
+@register("SELECT doc_id, text AS markdown FROM documents WHERE length(text) > 0")
+def r11_effective(spark, sf):
+    changes = memory.hunks(_edited(spark, sf))
+    return memory.effective(changes, changes.where("change_id IS NOT NULL").select("doc_id", "change_id"))
+
+
+@register("SELECT event_id, CASE WHEN event_id > 3 THEN [3, event_id] WHEN event_id = 3 THEN [3] ELSE [event_id, 3] END AS ids FROM events")
+def r12_reversal_ids(spark, sf):
+    payload = F.concat(F.lit('[3,"-1",3,"x",'), F.col("event_id").cast("string"), F.lit("]"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", memory.reversal_ids(payload).alias("ids"))
+
+
+# ---- declared search semantics (X1-X4) -------------------------------------
+
+_TOKENS = "SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS token FROM documents"
+_QUERY = "SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(substring(text, 1, 60)), '\\s+')) AS token FROM benchmark"
+
+
+@register(f"""WITH q AS ({_QUERY}), p AS (SELECT * FROM ({_TOKENS}) t WHERE token <> '' AND token IN (SELECT token FROM q)),
+d AS (SELECT token, count(*) AS df FROM p GROUP BY token), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+s AS (SELECT q.query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score FROM p JOIN q ON p.token = q.token JOIN d ON d.token = p.token, n GROUP BY q.query_id, p.doc_id)
+SELECT query_id, doc_id, CAST(round(score * 10000) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) x WHERE r <= 10""")
+def x1_term_scores(spark, sf):
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return search.term_scores(_docs(spark, sf), queries).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+@register("""SELECT vec_id, CAST(round(score * 1000000) AS BIGINT) AS score FROM (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0) x
+ORDER BY round(score, 9) DESC, vec_id LIMIT 10""")
+def x3_nearest(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    best = search.nearest(vectors, vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return best.select("vec_id", F.round(F.col("score") * 1000000).cast("long").alias("score"))
