@@ -22,7 +22,7 @@ from lamina.llm.common import SPACE, materialize, word_array
 
 METRICS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_len")
 #: Spreads below these are widened to them, so that a group of like documents has no needle-thin fence.
-FLOOR = {"symbol_ratio": 0.01, "dup_line_ratio": 0.02, "repeat_ratio": 0.05, "word_len": 0.5}
+FLOOR = {"symbol_ratio": 0.01, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_len": 0.5}
 FENCE = 6.0
 MIN_GROUP = 200
 
