@@ -93,4 +93,14 @@ QUERIES = {
     for f in (op1_pack, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_shard, op6_toxicity, op7_top_k, op8_language_id, op9_warc, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries rest on hashes, models, schedules or fixpoints that SQL cannot say; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_top_k": """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) x WHERE place <= 5""",
+    "op9_warc": """SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 1000 AND last <> page_id THEN last END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages) p""",
+}
