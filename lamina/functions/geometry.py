@@ -71,3 +71,46 @@ def from_center(cx: Column, cy: Column, w: Column, h: Column, pad_x: Column, pad
         ((cx + w / 2 - pad_x) * scale).alias("x1"),
         ((cy + h / 2 - pad_y) * scale).alias("bottom"),
     ]
+
+
+def clockwise(quad: Column) -> Column:
+    """Corners from the one nearest the origin: (least x + y, least y - x, most x + y, most y - x)."""
+    total = lambda p: p["x"] + p["y"]
+    lean = lambda p: p["y"] - p["x"]
+    keyed = F.array_sort(F.transform(quad, lambda p, i: F.struct(total(p).alias("k"), i.alias("i"), p.alias("p"))))
+    first, last = keyed[0]["p"], keyed[F.size(keyed) - 1]["p"]
+    middle = F.array_sort(F.transform(F.slice(keyed, 2, 2), lambda s: F.struct(lean(s["p"]).alias("k"), s["i"].alias("i"), s["p"].alias("p"))))
+    return F.array(first, middle[0]["p"], last, middle[1]["p"])
+
+
+def clipped(quad: Column, width: int, height: int) -> Column:
+    whole = lambda v, most: F.greatest(F.lit(0), F.least(v, F.lit(most - 1))).cast("long")
+    return F.transform(quad, lambda p: F.struct(whole(p["x"], width).alias("x"), whole(p["y"], height).alias("y")))
+
+
+def wide_enough(quad: Column, least: int = 3) -> Column:
+    """Both sides from the first corner are longer than ``least`` whole pixels."""
+    side = lambda a, b: F.floor(F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2))
+    return (side(quad[0], quad[1]) > least) & (side(quad[0], quad[3]) > least)
+
+
+def quad_box(quad: Column) -> list[Column]:
+    """Edges from the first, second and last corner."""
+    return [quad[0]["x"].alias("x0"), quad[0]["y"].alias("top"), quad[1]["x"].alias("x1"), quad[3]["y"].alias("bottom")]
+
+
+def detector_size(width: Column, height: Column, limit: int, kind: str = "max") -> list[Column]:
+    """Sides in multiples of 32 after scaling to ``limit`` (max: only down, min: only up, resize_long: both)."""
+    long, short = F.greatest(width, height), F.least(width, height)
+    scale = {
+        "max": F.when(long > limit, F.lit(float(limit)) / long).otherwise(1.0),
+        "min": F.when(short < limit, F.lit(float(limit)) / short).otherwise(1.0),
+        "resize_long": F.lit(float(limit)) / long,
+    }[kind]
+    side = lambda v: F.greatest(F.bround((v * scale).cast("long") / 32) * 32, F.lit(32)).cast("long")
+    return [side(width).alias("width"), side(height).alias("height")]
+
+
+def line_width(width: Column, height: Column, to_height: int = 32, least: int = 32, most: int = 512) -> Column:
+    """Width at ``to_height``, rounded up to tens and clamped."""
+    return F.least(F.greatest(F.ceil((to_height * width / height).cast("long") / 10) * 10, F.lit(least)), F.lit(most)).cast("long")

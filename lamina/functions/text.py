@@ -183,3 +183,45 @@ def from_millis(ms: Column) -> Column:
 
 def to_millis(text: Column) -> Column:
     return F.unix_millis(F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Numbers of the padding, start, end and mask symbols; characters follow from 4 (fixed values).
+PAD, START, END, MASK = range(4)
+
+
+def encode(text: Column, alphabet: str) -> Column:
+    numbers = F.create_map(*[x for i, c in enumerate(alphabet) for x in (F.lit(c), F.lit(i + 4))])
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.concat(F.array(F.lit(START)), F.transform(chars, lambda c: F.element_at(numbers, c)), F.array(F.lit(END)))
+
+
+def decode(ids: Column, alphabet: str) -> Column:
+    """What stands between the start, if any, and the first end, if any."""
+    names = F.array(*[F.lit(c) for c in ("<pad>", "<sos>", "<eos>", "*", *alphabet)])
+    first = F.when(F.array_contains(ids, START), 2).otherwise(1)
+    end = F.array_position(ids, END)
+    n = F.greatest(F.lit(0), F.when(end > 0, end).otherwise(F.size(ids) + 1) - first)
+    return F.array_join(F.transform(F.slice(ids, first, n.cast("int")), lambda i: F.element_at(names, i + 1)), "")
+
+
+def right_to_left(text: Column) -> Column:
+    """Characters reversed, but runs of Latin letters, digits and their signs kept in order."""
+    return F.array_join(F.reverse(F.regexp_extract_all(text, F.lit(r"(?s)([a-zA-Z0-9 :*./%+-]+|.)"), 1)), "")
+
+
+def user_file(path: Column) -> Column:
+    """The file of a user's own version of a checked text."""
+    return F.when(path.rlike("_(vlm|gemini)_checked\\.md$"), F.regexp_replace(path, "_(vlm|gemini)_checked\\.md$", "_vlm_user.md")).otherwise(
+        F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("_user.md"))
+    )
+
+
+def log_tail(content: Column, offset: Column, most: int = 512 * 1024) -> list[Column]:
+    """Text from a byte offset on and the offset after it; an offset past the end starts anew."""
+    at = F.when((offset < 0) | (offset > F.octet_length(content)), 0).otherwise(offset)
+    part = F.substring(content, (at + 1).cast("int"), F.lit(most))
+    return [F.decode(part, "UTF-8").alias("text"), (at + F.octet_length(part)).cast("long").alias("offset")]
+
+
+def review_status(enabled: Column, run: Column, failed: Column) -> Column:
+    return F.when(~enabled, "disabled").when(~run, "skipped").when(failed, "failed").otherwise("ok")

@@ -565,3 +565,203 @@ def x3_nearest(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     best = search.nearest(vectors, vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))
     return best.select("vec_id", F.round(F.col("score") * 1000000).cast("long").alias("score"))
+
+
+# ---- smaller operators -----------------------------------------------------
+
+
+@register("SELECT event_id, CASE WHEN event_id % 900 > 512 THEN 0 ELSE event_id % 900 END + least(100, strlen(props) * 0 + 512 - CASE WHEN event_id % 900 > 512 THEN 0 ELSE event_id % 900 END) AS offset_ FROM events")
+def s11_log_tail(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("content", F.repeat(F.lit("ab"), 256).cast("binary"))
+    return events.select("event_id", *t.log_tail(F.col("content"), F.col("event_id") % 900, 100)).select("event_id", F.col("offset").alias("offset_"))
+
+
+@register("SELECT o_orderkey, status, n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'succeeded' ELSE o_orderstatus END AS status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderkey < 100) x")
+def s12_history(spark, sf):
+    old = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 100").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
+    new = old.where("o_orderkey % 2 = 0").withColumn("status", F.lit("succeeded")).withColumn("seq", F.lit(1))
+    latest = catalog.upsert(old, new, "o_orderkey")
+    return latest.select("o_orderkey", "status", F.row_number().over(Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")).cast("long").alias("n"))
+
+
+@register(f"SELECT page_id, seq, x0, top, least(x1, 639) AS x1, bottom FROM {LAYOUT} l WHERE least(x1, 639) - x0 > 3 AND bottom - top > 3")
+def p5_detector_quads(spark, sf):
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    quad = F.array(point("x1", "bottom"), point("x0", "top"), point("x0", "bottom"), point("x1", "top"))
+    found = relation(spark, sf, "layout_boxes").withColumn("quad", g.clipped(g.clockwise(quad), PAGE_WIDTH, PAGE_HEIGHT)).where(g.wide_enough(F.col("quad")))
+    return found.select("page_id", "seq", *g.quad_box(F.col("quad")))
+
+
+@register("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'reference' WHEN 3 THEN 'figure' END AS label FROM events")
+def p8_class_labels(spark, sf):
+    names = F.array(*map(F.lit, ("Title", "Text", "Reference", "Figure")))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.lower(F.get(names, (F.col("event_id") % 6).cast("int"))).alias("label"))
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority ILIKE '%urgent' AND o_custkey NOT IN (1, 2) AND o_orderkey < 500")
+def p11_conditions(spark, sf):
+    query = {"o_orderstatus": ("!=", "F"), "o_orderpriority": ("**", "%urgent"), "o_custkey": ("~", [1, 2]), "o_orderkey": ("<", 500)}
+    return spark.read.parquet(f"{sf}/orders.parquet").where(catalog.condition(query)).select("o_orderkey")
+
+
+@register(f"SELECT page_id, count(*) AS regions, count(*) FILTER (WHERE type = 'figure') AS with_asset FROM {LAYOUT} l GROUP BY page_id")
+def p13_compact_regions(spark, sf):
+    boxes = relation(spark, sf, "layout_boxes").withColumn("asset_path", F.when(F.col("type") == "figure", F.lit("a.png"))).withColumn("ignored", F.lit(1))
+    pages = boxes.groupBy("page_id").agg(F.collect_list(F.struct("type", "asset_path", "ignored")).alias("regions"))
+    compact = F.transform("regions", lambda r: F.struct(r["type"].alias("layout_type"), F.nullif(r["asset_path"], F.lit("")).alias("asset_path")))
+    out = pages.select("page_id", compact.alias("r"))
+    return out.select("page_id", F.size("r").cast("long").alias("regions"), F.size(F.filter("r", lambda r: r["asset_path"].isNotNull())).cast("long").alias("with_asset"))
+
+
+@register(f"""SELECT page_id, seq, hit FROM (SELECT a.page_id, a.seq, b.seq AS hit, row_number() OVER (PARTITION BY a.page_id, a.seq ORDER BY {_COMMON} DESC, b.seq) AS r
+FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id AND {_TOUCH} WHERE {_COMMON} > 0) x WHERE r = 1""")
+def j4_most_overlap(spark, sf):
+    found = assign.pairs(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"), ("page_id",)).withColumn("common", g.intersection("a_", "b_"))
+    return found.where("common > 0").groupBy("page_id", F.col("a_seq").alias("seq")).agg(F.max_by("b_seq", F.struct("common", -F.col("b_seq"))).alias("hit"))
+
+
+@register()
+def j10_issue_pairing(spark, sf):
+    issues = _docs(spark, sf).select("doc_id", F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("change_id", "issue"))
+    return memory.candidates(memory.hunks(_edited(spark, sf)), issues.withColumn("change_id", F.col("change_id").cast("long"))).select("doc_id", "change_id", "issue")
+
+
+@register()
+def a7_skip_reasons(spark, sf):
+    found = memory.candidates(memory.hunks(_edited(spark, sf))).where("reason <> ''")
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"SELECT page_id // 10 AS table_id, count(DISTINCT page_id) > 1 AS cross_page FROM {LAYOUT} l GROUP BY 1")
+def a8_cross_page(spark, sf):
+    boxes = relation(spark, sf, "layout_boxes").withColumn("table_id", F.expr("page_id div 10"))
+    return boxes.groupBy("table_id").agg((F.countDistinct("page_id") > 1).alias("cross_page"))
+
+
+@register()
+def o2_sort_columns(spark, sf):
+    return order.ordered(relation(spark, sf, "ocr_boxes"), lambda rows: order.fuzzy(rows, "x0", "top", 10))
+
+
+@register(f"SELECT table_id, seq, row_number() OVER (PARTITION BY table_id ORDER BY seq) - 1 AS place FROM {CELLS} c")
+def o3_sort_by_rows(spark, sf):
+    return order.ordered(_tagged(spark, sf), lambda rows: order.by_tag(rows, "R", "x0", "top", "x0", 0), "table_id")
+
+
+@register(f"SELECT page_id // 4 AS doc_id, string_agg(m, '\n\n' ORDER BY page_id) AS markdown FROM (SELECT page_id, string_agg(text, '\n\n' ORDER BY top, seq) AS m FROM {OCR} o GROUP BY page_id) x GROUP BY 1")
+def o6_assemble_pages(spark, sf):
+    regions = relation(spark, sf, "ocr_boxes").withColumn("doc_id", F.expr("page_id div 4")).withColumnRenamed("page_id", "page_no")
+    return document.assemble(regions)
+
+
+@register(f"SELECT seq, row_number() OVER (ORDER BY length(wrong) DESC, seq) AS place FROM {RULES} r WHERE seq < 200")
+def o7_rule_order(spark, sf):
+    rules = relation(spark, sf, "rules").where("seq < 200")
+    return rules.select("seq", F.row_number().over(Window.orderBy(F.length("wrong").desc(), "seq")).cast("long").alias("place"))
+
+
+@register(f"SELECT table_id, string_agg(text, ' ' ORDER BY seq) AS caption FROM {CELLS} c WHERE seq % 4 = 3 GROUP BY table_id")
+def w10_captions(spark, sf):
+    boxes = relation(spark, sf, "table_cells").withColumn("layout_type", F.when(F.col("seq") % 4 == 3, "table caption").otherwise("table"))
+    return tables.captions(boxes)
+
+
+@register("SELECT event_id, [1] || CASE event_id % 2 WHEN 0 THEN [4, 5] ELSE [6] END || [2] AS ids, CASE event_id % 2 WHEN 0 THEN 'ab' ELSE 'c' END AS text FROM events")
+def t21_vocabulary(spark, sf):
+    text = F.when(F.col("event_id") % 2 == 0, "ab").otherwise("c")
+    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.encode(text, "abc").alias("ids"))
+    return ids.select("event_id", "ids", t.decode(F.col("ids"), "abc").alias("text"))
+
+
+@register("SELECT p_partkey, (p_partkey % 1000) / 1000 AS share FROM part")
+def t12_rounded(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.round((F.col("p_partkey") % 1000) / 1000, 4).alias("share"))
+
+
+@register("SELECT event_id, props AS props FROM events")
+def t19_json_round_trip(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return events.select("event_id", F.get_json_object(F.to_json(F.struct("props")), "$.props").alias("props"))
+
+
+@register("SELECT event_id, event_id % 3 = 0 AS low, event_id % 3 = 0 OR event_id % 2 = 0 AS risk_or_low, TRUE AS always, FALSE AS never FROM events")
+def r2_decisions(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    reasons = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    risks = (F.col("event_id") % 2 == 0).cast("int")
+    names = {"low": "low_confidence", "risk_or_low": "risk_or_low_confidence", "always": "always", "never": "never"}
+    return events.select("event_id", *[stats.decision(trigger, reasons, risks).alias(n) for n, trigger in names.items()])
+
+
+@register()
+def r4_similarity(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select("p_partkey", F.round(memory.similarity(F.col("p_name"), F.col("p_type")), 4).alias("ratio"))
+
+
+@register("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'same' WHEN 2 THEN 'too_long' WHEN 3 THEN 'too_many_lines' WHEN 4 THEN 'structured_or_asset' ELSE 'low_similarity' END AS reason FROM part""")
+def r5_candidate_reasons(spark, sf):
+    which = F.col("p_partkey") % 6
+    wrong = F.when(which == 0, "").when(which == 2, F.repeat(F.lit("a"), 241)).when(which == 3, "a\nb\nc\nd\ne").when(which == 4, "![x](y)").otherwise("abc")
+    correct = F.when(which == 1, "abc").otherwise("zzz")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", memory.candidate_reason(wrong, correct, F.lit(0.5)).alias("reason"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'disabled' WHEN event_id % 4 = 1 THEN 'skipped' WHEN event_id % 4 = 2 THEN 'failed' ELSE 'ok' END AS status FROM events")
+def r14_review_status(spark, sf):
+    k = F.col("event_id") % 4
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.review_status(k != 0, k != 1, k == 2).alias("status"))
+
+
+@register("SELECT item_id, len(list_filter(string_split_regex(lower(text), '[\\s#]+'), lambda x: x <> '')) AS n FROM benchmark")
+def x2_tokens(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.size(search.tokens(F.col("text"), True)).cast("long").alias("n"))
+
+
+@register("SELECT event_id, TRUE AS parsed FROM events")
+def x4_dates(spark, sf):
+    kinds = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd_HH:mm:ss")
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.date_format("ts", kinds[0])).when(k == 1, F.date_format("ts", kinds[1])).otherwise(F.date_format("ts", kinds[2]))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", search.any_date(text).isNotNull().alias("parsed"))
+
+
+@register("SELECT p_partkey, CASE WHEN p_type LIKE '%\\_vec' THEN 'dense_vector' WHEN p_partkey % 3 = 0 THEN 'integer' WHEN p_partkey % 3 = 1 THEN 'dense_vector' ELSE 'date' END AS kind FROM part")
+def x4_field_types(spark, sf):
+    name = F.expr("concat('f', CASE p_partkey % 3 WHEN 0 THEN '_int' WHEN 1 THEN '_768_vec' ELSE '_dt' END)")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", catalog.suffix_type(name).alias("kind"))
+
+
+@register("SELECT o_orderkey, greatest(0, o_custkey - o_orderkey) * 1.0 AS seconds FROM orders")
+def m10_duration(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return orders.select("o_orderkey", catalog.duration(F.col("o_orderkey").cast("double"), F.col("o_custkey").cast("double")).alias("seconds"))
+
+
+@register(f"SELECT file_id, CASE WHEN ends_with(path, '_vlm_checked.md') THEN replace(path, '_vlm_checked.md', '_vlm_user.md') ELSE regexp_replace(path, '\\.[^.]*$', '') || '_user.md' END AS user_path FROM {FILES} f")
+def m13_user_file(spark, sf):
+    return relation(spark, sf, "files").select("file_id", t.user_file(F.col("path")).alias("user_path"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [1, 2, 5] ELSE [1] END AS ids FROM events")
+def m14_toggle(spark, sf):
+    on = F.col("event_id") % 2 == 0
+    ids = F.array(F.lit(1), F.lit(2))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", memory.toggle(ids, F.when(on, 5).otherwise(2), on).alias("ids"))
+
+
+@register("SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'ab12גב' ELSE 'ב' END AS text FROM events")
+def m20_right_to_left(spark, sf):
+    text = F.when(F.col("event_id") % 2 == 0, "בגab12").otherwise("ב")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.right_to_left(text).alias("text"))
+
+
+@register(f"SELECT page_id, seq, least(greatest(CAST(ceil(CAST(trunc(32.0 * (x1 - x0) / (bottom - top)) AS DOUBLE) / 10) * 10 AS BIGINT), 32), 512) AS width FROM {LAYOUT} l")
+def k13_line_width(spark, sf):
+    return relation(spark, sf, "layout_boxes").select("page_id", "seq", g.line_width(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")).alias("width"))
+
+
+@register(f"SELECT page_id, seq, greatest(CAST(round_even((x1 - x0) / 32.0, 0) * 32 AS BIGINT), 32) AS width, greatest(CAST(round_even((bottom - top) / 32.0, 0) * 32 AS BIGINT), 32) AS height FROM {LAYOUT} l")
+def k1_detector_size(spark, sf):
+    sizes = g.detector_size(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), 960)
+    return relation(spark, sf, "layout_boxes").select("page_id", "seq", *sizes)
