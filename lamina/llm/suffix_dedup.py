@@ -10,9 +10,9 @@ discarded as soon as they are known to be unique:
    equal strings share a sampled tuple of ``TUPLE = LENGTH - V + 1`` bytes.
    Tuples are sorted by fingerprint; those that occur once get no name.
 2. The remaining sampled suffixes are sorted by name and place; neighbours of
-   one name are compared and each learns the first place of its tuple.
+   one name are compared and each learns the place of its tuple before its own.
 3. Names of sampled suffixes that follow one another are read together, as the
-   recursion does: where their first places follow one another at the same
+   recursion does: where the places before follow one another at the same
    distances, the tuples join into one longer match, and all strings inside it
    are settled without being sorted.
 4. The remaining suffixes (those with a named sample within ``V`` that no such
@@ -49,15 +49,17 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialize, shared_dir, shuffle_partitions
 
 LENGTH = 100
-V = 57
-COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # fixed values: a perfect difference set modulo 57
-TUPLE = LENGTH - V + 1
+V = 31
+COVER = (0, 1, 3, 8, 12, 18)  # fixed values: a perfect difference set modulo 31
+TUPLE = LENGTH - V + 1  # at least V: of two matching texts one sample in V places may be all they share
 BLOCK_BYTES = 4 << 20
 #: Bits of a fingerprint that the filter sorts in one bucket; more would only save false alarms.
 FILTER_BITS = 26
 SORT_ENTRIES = 2_000_000
 SEGMENT = 1 << 18
 NO_ID = np.iinfo(np.int64).max
+#: Instead of an ord: no place before, and no other place.
+FIRST, ALONE = (np.iinfo(np.int64).min + i for i in (0, 1))
 PLACE_BITS = 40  # a place is (repetition of the doc_id) << PLACE_BITS | byte offset
 
 ROWS = "kind int, blk long, bucket long, payload binary"
@@ -170,11 +172,11 @@ class Sent:
         marks = [np.unpackbits(np.frombuffer(flags[b], np.uint8), count=j - i) for b, _, _, (i, j) in self._distinct()]
         return np.concatenate(marks)[self.inverse].astype(bool) if marks else np.zeros(0, bool)
 
-    def group_rows(self, keep: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray, list]:
-        """Rows of distinct (name, first place in the block), and how they map back to entries."""
+    def group_rows(self, keep: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray, list, np.ndarray]:
+        """Rows of distinct (name, first place in the block), how they map back to entries, and the entry before of the same name."""
         at = self.places[keep]
         if not len(at):
-            return [], at, np.empty(0, np.int64), []
+            return [], at, np.empty(0, np.int64), [], np.empty(0, np.int64)
         name = _rolling(2).at(self.block.data, at, self.length) ^ (self.low[keep].astype(np.uint64) << np.uint64(32))
         bucket = self.bucket[keep]
         order = np.lexsort((name, bucket))  # stable, so the first of a name is the earliest in the block
@@ -183,12 +185,14 @@ class Sent:
         first = order[new]
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(new) - 1
+        before = np.empty(len(at), np.int64)
+        before[order] = np.where(new, -1, np.concatenate([[-1], order[:-1]]))
         ord_, place = self.block.place(at[first])
         fb, fn = bucket[first], name[first]
         twice = np.bincount(number) > 1
         cuts = [0, *(np.flatnonzero(np.diff(fb)) + 1).tolist(), len(fb)]
         rows = [(int(fb[i]), np.stack([fn[i:j].view(np.int64), ord_[i:j], place[i:j] << 1 | twice[i:j]]).astype("<i8").tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return rows, at, number, [(int(fb[i]), i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return rows, at, number, [(int(fb[i]), i, j) for i, j in zip(cuts, cuts[1:], strict=False)], before
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -211,38 +215,63 @@ def _find_repeated(rows: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def _find_first(rows: pa.Table) -> pa.Table:
-    """Sort one bucket by (name, place) and compare neighbours; each entry learns the first place of its name.
-
-    Back goes, per entry, (ord, place) of the first, or ord = -1 and place = -1 where the name occurs once.
-    """
-    blks, bucket = rows.column("blk").to_pylist(), rows.column("bucket")[0].as_py()
+def _sorted(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """One bucket's (name, ord, place, met twice) parts, their order, and which names begin and which occur once."""
     parts = [np.frombuffer(p, "<i8").reshape(3, -1) for p in rows.column("payload").to_pylist()]
     name, ord_, place = np.concatenate(parts, 1)
-    place, local = place >> 1, (place & 1).astype(bool)
     order = np.lexsort((place, ord_, name))
     n = name[order]
     new = np.concatenate([[True], n[1:] != n[:-1]])
-    group = np.cumsum(new) - 1
-    size = np.bincount(group) + np.bincount(group, local[order])
-    first = order[new][group]
-    alone = (size == 1)[group]
-    to_ord, to_place = np.empty_like(ord_), np.empty_like(place)
-    to_ord[order] = np.where(alone, -1, ord_[first])
-    to_place[order] = np.where(alone, -1, place[first])
-    out, at = [], 0
-    for blk, p in zip(blks, parts, strict=True):
-        k = p.shape[1]
-        out.append((0, blk, bucket, np.stack([to_ord[at : at + k], to_place[at : at + k]]).astype("<i8").tobytes()))
-        at += k
-    return _table(out)
+    alone = new & np.append(new[1:], True) & ~(place[order] & 1).astype(bool)
+    return parts, order, new, alone
+
+
+def _back(rows: pa.Table, parts: list[np.ndarray], pack) -> pa.Table:
+    """To each block, what ``pack`` makes of its stretch of entries."""
+    ends = np.cumsum([p.shape[1] for p in parts]).tolist()
+    bucket = rows.column("bucket")[0].as_py()
+    return _table([(0, blk, bucket, pack(i, j)) for blk, i, j in zip(rows.column("blk").to_pylist(), [0, *ends], ends, strict=False)])
+
+
+def _find_before(rows: pa.Table) -> pa.Table:
+    """Sort one bucket by (name, place) and compare neighbours; each entry learns the place before it of its name.
+
+    Back go (ord, place) per entry; ord is FIRST where there is none before, and ALONE where the name occurs once.
+    """
+    parts, order, new, alone = _sorted(rows)
+    _, ord_, place = np.concatenate(parts, 1)
+    before = np.concatenate([[0], order[:-1]])
+    back = np.empty((2, len(order)), np.int64)
+    back[0, order] = np.where(alone, ALONE, np.where(new, FIRST, ord_[before]))
+    back[1, order] = np.where(new, 0, place[before] >> 1)
+    return _back(rows, parts, lambda i, j: back[:, i:j].astype("<i8").tobytes())
+
+
+def _find_later(rows: pa.Table) -> pa.Table:
+    """Sort as before; back goes one bit per entry: whether its name has an earlier place."""
+    parts, order, new, _ = _sorted(rows)
+    later = np.empty(len(order), bool)
+    later[order] = ~new
+    return _back(rows, parts, lambda i, j: np.packbits(later[i:j]).tobytes())
+
+
+def _before(block: Block, side: dict[int, bytes], grouped: tuple) -> np.ndarray:
+    """(2, entries): ord and place of the occurrence before each entry, inside the block or elsewhere."""
+    _, at, number, where, before = grouped
+    if not where:
+        return np.empty((2, 0), np.int64)
+    out = np.concatenate([np.frombuffer(side[b], "<i8").reshape(2, -1) for b, _, _ in where], 1)[:, number]
+    inside = before >= 0
+    out[0, inside], out[1, inside] = block.place(at[before[inside]])
+    return out
 
 
-def _spread(firsts: dict[int, bytes], where: list, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(side: dict[int, bytes], grouped: tuple) -> np.ndarray:
+    _, _, number, where, before = grouped
     if not where:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate([np.frombuffer(firsts[b], "<i8").reshape(2, -1) for b, _, _ in where], 1)
-    return both[0][number], both[1][number]
+        return np.empty(0, bool)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(side[b], np.uint8), count=j - i) for b, i, j in where])
+    return bits[number].astype(bool) | (before >= 0)
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -258,17 +287,17 @@ def _cover(n: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def _settle(block: Block, at: np.ndarray, ord_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settle(block: Block, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(settled, remaining) string beginnings of a block, as flags per byte, from its named samples."""
     n = len(block.data)
-    named = ord_ != -1
-    at, ord_, place = at[named], ord_[named], place[named]
-    own_ord, own_place = block.place(at) if len(at) else (at, at)
-    later = (own_ord != ord_) | (own_place != place)
-    s, o, shift = at[later], ord_[later], place[later] - own_place[later]
-    doc = np.searchsorted(block.start, s, side="right") - 1
+    named = before[0] != ALONE
+    at, before = at[named], before[:, named]
     settled = np.zeros(n, bool)
+    later = before[0] != FIRST
+    s, o = at[later], before[0, later]
     if len(s):
+        shift = before[1, later] - block.place(s)[1]
+        doc = np.searchsorted(block.start, s, side="right") - 1
         breaks = (np.diff(s) > TUPLE) | (np.diff(shift) != 0) | (np.diff(o) != 0) | (np.diff(doc) != 0)
         cut = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(s)]])
         lo, hi = s[cut[:-1]], s[cut[1:] - 1] + TUPLE - LENGTH + 1  # beginnings in [lo, hi)
@@ -351,7 +380,7 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
         sent = Sent(block, block.samples(), TUPLE, sorts)
         return _table([(0, docs.column("blk")[0].as_py(), b, p) for b, p in sent.group_rows(sent.repeated(_side(side, 0)))[0]])
 
-    first = materialize(sorted_by_bucket(beside(named, send_named), _find_first), "suffix-first")
+    first = materialize(sorted_by_bucket(beside(named, send_named), _find_before), "suffix-first")
     gone()
     both = named.unionByName(first.withColumn("kind", F.lit(1)))
 
@@ -360,8 +389,8 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
             return _table([])
         block, blk = Block(docs), docs.column("blk")[0].as_py()
         sent = Sent(block, block.samples(), TUPLE, sorts)
-        _, at, number, where = sent.group_rows(sent.repeated(_side(side, 0)))
-        settled, rest = _settle(block, at, *_spread(_side(side, 1), where, number))
+        grouped = sent.group_rows(sent.repeated(_side(side, 0)))
+        settled, rest = _settle(block, grouped[1], _before(block, _side(side, 1), grouped))
         out = [(2, blk, 0, _runs(settled).astype("<i8").tobytes()), (3, blk, 0, _runs(rest).astype("<i8").tobytes())]
         return _table(out + [(0, blk, b, p) for b, p in Sent(block, np.flatnonzero(rest), LENGTH, sorts).filter_rows()])
 
@@ -382,7 +411,7 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
             return _table([])
         return _table([(0, docs.column("blk")[0].as_py(), b, p) for b, p in rest_of(docs, side)[2][0]])
 
-    merged = materialize(sorted_by_bucket(beside(again, send_rest), _find_first), "suffix-merged")
+    merged = materialize(sorted_by_bucket(beside(again, send_rest), _find_later), "suffix-merged")
     gone()
     final = again.unionByName(merged.withColumn("kind", F.lit(1)))
 
@@ -392,10 +421,8 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
     def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
         begins, spans, kept = np.zeros(0, bool), [], []
         if docs.num_rows and side.num_rows:
-            block, begins, (_, at, number, where) = rest_of(docs, side)
-            ord_, place = _spread(_side(side, 1), where, number)
-            own_ord, own_place = block.place(at) if len(at) else (at, at)
-            begins[at[(ord_ != -1) & ((own_ord != ord_) | (own_place != place))]] = True
+            block, begins, grouped = rest_of(docs, side)
+            begins[grouped[1][_later(_side(side, 1), grouped)]] = True
         else:
             block = Block(docs)
             begins = np.zeros(len(block.data), bool)
