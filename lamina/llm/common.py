@@ -38,6 +38,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with k1 and k2, two hashes of the whole row: rows with both alike are taken as equal."""
+    row = [x for c in sorted(docs.columns) for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({"k1": F.xxhash64(*row), "k2": F.xxhash64(F.lit("row"), *row)})
+
+
+def survivors(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each label in ``labels`` (doc_id, k1, k2, label) the row with the smallest doc_id, nulls last, then by row key; without the key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("row")
+    keep = materialize(labels.groupBy("label").agg(first).select("row.k1", "row.k2"), "survivors")
+    return keyed.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

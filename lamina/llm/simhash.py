@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize, shuffle_partitions
+from lamina.llm.common import materialize, shuffle_partitions, survivors, with_row_key
 from lamina.llm.graph import components
 
 SHINGLE = 4
@@ -67,16 +67,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` (longs), fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pc.fill_null(b.column("text"), "").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in keep), pa.array(fps.view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), *keep, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "fp long")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -194,20 +194,25 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
+def labelled(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, first (its smallest doc_id), label (of its component) of the distinct fingerprints of ``prints`` (doc_id, fp)."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    labels = materialize(components(links(nodes, max_bits)), "simhash-labels")
+    return nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     prints = materialize(fingerprints(docs, shingle), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    labels = materialize(components(links(nodes, max_bits)), "simhash-labels")
-    labelled = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = materialize(labelled.join(least, "label").select("fp", "component_id"), "simhash-found")
+    nodes = labelled(prints, max_bits)
+    least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
+    found = materialize(nodes.join(least, "label").select("fp", "component_id"), "simhash-found")
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_unique(docs: DataFrame) -> DataFrame:
-    """One row of each component, in the columns of ``docs``: the one with the smallest doc_id."""
-    found = near_duplicates(docs).select("doc_id", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
-
+    """One row of each component, in the columns of ``docs``: the one with the smallest doc_id; see ``survivors``."""
+    keyed = with_row_key(docs)
+    prints = materialize(fingerprints(keyed, keep=("k1", "k2")), "simhash-prints")
+    found = labelled(prints).select("fp", "label")
+    return survivors(keyed, prints.join(found, "fp"))

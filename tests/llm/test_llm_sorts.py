@@ -149,6 +149,14 @@ def test_simhash_components(docs, empty):
     assert Counter(kept) == Counter({min((x for x in v if x is not None), default=None) for v in least.values()})
 
 
+def test_near_unique_with_null_and_repeated_ids(spark):
+    texts = [prose(40) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (9, texts[4]), (None, None)]
+    got = simhash.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (None, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(wanted)
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b").where("a % 50 <> 49")
     got = {r["node"]: r["label"] for r in graph.components(links).collect()}
