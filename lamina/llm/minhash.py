@@ -1,0 +1,258 @@
+"""Near-duplicates by the similarity of shingle sets, for the pipeline.
+
+Two texts are linked where the Jaccard similarity of their sets of five-word
+shingles is 0.8 or more. Candidates meet by MinHash: a set has ``BANDS`` keys of
+``ROWS`` least hashes each, so that a pair at 0.8 shares none with probability
+(1 - 0.8^5)^32, about 3 in a million, and a closer one less often. Every link is
+verified on the sets themselves.
+
+Equal sets are one node throughout. A key shared by few sets gives all its pairs;
+one shared by more than ``FEW`` is cut into blocks of about ``BLOCK`` shingles, and
+every two blocks meet, where a spanning forest of the true links is passed on. The
+first ``LEAD`` bands go first: a later key whose sets are one component by then has
+nothing to add. Sets are read only for texts that have a key in common with others.
+
+Defined results: null and empty texts, and texts without words, have the empty set,
+equal to itself; texts of fewer than five words are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lamina.llm.common import materialize, shuffle_partitions, survivors, with_row_key
+from lamina.llm.graph import components
+
+SHINGLE = 5
+#: Least similarity of a link, as a fraction.
+SIMILAR = (4, 5)
+BANDS, ROWS = 32, 5
+LEAD = 2
+SEED = 42
+FEW = 16
+BLOCK = 500_000
+#: Keys of one bucket in memory, about.
+BUCKET_KEYS = 1_000_000
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_RNG = np.random.default_rng(SEED)
+_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(_LOWER).split()
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if n <= SHINGLE:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(e + 1 for e in ends[: n - SHINGLE])]
+    return np.unique(np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[SHINGLE - 1 :], strict=True)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set that is not empty, one a band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[i : i + 1024, None] ^ _XOR) * _ODD).min(0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of ``a`` and ``b`` shingles with ``common`` of them in both are linked."""
+    return SIMILAR[1] * common >= SIMILAR[0] * (a + b - common)
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (root, member), by place, of a spanning forest of the true links among distinct sets."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(ids.max() + 1, bool)
+    left, out = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo and left.any():
+            x = todo.pop()
+            mine = ids[starts[x] : starts[x + 1]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[ids], starts[:-1], dtype=np.int64)
+            mark[mine] = False
+            found = np.flatnonzero(left & similar(common, size, size[x]))
+            left[found] = False
+            out += [(root, int(y)) for y in found]
+            todo += found.tolist()
+    return out
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, node (of the text's set), n (its shingles), keys (of its bands) of every row of ``docs`` (doc_id, k1, k2, text)."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, keys = [], [], []
+            for t in pc.fill_null(b.column("text"), "").cast(pa.binary()):
+                s = shingles(t.as_py())
+                nodes.append(xxh64_intdigest(s.tobytes(), SEED))
+                sizes.append(len(s))
+                keys.append(bands(s).astype("<u8").tobytes() if len(s) else b"")
+            out = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "k1", "k2", "node", "n", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, keys binary")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """What shares a key: (a, b) of a key with few sets, and else (key, band, a) of each set, for ``nodes`` (node, keys)."""
+    buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * BANDS // BUCKET_KEYS + 1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("node").to_numpy().view(np.uint64)
+            blobs = b.column("keys").to_pylist()
+            for i in range(0, len(ids), 8192):
+                keys = np.frombuffer(b"".join(blobs[i : i + 8192]), "<u8")
+                part = np.repeat(ids[i : i + 8192], BANDS)
+                band = np.tile(np.arange(BANDS, dtype=np.uint8), len(part) // BANDS)
+                bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                keys, part, band, bucket = keys[order], part[order], band[order], bucket[order]
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                rows = [(int(bucket[x]), keys[x:y].tobytes(), part[x:y].astype("<u8").tobytes(), band[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+                columns = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "bands"])
+
+    def meet(keys: np.ndarray, ids: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, keys))
+        keys, ids, band = keys[order], ids[order].view(np.int64), band[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(new, len(keys)))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for m in range(2, FEW + 1):
+            at = new[size == m]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    a.append(ids[at + i])
+                    b.append(ids[at + j])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        many = np.repeat(size > FEW, size)
+        k = int(many.sum())
+        none = lambda n: pa.nulls(n, pa.int64())
+        out = [
+            pa.concat_arrays([none(len(pairs)), pa.array(keys[many].view(np.int64))]),
+            pa.concat_arrays([none(len(pairs)), pa.array(band[many].astype(np.int64))]),
+            pa.array(np.concatenate([pairs[:, 0], ids[many]])),
+            pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), none(k)]),
+        ]
+        return pa.RecordBatch.from_arrays(out, names=["key", "band", "a", "b"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            return meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+
+        for b in batches:
+            for bucket, k, n, d in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("bands"), strict=True):
+                if bucket != at and held:
+                    yield flush()
+                    held = []
+                at = bucket
+                held.append((np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u8"), np.frombuffer(d.as_buffer(), np.uint8)))
+        if held:
+            yield flush()
+
+    dealt = nodes.where("n > 0").select("node", "keys").mapInArrow(spread, "bucket long, keys binary, nodes binary, bands binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, band long, a long, b long")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, hashes (its set, packed) of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()).astype("<u8").tobytes() for t in pc.fill_null(b.column("text"), "").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def _unpack(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
+
+
+def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(_unpack(b.column("x")), _unpack(b.column("y")), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets of each key as all their true links do; ``members`` is (key, a, n)."""
+    blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")))
+    cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("a").to_numpy()
+        found = forest(_unpack(table.column("hashes").combine_chunks()))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    with_sets = cells.join(sets, F.col("a") == F.col("node")).select("key", "i", "j", "a", "hashes")
+    return with_sets.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label) of every node with a link; ``docs`` has k1, k2 and text, ``found`` is its ``prints``."""
+    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")), "minhash-nodes")
+    met = materialize(candidates(nodes), "minhash-met")
+    pairs = met.where("key IS NULL").select("a", "b").distinct()
+    many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "band", "a", "n")
+    wanted = met.select(F.col("a").alias("node")).unionAll(met.where("b IS NOT NULL").select("b")).distinct()
+    places = nodes.join(wanted, "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    texts = docs.select("k1", "k2", "text").join(places, ["k1", "k2"]).dropDuplicates(["k1", "k2", "node"])
+    sets = materialize(_sets(texts), "minhash-sets")
+    first = materialize(true_pairs(pairs, sets).unionAll(block_links(many.where(F.col("band") < LEAD), sets)), "minhash-links")
+    known = materialize(components(first), "minhash-labels")
+    later = many.where(F.col("band") >= LEAD)
+    labelled = later.join(known, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    links = materialize(block_links(later.join(split, "key", "left_semi"), sets).unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "minhash-links")
+    return materialize(components(links), "minhash-labels")
+
+
+def near_unique(docs: DataFrame) -> DataFrame:
+    """One row of each component, in the columns of ``docs``: the one with the smallest doc_id; see ``survivors``."""
+    keyed = with_row_key(docs)
+    found = materialize(prints(keyed), "minhash-prints")
+    label = found.join(labels(keyed, found), "node", "left").select("doc_id", "k1", "k2", F.coalesce("label", "node").alias("label"))
+    return survivors(keyed, label)

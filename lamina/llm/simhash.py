@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize, shuffle_partitions, survivors, with_row_key
+from lamina.llm.common import materialize, shuffle_partitions
 from lamina.llm.graph import components
 
 SHINGLE = 4
@@ -67,16 +67,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` (longs), fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pc.fill_null(b.column("text"), "").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in keep), pa.array(fps.view(np.int64))], names=["doc_id", *keep, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), *keep, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -211,8 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def near_unique(docs: DataFrame) -> DataFrame:
-    """One row of each component, in the columns of ``docs``: the one with the smallest doc_id; see ``survivors``."""
-    keyed = with_row_key(docs)
-    prints = materialize(fingerprints(keyed, keep=("k1", "k2")), "simhash-prints")
-    found = labelled(prints).select("fp", "label")
-    return survivors(keyed, prints.join(found, "fp"))
+    """One row of each group of near copies; see ``minhash.near_unique``."""
+    from lamina.llm import minhash
+
+    return minhash.near_unique(docs)
