@@ -13,8 +13,8 @@ rejected where that lies above the language's limit, which is calibrated on a
 bounded sample of training texts (``CALIBRATION_DOCS``), or where it has no
 letter.
 
-The model sent to executors has at most ``MAX_GRAMS`` four-grams per language,
-the most frequent ones; counting itself covers every training text.
+The model sent to executors holds every distinct four-gram of the training texts,
+so the driver's and each worker's memory grows with their number.
 
 Defined results: null text, and text without letters, is ``und`` with score 0;
 rows with a null lang or null doc_id are never learned from; with nothing to
@@ -37,7 +37,6 @@ from lamina.llm.common import materialize
 from lamina.llm.packing import chunks
 
 ORDER = 4
-MAX_GRAMS = 1 << 20
 CALIBRATION_DOCS = 20_000
 #: A language's limit: this share of its calibration texts lies below it, and so much is added, relative.
 ACCEPT = 0.999
@@ -213,16 +212,12 @@ def _get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float)
 
 def train(docs: DataFrame, mod: int = 4, rest: int = 2) -> Model:
     """The model of every row whose crc32(doc_id as text) modulo ``mod`` is not ``rest``, with calibrated limits."""
-    from pyspark.sql import Window
-
     fit = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     counted = materialize(gram_counts(fit), "langid-grams")
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    if counted.groupBy("lang").count().where(F.col("count") > MAX_GRAMS).take(1):
-        top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
-        counted = counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= MAX_GRAMS).drop("r")
-    for lang, part in counted.toPandas().groupby("lang"):  # at most MAX_GRAMS rows a language
-        counts[lang] = (part["key"].to_numpy().view(np.uint64), part["n"].to_numpy())
+    for r in counted.select("lang").distinct().collect():  # one row a language
+        part = counted.where(F.col("lang") == r["lang"]).select("key", "n").toPandas()  # every four-gram of the language
+        counts[r["lang"]] = (part["key"].to_numpy().view(np.uint64), part["n"].to_numpy())
     model = Model(counts)
     n = fit.count()
     share = min(1.0, CALIBRATION_DOCS / max(n, 1))
@@ -235,7 +230,7 @@ def train(docs: DataFrame, mod: int = 4, rest: int = 2) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, lang_pred, score, bits (per character), n_letters, rejected of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS entries a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # every four-gram of any language
     kept = docs.select(*dict.fromkeys(("doc_id", "text", *keep)))
     types = dict(kept.dtypes)
     extra = "".join(f", `{c}` {types[c]}" for c in keep)

@@ -98,6 +98,15 @@ def test_kneser_ney_sums_to_one():
         assert 0.6 < total <= 1.0001  # the rest is left to unseen characters
 
 
+def test_every_four_gram_is_in_the_model(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_GRAMS", 20, raising=False)
+    rows = [(i, " ".join(f"{a}{b}{c}" for b in "abcde" for c in "xyz"), lang) for i, (a, lang) in enumerate(zip("klmnklmn", "ddddeeee", strict=True))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rest=-1)
+    wanted = langid.Model({x: np.unique(np.concatenate([langid.grams(t.split())[0] for _, t, y in rows if y == x]), return_counts=True) for x in "de"})
+    for got, brute in zip(model.grams, wanted.grams, strict=True):
+        assert np.array_equal(got[0], brute[0]) and np.allclose(got[1], brute[1])
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
