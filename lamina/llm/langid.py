@@ -9,9 +9,8 @@ per language, so that one binary search scores a four-gram in all languages;
 unseen ones back off through the sorted context arrays.
 
 A text gets the language of the lowest cross-entropy per character. It is
-rejected where that lies above the language's limit, which is calibrated on a
-bounded sample of training texts (``CALIBRATION_DOCS``), or where it has no
-letter.
+rejected where that lies above the language's limit, which is calibrated on
+all training texts of ``SHORT`` characters or more, or where it has no letter.
 
 The model sent to executors holds every distinct four-gram of the training texts,
 so the driver's and each worker's memory grows with their number.
@@ -37,7 +36,6 @@ from lamina.llm.common import materialize
 from lamina.llm.packing import chunks
 
 ORDER = 4
-CALIBRATION_DOCS = 20_000
 #: A language's limit: this share of its calibration texts lies below it, and so much is added, relative.
 ACCEPT = 0.999
 SLACK = 0.25
@@ -219,10 +217,7 @@ def train(docs: DataFrame, mod: int = 4, rest: int = 2) -> Model:
         part = counted.where(F.col("lang") == r["lang"]).select("key", "n").toPandas()  # every four-gram of the language
         counts[r["lang"]] = (part["key"].to_numpy().view(np.uint64), part["n"].to_numpy())
     model = Model(counts)
-    n = fit.count()
-    share = min(1.0, CALIBRATION_DOCS / max(n, 1))
-    sample = fit.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibrate")), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    seen = predict(sample.select("doc_id", "text", "lang"), model, keep=("lang",)).where("lang_pred = lang AND n_letters >= 100")
+    seen = predict(fit.select("doc_id", "text", "lang"), model, keep=("lang",)).where("lang_pred = lang AND n_letters >= 100")
     for r in seen.groupBy("lang").agg(F.percentile_approx("bits", ACCEPT, 100_000).alias("q")).collect():  # one row a language
         model.limits[r["lang"]] = r["q"] * (1 + SLACK)
     return model

@@ -107,6 +107,13 @@ def test_every_four_gram_is_in_the_model(spark, monkeypatch):
         assert np.array_equal(got[0], brute[0]) and np.allclose(got[1], brute[1])
 
 
+def test_limits_come_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 0, raising=False)
+    rows = [(1, "der die das und " * 20, "de"), (2, "the and of to in " * 20, "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rest=-1)
+    assert set(model.limits) == {"de", "en"}
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
