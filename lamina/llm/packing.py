@@ -9,16 +9,21 @@ shortest item at hand. So every window but the last of a partition is exactly
 full. What remains at the end of a partition is cut into windows of powers of
 two down to ``LEAST``, and fewer ids than that form one padded sequence.
 
-Full windows of one tier are dealt to step groups of equal token counts in
-serpentine order of their attention cost, so that steps cost alike.
+Full windows of one tier wait until they make ``STEPS`` step groups of
+``STEP_TOKENS`` ids; sorted by attention cost (the sum of squared piece lengths)
+they are dealt to these in serpentine order, so the groups have equal tokens and
+cost alike. At the end of a partition the windows left of each tier fill whole
+groups in the same way, and what then remains of all tiers, less than a group of
+each, is dealt evenly to as many mixed groups as its ids need.
 
 A partition is packed on its own, in one pass over its rows: there is no
 shuffle, memory is bounded by ``FLUSH`` ids and one document, and a lost task
 is repeated with the same result, as sequence ids hold the partition's number.
 
 Defined results: a null or empty text is one piece holding the end id alone; a
-null doc_id is kept; repeated rows are packed each; an empty table gives an
-empty result; other columns are ignored.
+null doc_id is kept; repeated rows are packed each; a very long text fills whole
+windows and waits alone in memory; ties go to the row that was read first; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +44,9 @@ TIERS = (512, 1024, 2048, 4096)
 LEAST = 256
 #: Ids that wait before windows are packed from them.
 FLUSH = 1 << 20
-#: Token ids of one optimiser step.
+#: Token ids of one optimiser step, and step groups of a tier that are balanced together.
 STEP_TOKENS = 1 << 17
+STEPS = 8
 #: Bytes of text encoded at once, and words kept encoded in a worker.
 CHUNK_BYTES = 8 << 20
 CACHED_WORDS = 500_000
@@ -144,14 +150,14 @@ class Packer:
         self.next_id = self.next_step = partition << 33
         self.pool: list[tuple] = []  # (length, number, doc_id, start, ids, doc_tokens), sorted
         self.waiting = self.number = 0
-        self.done: list[tuple[int, list[tuple]]] = []  # windows not in a step yet
+        self.done: dict[int, list[tuple[int, list[tuple]]]] = {}  # by tier, windows (cost, pieces) not in a step yet
         self.out: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         n = len(ids)
         whole = n - n % self.longest
         for at in range(0, whole, self.longest):
-            self.done.append((self.longest, [(self.longest, 0, doc_id, at, ids[at : at + self.longest], n)]))
+            self._finished(self.longest, [(self.longest, 0, doc_id, at, ids[at : at + self.longest], n)])
         if n > whole:
             self._put(doc_id, whole, ids[whole:].copy(), n)
         if self.waiting >= FLUSH:
@@ -190,39 +196,47 @@ class Packer:
                 i = bisect_left(self.pool, tier + 1, key=lambda x: x[0])
                 if not i or self.pool[i - 1][0] <= below:
                     break
-                self.done.append((tier, self._fill(tier)))
-        self.steps()
+                self._finished(tier, self._fill(tier))
 
     def finish(self) -> None:
         self.pack()
         size = self.longest
         while size >= LEAST:
             if self.waiting >= size:
-                self.done.append((size, self._fill(size)))
+                self._finished(size, self._fill(size))
             else:
                 size //= 2
         if self.waiting:
-            self.done.append((self.longest, [self._take(0) for _ in range(len(self.pool))]))
-        self.steps()
-
-    def steps(self) -> None:
-        """Deal finished windows to step groups and write their rows."""
-        by_tier: dict[int, list[list[tuple]]] = {}
-        for tier, parts in self.done:
-            by_tier.setdefault(tier, []).append(parts)
-        for tier, windows in sorted(by_tier.items()):
-            windows.sort(key=lambda parts: -sum(p[0] ** 2 for p in parts))
-            groups = -(-len(windows) * tier // STEP_TOKENS)
-            for k, parts in enumerate(windows):
-                turn, place = divmod(k, groups)
-                group = self.next_step + (place if turn % 2 == 0 else groups - 1 - place)
-                at = 0
-                for n, _, doc_id, start, ids, total in parts:
-                    self.out.append((doc_id, start, n, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, self.next_id, at, tier, group))
-                    at += n
-                self.next_id += 1
-            self.next_step += groups
-        self.done = []
+            self._finished(self.longest, [self._take(0) for _ in range(len(self.pool))])
+        left = []
+        for tier, windows in sorted(self.done.items()):
+            each = STEP_TOKENS // tier
+            whole = len(windows) - len(windows) % each
+            self._deal([(tier, w) for w in windows[:whole]], whole // each)
+            left += [(tier, w) for w in windows[whole:]]
+        self._deal(left, -(-sum(tier for tier, _ in left) // STEP_TOKENS))
+        self.done = {}
+
+    def _finished(self, tier: int, parts: list[tuple]) -> None:
+        """A full (or the last) window; its ids are known only by their checksum from here on."""
+        pieces = [(doc_id, start, n, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total) for n, _, doc_id, start, ids, total in parts]
+        windows = self.done.setdefault(tier, [])
+        windows.append((sum(p[2] ** 2 for p in pieces), pieces))
+        if len(windows) * tier >= STEPS * STEP_TOKENS:
+            self._deal([(tier, w) for w in windows], STEPS)
+            self.done[tier] = []
+
+    def _deal(self, windows: list[tuple[int, tuple[int, list[tuple]]]], groups: int) -> None:
+        """Deal windows, the costly ones of each tier first, to so many step groups in serpentine order, and write their rows."""
+        for k, (tier, (_, pieces)) in enumerate(sorted(windows, key=lambda x: (-x[0], -x[1][0]))):
+            turn, place = divmod(k, groups)
+            group = self.next_step + (place if turn % 2 == 0 else groups - 1 - place)
+            at = 0
+            for doc_id, start, n, crc, total in pieces:
+                self.out.append((doc_id, start, n, crc, total, self.next_id, at, tier, group))
+                at += n
+            self.next_id += 1
+        self.next_step += groups
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -256,7 +270,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int
             bounds = bounds + np.arange(n + 1)
             for doc_id, i, j in zip(b.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
                 packer.add(doc_id, ids[i:j])
-            packer.steps()
             if len(packer.out) >= 10_000:
                 yield _batch(packer.out)
                 packer.out = []
