@@ -1,19 +1,31 @@
-"""Near-duplicates by the similarity of shingle sets, for the pipeline.
+"""SimHash near-dedup at a similarity of word shingles, for the pipeline.
 
 Two texts are linked where the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. Candidates meet by MinHash: a set has ``BANDS`` keys of
-``ROWS`` least hashes each, so that a pair at 0.8 shares none with probability
-(1 - 0.8^5)^32, about 3 in a million, and a closer one less often. Every link is
-verified on the sets themselves.
+shingles is 0.8 or more. At 0.8 some 15 % of a SimHash fingerprint's bits differ,
+ten of 64: the four bits of the operator's own contract would find one such pair
+in forty. So fingerprints are wider here, ``SEGMENTS`` segments of 23 bits, and
+each segment is read as a word of the perfect Golay code and decoded to the
+indices of its nearby codewords, as in ``simhash``: words with two errors always
+share one, words at similarity 0.8 do so six times in ten. Twelve bits alone
+would fill buckets with strangers as the corpus grows; so a codeword counts
+together with the segment's two least shingle hashes, which agree with a
+probability of the similarity squared. A pair at 0.8 has 0.8^2 * 0.6 = 0.39 a
+segment, and shares no key of ``SEGMENTS`` with probability 0.002; closer pairs
+less often. Every link is verified on the sets themselves.
 
 Equal sets are one node throughout. A key shared by few sets gives all its pairs;
 one shared by more than ``FEW`` is cut into blocks of about ``BLOCK`` shingles, and
 every two blocks meet, where a spanning forest of the true links is passed on. The
-first ``LEAD`` bands go first: a later key whose sets are one component by then has
-nothing to add. Sets are read only for texts that have a key in common with others.
+nearest codewords of the first ``LEAD`` segments go first: a later key whose sets
+are one component by then has nothing to add. Sets are read only for texts that
+have a key in common with others.
 
 Defined results: null and empty texts, and texts without words, have the empty set,
-equal to itself; texts of fewer than five words are one shingle.
+equal to itself; texts of fewer than five words are one shingle; texts count whole,
+however long; of a group the row with the smallest doc_id stays, nulls last, then
+the one with the smaller hash of the row, so of rows that are wholly equal one;
+unlike rows that share a doc_id, or have none, are rows of their own; an empty
+table gives an empty result; other columns are kept, but must not be called k1 or k2.
 """
 
 from __future__ import annotations
@@ -27,13 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize, shuffle_partitions, survivors, with_row_key
+from lamina.llm.common import BROADCAST_ROWS, drop, materialize, shuffle_partitions, survivors, with_row_key
 from lamina.llm.graph import components
+from lamina.llm.simhash import codewords
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 32, 5
+#: Segments of a fingerprint, of ``BITS`` bits each, and the least hashes that anchor one.
+SEGMENTS, BITS, ANCHORS = 13, 23, 2
 LEAD = 2
 SEED = 42
 FEW = 16
@@ -42,8 +56,17 @@ BLOCK = 500_000
 BUCKET_KEYS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_STREAMS = -(-SEGMENTS * BITS // 64)
+_XOR = _RNG.integers(0, 1 << 64, SEGMENTS * ANCHORS, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, SEGMENTS * ANCHORS, np.uint64) | np.uint64(1)
+_SALT = _RNG.integers(0, 1 << 64, _STREAMS, np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit over all others."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -62,16 +85,29 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[SHINGLE - 1 :], strict=True)], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set that is not empty, one a band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[i : i + 1024, None] ^ _XOR) * _ODD).min(0))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys
+def words(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set that is not empty, as one word of ``BITS`` bits a segment."""
+    counts = np.zeros(64 * _STREAMS, np.int64)
+    for i in range(0, len(hashes), 2048):
+        streams = _mix(hashes[i : i + 2048, None] + _SALT)
+        counts += np.unpackbits(streams.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * counts > len(hashes))[: SEGMENTS * BITS].reshape(SEGMENTS, BITS)
+    return bits @ (1 << np.arange(BITS))
+
+
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set that is not empty: those of the nearest codewords of the first ``LEAD`` segments, then the others."""
+    least = np.full(SEGMENTS * ANCHORS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[i : i + 2048, None] ^ _XOR) * _ODD).min(0))
+    anchor = np.arange(1, SEGMENTS + 1, dtype=np.uint64)
+    for column in least.reshape(SEGMENTS, ANCHORS).T:
+        anchor = _mix(anchor ^ column)
+    near = codewords(words(hashes))
+    keys = _mix(anchor[:, None] ^ (near + 1).astype(np.uint64))
+    first = np.zeros(near.shape, bool)
+    first[:LEAD, 0] = True
+    return np.concatenate([keys[first], keys[~first & (near >= 0)]])
 
 
 def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -105,7 +141,7 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, node (of the text's set), n (its shingles), keys (of its bands) of every row of ``docs`` (doc_id, k1, k2, text)."""
+    """doc_id, k1, k2, node (of the text's set), n (its shingles), keys (packed) of every row of ``docs`` (doc_id, k1, k2, text)."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +151,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 s = shingles(t.as_py())
                 nodes.append(xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
-                keys.append(bands(s).astype("<u8").tobytes() if len(s) else b"")
+                keys.append(keys_of(s).astype("<u8").tobytes() if len(s) else b"")
             out = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "k1", "k2", "node", "n", "keys"])
 
@@ -123,28 +159,30 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """What shares a key: (a, b) of a key with few sets, and else (key, band, a) of each set, for ``nodes`` (node, keys)."""
-    buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * BANDS // BUCKET_KEYS + 1)
+    """What shares a key: (a, b) of a key with few sets, and else (key, late, a) of each set, for ``nodes`` (node, keys)."""
+    buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * 6 * SEGMENTS // BUCKET_KEYS + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("node").to_numpy().view(np.uint64)
             blobs = b.column("keys").to_pylist()
             for i in range(0, len(ids), 8192):
-                keys = np.frombuffer(b"".join(blobs[i : i + 8192]), "<u8")
-                part = np.repeat(ids[i : i + 8192], BANDS)
-                band = np.tile(np.arange(BANDS, dtype=np.uint8), len(part) // BANDS)
+                some = blobs[i : i + 8192]
+                keys = np.frombuffer(b"".join(some), "<u8")
+                each = np.fromiter(map(len, some), np.int64, len(some)) // 8
+                part = np.repeat(ids[i : i + 8192], each)
+                late = (np.arange(len(part)) - np.repeat(np.cumsum(each) - each, each) >= LEAD).astype(np.uint8)
                 bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                keys, part, band, bucket = keys[order], part[order], band[order], bucket[order]
+                keys, part, late, bucket = keys[order], part[order], late[order], bucket[order]
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-                rows = [(int(bucket[x]), keys[x:y].tobytes(), part[x:y].astype("<u8").tobytes(), band[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+                rows = [(int(bucket[x]), keys[x:y].tobytes(), part[x:y].astype("<u8").tobytes(), late[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
                 columns = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "late"])
 
-    def meet(keys: np.ndarray, ids: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+    def meet(keys: np.ndarray, ids: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, keys))
-        keys, ids, band = keys[order], ids[order].view(np.int64), band[order]
+        keys, ids, late = keys[order], ids[order].view(np.int64), late[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(new, len(keys)))
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -160,11 +198,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
         none = lambda n: pa.nulls(n, pa.int64())
         out = [
             pa.concat_arrays([none(len(pairs)), pa.array(keys[many].view(np.int64))]),
-            pa.concat_arrays([none(len(pairs)), pa.array(band[many].astype(np.int64))]),
+            pa.concat_arrays([none(len(pairs)), pa.array(late[many].astype(np.int64))]),
             pa.array(np.concatenate([pairs[:, 0], ids[many]])),
             pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), none(k)]),
         ]
-        return pa.RecordBatch.from_arrays(out, names=["key", "band", "a", "b"])
+        return pa.RecordBatch.from_arrays(out, names=["key", "late", "a", "b"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -173,7 +211,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             return meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
         for b in batches:
-            for bucket, k, n, d in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("bands"), strict=True):
+            for bucket, k, n, d in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("late"), strict=True):
                 if bucket != at and held:
                     yield flush()
                     held = []
@@ -182,8 +220,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = nodes.where("n > 0").select("node", "keys").mapInArrow(spread, "bucket long, keys binary, nodes binary, bands binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, band long, a long, b long")
+    dealt = nodes.where("n > 0").select("node", "keys").mapInArrow(spread, "bucket long, keys binary, nodes binary, late binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, late long, a long, b long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -233,26 +271,30 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, label) of every node with a link; ``docs`` has k1, k2 and text, ``found`` is its ``prints``."""
-    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")), "minhash-nodes")
-    met = materialize(candidates(nodes), "minhash-met")
+    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-nodes")
+    met = materialize(candidates(nodes), "near-met")
     pairs = met.where("key IS NULL").select("a", "b").distinct()
-    many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "band", "a", "n")
+    many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "late", "a", "n")
     wanted = met.select(F.col("a").alias("node")).unionAll(met.where("b IS NOT NULL").select("b")).distinct()
-    places = nodes.join(wanted, "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    texts = docs.select("k1", "k2", "text").join(places, ["k1", "k2"]).dropDuplicates(["k1", "k2", "node"])
-    sets = materialize(_sets(texts), "minhash-sets")
-    first = materialize(true_pairs(pairs, sets).unionAll(block_links(many.where(F.col("band") < LEAD), sets)), "minhash-links")
-    known = materialize(components(first), "minhash-labels")
-    later = many.where(F.col("band") >= LEAD)
+    places = materialize(nodes.join(wanted, "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")), "near-places")
+    own = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    texts = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).dropDuplicates(["k1", "k2", "node"])
+    sets = materialize(_sets(texts), "near-sets")
+    first = materialize(true_pairs(pairs, sets).unionAll(block_links(many.where("late = 0"), sets)), "near-links")
+    known = materialize(components(first), "near-labels")
+    later = many.where("late = 1")
     labelled = later.join(known, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
     split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    links = materialize(block_links(later.join(split, "key", "left_semi"), sets).unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "minhash-links")
-    return materialize(components(links), "minhash-labels")
+    links = materialize(block_links(later.join(split, "key", "left_semi"), sets).unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
+    drop(first, sets, met, places, nodes)
+    out = materialize(components(links), "near-labels")
+    drop(known, links)
+    return out
 
 
 def near_unique(docs: DataFrame) -> DataFrame:
     """One row of each component, in the columns of ``docs``: the one with the smallest doc_id; see ``survivors``."""
     keyed = with_row_key(docs)
-    found = materialize(prints(keyed), "minhash-prints")
+    found = materialize(prints(keyed), "near-prints")
     label = found.join(labels(keyed, found), "node", "left").select("doc_id", "k1", "k2", F.coalesce("label", "node").alias("label"))
     return survivors(keyed, label)

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def near_unique(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies; see ``minhash.near_unique``."""
-    from lamina.llm import minhash
+    """One row of each group of near copies, by wider fingerprints and verified shingle sets; see ``near``."""
+    from lamina.llm import near
 
-    return minhash.near_unique(docs)
+    return near.near_unique(docs)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lamina.llm import minhash, simhash
+from lamina.llm import near, simhash
 
 
 def test_near_unique_by_similarity(spark):
@@ -23,7 +23,7 @@ def test_near_unique_by_similarity(spark):
         copy[int(rng.integers(len(copy)))] = str(rng.choice(words))
         texts.append(copy)
     texts = [" ".join(t) for t in texts] + ["", "  ", "one two", "One  two", None]
-    sets = [set(minhash.shingles((t or "").encode()).tolist()) for t in texts]
+    sets = [set(near.shingles((t or "").encode()).tolist()) for t in texts]
     label = list(range(len(texts)))
 
     def top(i):
@@ -41,10 +41,10 @@ def test_near_unique_by_similarity(spark):
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 300)
+    monkeypatch.setattr(near, "BLOCK", 300)
     base = np.arange(1, 101, dtype=np.uint64)
     sets = [np.sort(np.append(base[:-2], np.uint64(1000 + i))) for i in range(30)] + [base + np.uint64(5000)]
     nodes = spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)], "node long, hashes binary")
     members = nodes.selectExpr("1L AS key", "node AS a", "octet_length(hashes) div 8 AS n")
-    label = {r["node"]: r["label"] for r in minhash.components(minhash.block_links(members, nodes)).collect()}
+    label = {r["node"]: r["label"] for r in near.components(near.block_links(members, nodes)).collect()}
     assert label == {i: 0 for i in range(30)}
