@@ -11,12 +11,21 @@ A hit is weighed by how its term (spelled rightly or not) divides the labels,
 and by its context window: quotation marks and reporting words around it mark a
 quotation, which counts less; other hits and words of address close by count
 more. A logistic model turns the text's sums into the score. All learning uses
-at most ``FIT_ROWS`` labelled rows, picked by hash; scoring takes whole texts.
+at most about ``FIT_ROWS`` labelled rows, picked by a hash of their doc_id; scoring
+takes whole texts.
+
+Copies of one text, exact or near, would make its plain words look like terms. So
+a labelled row weighs 1/n, where n is the most rows that share one of its
+``COPY_KEYS`` least shingle hashes: a text without copies weighs 1 and a group of
+copies about as much as one text. No row is left out. Weights are whole
+millionths and sums of them exact, so what is learned does not depend on how rows
+are partitioned or ordered.
 
 Defined results: null and empty texts have no hits and get the base score; a
 null doc_id is never learned from and counts as not held out; repeated labels
 of one doc_id count once, as toxic if any is; with no labels to learn from
-every score is 0; repeated rows are scored alike; an empty table gives an empty
+every score is 0; repeated rows are scored alike; texts of any length count whole;
+terms of equal weight are taken in code-point order; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -30,14 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize
+from lamina.llm.common import drop, materialize
 from lamina.llm.langid import _words, held_out
+from lamina.llm.near import shingles
 from lamina.llm.packing import chunks
 
 #: Labelled rows used for learning, about, at most.
 FIT_ROWS = 40_000
 MAX_TERMS = 400
+#: Least rows (by weight) that hold a term, and the weight of one row.
 MIN_DOCS = 5
+UNIT = 1_000_000
+COPY_KEYS = 4
 MIN_WEIGHT = 2.5
 PREFIXES = (4, 5, 6)
 WINDOW = 8
@@ -117,28 +130,53 @@ class Trie:
         return best and (best[2], best[0])
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, toxic) with ``w``, the weight of each in units of 1 / ``UNIT``; materialized."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(COPY_KEYS)
+        xor, odd = rng.integers(0, 1 << 64, (2, COPY_KEYS), np.uint64)
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column("text").cast(pa.binary())]
+            least = [((s[:, None] ^ xor) * (odd | np.uint64(1))).min(0).view(np.int64).tolist() if len(s) else [0] * COPY_KEYS for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(least, pa.list_(pa.int64()))], names=["row", "keys"])
+
+    fit = materialize(rows.select("text", "toxic", F.monotonically_increasing_id().alias("row")), "toxicity-rows")
+    found = materialize(fit.select("row", "text").mapInArrow(keys, "row long, keys array<long>"), "toxicity-keys").select("row", F.posexplode("keys").alias("i", "key"))
+    alike = found.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n"))
+    most = found.join(alike, ["i", "key"]).groupBy("row").agg(F.max("n").alias("n"))
+    return materialize(fit.join(most, "row").select("text", "toxic", F.round(F.lit(UNIT) / F.col("n")).cast("long").alias("w")), "toxicity-fit")
+
+
+def _sizes(fit: DataFrame) -> tuple[float, float]:
+    """The weight of toxic and of other rows."""
+    sums = {r["toxic"]: r["w"] / UNIT for r in fit.groupBy("toxic").agg(F.sum("w").alias("w")).collect()}
+    return sums.get(1, 0.0), sums.get(0, 0.0)
+
+
 def lexicon(fit: DataFrame) -> list[tuple[str, float]]:
-    """(term, weight) learned from ``fit`` (text, toxic)."""
+    """(term, weight) learned from ``fit`` (text, toxic, w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             index, words, offsets = _words(b.column("text"))
             clean = [normal(w) for w in words]
             toxic = b.column("toxic").to_pylist()
+            weight = b.column("w").to_pylist()
             number: dict[str, int] = {}
             of_word = [
                 [number.setdefault(t, len(number)) for t in ([w, *(w[:p] + "*" for p in PREFIXES if len(w) > p)] if len(w) > 2 else [])] for w in clean
             ]
             counts = np.zeros((len(number), 2), np.int64)
-            for i, t in enumerate(toxic):
+            for i, (t, n) in enumerate(zip(toxic, weight, strict=True)):
                 seen = np.unique(index[offsets[i] : offsets[i + 1]])
                 terms = np.unique(np.fromiter((x for w in seen.tolist() for x in of_word[w]), np.int64))
-                counts[terms, t] += 1
+                counts[terms, t] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(number)), pa.array(counts[:, 1]), pa.array(counts[:, 0])], names=["term", "bad", "good"])
 
-    counted = fit.select("text", "toxic").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    sizes = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    counted = fit.select("text", "toxic", "w").mapInArrow(run, "term string, bad long, good long").groupBy("term")
+    counted = counted.agg((F.sum("bad") / UNIT).alias("bad"), (F.sum("good") / UNIT).alias("good"))
+    bad, good = _sizes(fit)
     if not bad:
         return []
     weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
@@ -229,15 +267,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(features @ w + bias, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression of rows that count ``times`` each, by Newton steps."""
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     a = np.hstack([x / scale, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     ridge = np.diag([*[1e-2] * x.shape[1], 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((a * (times * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (times * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -251,12 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Sc
     n = marks.count()
     share = min(1.0, FIT_ROWS / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    fit = docs.select("doc_id", "text").join(marks, "doc_id").where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
-    # Copies of one text would make its plain words look like terms: texts that begin or end alike count once.
-    for place in (r"^\s*(?:\S+\s+){0,5}\S*", r"\S*(?:\s+\S+){0,5}\s*$"):
-        edge = F.substring("text", 1, 400) if place[0] == "^" else F.substring("text", -400, 400)
-        fit = fit.withColumn("edge", F.regexp_extract(edge, place, 0)).dropDuplicates(["edge"]).drop("edge")
-    fit = materialize(fit.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-fit")
+    rows = docs.select("doc_id", "text").join(marks, "doc_id").where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
+    fit = weighted(rows.select("text", "toxic"))
     terms = lexicon(fit)
     scorer = Scorer(terms)
     if not terms:
@@ -266,28 +300,31 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Sc
         for b in chunks(batches):
             f, seen = scorer.features(b.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("toxic"), *(pa.array(f[:, i]) for i in range(6)), pa.array([[k[0] * 3 + k[1] for k in s] for s in seen], pa.list_(pa.int32()))],
-                names=["toxic", *(f"f{i}" for i in range(6)), "hits"],
+                [b.column("toxic"), b.column("w"), *(pa.array(f[:, i]) for i in range(6)), pa.array([[k[0] * 3 + k[1] for k in s] for s in seen], pa.list_(pa.int32()))],
+                names=["toxic", "w", *(f"f{i}" for i in range(6)), "hits"],
             )
 
-    schema = "toxic int, " + ", ".join(f"f{i} double" for i in range(6)) + ", hits array<int>"
+    schema = "toxic int, w long, " + ", ".join(f"f{i} double" for i in range(6)) + ", hits array<int>"
     # What every (term, edits) says about the labels replaces the first guess of the misspelled ones.
-    found = fit.select("text", "toxic").mapInArrow(run, schema)
-    counts = found.select("toxic", F.explode("hits").alias("hit")).groupBy("hit").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    found = fit.select("text", "toxic", "w").mapInArrow(run, schema)
+    counts = (
+        found.select("toxic", "w", F.explode("hits").alias("hit")).groupBy("hit")
+        .agg((F.sum(F.col("toxic") * F.col("w")) / UNIT).alias("bad"), (F.sum("w") / UNIT).alias("n")).collect()
+    )
+    bad, good = _sizes(fit)
     for r in counts:  # at most three a term
         term, edits = divmod(r["hit"], 3)
         if edits:
             learned = np.log((r["bad"] + 0.5) / (bad + 1.0)) - np.log((r["n"] - r["bad"] + 0.5) / (good + 1.0))
             scorer.weights[term, edits] = max(0.0, min(learned, scorer.weights[term, 0]))
     # Plain cells, so that rows without hits are one group: the collected rows are fewer than FIT_ROWS.
-    rows = found.groupBy("toxic", *(F.round(f"f{i}", 3).alias(f"f{i}") for i in range(6))).count().collect()
-    x = np.array([[r[f"f{i}"] for i in range(6)] for r in rows])
-    times = np.array([r["count"] for r in rows])
+    cells = [F.round(f"f{i}", 3).alias(f"f{i}") for i in range(6)]
+    rows = sorted(found.groupBy("toxic", *cells).agg((F.sum("w") / UNIT).alias("w")).collect())
+    drop(fit)
+    x = np.array([r[1:7] for r in rows], float)
     y = np.array([r["toxic"] for r in rows], float)
     if 0 < y.sum() < len(y):
-        scorer.model = _logistic(np.repeat(x, times, 0), np.repeat(y, times))
+        scorer.model = _logistic(x, y, np.array([r["w"] for r in rows]))
     return scorer
 
 
