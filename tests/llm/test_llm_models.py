@@ -92,26 +92,69 @@ def test_kneser_ney_sums_to_one():
     counts = {"a": langid.grams(["abab", "abba", "cab"] * 5)[0]}
     keys, n = np.unique(counts["a"], return_counts=True)
     model = langid.Model({"a": (keys, n)})
-    chars = model.grams[3][0]
     for ctx in np.unique(keys >> np.uint64(16)):
-        total = np.exp2(model.score((ctx << np.uint64(16)) | chars)).sum()
+        total = np.exp2(model.score((ctx << np.uint64(16)) | model.chars, 0)).sum()
         assert 0.6 < total <= 1.0001  # the rest is left to unseen characters
 
 
-def test_every_four_gram_is_in_the_model(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_GRAMS", 20, raising=False)
-    rows = [(i, " ".join(f"{a}{b}{c}" for b in "abcde" for c in "xyz"), lang) for i, (a, lang) in enumerate(zip("klmnklmn", "ddddeeee", strict=True))]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rest=-1)
-    wanted = langid.Model({x: np.unique(np.concatenate([langid.grams(t.split())[0] for _, t, y in rows if y == x]), return_counts=True) for x in "de"})
-    for got, brute in zip(model.grams, wanted.grams, strict=True):
-        assert np.array_equal(got[0], brute[0]) and np.allclose(got[1], brute[1])
-
-
-def test_limits_come_from_every_text(spark, monkeypatch):
-    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 0, raising=False)
-    rows = [(1, "der die das und " * 20, "de"), (2, "the and of to in " * 20, "en")]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rest=-1)
-    assert set(model.limits) == {"de", "en"}
+def kneser_ney(words, chars):
+    """Probability of a character after three others, by the formulas, from a language's words and the number of all characters."""
+    tables = [Counter(("   " + w + " ")[j : j + 4] for w in words for j in range(len(w) + 1))]
+    for _ in range(3):
+        tables.append(Counter(g[1:] for g in tables[-1]))
+
+    def p(gram, i=0):
+        if i == 4:
+            return 1 / (chars + 1)
+        n = tables[i]
+        ones, twos = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
+        same = [v for g, v in n.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:], i + 1)
+        return max(n.get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:], i + 1)
+
+    return p
+
+
+def test_entropies_against_the_formulas(spark):
+    rng = np.random.default_rng(8)
+    say = lambda letters, n: ["".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(n)]
+    texts = {"de": [" ".join(say("abcdß", 30)) for _ in range(3)], "en": [" ".join(say("abcef", 30)) for _ in range(3)]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)] + [(9, "abx cab ß", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chars = len({c for ts in texts.values() for t in ts for c in t})  # with the space, which ends words
+    brute = {lang: kneser_ney([w for t in ts for w in t.split()], chars) for lang, ts in texts.items()}
+    got = langid.predict(docs, langid.train(docs, rest=-1)).collect()
+    for r, (_, text, _) in zip(sorted(got), rows, strict=True):
+        grams = [("   " + w + " ")[j : j + 4] for w in text.split() for j in range(len(w) + 1)]
+        bits = {lang: -sum(np.log2(p(g)) for g in grams) / len(grams) for lang, p in brute.items()}
+        assert r["lang_pred"] == min(bits, key=bits.get) and r["n_letters"] == len(grams)
+        assert abs(r["bits"] - min(bits.values())) < 1e-5
+
+
+def test_a_model_too_large_to_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    found = []
+    for most in (8_000_000, 0):
+        monkeypatch.setattr(langid, "MODEL_GRAMS", most)
+        monkeypatch.setattr(langid, "SHARD_CELLS", 20_000)
+        trained = langid.train(docs)
+        assert (trained.model is None) == (most == 0)
+        found.append({r["doc_id"]: r for r in langid.predict(docs, trained).collect()})
+    for i, r in found[0].items():
+        assert (r["lang_pred"], r["n_letters"], r["rejected"]) == tuple(found[1][i][c] for c in ("lang_pred", "n_letters", "rejected"))
+        assert r["bits"] is None or abs(r["bits"] - found[1][i]["bits"]) < 1e-5
+
+
+def test_limits_follow_language_and_length(spark):
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join("".join(rng.choice(list("aeinrst"), rng.integers(2, 7))) for _ in range(n))
+    rows = [(i, say(int(rng.integers(2, 300))), "en") for i in range(200)]
+    trained = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rest=-1)
+    assert set(trained.means) == {"en"} and trained.spread == sorted(trained.spread, reverse=True)
+    probe = spark.createDataFrame([(1, say(3)), (3, "zzqx kwvy " * 60), (4, say(200))], "doc_id long, text string")
+    assert {r["doc_id"]: r["rejected"] for r in langid.predict(probe, trained).collect()} == {1: False, 3: True, 4: False}
 
 
 def test_language_id_on_held_out_rows(spark):
@@ -119,10 +162,10 @@ def test_language_id_on_held_out_rows(spark):
     model = langid.train(docs)
     rows = langid.predict(docs, model, keep=("lang",)).where(langid.held_out(F.col("doc_id"), 4, 2)).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
-    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 34 !", None), (None, "the and of", "en"), (5, "der die das " * 5000, "de")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 34 !", None), (4, "\U0001f642\U0001f642 \U0001f642", "en"), (None, "the and of", "en"), (5, "der die das " * 5000, "de")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
-    assert {got[i]["lang_pred"] for i in (1, 2, 3)} == {"und"}
-    assert all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3))
+    assert {got[i]["lang_pred"] for i in (1, 2, 3, 4)} == {"und"}
+    assert all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3, 4))
     assert got[5]["lang_pred"] == "de"
     nothing = langid.train(odd.limit(0))
     assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
