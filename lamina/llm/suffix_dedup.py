@@ -26,13 +26,23 @@ block, and every pass reads a block next to what the sorts say about it.
 Between blocks and sorts go packed arrays, deduplicated per block, so that a
 passage of a thousand copies sends at most two entries per block. A block holds
 about ``BLOCK_BYTES`` of text and a sort ``SORT_ENTRIES`` entries: their numbers
-grow with the input, their sizes do not. Fingerprints are 64-bit polynomial
-hashes; names combine two of them.
+grow with the input, their sizes do not.
+
+Two departures from the textbook, both since only equality of ``LENGTH``-byte
+prefixes is asked for, not their order. Names are hashes, not ranks: a sort by
+hash puts equal strings side by side, and adjacent ones are compared by 126 bits,
+a 64-bit polynomial and two modulo the prime ``PRIME`` with random bases. For any
+two given strings the latter two agree by chance with probability below 2**-48,
+and strings that nobody made to collide with about 2**-126; bytes themselves are
+not sent. And the recursion has one level: tuples of ``TUPLE`` bytes and the
+distances between them already decide prefixes of ``LENGTH`` bytes.
 
 Defined results: null and short texts (below ``LENGTH`` bytes) lose nothing; a
-null doc_id counts as larger than any other; rows that repeat a doc_id are
-ordered by a hash of their texts, so of equal rows all but one lose their
-repeated bytes; an empty table gives an empty result; other columns are ignored.
+null doc_id counts as larger than any other; rows that repeat a doc_id, or have
+none, are ordered by a hash of their texts, so of equal rows all but one lose
+their repeated bytes; texts of any length count whole (a block holds one at
+least); an empty table gives an empty result; other columns are ignored, and
+those named as ``extra`` may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -46,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize, shared_dir, shuffle_partitions
+from lamina.llm.common import drop, join_small, materialize, new_path, shuffle_partitions
 
 LENGTH = 100
 V = 31
@@ -60,7 +70,7 @@ SEGMENT = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 #: Instead of an ord: no place before, and no other place.
 FIRST, ALONE = (np.iinfo(np.int64).min + i for i in (0, 1))
-PLACE_BITS = 40  # a place is (repetition of the doc_id) << PLACE_BITS | byte offset
+PRIME = (1 << 31) - 1
 
 ROWS = "kind int, blk long, bucket long, payload binary"
 
@@ -93,6 +103,44 @@ class Rolling:
         return out
 
 
+class PrimeRolling:
+    """Pairs of polynomial fingerprints modulo ``PRIME``, as one number."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        n = SEGMENT + LENGTH + 1
+        self.parts = []
+        for _ in range(2):
+            base = int(rng.integers(1 << 20, PRIME - 1))
+            self.parts.append((rng.integers(1, PRIME, 256, dtype=np.int64), self._powers(base, n), self._powers(pow(base, -1, PRIME), n)))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.int64)
+        while len(out) < n:  # each round doubles what is known
+            out = np.concatenate([out, out * pow(base, len(out), PRIME) % PRIME])
+        return out[:n]
+
+    def at(self, data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """Of the ``length`` bytes at each of the sorted ``places``."""
+        out = np.zeros(len(places), np.int64)
+        cuts = np.searchsorted(places, np.arange(0, len(data) + SEGMENT, SEGMENT))
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i == j:
+                continue
+            part = data[k * SEGMENT : (k + 1) * SEGMENT + length]
+            p = places[i:j] - k * SEGMENT
+            for table, power, inverse in self.parts:
+                sums = np.concatenate([[0], np.cumsum(table[part] * power[: len(part)] % PRIME)])
+                out[i:j] = out[i:j] << 31 | (sums[p + length] - sums[p]) % PRIME * inverse[p] % PRIME
+        return out
+
+
+@lru_cache(1)
+def _prime_rolling() -> PrimeRolling:
+    return PrimeRolling(3)
+
+
 @lru_cache(2)
 def _rolling(seed: int) -> Rolling:
     return Rolling(seed)
@@ -106,11 +154,10 @@ class Block:
     """The documents of one block, in order, as one run of bytes."""
 
     def __init__(self, docs: pa.Table):
-        docs = docs.sort_by([("ord", "ascending"), ("rep", "ascending")])
+        docs = docs.sort_by("ord__")
         self.docs = docs
-        self.ord = docs.column("ord").to_numpy()
-        self.rep = docs.column("rep").to_numpy()
-        texts = docs.column("data").to_pylist()
+        self.ord = docs.column("ord__").to_numpy()
+        texts = docs.column("data__").to_pylist()
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.cumsum(self.size) - self.size
@@ -129,7 +176,7 @@ class Block:
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc = np.searchsorted(self.start, at, side="right") - 1
         # Empty documents share their start with the next one; the last of them is meant.
-        return self.ord[doc], (self.rep[doc] << PLACE_BITS) | (at - self.start[doc])
+        return self.ord[doc], at - self.start[doc]
 
 
 def _encode(values: np.ndarray) -> bytes:
@@ -177,21 +224,22 @@ class Sent:
         at = self.places[keep]
         if not len(at):
             return [], at, np.empty(0, np.int64), [], np.empty(0, np.int64)
-        name = _rolling(2).at(self.block.data, at, self.length) ^ (self.low[keep].astype(np.uint64) << np.uint64(32))
+        name = _rolling(2).at(self.block.data, at, self.length).view(np.int64)
+        prime = _prime_rolling().at(self.block.data, at, self.length)
         bucket = self.bucket[keep]
-        order = np.lexsort((name, bucket))  # stable, so the first of a name is the earliest in the block
-        sn, sb = name[order], bucket[order]
-        new = np.concatenate([[True], (sn[1:] != sn[:-1]) | (sb[1:] != sb[:-1])])
+        order = np.lexsort((prime, name, bucket))  # stable, so the first of a name is the earliest in the block
+        differs = lambda x: x[order][1:] != x[order][:-1]
+        new = np.concatenate([[True], differs(prime) | differs(name) | differs(bucket)])
         first = order[new]
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(new) - 1
         before = np.empty(len(at), np.int64)
         before[order] = np.where(new, -1, np.concatenate([[-1], order[:-1]]))
         ord_, place = self.block.place(at[first])
-        fb, fn = bucket[first], name[first]
+        fb, fn, fp = bucket[first], name[first], prime[first]
         twice = np.bincount(number) > 1
         cuts = [0, *(np.flatnonzero(np.diff(fb)) + 1).tolist(), len(fb)]
-        rows = [(int(fb[i]), np.stack([fn[i:j].view(np.int64), ord_[i:j], place[i:j] << 1 | twice[i:j]]).astype("<i8").tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+        rows = [(int(fb[i]), np.stack([fn[i:j], fp[i:j], ord_[i:j], place[i:j] << 1 | twice[i:j]]).astype("<i8").tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
         return rows, at, number, [(int(fb[i]), i, j) for i, j in zip(cuts, cuts[1:], strict=False)], before
 
 
@@ -216,12 +264,11 @@ def _find_repeated(rows: pa.Table) -> pa.Table:
 
 
 def _sorted(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """One bucket's (name, ord, place, met twice) parts, their order, and which names begin and which occur once."""
-    parts = [np.frombuffer(p, "<i8").reshape(3, -1) for p in rows.column("payload").to_pylist()]
-    name, ord_, place = np.concatenate(parts, 1)
-    order = np.lexsort((place, ord_, name))
-    n = name[order]
-    new = np.concatenate([[True], n[1:] != n[:-1]])
+    """One bucket's (both parts of the name, ord, place and met twice), their order, and which names begin and which occur once."""
+    parts = [np.frombuffer(p, "<i8").reshape(4, -1) for p in rows.column("payload").to_pylist()]
+    name, prime, ord_, place = np.concatenate(parts, 1)
+    order = np.lexsort((place, ord_, prime, name))
+    new = np.concatenate([[True], (np.diff(name[order]) != 0) | (np.diff(prime[order]) != 0)])
     alone = new & np.append(new[1:], True) & ~(place[order] & 1).astype(bool)
     return parts, order, new, alone
 
@@ -239,7 +286,7 @@ def _find_before(rows: pa.Table) -> pa.Table:
     Back go (ord, place) per entry; ord is FIRST where there is none before, and ALONE where the name occurs once.
     """
     parts, order, new, alone = _sorted(rows)
-    _, ord_, place = np.concatenate(parts, 1)
+    _, _, ord_, place = np.concatenate(parts, 1)
     before = np.concatenate([[0], order[:-1]])
     back = np.empty((2, len(order)), np.int64)
     back[0, order] = np.where(alone, ALONE, np.where(new, FIRST, ord_[before]))
@@ -323,6 +370,20 @@ def _shrink(text: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return mark & ~partly
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ord__, their rank by doc_id (nulls last), a hash of the text, and place in the input; sorted by ranges, so no id's rows meet in one task."""
+    rows = materialize(rows.withColumn("row__", F.monotonically_increasing_id()), "suffix-rows")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("row__")]
+    narrow = rows.select("doc_id", F.xxhash64("data__").alias("h"), "row__")
+    dealt = narrow.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.select("row__", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "suffix-ranks")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    starts = materialize(starts.select(F.col("part").alias("p"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift")), "suffix-starts")
+    ranks = join_small(dealt, starts, {"part": "p"}).select("row__", (F.col("at") + F.col("shift")).alias("ord__"))
+    return materialize(rows.join(ranks, "row__").drop("row__"), "suffix-rows")
+
+
 def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """doc_id, ``extra``, n_bytes, spans (array of removed [start, end)), kept (the other bytes) of every row.
 
@@ -331,25 +392,21 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
     """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    stats = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    total = stats["bytes"] or 0
-    files = max(shuffle_partitions(spark), total // (4 * BLOCK_BYTES))
-    sorts = max(1, total * len(COVER) // V // SORT_ENTRIES, shuffle_partitions(spark) if total > 64 * BLOCK_BYTES else 1)
-    rows = docs.select(F.col("doc_id").cast("long"), *extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("ord"), data.alias("data"))
-    if stats["ids"] == stats["rows"]:
-        rows = rows.withColumn("rep", F.lit(0).cast("long"))
+    kinds, own = dict(docs.select(*extra).dtypes), [f"extra_{i}__" for i in range(len(extra))]
+    rows = docs.select(F.col("doc_id").cast("long"), *[F.col(c).alias(o) for c, o in zip(extra, own, strict=True)], data.alias("data__"))
+    stats = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if stats["ids"] + min(stats["nulls"], 1) == stats["rows"]:
+        rows = rows.withColumn("ord__", F.coalesce("doc_id", F.lit(int(NO_ID))))
     else:
-        rows = rows.withColumn("rep", (F.row_number().over(Window.partitionBy("ord").orderBy(F.xxhash64("data"))) - 1).cast("long"))
+        rows = ranked(rows)
     # Blocks are parts of the partitions that are read, so the text is not shuffled; written, they stay as they are.
-    parts = max(1, rows.rdd.getNumPartitions())
-    each = total // (parts * BLOCK_BYTES) + 1
-    rows = rows.withColumn("blk", F.spark_partition_id().cast("long") * each + F.pmod(F.xxhash64("ord", "rep"), F.lit(each)))
+    size = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("data__")).alias("bytes")).agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
+    total, each = size["total"] or 0, (size["most"] or 0) // BLOCK_BYTES + 1
+    files = max(shuffle_partitions(spark), total // (4 * BLOCK_BYTES))
+    sorts = max(1, total * len(COVER) // V // SORT_ENTRIES, shuffle_partitions(spark) if total > 64 * BLOCK_BYTES else 1)
+    rows = rows.withColumn("blk", F.spark_partition_id().cast("long") * each + F.pmod(F.xxhash64("ord__"), F.lit(each)))
     name = f"lamina_suffix_{uuid.uuid4().hex}"
-    (
-        rows.write.bucketBy(files, "blk").sortBy("blk")
-        .option("path", f"{shared_dir(spark)}/lamina/{name}").option("compression", "zstd")
-        .saveAsTable(name)
-    )
+    rows.write.bucketBy(files, "blk").sortBy("blk").option("path", new_path(spark, name, name)).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
 
     def gone() -> None:
@@ -395,6 +452,7 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
         return _table(out + [(0, blk, b, p) for b, p in Sent(block, np.flatnonzero(rest), LENGTH, sorts).filter_rows()])
 
     left = materialize(beside(both, remaining), "suffix-left")
+    drop(named, first)
     gone()
     runs = left.where("kind > 0")
     again = materialize(sorted_by_bucket(left.where("kind = 0"), _find_repeated), "suffix-again").unionByName(runs)
@@ -415,7 +473,6 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
     gone()
     final = again.unionByName(merged.withColumn("kind", F.lit(1)))
 
-    kinds = dict(docs.select(*extra).dtypes)
     schema = "doc_id long, " + "".join(f"`{c}` {kinds[c]}, " for c in extra) + "n_bytes long, spans array<array<long>>, kept binary"
 
     def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -435,6 +492,6 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
             spans.append(_runs(mark).tolist())
             kept.append(text[~mark].tobytes())
         names = ["doc_id", *extra]
-        return pa.table([*(block.docs.column(c) for c in names), pa.array(block.size), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
+        return pa.table([*(block.docs.column(c) for c in ["doc_id", *own]), pa.array(block.size), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
     return table.groupBy("blk").cogroup(final.groupBy("blk")).applyInArrow(cut, schema)
