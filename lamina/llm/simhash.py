@@ -12,12 +12,16 @@ codeword of the other), or one or two errors in every segment (key: a codeword
 of each). So no link is lost. Fingerprints with a key in common meet in one
 bucket, where differing bits are counted and only a spanning forest is passed
 on: its links connect what the bucket's true links connect, and no bucket emits
-its pairs. Equal fingerprints are one node throughout.
+its pairs. A key of more than ``LARGE`` fingerprints is cut into blocks, and every
+two blocks meet in a task of their own. Equal fingerprints are one node
+throughout, so a group of copies is one entry a key; entries have 16 bytes.
 
 Defined results: null and empty texts, and texts without words, have the
-fingerprint zero; a null doc_id counts as larger than any other for
+fingerprint zero; texts of fewer words than a shingle are one shingle, and longer
+ones count whole, however long; a null doc_id counts as larger than any other for
 component_id, which is null where no member has an id; repeated rows share a
-component; an empty table gives an empty result; other columns are ignored.
+component; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101  # fixed value: x^11+x^10+x^6+x^5+x^4+x^2+1, of the Golay code (23, 12)
 #: Keys of one bucket in memory, about.
 BUCKET_KEYS = 1_000_000
+#: Fingerprints of one key that are compared in one task, about.
+LARGE = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -159,7 +165,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     names=["bucket", "keys", "fps"],
                 )
 
-    def meet(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    def meet(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(keys, kind="stable")
         keys, fps = keys[order], fps[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -167,17 +173,24 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         two = new[size == 2]
         ok = np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits
         found = [np.stack([fps[two], fps[two + 1]], 1)[ok]]
-        for i, m in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        some = (size > 2) & (size <= LARGE)
+        for i, m in zip(new[some].tolist(), size[some].tolist(), strict=True):
             if pairs := forest(fps[i : i + m], max_bits):
                 found.append(np.array(pairs, np.uint64))
-        return np.unique(np.concatenate(found), axis=0)
+        pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+        many = np.repeat(size > LARGE, size)
+        out = [
+            pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(keys[many])]),
+            pa.array(np.concatenate([pairs[:, 0], fps[many].view(np.int64)])),
+            pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(int(many.sum()), pa.int64())]),
+        ]
+        return pa.RecordBatch.from_arrays(out, names=["key", "a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, fps = None, [], []
 
         def flush() -> pa.RecordBatch:
-            pairs = meet(np.concatenate(keys), np.concatenate(fps)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return meet(np.concatenate(keys), np.concatenate(fps))
 
         for b in batches:
             for bucket, k, f in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("fps"), strict=True):
@@ -191,7 +204,21 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield flush()
 
     dealt = nodes.select("fp").mapInArrow(spread, "bucket long, keys binary, fps binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    met = materialize(dealt.mapInArrow(verify, "key long, a long, b long"), "simhash-met")
+    return met.where("key IS NULL").select("a", "b").unionAll(block_links(met.where("key IS NOT NULL").select("key", "a"), max_bits)).distinct()
+
+
+def block_links(members: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) that connect the fingerprints of each large key as all their true links do; ``members`` is (key, a)."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LARGE).alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = np.array(forest(table.column("a").to_numpy().view(np.uint64), max_bits), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+
+    return cells.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def labelled(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -71,6 +71,36 @@ def test_packing_holds_every_id_once(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_step_groups_are_balanced(spark, monkeypatch):
+    """Full groups of a tier have equal tokens and like cost; the mixed ones of a partition's end share the rest; gaps of long windows hold shorter items."""
+    monkeypatch.setattr(packing, "FLUSH", 1 << 15)
+    packer = packing.Packer(0)
+    rng = np.random.default_rng(2)
+    for i, n in enumerate(rng.choice([30, 200, 400, 700, 1500, 3000, 5000], 6000).tolist()):
+        packer.add(i, np.zeros(n, np.uint32))
+    packer.finish()
+    windows = defaultdict(list)
+    for doc_id, start, n, _, total, sequence, offset, tier, group in packer.out:
+        windows[sequence].append((offset, n, tier, group))
+    groups, mixed = defaultdict(list), defaultdict(int)
+    for parts in windows.values():
+        tier, group = parts[0][2:]
+        groups[group].append((tier, sum(p[1] for p in parts), sum(p[1] ** 2 for p in parts)))
+    cost = defaultdict(list)
+    for group, members in sorted(groups.items()):
+        if len({t for t, *_ in members}) == 1 and sum(t for t, *_ in members) == packing.STEP_TOKENS:
+            assert sum(n for _, n, _ in members) == packing.STEP_TOKENS
+            cost[members[0][0]].append(sum(c for *_, c in members))
+        else:
+            mixed[group] = sum(n for _, n, _ in members)
+    assert len(mixed) <= len(packing.TIERS) and max(mixed.values()) - min(mixed.values()) <= packing.STEP_TOKENS // 4
+    for of_tier in cost.values():
+        for i in range(0, len(of_tier), packing.STEPS):
+            batch = of_tier[i : i + packing.STEPS]
+            assert max(batch) <= 1.1 * min(batch)
+    assert any(len({n <= 512 for _, n, *_ in parts}) == 2 for parts in windows.values() if parts[0][2] == 4096)
+
+
 def test_words_are_encoded_as_the_tokenizer_does():
     import pyarrow as pa
 
@@ -130,6 +160,12 @@ def test_golay_keys_meet_within_four_bits():
         assert all(of[i] & of[i + len(base)] for i in range(len(base)))
 
 
+def test_large_keys_are_cut_into_blocks(docs, monkeypatch):
+    wanted = Counter(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == wanted
+
+
 def test_simhash_components(docs, empty):
     fps = [(i, simhash.fingerprint((t or "").encode())) for i, t, *_ in ROWS]
     label = list(range(len(fps)))
@@ -145,8 +181,6 @@ def test_simhash_components(docs, empty):
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     assert got == wanted
     assert simhash.near_duplicates(empty).count() == 0
-    kept = [r["doc_id"] for r in simhash.near_unique(docs).select("doc_id").collect()]
-    assert Counter(kept) == Counter({min((x for x in v if x is not None), default=None) for v in least.values()})
 
 
 def test_near_unique_with_null_and_repeated_ids(spark):
@@ -165,17 +199,36 @@ def test_components_of_a_chain(spark):
 
 def test_sharding(docs, empty):
     rows = sharding.shard(docs).collect()
-    assert len(rows) == len(ROWS)
-    load, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    groups = Counter()
+    for _, text, *_ in ROWS:
+        groups[text] += len((text or "").encode()) + 1
+    # One job at a time, longest first, to the least loaded of eight.
+    load = [0] * 8
+    for size in sorted(groups.values(), reverse=True):
+        load[load.index(min(load))] += size
+    got, slots, where = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
-        load[r["shard"]] += r["size"]
+        got[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
         where[r["text_crc32"], r["size"]].add(r["shard"])
+    assert sorted(got[s] for s in range(8)) == sorted(load)
+    wanted = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == wanted
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for k, s in where.items() if k[1] > 1)  # null and empty are groups apart
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_counts_are_dealt_as_the_heap_deals_jobs(seed):
+    rng = np.random.default_rng(seed)
+    jobs = [(i, int(rng.choice([1, 2, 3, 5, 50, 400]))) for i in range(int(rng.integers(0, 70)))]
+    size, shards = dict(jobs), int(rng.choice([2, 3, 8]))
+    wanted = Counter((size[j], s) for j, s in sharding.lpt(jobs, shards).items())
+    got = {(x, s): n for x, given in sharding.lpt_counts(list(Counter(size.values()).items()), shards) for s, n in enumerate(given) if n}
+    assert got == dict(wanted)
+
+
 def test_longest_first_through_a_heap():
     assert sharding.lpt([(0, 5), (1, 4), (2, 3), (3, 3)], 2) == {0: 0, 1: 1, 2: 1, 3: 0}
 
@@ -205,9 +258,64 @@ def test_mixing_targets_and_copies(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_copies_are_taken(docs):
-    taken = Counter()
-    for r in mixing.mix(docs).collect():
-        taken[r["doc_id"]] += r["copies"]
-    got = Counter(r["doc_id"] for r in mixing.take(docs, ("doc_id", "text")).collect())
-    assert got == +taken
+@pytest.mark.parametrize("columns", [("doc_id", "text"), ("doc_id", "text", "source", "size")])
+def test_copies_are_taken(docs, columns):
+    """By source the words taken come near the target, and equal rows differ by at most one copy; rows that differ in any column are kept apart."""
+    rows = Counter((i, t, s, x) for i, t, _, s, _, x in ROWS)
+    targets = {r["source_size"]: r["target"] for r in mixing.mix(docs).select("source_size", "target").distinct().collect()}
+    names = ("doc_id", "text", "source", "size")
+    taken = Counter(tuple(r) for r in mixing.take(docs, columns).collect())
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    have = Counter()
+    for r, n in rows.items():
+        have[tuple(x for x, c in zip(r, names, strict=True) if c in columns)] += n
+    assert all(n <= 3 * have[r] for r, n in taken.items())
+    if "source" in columns:
+        for source in {r[2] for r in rows}:
+            sizes = [words(r[1]) for r in rows.elements() if r[2] == source]
+            got = sum(words(r[1]) * n for r, n in taken.items() if r[2] == source)
+            assert abs(got - targets[sum(sizes)]) <= max(sizes)
+
+
+def test_copies_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (1, "d e f", "x"), (None, "g h i", "x"), (None, "j k l", "y")] + [(7, "m n o", "y")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter(tuple(r) for r in mixing.take(docs, ("doc_id", "text", "source"), weights=(1, 2)).collect())
+    assert set(taken) <= set(rows)
+    assert all(n <= 3 * rows.count(r) for r, n in taken.items())
+    by_source = Counter()
+    for r, n in taken.items():
+        by_source[r[2]] += 3 * n
+    assert abs(by_source["x"] - 10) <= 3 and abs(by_source["y"] - 20) <= 3
+
+
+def test_mixing_reruns_agree(docs):
+    found = [Counter(tuple(r) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    df = spark.createDataFrame([(1, 8), (2, 2), (3, 0)], "x long, n long")
+    assert Counter(tuple(r) for r in mixing.each(df, "n", "i", ("x",)).collect()) == Counter([(1, 8, i) for i in range(8)] + [(2, 2, i) for i in range(2)])
+
+
+def test_joins_by_counted_size(spark, monkeypatch):
+    from lamina.llm import common
+
+    large = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, "a")], "x long, k string")
+    small = spark.createDataFrame([("a", 10), (None, 20)], "k string, y long")
+    for most in (100, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = sorted(tuple(r) for r in common.join_small(large, small, {"k": "k"}).select("x", "y").collect())
+        assert got == [(1, 10), (2, 20), (4, 10)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lamina.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
