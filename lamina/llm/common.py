@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +89,17 @@ def scratch() -> Iterator[None]:
         del _MADE[mark:]
 
 
+def written(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What ``make`` returns, materialized; the intermediate tables it made are dropped."""
+    path = new_path(spark, name)
+    with scratch():
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
+
+
 @atexit.register
 def _drop_all() -> None:
     for entry in _MADE:
