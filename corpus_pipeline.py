@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``: doc_id, text, lang, source, n_chars. Each works on all rows its
 predecessor kept, and its decisions take effect.
+
+Defined results, of every stage: rows are told apart by all their columns, not by
+doc_id, so rows with a null or repeated doc_id are documents of their own; null
+and empty texts are documents without a word; texts count whole, however long;
+extra columns are left behind, whatever their names; an empty table gives an
+empty result. The stages say what else holds for each.
 """
 
 from __future__ import annotations
@@ -13,26 +19,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import langid, mixing, packing, simhash, suffix_dedup
-from lamina.llm.common import materialize
+from lamina.llm.common import drop, written
 from lamina.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others carry the predicted language."""
+    """Rejected documents go, those without a letter among them; the others carry the predicted language.
+
+    Rows without lang or doc_id are judged like others, but not learned from.
+    """
     model = langid.train(docs)
     seen = langid.predict(docs, model, keep=("text", "source", "n_chars"))
     return seen.where("NOT rejected").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.near_unique(docs).select(*COLUMNS)
+    """One row of each group of near-duplicates stays: the smallest doc_id, nulls last, and of equal ones the smaller hash of the row."""
+    return simhash.near_unique(docs.select(*COLUMNS))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; documents of which nothing is left go."""
+    """Repeated passages are cut out; documents of which nothing is left go, empty ones stay.
+
+    The first occurrence stays: that in the smallest doc_id, nulls last, and of equal ones in the smaller hash of the text.
+    A null text becomes an empty one.
+    """
     cut = suffix_dedup.removed_spans(docs, extra=("lang", "source"), whole_characters=True)
     text = F.decode("kept", "UTF-8")
     return (
@@ -42,12 +55,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it, which is never where it has no word; equal rows differ by one copy at most."""
     return mixing.take(docs, COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences; see packing.SCHEMA."""
+    """Pieces of sequences; see packing.SCHEMA. Every row is packed, in the order it is read."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -64,9 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage wrote is dropped when the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        before, docs = docs, written(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"pipeline-{name}")
+        drop(before)
+    return last(spark, docs, sf_dir)
