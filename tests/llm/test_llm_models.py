@@ -39,6 +39,41 @@ def test_quality_fences_follow_the_group(spark):
     assert all(kept.values())
 
 
+def test_kept_against_exact_quantiles(spark):
+    """Verdicts with fences from sketches are those with fences from exact quantiles, but for what lies within the sketch's error of a fence."""
+    rng = np.random.default_rng(12)
+    say = lambda n: ["".join(rng.choice(list("aeinrst"), rng.integers(2, 9))) for _ in range(n)]
+    rows = []
+    for i in range(900):
+        words = say(int(rng.integers(60, 120)))
+        for _ in range(int(rng.integers(0, 3)) if i % 30 else 40):
+            words[int(rng.integers(len(words)))] = "$$#"
+        lines = [" ".join(words[j : j + 8]) for j in range(0, len(words), 8)]
+        rows.append((i, "\n".join(lines + ([lines[0]] * 9 if i % 45 == 1 else [])), "en" if i % 5 else "de", f"s{i % 3}"))
+    got = quality.judge(spark.createDataFrame(rows, DOC)).toPandas()
+    passed = got[~got.base_failed]
+    fences = {}
+    for m in quality.METRICS:
+        for name, group in (("fine", ["lang", "source"]), ("lang", ["lang"])):
+            for key, g in passed.groupby(group):
+                q1, q3 = np.quantile(g[m], [0.25, 0.75])
+                fences[m, name, key] = (len(g), q3 + quality.FENCE * max(q3 - q1, quality.FLOOR[m]))
+    checked = 0
+    for r in got.itertuples():
+        kept, clear = not r.base_failed, True
+        for m in quality.METRICS:
+            n, fence = fences[m, "fine", (r.lang, r.source)]
+            if n < quality.MIN_GROUP:
+                n, fence = fences[m, "lang", (r.lang,)]
+            value = getattr(r, m)
+            kept &= value <= fence
+            clear &= abs(value - fence) > 0.15 * fence or r.base_failed
+        if clear:
+            checked += 1
+            assert r.kept == kept, r
+    assert checked > 850 and 10 < (~got.kept).sum() < 100
+
+
 @pytest.mark.parametrize("dims", [3, 16])
 def test_top_k(spark, dims):
     rng = np.random.default_rng(dims)
@@ -57,6 +92,35 @@ def test_top_k(spark, dims):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_top_k_over_several_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 64)
+    rng = np.random.default_rng(1)
+    m = rng.integers(-300, 300, (400, 4))
+    rows = [(i, (v / 256).tolist()) for i, v in enumerate(m)]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    wanted = set()
+    for q in range(0, 400, 50):
+        s = m @ m[q]
+        wanted |= {(q, i + 1, int(x), int(s[x])) for i, x in enumerate([x for x in np.lexsort((np.arange(400), -s)) if x != q][:5])}
+    assert got == wanted
+
+
+def test_top_k_of_large_and_empty_vectors(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [3.0, 4.0]), (3, [-1e300, 1.0]), (4, []), (50, [2.0, -1.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    exact = {i: [int(x) * 256 for x in v] + [0] * (2 - len(v)) for i, v in rows}
+    for q in (0, 50):
+        score = {i: sum(a * b for a, b in zip(exact[q], v, strict=True)) for i, v in exact.items() if i != q}
+        for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i)), 1):
+            assert got[q, rank] == (i, max(-(2**63), min(2**63 - 1, score[i])))
+
+
+def test_numbers_sort_as_texts():
+    n = [0, 5, -3, 10, -10, -2, 99, -99, 100, -100, 2**70, -(2**70)]
+    assert sorted(n, key=topk.sort_key) == sorted(n)
+
+
 def test_bundle_round_trip():
     writer = warc.BundleWriter()
     made = [warc.record(i, f"http://x/{i} y\n", b"p" * (i * 9000), hashlib.sha1(b"p" * (i * 9000)).hexdigest(), None) for i in range(60)]
@@ -224,3 +288,67 @@ def test_toxicity_learns_misspells_and_quotes(spark):
     assert got[4] == got[5] < 0.5
     unlabelled = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, unlabelled).collect()} == {0.0}
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = [toxicity.train(docs.repartition(n), labels.repartition(n)) for n in (2, 5)]
+    assert found[0].trie.terms == found[1].trie.terms and np.array_equal(found[0].weights, found[1].weights)
+    assert np.array_equal(found[0].model[0], found[1].model[0]) and found[0].model[1] == found[1].model[1]
+
+
+def test_copies_weigh_as_one_text(spark):
+    rows = [("one two three four five six", 1)] * 4 + [("seven eight nine ten eleven twelve", 0), ("", 0)]
+    got = {(r["text"], r["toxic"]): r["w"] for r in toxicity.weighted(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert got == {rows[0]: toxicity.UNIT // 4, rows[4]: toxicity.UNIT, rows[5]: toxicity.UNIT}
+
+
+def test_scores_against_brute_force(spark):
+    """The features of every text, word by word and by edit distances, give the query's scores."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.train(docs, labels)
+    if scorer.model is None:
+        scorer = toxicity.Scorer([("idiot", 3.0), ("moron", 2.5), ("disgusting", 4.0)])
+        scorer.model = (np.arange(1.0, 7.0) / 10, -1.0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, scorer).collect()}
+    terms = [t.rstrip("*") for t in scorer.trie.terms]
+
+    def hit(word):
+        found = []
+        for i, (term, core) in enumerate(zip(scorer.trie.terms, terms, strict=True)):
+            if term.endswith("*"):
+                d = min(edit_distance(word[:n], core) for n in range(len(word) + 1))
+            else:
+                d = edit_distance(word, core)
+            if d <= toxicity.allowed_edits(core):
+                found.append((d, -len(core), i))
+        return min(found, default=None)
+
+    cache = {}
+    for r in docs.collect():
+        words = (r["text"] or "").split()
+        clean = [toxicity.normal(w) for w in words]
+        for c in clean:
+            if c not in cache:
+                cache[c] = hit(c) if c else None
+        f, seen = np.zeros(6), set()
+        for at, c in enumerate(clean):
+            if cache[c] is None:
+                continue
+            lo, hi = max(0, at - 8), min(len(words), at + 9)
+            opens = any(w[0] in toxicity.QUOTES for w in words[lo : at + 1])
+            closes = any((w.rstrip(".,;:!?") or " ")[-1] in toxicity.QUOTES for w in words[at:hi])
+            quoted = (opens and closes) or any(x in toxicity.REPORTS for x in clean[lo:hi])
+            edits, _, term = cache[c]
+            w = scorer.weights[term, edits]
+            new = (term, edits) not in seen
+            seen.add((term, edits))
+            f[0] += w * new * (not quoted)
+            f[1] = max(f[1], 0 if quoted else w)
+            f[2] += w * new * quoted
+            f[3] += min(sum(cache[x] is not None for x in clean[lo:hi]) - 1, 2) * (not quoted)
+            f[4] += any(x in toxicity.ADDRESS for x in clean[lo:hi]) and not quoted
+            f[5] += 1
+        f = np.array([min(f[0], 20), f[1], min(f[2], 20), min(f[3], 5), min(f[4], 5), np.log1p(100 * f[5] / max(len(words), 1))])
+        weight, bias = scorer.model
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(f @ weight + bias, -30, 30)))) < 1e-9
