@@ -16,9 +16,10 @@ less often. Every link is verified on the sets themselves.
 Equal sets are one node throughout. A key shared by few sets gives all its pairs;
 one shared by more than ``FEW`` is cut into blocks of about ``BLOCK`` shingles, and
 every two blocks meet, where a spanning forest of the true links is passed on. The
-nearest codewords of the first ``LEAD`` segments go first: a later key whose sets
-are one component by then has nothing to add. Sets are read only for texts that
-have a key in common with others.
+nearest codewords of the first ``LEAD`` segments go first, as they tell most copies;
+of the other keys only sets of unlike components meet, and a key whose sets are one
+component already passes nothing on. Sets are read only for texts that have a key in
+common with others.
 
 Defined results: null and empty texts, and texts without words, have the empty set,
 equal to itself; texts of fewer than five words are one shingle; texts count whole,
@@ -158,51 +159,52 @@ def prints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n long, keys binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """What shares a key: (a, b) of a key with few sets, and else (key, late, a) of each set, for ``nodes`` (node, keys)."""
-    buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * 6 * SEGMENTS // BUCKET_KEYS + 1)
+def candidates(nodes: DataFrame, each: int) -> DataFrame:
+    """What shares a key and has unlike labels: (a, b) of a key with few sets, and else (key, a) of each set, for ``nodes`` (node, label, keys), about ``each`` keys apiece."""
+    buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * each // BUCKET_KEYS + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("node").to_numpy().view(np.uint64)
+            ids, labels = (b.column(c).to_numpy().view(np.uint64) for c in ("node", "label"))
             blobs = b.column("keys").to_pylist()
             for i in range(0, len(ids), 8192):
                 some = blobs[i : i + 8192]
                 keys = np.frombuffer(b"".join(some), "<u8")
-                each = np.fromiter(map(len, some), np.int64, len(some)) // 8
-                part = np.repeat(ids[i : i + 8192], each)
-                late = (np.arange(len(part)) - np.repeat(np.cumsum(each) - each, each) >= LEAD).astype(np.uint8)
+                place = i + np.repeat(np.arange(len(some)), np.fromiter(map(len, some), np.int64, len(some)) // 8)
                 bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                keys, part, late, bucket = keys[order], part[order], late[order], bucket[order]
+                keys, place, bucket = keys[order], place[order], bucket[order]
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-                rows = [(int(bucket[x]), keys[x:y].tobytes(), part[x:y].astype("<u8").tobytes(), late[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+                # Most sets are their own label: as differences, labels are mostly 0 and small when compressed.
+                parts = [x.astype("<u8") for x in (keys, ids[place], ids[place] ^ labels[place])]
+                rows = [(int(bucket[x]), *(p[x:y].tobytes() for p in parts)) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
                 columns = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "late"])
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "labels"])
 
-    def meet(keys: np.ndarray, ids: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    def meet(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, keys))
-        keys, ids, late = keys[order], ids[order].view(np.int64), late[order]
+        keys, ids, labels = keys[order], ids[order], labels[order] ^ ids[order]
+        ids = ids.view(np.int64)
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(new, len(keys)))
+        open_ = np.minimum.reduceat(labels, new) != np.maximum.reduceat(labels, new)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for m in range(2, FEW + 1):
-            at = new[size == m]
+            at = new[open_ & (size == m)]
             for i in range(m):
                 for j in range(i + 1, m):
-                    a.append(ids[at + i])
-                    b.append(ids[at + j])
+                    unlike = labels[at + i] != labels[at + j]
+                    a.append(ids[at + i][unlike])
+                    b.append(ids[at + j][unlike])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        many = np.repeat(size > FEW, size)
-        k = int(many.sum())
+        many = np.repeat(open_ & (size > FEW), size)
         none = lambda n: pa.nulls(n, pa.int64())
         out = [
             pa.concat_arrays([none(len(pairs)), pa.array(keys[many].view(np.int64))]),
-            pa.concat_arrays([none(len(pairs)), pa.array(late[many].astype(np.int64))]),
             pa.array(np.concatenate([pairs[:, 0], ids[many]])),
-            pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), none(k)]),
+            pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), none(int(many.sum()))]),
         ]
-        return pa.RecordBatch.from_arrays(out, names=["key", "late", "a", "b"])
+        return pa.RecordBatch.from_arrays(out, names=["key", "a", "b"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -211,17 +213,17 @@ def candidates(nodes: DataFrame) -> DataFrame:
             return meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
         for b in batches:
-            for bucket, k, n, d in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("late"), strict=True):
+            for bucket, *parts in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("labels"), strict=True):
                 if bucket != at and held:
                     yield flush()
                     held = []
                 at = bucket
-                held.append((np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u8"), np.frombuffer(d.as_buffer(), np.uint8)))
+                held.append([np.frombuffer(p.as_buffer(), "<u8") for p in parts])
         if held:
             yield flush()
 
-    dealt = nodes.where("n > 0").select("node", "keys").mapInArrow(spread, "bucket long, keys binary, nodes binary, late binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, late long, a long, b long")
+    dealt = nodes.mapInArrow(spread, "bucket long, keys binary, nodes binary, labels binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, a long, b long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -272,23 +274,34 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, label) of every node with a link; ``docs`` has k1, k2 and text, ``found`` is its ``prints``."""
     nodes = materialize(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-nodes")
-    met = materialize(candidates(nodes), "near-met")
-    pairs = met.where("key IS NULL").select("a", "b").distinct()
-    many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "late", "a", "n")
-    wanted = met.select(F.col("a").alias("node")).unionAll(met.where("b IS NOT NULL").select("b")).distinct()
-    places = materialize(nodes.join(wanted, "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")), "near-places")
-    own = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    texts = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).dropDuplicates(["k1", "k2", "node"])
-    sets = materialize(_sets(texts), "near-sets")
-    first = materialize(true_pairs(pairs, sets).unionAll(block_links(many.where("late = 0"), sets)), "near-links")
-    known = materialize(components(first), "near-labels")
-    later = many.where("late = 1")
-    labelled = later.join(known, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    links = materialize(block_links(later.join(split, "key", "left_semi"), sets).unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
-    drop(first, sets, met, places, nodes)
-    out = materialize(components(links), "near-labels")
-    drop(known, links)
+    full = nodes.where("n > 0")
+    first = F.substring("keys", 1, 8 * LEAD)
+
+    def links(keyed: DataFrame, each: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(links, the sets that were read) of ``keyed`` (node, label, keys); ``known`` holds sets that were read before."""
+        met = materialize(candidates(keyed, each), "near-met")
+        pairs = met.where("key IS NULL").select("a", "b").distinct()
+        many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "a", "n")
+        wanted = met.select(F.col("a").alias("node")).unionAll(met.where("b IS NOT NULL").select("b")).distinct()
+        if known is not None:
+            wanted = wanted.join(known.select("node"), "node", "left_anti")
+        places = materialize(nodes.join(wanted, "node").select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")), "near-places")
+        own = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        texts = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).dropDuplicates(["k1", "k2", "node"])
+        sets = materialize(_sets(texts), "near-sets")
+        every = sets if known is None else sets.unionAll(known)
+        out = materialize(true_pairs(pairs, every).unionAll(block_links(many, every)), "near-links")
+        drop(met, places)
+        return out, sets
+
+    lead, sets = links(full.select("node", F.col("node").alias("label"), first.alias("keys")), LEAD, None)
+    known = materialize(components(lead), "near-labels")
+    rest = F.substring("keys", 8 * LEAD + 1, 1 << 20)
+    labelled = full.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"), rest.alias("keys"))
+    more, others = links(labelled, 6 * SEGMENTS, sets)
+    both = materialize(more.unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
+    out = materialize(components(both), "near-labels")
+    drop(lead, sets, known, more, others, both, nodes)
     return out
 
 
@@ -296,5 +309,8 @@ def near_unique(docs: DataFrame) -> DataFrame:
     """One row of each component, in the columns of ``docs``: the one with the smallest doc_id; see ``survivors``."""
     keyed = with_row_key(docs)
     found = materialize(prints(keyed), "near-prints")
-    label = found.join(labels(keyed, found), "node", "left").select("doc_id", "k1", "k2", F.coalesce("label", "node").alias("label"))
-    return survivors(keyed, label)
+    of = labels(keyed, found)
+    label = found.join(of, "node", "left").select("doc_id", "k1", "k2", F.coalesce("label", "node").alias("label"))
+    out = survivors(keyed, label)
+    drop(found, of)
+    return out
