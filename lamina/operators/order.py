@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.runs import by_runs
+
 
 def fuzzy(rows: list[dict], first: str, second: str, slack: float) -> list[dict]:
     """Stable sort by ``first``; values nearer than ``slack`` compare by ``second``."""
@@ -52,11 +54,10 @@ def reading_order(rows: list[dict], slack: float = 10) -> list[dict]:
 def ordered(boxes: DataFrame, sort, key: str = "page_id") -> DataFrame:
     """(key, seq, place) in the order that ``sort`` gives each group."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sort(pdf.sort_values("seq").to_dict("records"))
-        return pd.DataFrame([(r[key], r["seq"], i) for i, r in enumerate(rows)], columns=[key, "seq", "place"])
+    def step(rows: list[dict]) -> list[tuple]:
+        return [(r[key], r["seq"], i) for i, r in enumerate(sort(rows))]
 
-    return boxes.groupBy(key).applyInPandas(run, f"{key} long, seq long, place long")
+    return by_runs(boxes, (key,), ("seq",), step, f"{key} long, seq long, place long", [pa.int64()] * 3)
 
 
 def joined(df: DataFrame, keys: list[str], order: list[str], text: str, sep: str = "\n\n") -> DataFrame:

@@ -1,46 +1,42 @@
-"""Order-dependent suppression of boxes, one page at a time.
+"""Order-dependent suppression and clean-up of boxes, one page at a time.
 
-Each page is a group of a dozen boxes; greedy choices depend on the ones before,
-so they run in grouped Arrow functions after filters and projections.
+Greedy suppression is a fold over each page's boxes, best first, inside the JVM.
+Clean-up goes back and forth between neighbours; it runs over sorted rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.runs import by_runs
 
-def _greedy(box: np.ndarray, score: np.ndarray, limit: float, border: float, keep_equal: bool) -> list[int]:
-    """Places kept, best score first: each drops what overlaps it beyond the limit."""
-    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    todo = np.lexsort((-np.arange(len(box)), score))[::-1]
-    kept = []
-    while len(todo):
-        first, todo = todo[0], todo[1:]
-        kept.append(int(first))
-        low, high = np.maximum(box[first, :2], box[todo, :2]), np.minimum(box[first, 2:], box[todo, 2:])
-        common = np.prod(np.maximum(0, high - low + border), axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            iou = common / (size[first] + size[todo] - common)
-        todo = todo[iou <= limit] if keep_equal else todo[iou < limit]
-    return kept
+
+def _iou(a: Column, b: Column, border: int) -> Column:
+    side = lambda low, high: F.greatest(F.lit(0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]) + border)
+    size = lambda x: (x["x1"] - x["x0"]) * (x["bottom"] - x["top"])
+    common = side("x0", "x1") * side("top", "bottom")
+    return F.try_divide(common.cast("double"), (size(a) + size(b) - common).cast("double"))
 
 
 def suppress(boxes: DataFrame, limit: float, keys: tuple[str, ...] = ("page_id", "type"), pixel_border: bool = True) -> DataFrame:
-    """(page_id, seq) of boxes that survive greedy suppression by score inside each key.
+    """(page_id, seq) of boxes that survive greedy suppression by score inside each key, of equal scores the smaller seq first.
 
-    With ``pixel_border`` intersections count one pixel more on each side and
-    the limit itself is kept; without it neither.
+    A box goes if it overlaps a kept one beyond the limit, or if their overlap is
+    no number. With ``pixel_border`` intersections count one pixel more on each
+    side and the limit itself is kept; without it neither.
     """
+    best_first = F.struct((-F.col("score")).alias("rank"), F.col("seq").alias("n"), "x0", "top", "x1", "bottom", F.col("page_id").alias("page"))
+    items = F.array_sort(F.collect_list(best_first))
+    grouped = boxes.groupBy(*keys).agg(items.alias("boxes"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept = _greedy(pdf[["x0", "top", "x1", "bottom"]].to_numpy(float), pdf["score"].to_numpy(float), limit, float(pixel_border), pixel_border)
-        return pdf.iloc[kept][["page_id", "seq"]]
+    def fits(kept: Column, box: Column) -> Column:
+        value = lambda k: _iou(k, box, int(pixel_border))
+        return F.forall(kept, lambda k: F.coalesce(value(k) <= limit if pixel_border else value(k) < limit, F.lit(False)))
 
-    return boxes.select(*dict.fromkeys([*keys, "page_id", "seq", "x0", "top", "x1", "bottom", "score"])).groupBy(*keys).applyInPandas(run, "page_id long, seq long")
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda out, box: F.when(fits(out, box), F.concat(out, F.array(box))).otherwise(out))
+    return grouped.select(F.explode(kept).alias("box")).select(F.col("box.page").alias("page_id"), F.col("box.n").alias("seq"))
 
 
 def _apart(a: dict, b: dict) -> bool:
@@ -72,18 +68,37 @@ def clean(layouts: list[dict], texts: list[dict], reach: int, least: float) -> l
     return left
 
 
-def clean_layouts(layouts: DataFrame, reach: int = 5, least: float = 0.6) -> DataFrame:
-    """(page_id, seq) of the layouts that remain after clean-up, which scans them from top to bottom."""
+def clean_layouts(layouts: DataFrame, reach: int = 5, least: float = 0.6, texts: DataFrame | None = None) -> DataFrame:
+    """(page_id, seq) of the layouts that remain after clean-up, which scans them from top to bottom.
+
+    Of two that cover each other the one with the lower score goes, or, where
+    one has no score, the one that covers less of the page's ``texts`` (page_id
+    and edges).
+    """
+    rows = layouts.select("page_id", "seq", "type", "x0", "top", "x1", "bottom", "score")
+    if texts is not None:
+        edges = F.collect_list(F.struct("x0", "top", "x1", "bottom"))
+        rows = rows.join(texts.groupBy("page_id").agg(edges.alias("texts")), "page_id", "left")
+
+    def step(rows: list[dict]) -> list[tuple]:
+        return [(r["page_id"], r["seq"]) for r in clean(rows, rows[0].get("texts") or [], reach, least)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["top", "seq"]).to_dict("records")
-        return pd.DataFrame([(r["page_id"], r["seq"]) for r in clean(rows, [], reach, least)], columns=["page_id", "seq"])
+    return by_runs(rows, ("page_id",), ("top", "seq"), step, "page_id long, seq long", [pa.int64(), pa.int64()])
 
-    return layouts.select("page_id", "seq", "type", "x0", "top", "x1", "bottom", "score").groupBy("page_id").applyInPandas(run, "page_id long, seq long")
 
+def _ctc_kept(symbols: Column, blank: int) -> Column:
+    """(x, i) of the steps that begin a run of a symbol other than the blank."""
+    steps = F.transform(symbols, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.when(i == 0, True).otherwise(x != F.get(symbols, i - 1)).alias("new")))
+    return F.filter(steps, lambda s: s["new"] & (s["x"] != blank))
 
-def ctc_collapse(symbols: str, blank: int = 0):
+
+def ctc_collapse(symbols: str, blank: int = 0) -> Column:
     """Repeats collapsed, then blanks dropped, of an array of class numbers."""
-    a = F.col(symbols)
-    kept = F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), F.when(i == 0, True).otherwise(x != F.get(a, i - 1)).alias("new"))), lambda s: s["new"] & (s["x"] != blank))
-    return F.transform(kept, lambda s: s["x"])
+    return F.transform(_ctc_kept(F.col(symbols), blank), lambda s: s["x"])
+
+
+def ctc_confidence(symbols: str, scores: str, blank: int = 0) -> Column:
+    """The mean score of the steps that ``ctc_collapse`` keeps; 0 where it keeps none."""
+    kept = F.transform(_ctc_kept(F.col(symbols), blank), lambda s: F.get(F.col(scores), s["i"]))
+    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(0.0))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.text import block_type, caption
+from lamina.operators.runs import by_runs
 
 
 def align_parts(parts: DataFrame) -> DataFrame:
@@ -226,8 +227,8 @@ def rebuild(cells: DataFrame, english: bool = False) -> DataFrame:
     """(table_id, markdown, sentences) of tagged cells, with relocation and spans."""
     from lamina.operators.order import by_tag
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in pdf.sort_values("seq").to_dict("records")]
+    def step(rows: list[dict]) -> list[tuple]:
+        boxes = rows
         heights = [b["R_bott"] - b["R_top"] for b in boxes if b["R"] is not None]
         boxes = by_tag(boxes, "R", "x0", "top", "x0", min(heights, default=0) / 2)
         number_rows(boxes)
@@ -241,6 +242,6 @@ def rebuild(cells: DataFrame, english: bool = False) -> DataFrame:
         height, width = max(r for r, _ in places) + 1, max(c for _, c in places) + 1
         lines = ["| " + " | ".join(" ".join(b["text"] for b in places.get((r, c), [])) for c in range(width)) + " |\n" for r in range(height)]
         lines.insert(1, "| " + " | ".join(["---"] * width) + " |\n")
-        return pd.DataFrame([(boxes[0]["table_id"], "".join(lines), sentences(places, headers, english=english))], columns=["table_id", "markdown", "sentences"])
+        return [(boxes[0]["table_id"], "".join(lines), sentences(places, headers, english=english))]
 
-    return cells.groupBy("table_id").applyInPandas(run, "table_id long, markdown string, sentences array<string>")
+    return by_runs(cells, ("table_id",), ("seq",), step, "table_id long, markdown string, sentences array<string>", [pa.int64(), pa.string(), pa.list_(pa.string())])
