@@ -42,20 +42,24 @@ SQL = {
         SELECT o_orderkey {{d}} 20 AS doc_id, o_orderkey % 20 AS line_no,
                {_case("(o_orderkey * 5 + o_orderkey {d} 20) % 11", _LINES)} AS text
         FROM orders""",
+    # Tables of 24 cells, six rows by four columns, one table per 24 events. Every fifth has a cell over two columns, every
+    # fourth two header rows; edges of parts are a little off, row 4 of every third is recognised twice, and a cell of every seventh is empty.
     "table_parts": """
-        SELECT CAST(n_nationkey AS BIGINT) AS table_id, r AS seq, CASE WHEN r = 0 THEN 'table column header' ELSE 'table row' END AS label,
-               CAST(0 AS BIGINT) AS x0, CAST(30 * r AS BIGINT) AS top, CAST(470 AS BIGINT) AS x1, CAST(30 * r + 28 AS BIGINT) AS bottom
-        FROM nation, (SELECT o_orderkey AS r FROM orders WHERE o_orderkey < 6) rows_
-        UNION ALL
-        SELECT CAST(n_nationkey AS BIGINT), 6 + c, 'table column',
-               CAST(120 * c AS BIGINT), CAST(0 AS BIGINT), CAST(120 * c + 110 AS BIGINT), CAST(178 AS BIGINT)
-        FROM nation, (SELECT o_orderkey AS c FROM orders WHERE o_orderkey < 4) cols_""",
+        SELECT table_id, n AS seq,
+               CASE WHEN n = 0 OR (n = 1 AND table_id % 4 = 2) THEN 'table column header' WHEN n < 6 OR n = 11 THEN 'table row' WHEN n < 10 THEN 'table column' ELSE 'table spanning cell' END AS label,
+               CAST(CASE WHEN n < 6 THEN (table_id + n) % 3 WHEN n = 11 THEN 2 WHEN n < 10 THEN 120 * (n - 6) ELSE 120 END AS BIGINT) AS x0,
+               CAST(CASE WHEN n < 6 THEN 30 * n WHEN n = 11 THEN 121 WHEN n < 10 THEN (table_id + n) % 2 ELSE 30 END AS BIGINT) AS top,
+               CAST(CASE WHEN n < 6 THEN 470 - (table_id + n) % 3 WHEN n = 11 THEN 460 WHEN n < 10 THEN 120 * (n - 6) + 110 ELSE 350 END AS BIGINT) AS x1,
+               CAST(CASE WHEN n < 6 THEN 30 * n + 28 WHEN n = 11 THEN 147 WHEN n < 10 THEN 178 - (table_id + n) % 2 ELSE 58 END AS BIGINT) AS bottom,
+               CASE WHEN n = 11 THEN 0.5 ELSE 0.9 END AS score
+        FROM (SELECT event_id {d} 24 AS table_id, event_id % 24 AS n FROM events) e
+        WHERE n < 10 OR (n = 10 AND table_id % 5 = 1) OR (n = 11 AND table_id % 3 = 0)""",
     "table_cells": """
-        SELECT CAST(n_nationkey AS BIGINT) AS table_id, 4 * r + c AS seq,
-               CAST(120 * c + 5 + n_nationkey % 7 AS BIGINT) AS x0, CAST(30 * r + 3 + n_nationkey % 5 AS BIGINT) AS top,
-               CAST(120 * c + 95 + n_nationkey % 7 AS BIGINT) AS x1, CAST(30 * r + 21 + n_nationkey % 5 AS BIGINT) AS bottom,
-               CASE WHEN c = 3 THEN CAST(r * 10 + c AS VARCHAR(20)) ELSE concat(n_name, CAST(r AS VARCHAR(20)), CAST(c AS VARCHAR(20))) END AS text
-        FROM nation, (SELECT o_orderkey AS r FROM orders WHERE o_orderkey < 6) rows_, (SELECT o_orderkey AS c FROM orders WHERE o_orderkey < 4) cols_""",
+        SELECT table_id, n AS seq, CAST(120 * c + 5 + table_id % 7 AS BIGINT) AS x0, CAST(30 * r + 3 + table_id % 5 AS BIGINT) AS top,
+               CAST(120 * c + 95 + table_id % 7 AS BIGINT) AS x1, CAST(30 * r + 21 + table_id % 5 AS BIGINT) AS bottom,
+               CASE WHEN n = 14 AND table_id % 7 = 3 THEN '' WHEN c = 3 THEN CAST(r * 10 + c AS VARCHAR(20)) ELSE concat(event_type, CAST(r AS VARCHAR(20)), CAST(c AS VARCHAR(20))) END AS text,
+               CAST((event_id * 397) % 1000 AS DOUBLE) / 1000 AS score
+        FROM (SELECT event_id, event_type, event_id {d} 24 AS table_id, event_id % 24 AS n, event_id % 24 {d} 4 AS r, event_id % 4 AS c FROM events) e""",
     "rules": """
         SELECT p_partkey AS seq, lower(p_brand) AS wrong, upper(p_type) AS correct, p_partkey % 7 = 0 AS blocked, p_partkey % 5 AS seen_count
         FROM part""",
@@ -65,16 +69,14 @@ SQL = {
                       CASE c_custkey % 4 WHEN 0 THEN '_vlm_checked.md' WHEN 1 THEN '_ocr_raw.md' WHEN 2 THEN '_metadata.json' ELSE '_full.md' END) AS path
         FROM customer""",
 }
-_NEEDS = {"layout_boxes": "events", "ocr_boxes": "events", "mask_rows": "events", "heading_lines": "orders", "rules": "part", "files": "customer"}
+_NEEDS = {"table_parts": "events", "table_cells": "events", "layout_boxes": "events", "ocr_boxes": "events", "mask_rows": "events", "heading_lines": "orders", "rules": "part", "files": "customer"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived relation on Spark."""
-    tables = [_NEEDS[name]] if name in _NEEDS else ["nation", "orders"]
-    text = SQL[name].replace("{d}", "div")
-    for t in tables:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    table = _NEEDS[name]
+    text = SQL[name].replace("{d}", "div").replace(f"FROM {table}", f"FROM {{{table}}}")
+    return spark.sql(text, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
 
 def duck(name: str) -> str:

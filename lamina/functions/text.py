@@ -59,7 +59,7 @@ def checkbox(text: Column) -> Column:
 
 def too_short(text: Column, area: Column, least_area: int = 120_000, density: float = 0.00025) -> Column:
     n = F.length(stripped(text))
-    return (n > 0) & (area >= least_area) & (n / area < density)
+    return (n > 0) & (area >= least_area) & (n < density * area)
 
 
 def risk_categories(text: Column, area: Column | None = None) -> Column:
@@ -225,3 +225,38 @@ def log_tail(content: Column, offset: Column, most: int = 512 * 1024) -> list[Co
 
 def review_status(enabled: Column, run: Column, failed: Column) -> Column:
     return F.when(~enabled, "disabled").when(~run, "skipped").when(failed, "failed").otherwise("ok")
+
+
+def to_second(ms: Column) -> Column:
+    """Milliseconds cut to whole seconds."""
+    return (F.floor(ms / 1000) * 1000).cast("long")
+
+
+def seconds_between(earlier: Column, later: Column) -> Column:
+    """Whole seconds between two times in milliseconds, as text ``HH:MM:SS`` shows them; never below 0."""
+    return F.greatest(F.lit(0).cast("long"), F.floor((later - earlier) / 1000).cast("long"))
+
+
+def encoded(value: Column) -> Column:
+    """A struct as JSON: times as ``yyyy-MM-dd HH:mm:ss``, fields without a value left out."""
+    return F.to_json(value, {"timestampFormat": "yyyy-MM-dd HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """JSON read by an explicit schema; null where it is not of it."""
+    return F.from_json(text, schema, {"timestampFormat": "yyyy-MM-dd HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+
+
+def class_label(number: Column, names: tuple[str, ...]) -> Column:
+    """The name of a class in lower case; null out of range."""
+    return F.lower(F.when(number >= 0, F.get(F.array(*map(F.lit, names)), number.cast("int"))))
+
+
+def scored_enough(kind: Column, score: Column, least: float = 0.08, visual: float = 0.4, visuals: tuple[str, ...] = ("figure", "equation")) -> Column:
+    """Above the layout threshold, and for visual kinds at their own."""
+    return (score > least) & ~(kind.isin(*visuals) & (score < visual))
+
+
+def compact_regions(regions: Column) -> Column:
+    """Of each region what a review sees: content and layout type, and the asset's path where there is one."""
+    return F.transform(regions, lambda r: F.struct(r["type"].alias("layout_type"), F.nullif(r["asset_path"], F.lit("")).alias("asset_path")))

@@ -32,6 +32,17 @@ def best_overlap(boxes: DataFrame, others: DataFrame, least: float, keys: tuple[
     return found.groupBy(*keys, F.col("a_seq").alias("seq")).agg(F.max_by("b_seq", F.struct("ov", "ov2", "b_seq")).alias("hit"))
 
 
+def most_overlap(boxes: DataFrame, others: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(keys, seq, hit) of each box that shares an area with some other: the largest area, then the earlier."""
+    found = pairs(boxes, others, keys).withColumn("common", g.intersection("a_", "b_")).where("common > 0")
+    return found.groupBy(*keys, F.col("a_seq").alias("seq")).agg(F.max_by("b_seq", F.struct("common", -F.col("b_seq"))).alias("hit"))
+
+
+def numbered_pages(pages: DataFrame, document: str = "doc_id", page: str = "page_id") -> DataFrame:
+    """Pages with their number in the document, from 1."""
+    return pages.withColumn("page_number", F.row_number().over(Window.partitionBy(document).orderBy(page)).cast("long"))
+
+
 def nearest_column(boxes: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(keys, seq, hit): the column with the least edge or centre distance; the earlier of equals."""
     joined = prefixed(boxes, "a_", keys).join(prefixed(columns, "b_", keys), list(keys))

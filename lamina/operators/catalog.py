@@ -36,14 +36,23 @@ def condition(query: dict[str, Any]) -> Column:
 
 
 def page(df: DataFrame, query: dict[str, Any], order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:
-    """The rows of one page, each with ``total``, the number of rows that match; limit and offset count above 0 only."""
-    n = F.row_number().over(Window.orderBy(*order))
+    """The rows of one page, each with ``total``, the number of rows that match; limit and offset count above 0 only.
+
+    A page's rows have their ``place`` on it; without a limit all rows come, in order, and none is numbered.
+    """
     first = max(offset, 0)
     out = df.where(condition(query))
     total = out.agg(F.count(F.lit(1)).alias("total"))
     cut = out.orderBy(*order).offset(first) if first else out.orderBy(*order)
-    cut = cut.limit(limit) if limit > 0 else cut
-    return cut.crossJoin(F.broadcast(total)).withColumn("place", n)  # one row; a page's rows only are numbered
+    if limit <= 0:
+        return cut.crossJoin(F.broadcast(total))  # one row
+    n = F.row_number().over(Window.orderBy(*order))  # of ``limit`` rows
+    return cut.limit(limit).crossJoin(F.broadcast(total)).withColumn("place", n)  # one row
+
+
+def history(records: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Records of each key (an owner's jobs), numbered in order."""
+    return records.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def find(df: DataFrame, order_by: str = "create_time", descending: bool | None = None, **fields: Any) -> DataFrame:
@@ -100,6 +109,35 @@ def missing_jobs(folders: DataFrame, history: DataFrame) -> DataFrame:
     return latest_outputs(folders).join(history.select("job_id"), "job_id", "left_anti").withColumn("status", status)
 
 
+def job_state(started: Column, finished: Column, exit_code: Column, markdown: Column) -> Column:
+    """queued until it starts, running until it ends; succeeded with exit code 0 and a text, else failed."""
+    done = (exit_code == 0) & markdown.isNotNull()
+    return F.when(started.isNull(), "queued").when(finished.isNull(), "running").when(F.coalesce(done, F.lit(False)), "succeeded").otherwise("failed")
+
+
+def job_rows(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs as they are shown: times as text, elapsed seconds up to ``now`` while a job runs, names instead of paths, and what is there of them."""
+    name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    moment = lambda c: F.date_format(F.timestamp_millis((F.col(c) * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ssXX").alias(c)
+    elapsed = F.when(F.col("started_at").isNotNull(), F.greatest(F.lit(0.0), F.coalesce("finished_at", now) - F.col("started_at")))
+    hidden = ("input_path", "output_dir", "log_path", "markdown_path", "metadata_path", "review_path", "created_at", "started_at", "finished_at")
+    return jobs.select(
+        *[c for c in jobs.columns if c not in hidden], moment("created_at"), moment("started_at"), moment("finished_at"), elapsed.alias("elapsed_seconds"),
+        name("markdown_path").alias("markdown_name"), name("metadata_path").alias("metadata_name"), name("review_path").alias("changes_name"),
+        F.col("review_path").isNotNull().alias("changes_available"), F.col("markdown_path").isNotNull().alias("has_markdown"),
+    )
+
+
+def change_sources(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """(job_id, source, checked): the texts a review names, beside it, or else the newest of their kind."""
+    newest = lambda end: F.max_by(F.when(F.col("path").endswith(end), F.col("path")), F.when(F.col("path").endswith(end), F.struct("mtime", "path")))
+    found = files.groupBy("job_id").agg(newest("_ocr_raw.md").alias("raw"), newest("_vlm_checked.md").alias("newest"))
+    folder = F.regexp_extract("review_path", r"^(.*/)[^/]*$", 1)
+    named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(folder, F.col(c)))
+    both = jobs.join(found, "job_id", "left")
+    return both.select("job_id", F.coalesce(named("source_name"), "raw").alias("source"), F.coalesce(named("checked_name"), "newest").alias("checked"))
+
+
 def duration(started: Column, finished: Column) -> Column:
     return F.greatest(F.lit(0.0), finished - started)
 

@@ -16,8 +16,15 @@ MAX_CHARS, MAX_LINES, MIN_SIMILARITY, SNIPPET = 240, 4, 0.72, 1800
 MARKERS = ("![", "<table", "</table", "assets/")
 
 
+def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Line hunks by longest matching blocks, adjacent ones of a kind as one."""
+    if a == b:
+        return [("equal", 0, len(a), 0, len(b))] if a else []
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def hunks(docs: DataFrame, source: str = "source_text", checked: str = "checked_text") -> DataFrame:
-    """(doc_id, hunk, kind, source_line, checked_line, original, output): all line hunks of two texts; equal ones have change_id null."""
+    """(doc_id, hunk, change_id, kind, source_line, checked_line, original, output): all line hunks of two texts; equal ones have change_id null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -25,7 +32,7 @@ def hunks(docs: DataFrame, source: str = "source_text", checked: str = "checked_
             for doc_id, a, b in zip(pdf["doc_id"], pdf[source], pdf[checked], strict=True):
                 a, b = (a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True)
                 change = 0
-                for i, (kind, a0, a1, b0, b1) in enumerate(difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()):
+                for i, (kind, a0, a1, b0, b1) in enumerate(opcodes(a, b)):
                     rows.append((doc_id, i, None if kind == "equal" else change, kind, a0 + 1, b0 + 1, "".join(a[a0:a1]), "".join(b[b0:b1])))
                     change += kind != "equal"
             out = pd.DataFrame(rows, columns=["doc_id", "hunk", "change_id", "kind", "source_line", "checked_line", "original", "output"])
@@ -81,36 +88,72 @@ def not_blocked(rules: DataFrame, blocked: DataFrame | None = None) -> DataFrame
     return left if blocked is None else left.join(blocked.select("wrong", "correct").distinct(), ["wrong", "correct"], "left_anti")
 
 
+#: Rules that are folded over the texts in one pass.
+RULES_A_PASS = 5_000
+
+
 def replay(texts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """``texts`` with ``corrected`` and ``applied`` (array of (id, n)), rules in order of length, longest first.
 
-    The rule list is the user's memory, a small table; it is folded over each
-    text so that later rules see what earlier ones changed.
+    Rules are counted: they are folded over each text ``RULES_A_PASS`` at a time,
+    so that later rules see what earlier ones changed and no pass sends more.
     """
     usable = rules.where((F.coalesce("wrong", F.lit("")) != "") & (F.col("wrong") != F.col("correct")))
-    order = F.array_sort(F.collect_list(F.struct((-F.length("wrong")).alias("n"), "seq", "id", "wrong", "correct")))
-    listed = usable.agg(order.alias("rules"))
-    start = F.struct(F.col(text).alias("t"), F.array().cast("array<struct<id:string,n:int>>").alias("applied"))
+    if "blocked" in rules.columns:
+        usable = usable.where(~F.coalesce("blocked", F.lit(False)))
+    first = [(-F.length("wrong")).alias("n"), F.col("seq"), F.col("id")]
+    passes = max(1, -(-usable.count() // RULES_A_PASS))
+    if passes > 1:
+        usable = usable.withColumn("pass", F.ntile(passes).over(Window.orderBy(*first)))  # the user's memory, narrow rows
+    start = F.struct(F.col("corrected").alias("t"), F.col("applied"))
 
     def step(acc: Column, rule: Column) -> Column:
+        changed = F.replace(acc["t"], rule["wrong"], rule["correct"])
         n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], rule["wrong"], F.lit("")))) / F.length(rule["wrong"])).cast("int")
-        done = F.when(n > 0, F.concat(acc["applied"], F.array(F.struct(rule["id"].alias("id"), n.alias("n"))))).otherwise(acc["applied"])
-        return F.struct(F.replace(acc["t"], rule["wrong"], rule["correct"]).alias("t"), done.alias("applied"))
+        more = F.concat(acc["applied"], F.array(F.struct(rule["id"].alias("id"), n.alias("n"))))
+        return F.when(acc["t"].contains(rule["wrong"]), F.struct(changed.alias("t"), more.alias("applied"))).otherwise(acc)
+
+    out = texts.withColumn("corrected", F.col(text)).withColumn("applied", F.array().cast("array<struct<id:string,n:int>>"))
+    for i in range(passes):
+        own = usable if passes == 1 else usable.where(F.col("pass") == i + 1)
+        listed = own.agg(F.array_sort(F.collect_list(F.struct(*first, "wrong", "correct"))).alias("rules"))
+        folded = out.crossJoin(F.broadcast(listed)).withColumn("out", F.aggregate("rules", start, step))  # one row of RULES_A_PASS rules at most
+        out = folded.select(*texts.columns, F.col("out.t").alias("corrected"), F.col("out.applied").alias("applied"))
+    return out
 
-    folded = texts.crossJoin(F.broadcast(listed)).withColumn("out", F.aggregate("rules", start, step))  # one row
-    return folded.select(*texts.columns, F.col("out.t").alias("corrected"), F.col("out.applied").alias("applied"))
+
+def count_applied(rules: DataFrame, replayed: DataFrame) -> DataFrame:
+    """``rules`` with their counters raised by what was applied to ``replayed``."""
+    used = replayed.select(F.explode("applied").alias("a")).groupBy(F.col("a.id").alias("id")).agg(F.sum("a.n").alias("n"))
+    return rules.join(used, "id", "left").withColumn("applied_count", F.coalesce("applied_count", F.lit(0)) + F.coalesce("n", F.lit(0))).drop("n")
+
+
+def rule_order(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Rules of each key (a user's memory) with their ``place``: the longest first, equal ones as they came."""
+    return rules.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.length("wrong").desc(), "seq")))
 
 
 def learn(rules: DataFrame, found: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """(id, wrong, correct, seen_count, applied_count): known rules seen once more per candidate, new ones from one."""
+    """The rules after the candidates of ``found``, in order of its column ``at``.
+
+    A known rule is seen once more per candidate, and each of the candidate's
+    fields that is not null replaces the rule's; a new rule starts from its first
+    candidate in the same way, not applied yet and not blocked. Candidates of
+    blocked pairs, listed or by their rule, teach nothing.
+    """
+    own = ("wrong", "correct", *[c for c in found.columns if c not in ("id", "at", "wrong", "correct")])
     fresh = found if blocked is None else found.join(blocked.select("wrong", "correct").distinct(), ["wrong", "correct"], "left_anti")
-    fresh = fresh.groupBy("id").agg(F.first("wrong").alias("w"), F.first("correct").alias("c"), F.count(F.lit(1)).alias("n"))
-    both = rules.select("id", "wrong", "correct", "seen_count", "applied_count").join(fresh, "id", "full_outer")
+    if "blocked" in rules.columns:
+        fresh = fresh.join(rules.where("blocked").select("id"), "id", "left_anti")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"new_{c}")
+    fresh = fresh.groupBy("id").agg(*[last(c) for c in own], F.count(F.lit(1)).alias("n"))
+    both = rules.join(fresh, "id", "full_outer")
     zero = F.lit(0).cast("long")
+    merged = [F.coalesce(f"new_{c}", c).alias(c) if c in rules.columns else F.col(f"new_{c}").alias(c) for c in own]
+    kept = [F.coalesce(c, F.lit(False)).alias(c) if c == "blocked" else F.col(c) for c in rules.columns if c not in ("id", "seen_count", "applied_count", *own)]
     return both.select(
-        "id", F.coalesce("wrong", "w").alias("wrong"), F.coalesce("correct", "c").alias("correct"),
-        (F.coalesce("seen_count", zero) + F.coalesce("n", zero)).alias("seen_count"), F.coalesce("applied_count", zero).alias("applied_count"),
-    )
+        "id", *merged, *kept, (F.coalesce("seen_count", zero) + F.coalesce("n", zero)).alias("seen_count"), F.coalesce("applied_count", zero).alias("applied_count")
+    )
 
 
 def set_blocked(rules: DataFrame, commands: DataFrame) -> DataFrame:
@@ -119,6 +162,29 @@ def set_blocked(rules: DataFrame, commands: DataFrame) -> DataFrame:
     return rules.join(last, "id", "left").withColumn("blocked", F.coalesce("b", "blocked")).drop("b")
 
 
+def blocked_pairs(blocked: DataFrame, commands: DataFrame) -> DataFrame:
+    """(wrong, correct, at) pairs that are blocked after ``commands`` (wrong, correct, blocked, at): the last command of a pair replaces its entry."""
+    valid = commands.where((F.coalesce("wrong", F.lit("")) != "") & (F.coalesce("correct", F.lit("")) != "") & (F.col("wrong") != F.col("correct")))
+    last = valid.groupBy("wrong", "correct").agg(F.max_by("blocked", "at").alias("b"), F.max("at").alias("at"))
+    kept = blocked.select("wrong", "correct", "at").join(last.select("wrong", "correct"), ["wrong", "correct"], "left_anti")
+    return kept.unionByName(last.where("b").select("wrong", "correct", "at"))
+
+
+def change_texts(changes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, change_id, wrong, correct) of the changes named in ``wanted`` (doc_id, change_id), white space at the ends dropped."""
+    found = changes.where("change_id IS NOT NULL").join(wanted.select("doc_id", "change_id").distinct(), ["doc_id", "change_id"], "left_semi")
+    return found.select("doc_id", "change_id", stripped(F.col("original")).alias("wrong"), stripped(F.col("output")).alias("correct"))
+
+
+def reverse_changes(changes: DataFrame, ids: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, markdown, block commands) after ``commands`` (doc_id, change_id, on, at): the reversed sets, the texts they make, and what they block or free."""
+    last = commands.groupBy("doc_id", "change_id").agg(F.max_by("on", "at").alias("on"), F.max("at").alias("at"))
+    kept = ids.select("doc_id", "change_id").join(last, ["doc_id", "change_id"], "left_anti")
+    now = kept.unionByName(last.where("on").select("doc_id", "change_id"))
+    blocks = change_texts(changes, last).join(last, ["doc_id", "change_id"]).select("wrong", "correct", F.col("on").alias("blocked"), "at")
+    return now, effective(changes, now), blocks
+
+
 def change_rows(changes: DataFrame, reversed_ids: DataFrame) -> DataFrame:
     """Numbered changes with their texts cut short and whether they are reversed."""
     marker = "\n... [truncated]"

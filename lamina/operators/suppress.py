@@ -6,6 +6,8 @@ Clean-up goes back and forth between neighbours; it runs over sorted rows.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +88,29 @@ def clean_layouts(layouts: DataFrame, reach: int = 5, least: float = 0.6, texts:
     return by_runs(rows, ("page_id",), ("top", "seq"), step, "page_id long, seq long", [pa.int64(), pa.int64()])
 
 
+#: Kinds of table parts that are cleaned up together: pattern of the label, and the share that makes two of them one.
+PART_KINDS = ((".* (row|header)", 0.6), (".*spanning", 0.6), ("table column$", 0.5))
+
+
+def clean_parts(parts: DataFrame, reach: int = 5) -> DataFrame:
+    """Table parts without those that stand for one already kept: rows and headers, spans, and columns by themselves.
+
+    Rows and spans are scanned from top to bottom, columns from left to right.
+    """
+
+    def step(rows: list[dict]) -> list[tuple]:
+        kept = []
+        for pattern, least in PART_KINDS:
+            own = [{**r, "type": None} for r in rows if re.match(pattern, r["label"])]
+            own.sort(key=lambda r: (r["x0"] if "column$" in pattern else r["top"], r["seq"]))
+            kept += [(r["table_id"], r["seq"]) for r in clean(own, [], reach, least)]
+        return sorted(set(kept))
+
+    narrow = parts.select("table_id", "seq", "label", "x0", "top", "x1", "bottom", "score")
+    kept = by_runs(narrow, ("table_id",), ("seq",), step, "table_id long, seq long", [pa.int64(), pa.int64()])
+    return parts.join(kept, ["table_id", "seq"], "left_semi")
+
+
 def _ctc_kept(symbols: Column, blank: int) -> Column:
     """(x, i) of the steps that begin a run of a symbol other than the blank."""
     steps = F.transform(symbols, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.when(i == 0, True).otherwise(x != F.get(symbols, i - 1)).alias("new")))

@@ -7,13 +7,14 @@ table in a grouped Arrow function, since each step depends on the one before.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.text import block_type, caption
+from lamina.functions.text import BLOCK_TYPES, CAPTION, block_type, caption
 from lamina.operators.runs import by_runs
 
 
@@ -223,25 +224,59 @@ def sentences(places: dict[tuple[int, int], list[dict]], headers: set[int], titl
     return [f"{t}\t——{' in ' if english else '来自'}“{title}”" for t in out] if title else out
 
 
+def kind_of(text: str) -> str:
+    """The block type of a text; "" if it has none."""
+    return next((kind for pattern, kind in BLOCK_TYPES if re.search(pattern, text.strip())), "")
+
+
+def header_lines(boxes: list[dict]) -> set[int]:
+    """Rows of which more than half of the places are headers, as ``header_rows`` has them: the first header part has number 0 and marks none."""
+    kinds = Counter(kind_of(b["text"]) for b in boxes)
+    numbers = max(kinds, key=kinds.get) == "Nu"
+    places: dict[tuple[int, int], list[dict]] = defaultdict(list)
+    for b in boxes:
+        places[b["rn"], b["cn"]].append(b)
+    seen, found = Counter(), Counter()
+    for (r, _), own in places.items():
+        number = kind_of(own[0]["text"]) == "Nu"
+        seen[r] += 1
+        found[r] += not (numbers and number) and (numbers or any(b["H"] for b in own))
+    return {r for r in seen if 2 * found[r] > seen[r]}
+
+
 def rebuild(cells: DataFrame, english: bool = False) -> DataFrame:
-    """(table_id, markdown, sentences) of tagged cells, with relocation and spans."""
-    from lamina.operators.order import by_tag
+    """(table_id, markdown, sentences) of tagged cells, with captions, relocation and spans."""
+    from lamina.operators.order import by_tag, fuzzy
+
+    def is_caption(b: dict) -> bool:
+        return bool(re.match(CAPTION, b["text"].strip())) or "caption" in (b.get("layout_type") or "")
 
     def step(rows: list[dict]) -> list[tuple]:
-        boxes = rows
+        table = rows[0]["table_id"]
+        said = [b["text"] for b in rows if is_caption(b)]
+        boxes = [b for b in rows if not is_caption(b)]
+        if not boxes:
+            return [(table, "", [])]
         heights = [b["R_bott"] - b["R_top"] for b in boxes if b["R"] is not None]
         boxes = by_tag(boxes, "R", "x0", "top", "x0", min(heights, default=0) / 2)
         number_rows(boxes)
         widths = [b["C_right"] - b["C_left"] for b in boxes if b["C"] is not None]
-        boxes = by_tag(boxes, "C", "top", "x0", "top", min(widths, default=0) / 2)
+        slack = min(widths, default=0) / 2
+        # Columns of a table on several pages are told apart by place alone.
+        pages = {b.get("page_number") for b in boxes}
+        boxes = fuzzy(boxes, "x0", "top", slack) if len(pages) > 1 else by_tag(boxes, "C", "top", "x0", "top", slack)
         number_columns(boxes)
         relocate(boxes, "cn", "rn", "x0", "x1")
         relocate(boxes, "rn", "cn", "top", "bottom")
-        headers = {r for r in {b["rn"] for b in boxes} if 2 * sum(bool(b["H"]) or b["H"] == 0 for b in boxes if b["rn"] == r) > sum(b["rn"] == r for b in boxes)}
+        headers = header_lines(boxes)
         places = fill_spans(boxes)
         height, width = max(r for r, _ in places) + 1, max(c for _, c in places) + 1
         lines = ["| " + " | ".join(" ".join(b["text"] for b in places.get((r, c), [])) for c in range(width)) + " |\n" for r in range(height)]
         lines.insert(1, "| " + " | ".join(["---"] * width) + " |\n")
-        return [(boxes[0]["table_id"], "".join(lines), sentences(places, headers, english=english))]
+        title = " ".join(said)
+        if title:
+            lines.insert(0, f"**{title}**\n\n")
+        return [(table, "".join(lines), sentences(places, headers, title, english))]
+
 
     return by_runs(cells, ("table_id",), ("seq",), step, "table_id long, markdown string, sentences array<string>", [pa.int64(), pa.string(), pa.list_(pa.string())])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
-from lamina.functions.text import risk_categories, severity
+from lamina.functions.text import ambiguous, checkbox, risk_categories, sensitive, severity, slug
 from lamina.operators import assign, memory, order, stats, suppress, tables
 
+LINE_RISKS = (("sensitive_value", sensitive), ("ambiguous_characters", ambiguous), ("checkbox_or_selection", checkbox))
 #: Transforms by name, for use with ``DataFrame.transform``.
 REGISTRY = {
     "clean_layouts": lambda df: df.join(suppress.clean_layouts(df), ["page_id", "seq"], "left_semi"),
@@ -18,11 +19,16 @@ REGISTRY = {
 }
 
 
-def extract_tables(cells: DataFrame, parts: DataFrame) -> DataFrame:
-    """(table_id, markdown) from cells and table parts; degenerate and empty cells are dropped."""
-    fit = cells.where(~g.degenerate() & (F.trim("text") != ""))
-    tagged = assign.tag_cells(fit, tables.align_parts(parts))
-    return tables.markdown(tables.grid_texts(tables.grid(tagged)))
+def extract_tables(cells: DataFrame, parts: DataFrame, english: bool = False) -> DataFrame:
+    """(table_id, markdown, sentences, confidence columns) of recognised lines in tables and table parts.
+
+    Degenerate and empty lines are left out; overlapping parts are cleaned up;
+    a table without lines left has the text "" and keeps its statistics.
+    """
+    confidence = stats.line_stats(cells, ["table_id"]).drop("score_sum")
+    fit = cells.where(~g.degenerate() & (F.coalesce("text", F.lit("")) != ""))
+    built = tables.rebuild(assign.tag_cells(fit, suppress.clean_parts(tables.align_parts(parts))), english)
+    return confidence.join(built, "table_id", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
 
 
 def text_risks(lines: DataFrame) -> DataFrame:
@@ -34,6 +40,18 @@ def text_risks(lines: DataFrame) -> DataFrame:
     return out.select("page_id", "seq", "risk_id", "category", severity(F.col("category")).alias("severity"), F.substring("text", 1, 1000).alias("text"))
 
 
+def risks_by_group(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, category, severity, n_risks, n_docs) of the lines of ``docs`` (keys, text).
+
+    A text is split into lines only where the whole text has the category at
+    all; each document then adds one number a category, with no row a line.
+    """
+    lines = F.split("text", "\n")
+    counts = [F.struct(F.lit(name).alias("category"), F.when(test(F.col("text")), F.size(F.filter(lines, test))).otherwise(0).cast("long").alias("n")) for name, test in LINE_RISKS]
+    found = docs.select(*keys, F.explode(F.array(*counts)).alias("c")).where("c.n > 0").select(*keys, "c.category", "c.n")
+    return found.groupBy(*keys, "category", severity(F.col("category")).alias("severity")).agg(F.sum("n").alias("n_risks"), F.count(F.lit(1)).alias("n_docs"))
+
+
 def structural_risks(layouts: DataFrame, width: int, height: int) -> DataFrame:
     """(page_id, category, severity) of multi-column pages, tables and visual marks."""
     pages = stats.multi_column_pages(layouts, width, height).where("multi_column").select("page_id", F.lit("multi_column_page").alias("category"))
@@ -42,18 +60,18 @@ def structural_risks(layouts: DataFrame, width: int, height: int) -> DataFrame:
     return found.withColumn("severity", severity(F.col("category")))
 
 
-def review(lines: DataFrame, layouts: DataFrame, key: str = "page_id", gate: stats.Gate = stats.Gate()) -> DataFrame:
-    """(key, reasons, run): the review gate on line and layout statistics and text risks."""
+def review(lines: DataFrame, layouts: DataFrame, key: str = "page_id", gate: stats.Gate = stats.Gate(), trigger: str = "low_confidence") -> DataFrame:
+    """(key, reasons, enabled, run, trigger, reason): the review gate on line and layout statistics and text risks."""
     ours = stats.line_stats(lines, [key])
     theirs = stats.layout_stats(layouts, [key])
     theirs = theirs.select(key, *[F.col(c).alias(f"l_{c}") for c in theirs.columns if c != key])
     has_text = layouts.groupBy(key).agg(F.bool_or(F.col("type").isin("text", "title", "table")).alias("has_text"))
-    uncertain = lines.withColumn("c", risk_categories(F.col("text"), g.area())).groupBy(key).agg(
-        F.count_if(F.arrays_overlap("c", F.array(F.lit("ocr_too_short_for_region"), F.lit("ambiguous_characters")))).alias("uncertain")
-    )
-    both = ours.join(theirs, key, "full_outer").join(has_text, key, "left").join(uncertain, key, "left").fillna(0, ["line_count", "l_region_count", "uncertain"]).fillna(False, ["has_text"])
+    risks = lines.groupBy(key).agg(F.flatten(F.collect_list(risk_categories(F.col("text"), g.area()))).alias("risks"))
+    both = ours.join(theirs, key, "full_outer").join(has_text, key, "left").join(risks, key, "left")
+    both = both.fillna(0, ["line_count", "low_score_ratio", "l_region_count", "l_low_score_ratio"]).fillna(False, ["has_text"])
     out = both.withColumn("reasons", stats.gate_reasons(gate))
-    return out.select(key, "reasons", stats.decision("low_confidence", F.col("reasons"), F.col("uncertain")).alias("run"))
+    count = F.coalesce(F.size("risks"), F.lit(0))
+    return out.select(key, "reasons", stats.decision(F.lit(trigger), F.col("reasons"), count).alias("d")).select(key, "reasons", "d.*")
 
 
 def assemble(regions: DataFrame) -> DataFrame:
@@ -63,9 +81,43 @@ def assemble(regions: DataFrame) -> DataFrame:
 
 
 def metadata(regions: DataFrame, headings: DataFrame, risks: DataFrame) -> DataFrame:
-    """Counts per document: pages, regions, assets, headings, risks."""
+    """Per document: how many pages, regions, assets, headings and risks, and the headings and risks themselves in page order."""
     own = regions.groupBy("doc_id").agg(
         F.countDistinct("page_no").alias("pages"), F.count(F.lit(1)).alias("regions"), F.count_if(F.col("content_type") == "image").alias("assets")
     )
-    per = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    return own.join(per(headings, "headings"), "doc_id", "left").join(per(risks, "risks"), "doc_id", "left").fillna(0)
+
+    def per(df: DataFrame, name: str) -> DataFrame:
+        fields = [c for c in df.columns if c not in ("doc_id", "page_no", "seq")]
+        items = F.array_sort(F.collect_list(F.struct("page_no", "seq", *fields)))
+        return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name), items.alias(f"{name}_list"))
+
+    return own.join(per(headings, "headings"), "doc_id", "left").join(per(risks, "risks"), "doc_id", "left").fillna(0, ["headings", "risks"])
+
+
+def envelope(documents: DataFrame, inputs: str) -> DataFrame:
+    """``documents`` (doc_id, output_path) with the fixed fields of a document's metadata; the time is the query's."""
+    return documents.select(
+        "doc_id", F.lit(inputs).alias("input"), F.regexp_extract("output_path", r"([^/]*)$", 1).alias("output_markdown"),
+        F.lit("assets").alias("assets_dir"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+    )
+
+
+def risk_assets(risks: DataFrame, most: int, width: int, height: int) -> DataFrame:
+    """The first ``most`` risks of each page with the name of their crop.
+
+    A risk that has an asset keeps it, one without a box, or whose padded box is
+    empty, gets none; a new file has the number of assets the page has by then, plus one.
+    """
+    order = Window.partitionBy("page_id").orderBy("seq")
+    box = g.clamped_box(width, height, pad=24)
+    x0, top, x1, bottom = (c for c in box)
+    crop = (F.greatest(F.lit(0), x1 - x0) * F.greatest(F.lit(0), bottom - top)) > 0
+    own = F.coalesce("asset_path", F.lit("")) != ""
+    new = ~own & F.col("x0").isNotNull() & crop & (F.col("nth") <= most)
+    listed = risks.withColumn("nth", F.row_number().over(order))
+    # All assets that the page came with count from the start; new ones in order.
+    had = F.count_if(own).over(Window.partitionBy("page_id"))
+    made = F.count_if(F.coalesce(new, F.lit(False))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    name = F.format_string("page_%03d_risk_%03d_%s.png", F.col("page_id"), had + made, slug(F.col("category")))
+    path = F.when(own, F.col("asset_path")).when(F.coalesce(new, F.lit(False)), name)
+    return listed.withColumn("asset_path", path).drop("nth")

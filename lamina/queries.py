@@ -48,13 +48,22 @@ _CHECKBOX_SQL = r"regexp_matches(lower(text), '(\[[ x]\]|☐|☑|✓|□|■|che
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Risk categories of document lines by language."""
-    lines = _docs(spark, sf).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line"))
-    risks = lines.select("lang", "doc_id", F.explode(t.risk_categories(F.col("line"))).alias("category"))
-    return risks.groupBy("lang", "category", t.severity(F.col("category")).alias("severity")).agg(
-        F.count(F.lit(1)).alias("n_risks"), F.countDistinct("doc_id").alias("n_docs")
-    )
-
-
+    return document.risks_by_group(_docs(spark, sf), ["lang"])
+
+
+# The counterpart's engine has no look-ahead. So by cases: from a word boundary, letters or ? with an ambiguous one among them and a
+# digit after these (begun by a letter after no word character, or by ? after one); then an end at a boundary, three characters on.
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_TWO = r"[A-Za-z][A-Za-z?]*[OolIS?][A-Za-z?]*[0-9]"
+_BEGUN = rf"((^|[^{_WORD}])({_TWO}|[OolIS][A-Za-z?]*[0-9])|[{_WORD}]\?[A-Za-z?]*[0-9])"
+_THREE = rf"((^|[^{_WORD}])({_TWO}|[OolIS][A-Za-z?]+[0-9])|[{_WORD}]\?[A-Za-z?]+[0-9])"
+_AMBIGUOUS_SQL = rf"regexp_matches(text, '{_BEGUN}[A-Za-z0-9?]*([A-Za-z0-9]([^{_WORD}]|$)|\?[{_WORD}])|{_THREE}([^{_WORD}]|$)')"
+_FLAG_LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text FROM documents"
+ORACLE_SQL["t5_risks_by_language"] = f"""WITH l AS ({_FLAG_LINES}),
+r AS (SELECT doc_id, lang, 'sensitive_value' AS category, 'high' AS severity FROM l WHERE {_SENSITIVE_SQL}
+UNION ALL SELECT doc_id, lang, 'ambiguous_characters', 'high' FROM l WHERE {_AMBIGUOUS_SQL}
+UNION ALL SELECT doc_id, lang, 'checkbox_or_selection', 'medium' FROM l WHERE {_CHECKBOX_SQL})
+SELECT lang, category, severity, count(*) AS n_risks, count(DISTINCT doc_id) AS n_docs FROM r GROUP BY lang, category, severity"""
 QUERIES["t5_risks_by_language"] = flagship
 
 
@@ -63,7 +72,7 @@ def t1_sensitive_value(spark, sf):
     return _docs(spark, sf).select("doc_id", t.sensitive(F.col("text")).alias("sensitive"))
 
 
-@register()
+@register(f"SELECT doc_id, {_AMBIGUOUS_SQL} AS ambiguous FROM documents")
 def t2_ambiguous_characters(spark, sf):
     return _docs(spark, sf).select("doc_id", t.ambiguous(F.col("text")).alias("ambiguous"))
 
@@ -73,9 +82,9 @@ def t3_checkbox(spark, sf):
     return _docs(spark, sf).select("doc_id", t.checkbox(F.col("text")).alias("checkbox"))
 
 
-@register("SELECT doc_id, length(trim(text)) > 0 AND doc_id * 40000 >= 120000 AND length(trim(text, ' \t\n\r')) / (doc_id * 40000) < 0.00025 AS too_short FROM documents WHERE doc_id > 0")
+@register("SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(trim(text, ' \t\n\r')) > 0 AND doc_id * 40000 >= 120000 AND length(trim(text, ' \t\n\r')) / nullif(doc_id * 40000, 0) < 0.00025 END AS too_short FROM documents")
 def t4_too_short(spark, sf):
-    return _docs(spark, sf).where("doc_id > 0").select("doc_id", t.too_short(F.col("text"), F.col("doc_id") * 40000).alias("too_short"))
+    return _docs(spark, sf).select("doc_id", t.too_short(F.col("text"), F.col("doc_id") * 40000).alias("too_short"))
 
 
 @register(f"""SELECT page_id, 'table_or_form_block' AS category, 'high' AS severity FROM {LAYOUT} l WHERE type = 'table'
@@ -119,7 +128,9 @@ def t9_headings(spark, sf):
     return headings.classify(relation(spark, sf, "heading_lines"))
 
 
-@register()
+@register(f"""WITH h AS ({ORACLE_SQL["t9_headings"]})
+SELECT l.doc_id, string_agg(CASE WHEN h.level IS NULL THEN l.text ELSE repeat('#', CAST(h.level AS BIGINT)) || ' ' || h.heading END, chr(10) ORDER BY l.line_no) AS markdown
+FROM {LINES} l LEFT JOIN h ON h.doc_id = l.doc_id AND h.line_no = l.line_no GROUP BY l.doc_id""")
 def t10_apply_headings(spark, sf):
     lines = relation(spark, sf, "heading_lines")
     return headings.apply(lines, headings.classify(lines))
@@ -170,14 +181,17 @@ def s3_file_kind(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.file_kind(name).alias("kind"), t.may_upload(name).alias("upload"))
 
 
-@register("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(url, '[^/]*$'), '[^\\p{L}\\p{N}._\\- ()]', '', 'g')), ''), 'upload') AS name FROM pages WHERE NOT ends_with(url, '/')")
+@register("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '[^\\p{L}\\p{N}._\\- ()]', '', 'g')), ''), 'upload') AS name FROM pages")
 def s5_safe_filename(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").where("NOT endswith(url, '/')").select("page_id", t.safe_filename(F.col("url")).alias("name"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.safe_filename(F.col("url")).alias("name"))
+
 
+_JOB = "'out/job' || CAST(job_id AS VARCHAR) || '/job' || CAST(job_id AS VARCHAR) || '_"
 
-@register(f"SELECT file_id, 'out/job' || CAST(job_id AS VARCHAR) || '/job' || CAST(job_id AS VARCHAR) || '_metadata.json' AS metadata_json FROM {FILES} f")
+
+@register("SELECT file_id, " + ", ".join(f"{_JOB}{n}' AS {n.replace('.', '_')}" for n in ("full.md", "metadata.json", "ocr_raw.md", "vlm_checked.md", "vlm_review.json")) + f" FROM {FILES} f")
 def s6_artifact_paths(spark, sf):
-    return relation(spark, sf, "files").select("file_id", *t.artifact_paths(F.col("path"))).select("file_id", "metadata_json")
+    return relation(spark, sf, "files").select("file_id", *t.artifact_paths(F.col("path")))
 
 
 @register("SELECT p_partkey, printf('page_%03d_region_%03d_%s.png', CAST(p_partkey % 1000 AS INTEGER), p_size, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'image')) AS asset FROM part")
@@ -191,23 +205,31 @@ def s9_latest_outputs(spark, sf):
     return catalog.latest_outputs(relation(spark, sf, "files"))
 
 
-@register("SELECT doc_id, strlen(text) > 256 AS truncated FROM documents")
+@register("SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN text[1:256] ELSE 'wide' END AS preview, strlen(text) > 256 AS truncated FROM documents")
 def s10_preview(spark, sf):
-    return _docs(spark, sf).select("doc_id", *t.preview(F.col("text").cast("binary"), 256)).select("doc_id", "truncated")
+    found = _docs(spark, sf).select("doc_id", "text", *t.preview(F.col("text").cast("binary"), 256))
+    # The counterpart cannot cut a character in two: texts beyond ASCII are held against it by their flag alone.
+    wide = F.octet_length("text") > F.length("text")
+    return found.select("doc_id", F.when(wide, "wide").otherwise(F.col("preview")).alias("preview"), "truncated")
 
 
-@register("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer""")
+@register("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 2 ELSE 1 END AS update_time, 1 AS create_time FROM customer""")
 def s14_upsert(spark, sf):
-    old = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
-    new = old.where("c_custkey % 3 = 0")
+    old = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", F.lit(1).alias("update_time"), F.lit(1).alias("create_time"))
+    new = old.where("c_custkey % 3 = 0").withColumn("update_time", F.expr("IF(c_custkey % 2 = 0, 2, 1)")).withColumn("create_time", F.lit(9))
     new = new.withColumn("seq", F.lit(0)).withColumn("c_acctbal", F.lit(0.0)).unionByName(new.withColumn("seq", F.lit(1)).withColumn("c_acctbal", F.col("c_acctbal") + 1))
     return catalog.upsert(old, new, "c_custkey")
 
 
-@register(f"SELECT job_id, max(CASE WHEN ends_with(path, '_metadata.json') THEN printf('%05d', mtime) || path END)[6:] AS metadata FROM {FILES} f WHERE job_id % 2 = 1 GROUP BY job_id")
+_NEWEST = "max(CASE WHEN ends_with(path, '{}') THEN printf('%05d', mtime) || path END)[6:]"
+
+
+@register(f"""SELECT *, CASE WHEN markdown IS NULL THEN 'failed' ELSE 'succeeded' END AS status FROM (
+  SELECT job_id, coalesce({_NEWEST.format('_vlm_checked.md')}, {_NEWEST.format('_full.md')}, {_NEWEST.format('_ocr_raw.md')}) AS markdown, {_NEWEST.format('_metadata.json')} AS metadata
+  FROM {FILES} f WHERE job_id % 2 = 1 GROUP BY job_id) j""")
 def s13_missing_jobs(spark, sf):
     files = relation(spark, sf, "files")
-    return catalog.missing_jobs(files, files.where("job_id % 2 = 0").select("job_id").distinct()).select("job_id", "metadata")
+    return catalog.missing_jobs(files, files.where("job_id % 2 = 0").select("job_id").distinct()).select("job_id", "markdown", "metadata", "status")
 
 
 @register(f"SELECT page_id, seq, greatest(0, least(x0 - 24, 640)) AS x0, greatest(0, least(top - 24, 800)) AS top, greatest(0, least(x1 + 24, 640)) AS x1, greatest(0, least(bottom + 24, 800)) AS bottom, (x1 - x0) * (bottom - top) AS area FROM {LAYOUT} l")
@@ -218,7 +240,7 @@ def p2_padded_box(spark, sf):
 
 @register(f"SELECT page_id, seq, type FROM {LAYOUT} l WHERE score > 0.08 AND NOT (type IN ('figure', 'equation') AND score < 0.4)")
 def p6_score_filter(spark, sf):
-    return relation(spark, sf, "layout_boxes").where("score > 0.08 AND NOT (type IN ('figure', 'equation') AND score < 0.4)").select("page_id", "seq", "type")
+    return relation(spark, sf, "layout_boxes").where(t.scored_enough(F.col("type"), F.col("score"))).select("page_id", "seq", "type")
 
 
 @register("SELECT page_id, regexp_matches(v, '^•+$') OR regexp_matches(v, '^[0-9]{1,2} / ?[0-9]{1,2}$') OR regexp_matches(v, '^[0-9]{1,2} of [0-9]{1,2}$') OR regexp_matches(v, '^http://[^ ]{12,}') AS garbage FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN CAST(page_id % 100 AS VARCHAR) || ' of 12' WHEN 2 THEN '3 / 4' ELSE 'text' END AS v FROM pages) p")
@@ -279,9 +301,21 @@ def j3_nearest_column(spark, sf):
     return assign.nearest_column(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"))
 
 
-@register(f"SELECT table_id, seq, seq // 4 AS R, CASE WHEN seq // 4 = 0 THEN 0 END AS H, seq % 4 AS C FROM {CELLS} c")
+_SPANNED = "(table_id % 5 = 1 AND seq IN (5, 6))"
+_FIT = f"(SELECT *, {_SPANNED} AS spanned, seq // 4 AS r, seq % 4 AS c FROM {CELLS} c)"
+
+
+_SPANNED = "(table_id % 5 = 1 AND seq IN (5, 6))"
+_FIT = f"(SELECT *, {_SPANNED} AS spanned, seq // 4 AS r, seq % 4 AS c, seq // 4 = 0 OR (seq // 4 = 1 AND table_id % 4 = 2) AS head FROM {CELLS} c)"
+
+
+@register(f"""SELECT table_id, seq, r AS R, CASE WHEN head THEN r END AS H, c AS C, CASE WHEN spanned THEN 0 END AS SP,
+  CASE WHEN spanned THEN 120 WHEN head THEN (table_id + r) % 3 END AS H_left, CASE WHEN spanned THEN 350 WHEN head THEN 470 - (table_id + r) % 3 END AS H_right,
+  CASE WHEN spanned THEN 30 WHEN head THEN 30 * r END AS H_top, CASE WHEN spanned THEN 58 WHEN head THEN 30 * r + 28 END AS H_bott FROM {_FIT} f""")
 def j5_tag_cells(spark, sf):
-    return assign.tag_cells(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts")).select("table_id", "seq", "R", "H", "C")
+    # Of parts recognised twice the clean-up keeps the better one; the tags count what is left.
+    parts = suppress.clean_parts(relation(spark, sf, "table_parts"))
+    return assign.tag_cells(relation(spark, sf, "table_cells"), parts).select("table_id", "seq", "R", "H", "C", "SP", "H_left", "H_right", "H_top", "H_bott")
 
 
 _TAGS = f"""(SELECT page_id, seq, CASE WHEN type = 'equation' THEN 'figure' ELSE type END AS layout_type, hit AS layout_seq FROM (
@@ -308,12 +342,21 @@ def j8_orphan_visuals(spark, sf):
     return assign.orphan_visuals(layouts, tags).select("page_id", "seq", "text")
 
 
-@register()
+def _greedy_sql(border: int, test: str) -> str:
+    side = lambda lo, hi: f"greatest(0, least(k.{hi}, x[1].{hi}) - greatest(k.{lo}, x[1].{lo}) + {border})"
+    common = f"({side('x0', 'x1')} * {side('top', 'bottom')})"
+    iou = f"CAST({common} AS DOUBLE) / nullif((k.x1 - k.x0) * (k.bottom - k.top) + (x[1].x1 - x[1].x0) * (x[1].bottom - x[1].top) - {common}, 0)"
+    box = "{'seq': seq, 'x0': x0, 'top': top, 'x1': x1, 'bottom': bottom}"
+    fold = f"list_reduce(list([{box}] ORDER BY score DESC, seq), lambda a, x: CASE WHEN len(list_filter(a, lambda k: NOT coalesce({iou} {test}, FALSE))) = 0 THEN a || x ELSE a END)"
+    return f"SELECT page_id, unnest(kept).seq AS seq FROM (SELECT page_id, {fold} AS kept FROM {LAYOUT} l GROUP BY page_id, type) g"
+
+
+@register(_greedy_sql(1, "<= 0.45"))
 def d1_suppress(spark, sf):
     return suppress.suppress(relation(spark, sf, "layout_boxes"), 0.45)
 
 
-@register()
+@register(_greedy_sql(0, "< 0.2"))
 def d2_suppress_strict(spark, sf):
     return suppress.suppress(relation(spark, sf, "layout_boxes"), 0.2, pixel_border=False)
 
@@ -323,6 +366,12 @@ def d3_clean_layouts(spark, sf):
     return suppress.clean_layouts(relation(spark, sf, "layout_boxes"))
 
 
+@register()
+def d3_clean_by_text(spark, sf):
+    layouts = relation(spark, sf, "layout_boxes").withColumn("score", F.lit(None).cast("double"))
+    return suppress.clean_layouts(layouts, texts=relation(spark, sf, "ocr_boxes"))
+
+
 _GARBAGE_SQL = f"(SELECT split_part(text, ' ', 1) AS t FROM {OCR} g WHERE seq = 0 GROUP BY t HAVING count(*) > 1)"
 
 
@@ -335,10 +384,17 @@ def d4_repeated_garbage(spark, sf):
     return assign.repeated_garbage(shown, dropped).select("page_id", "seq")
 
 
-@register("SELECT event_id, [1, 2, 1] AS decoded FROM events")
+# Steps n of 12 show (event_id >> n) % 4, 0 being the blank.
+_STEP = "((event_id // CAST(pow(2, {n}) AS BIGINT)) % 4)"
+_KEPT = "list_filter(range(12), lambda i: " + _STEP.format(n="i") + " <> 0 AND (i = 0 OR " + _STEP.format(n="i") + " <> " + _STEP.format(n="greatest(i - 1, 0)") + "))"
+
+
+@register(f"""SELECT event_id, list_transform(k, lambda i: {_STEP.format(n="i")}) AS decoded, CASE WHEN len(k) = 0 THEN 0.0 ELSE list_sum(list_transform(k, lambda i: (i + 1) / 16.0)) / len(k) END AS confidence
+FROM (SELECT event_id, {_KEPT} AS k FROM events) e""")
 def d5_ctc_collapse(spark, sf):
-    steps = spark.read.parquet(f"{sf}/events.parquet").withColumn("steps", F.array(*[F.lit(x) for x in (0, 1, 1, 0, 2, 2, 2, 0, 1)]))
-    return steps.select("event_id", suppress.ctc_collapse("steps").alias("decoded"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.expr("event_id").cast("long") / F.pow(F.lit(2.0), i))
+    scored = spark.read.parquet(f"{sf}/events.parquet").withColumn("steps", F.transform(steps, lambda x: F.floor(x) % 4)).withColumn("scores", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i / 16.0))
+    return scored.select("event_id", suppress.ctc_collapse("steps").alias("decoded"), suppress.ctc_confidence("steps", "scores").alias("confidence"))
 
 
 # ---- order and bands (O1-O9, W1) ------------------------------------------
@@ -378,28 +434,40 @@ def w1_bands(spark, sf):
 _MILLI = "CAST(round(score * 1000) AS BIGINT)"
 
 
-@register(f"SELECT page_id, count(*) AS line_count, CAST(sum(length(text)) AS BIGINT) AS char_count, CAST(sum({_MILLI}) AS BIGINT) AS score_sum, min(score) AS min_score, median(score) AS median_score, count(*) FILTER (WHERE score < 0.78) AS low_score_count FROM {OCR} o GROUP BY page_id")
+@register(f"""SELECT page_id, count(*) AS line_count, CAST(sum(length(text)) AS BIGINT) AS char_count, 0.78 AS low_score_threshold, CAST(sum({_MILLI}) AS BIGINT) AS score_sum,
+round(CAST(sum({_MILLI}) AS BIGINT) / count(*) / 1000, 4) AS avg_score, min(score) AS min_score, round(median({_MILLI}) / 1000, 4) AS median_score,
+count(*) FILTER (WHERE score < 0.78) AS low_score_count, round(count(*) FILTER (WHERE score < 0.78) / count(*), 4) AS low_score_ratio FROM {OCR} o GROUP BY page_id""")
 def a1_line_stats(spark, sf):
     out = stats.line_stats(relation(spark, sf, "ocr_boxes"), ["page_id"])
     return out.withColumn("score_sum", F.round(F.col("score_sum") * 1000).cast("long"))
 
 
-@register(f"SELECT page_id // 10 AS doc_id, count(*) AS line_count, CAST(sum(length(text)) AS BIGINT) AS char_count, min(score) AS min_score, count(*) FILTER (WHERE score < 0.78) AS low_score_count FROM {OCR} o GROUP BY 1")
+@register(f"""WITH p AS (SELECT page_id, count(*) AS n, sum(length(text)) AS chars, sum({_MILLI}) AS s, min(score) AS lo, median({_MILLI}) / 1000 AS mid, count(*) FILTER (WHERE score < 0.78) AS low FROM {OCR} o GROUP BY page_id)
+SELECT page_id // 10 AS doc_id, CAST(sum(n) AS BIGINT) AS line_count, CAST(sum(chars) AS BIGINT) AS char_count, CAST(round(CAST(sum(s) AS BIGINT) * 1000 / sum(n)) AS BIGINT) AS avg_score, min(lo) AS min_score,
+  CAST(round(median(m) * 10000) AS BIGINT) AS median_score, CAST(sum(low) AS BIGINT) AS low_score_count, CAST(round(sum(low) * 1000000 / sum(n)) AS BIGINT) AS low_score_ratio
+FROM (SELECT page_id, CASE WHEN i = 0 THEN n ELSE 0 END AS n, CASE WHEN i = 0 THEN chars ELSE 0 END AS chars, CASE WHEN i = 0 THEN s ELSE 0 END AS s, lo, CASE WHEN i = 0 THEN low ELSE 0 END AS low, mid AS m FROM (SELECT *, unnest(range(n)) AS i FROM p) u) x GROUP BY 1""")
 def a2_roll_up(spark, sf):
-    pages = stats.line_stats(relation(spark, sf, "ocr_boxes"), ["page_id"]).withColumn("doc_id", F.expr("page_id div 10"))
-    return stats.roll_up(pages, ["doc_id"]).select("doc_id", "line_count", "char_count", "min_score", "low_score_count")
+    # Unrounded, since ties in the fifth place would fall either way in either engine; then in whole millionths.
+    pages = stats.line_stats(relation(spark, sf, "ocr_boxes"), ["page_id"], digits=None).withColumn("doc_id", F.expr("page_id div 10"))
+    out = stats.roll_up(pages, ["doc_id"], digits=None).drop("low_score_threshold")
+    whole = lambda c, n: F.round(F.round(F.col(c) * n, 6)).cast("long")
+    return out.withColumns({"avg_score": whole("avg_score", 1_000_000), "median_score": whole("median_score", 10_000), "low_score_ratio": whole("low_score_ratio", 1_000_000)})
 
 
-@register(f"SELECT page_id, count(*) AS region_count, min(score) AS min_score, median(score) AS median_score, count(*) FILTER (WHERE score < 0.55) AS low_score_count FROM {LAYOUT} l GROUP BY page_id")
+@register(f"""SELECT page_id, count(*) AS region_count, 0.55 AS low_score_threshold, round(CAST(sum({_MILLI}) AS BIGINT) / count(*) / 1000, 4) AS avg_score, min(score) AS min_score, round(median({_MILLI}) / 1000, 4) AS median_score,
+count(*) FILTER (WHERE score < 0.55) AS low_score_count, round(count(*) FILTER (WHERE score < 0.55) / count(*), 4) AS low_score_ratio FROM {LAYOUT} l GROUP BY page_id""")
 def a3_layout_stats(spark, sf):
     return stats.layout_stats(relation(spark, sf, "layout_boxes"), ["page_id"]).drop("score_sum")
 
 
-@register(f"SELECT page_id // 10 AS doc_id, count(DISTINCT page_id % 10) AS pages, count(*) AS regions, count(*) FILTER (WHERE type = 'figure') AS assets, count(*) FILTER (WHERE type = 'title') AS headings, count(*) FILTER (WHERE type = 'table') AS risks FROM {LAYOUT} l GROUP BY 1")
+@register(f"""SELECT page_id // 10 AS doc_id, count(DISTINCT page_id % 10) AS pages, count(*) AS regions, count(*) FILTER (WHERE type = 'figure') AS assets, count(*) FILTER (WHERE type = 'title') AS headings, count(*) FILTER (WHERE type = 'table') AS risks,
+coalesce(string_agg(CAST(page_id % 10 AS VARCHAR) || ':' || seq || type, ',' ORDER BY page_id, seq) FILTER (WHERE type = 'title'), '') AS headings_list, coalesce(string_agg(CAST(page_id % 10 AS VARCHAR) || ':' || seq || type, ',' ORDER BY page_id, seq) FILTER (WHERE type = 'table'), '') AS risks_list FROM {LAYOUT} l GROUP BY 1""")
 def a4_document_counts(spark, sf):
     content = F.when(F.col("type") == "figure", "image").otherwise("text")
-    regions = relation(spark, sf, "layout_boxes").select(F.expr("page_id div 10").alias("doc_id"), (F.col("page_id") % 10).alias("page_no"), "type", content.alias("content_type"))
-    return document.metadata(regions, regions.where("type = 'title'"), regions.where("type = 'table'"))
+    regions = relation(spark, sf, "layout_boxes").select(F.expr("page_id div 10").alias("doc_id"), (F.col("page_id") % 10).alias("page_no"), "seq", "type", content.alias("content_type"))
+    found = document.metadata(regions, *[regions.where(f"type = '{k}'").drop("content_type") for k in ("title", "table")])
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x["page_no"].cast("string"), F.lit(":"), x["seq"].cast("string"), x["type"])), ","), F.lit("")).alias(c)
+    return found.select("doc_id", "pages", "regions", "assets", "headings", "risks", shown("headings_list"), shown("risks_list"))
 
 
 @register(f"""SELECT page_id, type FROM (SELECT page_id, type, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(seq)) AS r FROM {LAYOUT} l GROUP BY page_id, type) x WHERE r = 1""")
@@ -407,7 +475,9 @@ def a5_majority(spark, sf):
     return stats.majority(relation(spark, sf, "layout_boxes"), ["page_id"], "type", "seq")
 
 
-@register(f"SELECT table_id, seq, label, CAST(x0 AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS top, CAST(x1 AS DOUBLE) AS x1, CAST(bottom AS DOUBLE) AS bottom FROM {PARTS} p")
+@register(f"""SELECT table_id, seq, label, score, CAST(CASE WHEN h THEN least(x0, avg(x0) FILTER (WHERE h) OVER t) ELSE x0 END AS DOUBLE) AS x0, CAST(CASE WHEN v THEN least(top, min(top) FILTER (WHERE v) OVER t) ELSE top END AS DOUBLE) AS top,
+CAST(CASE WHEN h THEN greatest(x1, avg(x1) FILTER (WHERE h) OVER t) ELSE x1 END AS DOUBLE) AS x1, CAST(CASE WHEN v THEN greatest(bottom, max(bottom) FILTER (WHERE v) OVER t) ELSE bottom END AS DOUBLE) AS bottom
+FROM (SELECT *, label IN ('table row', 'table column header') AS h, label = 'table column' AS v FROM {PARTS} p) q WINDOW t AS (PARTITION BY table_id)""")
 def a6_align_parts(spark, sf):
     return tables.align_parts(relation(spark, sf, "table_parts"))
 
@@ -418,20 +488,22 @@ def a9_token_usage(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.token_usage(usage, (("prompt_token_count", "prompt"), ("total_token_count", "total"))).alias("usage"))
 
 
-@register(f"""WITH o AS (SELECT page_id, count(*) AS n, sum({_MILLI}) AS s, min(score) AS lo, count(*) FILTER (WHERE score < 0.78) AS low FROM {OCR} o GROUP BY page_id),
-l AS (SELECT page_id, count(*) AS n, sum({_MILLI}) AS s, count(*) FILTER (WHERE score < 0.55) AS low FROM {LAYOUT} l GROUP BY page_id),
-r AS (SELECT o.page_id, o.s < 860 * o.n AS a, lo < 0.6 AS b, o.low * 5 >= o.n AS c, l.s < 600 * l.n AS d, l.low * 20 >= 7 * l.n AS e FROM o JOIN l ON o.page_id = l.page_id)
-SELECT page_id, (CASE WHEN a THEN 'low_average;' ELSE '' END) || (CASE WHEN b THEN 'very_low_line;' ELSE '' END) || (CASE WHEN c THEN 'low_line_ratio;' ELSE '' END) || (CASE WHEN d THEN 'low_layout_average;' ELSE '' END) || (CASE WHEN e THEN 'low_layout_ratio;' ELSE '' END) AS reasons, a OR b OR c OR d OR e AS run FROM r""")
+@register(f"""WITH o AS (SELECT page_id, count(*) AS n, round(CAST(sum({_MILLI}) AS BIGINT) / count(*) / 1000, 4) AS a, min(score) AS lo, round(count(*) FILTER (WHERE score < 0.78) / count(*), 4) AS low FROM {OCR} o GROUP BY page_id),
+l AS (SELECT page_id, round(CAST(sum({_MILLI}) AS BIGINT) / count(*) / 1000, 4) AS a, round(count(*) FILTER (WHERE score < 0.55) / count(*), 4) AS low FROM {LAYOUT} l GROUP BY page_id),
+r AS (SELECT o.page_id, list_filter([CASE WHEN o.a < 0.86 THEN printf('average OCR confidence %.4f < threshold 0.8600', o.a) END, CASE WHEN lo < 0.6 THEN printf('minimum OCR line confidence %.4f < threshold 0.6000', lo) END,
+  CASE WHEN o.low >= 0.2 THEN printf('low-confidence OCR line ratio %.4f >= threshold 0.2000', o.low) END, CASE WHEN l.a < 0.6 THEN printf('average layout confidence %.4f < threshold 0.6000', l.a) END,
+  CASE WHEN l.low >= 0.35 THEN printf('low-confidence layout region ratio %.4f >= threshold 0.3500', l.low) END, CASE WHEN o.page_id % 3 = 0 THEN '1 OCR uncertainty risk(s): ambiguous_characters' END], lambda x: x IS NOT NULL) AS reasons FROM o JOIN l ON o.page_id = l.page_id)
+SELECT page_id, TRUE AS enabled, len(reasons) > 0 AS run, 'low_confidence' AS trigger, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'OCR confidence passed; VLM post-check skipped' END AS reason FROM r""")
 def r1_review_gate(spark, sf):
-    out = document.review(relation(spark, sf, "ocr_boxes").withColumn("text", F.lit("plain")), relation(spark, sf, "layout_boxes"))
-    return out.select("page_id", F.concat(F.array_join("reasons", ";"), F.when(F.size("reasons") > 0, ";").otherwise("")).alias("reasons"), "run")
+    text = F.when((F.col("page_id") % 3 == 0) & (F.col("seq") == 0), "mã O0l1").otherwise("plain words here")
+    return document.review(relation(spark, sf, "ocr_boxes").withColumn("text", text), relation(spark, sf, "layout_boxes")).drop("reasons")
 
 
 # ---- tables (W2-W10) -------------------------------------------------------
 
 
 def _tagged(spark, sf):
-    return assign.tag_cells(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts"))
+    return assign.tag_cells(relation(spark, sf, "table_cells"), suppress.clean_parts(relation(spark, sf, "table_parts")))
 
 
 @register(f"SELECT table_id, seq, CAST(seq // 4 AS BIGINT) AS rn, CAST(seq % 4 AS BIGINT) AS cn FROM {CELLS} c")
@@ -439,16 +511,19 @@ def w4_grid(spark, sf):
     return tables.grid(_tagged(spark, sf)).select("table_id", "seq", "rn", "cn")
 
 
-@register("SELECT CAST(n_nationkey AS BIGINT) AS table_id, CAST(r AS BIGINT) AS rn, FALSE AS header FROM nation, (SELECT unnest(range(6)) AS r) x WHERE r > 0")
+@register(f"SELECT DISTINCT table_id, CAST(seq // 4 AS BIGINT) AS rn, seq // 4 = 1 AND table_id % 4 = 2 AS header FROM {CELLS} c")
 def w6_header_rows(spark, sf):
-    return tables.header_rows(tables.grid(_tagged(spark, sf))).where("rn > 0")
+    return tables.header_rows(tables.grid(_tagged(spark, sf)))
 
 
-@register(f"""SELECT table_id, string_agg(line, '' ORDER BY r) AS markdown FROM (
-  SELECT table_id, seq // 4 AS r, '| ' || string_agg(text, ' | ' ORDER BY seq) || ' |' || chr(10) || CASE WHEN seq // 4 = 0 THEN '| --- | --- | --- | --- |' || chr(10) ELSE '' END AS line
-  FROM {CELLS} c GROUP BY table_id, seq // 4) x GROUP BY table_id""")
+_PLACE = f"""(SELECT table_id, r, c, CASE WHEN spanned THEN (SELECT string_agg(x.text, ' ' ORDER BY x.seq) FROM {CELLS} x WHERE x.table_id = f.table_id AND x.seq IN (5, 6)) ELSE text END AS text FROM {_FIT} f)"""
+
+
+@register(f"""WITH n AS (SELECT table_id, max(r) AS r_last, max(c) AS c_last, max(CASE WHEN r = 0 THEN c END) AS first FROM {_FIT} f WHERE text <> '' GROUP BY table_id),
+g AS (SELECT n.table_id, rr.r, cc.c, coalesce(p.text, '') AS text FROM n, (SELECT unnest(range(6)) AS r) rr, (SELECT unnest(range(4)) AS c) cc LEFT JOIN {_PLACE} p ON p.table_id = n.table_id AND p.r = rr.r AND p.c = cc.c WHERE rr.r <= r_last AND cc.c <= c_last)
+SELECT table_id, string_agg(line, '' ORDER BY r) AS markdown FROM (SELECT table_id, r, '| ' || string_agg(text, ' | ' ORDER BY c) || ' |' || chr(10) || CASE WHEN r = 0 THEN '| --- | --- | --- | --- |' || chr(10) ELSE '' END AS line FROM g GROUP BY table_id, r) x GROUP BY table_id""")
 def w8_markdown(spark, sf):
-    return document.extract_tables(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts"))
+    return document.extract_tables(relation(spark, sf, "table_cells"), relation(spark, sf, "table_parts")).select("table_id", "markdown")
 
 
 @register()
@@ -458,9 +533,8 @@ def w9_rebuild_tables(spark, sf):
 
 @register(f"SELECT page_id, page_id % 10 + 1 AS page_number FROM (SELECT DISTINCT page_id FROM {LAYOUT} l) x")
 def w13_page_numbers(spark, sf):
-    pages = relation(spark, sf, "layout_boxes").select("page_id").distinct()
-    by_doc = Window.partitionBy(F.expr("page_id div 10")).orderBy("page_id")
-    return pages.select("page_id", F.row_number().over(by_doc).cast("long").alias("page_number"))
+    pages = relation(spark, sf, "layout_boxes").select("page_id", F.expr("page_id div 10").alias("doc_id")).distinct()
+    return assign.numbered_pages(pages).select("page_id", "page_number")
 
 
 @register(f"SELECT page_id, seq, printf('p%03d_r%03d', page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq)) AS risk_id FROM {LAYOUT} l WHERE type = 'table'")
@@ -477,39 +551,69 @@ def _rules(spark, sf):
 
 
 def _edited(spark, sf):
-    changed = F.regexp_replace("text", r"(?m)^([A-Z])", "$1x")
-    return _docs(spark, sf).select("doc_id", F.col("text").alias("source_text"), F.when(F.col("doc_id") % 3 == 0, changed).otherwise(F.col("text")).alias("checked_text"))
+    """Documents of 20 lines: of the first kind lines 1, 2, 6, 7, ... end in !, of the second line 5 goes and one comes after line 9, the third stays."""
+    said = F.when((F.col("doc_id") % 3 == 0) & F.col("line_no").isin(1, 2, 6, 7, 11, 12, 16, 17), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    said = F.when((F.col("doc_id") % 3 == 1) & (F.col("line_no") == 9), F.concat("text", F.lit("\nmới"))).otherwise(said)
+    said = F.when((F.col("doc_id") % 3 == 1) & (F.col("line_no") == 5), F.lit(None)).otherwise(said)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c.alias("x")))), lambda x: x["x"]), "\n")
+    return relation(spark, sf, "heading_lines").withColumn("text", F.concat("text", F.lit(" "), "line_no")).groupBy("doc_id").agg(joined(F.col("text")).alias("source_text"), joined(said).alias("checked_text"))
 
 
-@register()
+_KIND = f"(SELECT doc_id, line_no, text || ' ' || line_no || CASE WHEN line_no < 19 THEN chr(10) ELSE '' END AS text, doc_id % 3 AS k, line_no % 5 IN (1, 2) AS hot FROM {LINES} l)"
+#: Lines with the hunk they lie in, and what both texts have of them.
+_HUNKED = f"""(SELECT doc_id, line_no, k, CASE k WHEN 0 THEN line_no // 5 * 2 + CASE WHEN line_no % 5 = 0 THEN 0 WHEN hot THEN 1 ELSE 2 END WHEN 1 THEN CASE WHEN line_no < 5 THEN 0 WHEN line_no = 5 THEN 1 WHEN line_no < 10 THEN 2 ELSE 4 END ELSE 0 END AS hunk,
+  text AS original, CASE WHEN k = 0 AND hot THEN rtrim(text, chr(10)) || '!' || chr(10) WHEN k = 1 AND line_no = 5 THEN '' ELSE text END AS output FROM {_KIND} x)"""
+_HUNKS = f"""(SELECT doc_id, CAST(hunk AS INTEGER) AS hunk, CASE WHEN k = 0 AND hunk % 2 = 1 THEN CAST(hunk // 2 AS BIGINT) WHEN k = 1 AND hunk = 1 THEN 0 END AS change_id, CASE WHEN k = 0 AND hunk % 2 = 1 THEN 'replace' WHEN k = 1 AND hunk = 1 THEN 'delete' ELSE 'equal' END AS kind,
+  CAST(min(line_no) + 1 AS INTEGER) AS source_line, CAST(min(line_no) + 1 - CASE WHEN k = 1 AND hunk = 2 THEN 1 ELSE 0 END AS INTEGER) AS checked_line, string_agg(original, '' ORDER BY line_no) AS original, string_agg(output, '' ORDER BY line_no) AS output FROM {_HUNKED} h GROUP BY doc_id, k, hunk
+UNION ALL SELECT DISTINCT doc_id, 3, 1, 'insert', 11, 10, '', 'mới' || chr(10) FROM {LINES} l WHERE doc_id % 3 = 1)"""
+_CHANGES = f"(SELECT *, trim(original, chr(10)) AS wrong, trim(output, chr(10)) AS correct FROM {_HUNKS} h WHERE change_id IS NOT NULL)"
+
+
+@register(f"SELECT * FROM {_HUNKS} h")
 def r3_hunks(spark, sf):
     return memory.hunks(_edited(spark, sf))
 
 
-@register()
+@register(f"""SELECT doc_id, change_id, substring(sha256(wrong || chr(0) || correct), 1, 16) AS id, wrong, correct, kind, CASE WHEN kind = 'replace' THEN CAST(round(10000 * (length(wrong) / (length(wrong) + 1.0))) AS BIGINT) END AS similarity, source_line, checked_line, CASE WHEN kind = 'replace' THEN '' ELSE 'empty' END AS reason FROM {_CHANGES} c""")
 def r6_candidates(spark, sf):
-    return memory.candidates(memory.hunks(_edited(spark, sf)))
+    return memory.candidates(memory.hunks(_edited(spark, sf))).withColumn("similarity", F.round(F.col("similarity") * 10000).cast("long"))
 
 
-@register("SELECT p_partkey, replace(replace(p_brand, 'Brand#1', 'One'), 'Brand', 'B') AS corrected FROM part")
+@register("""SELECT p_partkey, CASE WHEN own THEN replace(said, p_brand || ';', 'B' || p_brand[7:] || ';') ELSE replace(said, 'Brand#', 'Br') END AS corrected,
+  substring(sha256(CASE WHEN own THEN p_brand || ';' || chr(0) || 'B' || p_brand[7:] || ';' ELSE 'Brand#' || chr(0) || 'Br' END), 1, 16) AS rule, 2 AS n
+FROM (SELECT p_partkey, p_brand, p_brand || ';' || p_brand || ';' AS said, CAST(p_brand[-1:] AS INTEGER) < 3 AS own FROM part) p""")
 def r7_replay(spark, sf):
-    rules = spark.createDataFrame([(0, "a", "Brand", "B"), (1, "b", "Brand#1", "One")], "seq int, id string, wrong string, correct string")
-    return memory.replay(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand"), rules, "p_brand").select("p_partkey", "corrected")
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    brands = part.select("p_brand").distinct().where("CAST(right(p_brand, 1) AS INT) < 3")
+    brands = brands.select(F.expr("p_brand || ';' AS wrong"), F.expr("'B' || substring(p_brand, 7) || ';' AS correct"), F.lit(False).alias("blocked"))
+    more = spark.createDataFrame([("Brand#", "Br", False), ("Br", "zzz", True), ("B", "B", False)], "wrong string, correct string, blocked boolean")
+    rules = brands.unionByName(more).withColumn("id", t.rule_id(F.col("wrong"), F.col("correct"))).withColumn("seq", F.xxhash64("wrong"))
+    texts = part.select("p_partkey", F.expr("p_brand || ';' || p_brand || ';' AS text"))
+    return memory.replay(texts, rules).select("p_partkey", "corrected", F.explode("applied").alias("a")).select("p_partkey", "corrected", F.col("a.id").alias("rule"), "a.n")
+
+
+@register("SELECT substring(sha256(p_brand || ';' || chr(0) || 'x'), 1, 16) AS id, CASE WHEN ends_with(p_brand, '1') THEN 1 ELSE 3 END + count(*) AS applied_count FROM part GROUP BY p_brand")
+def r7_counters(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    rules = part.select(F.concat("p_brand", F.lit(";")).alias("wrong")).distinct().withColumn("correct", F.lit("x")).withColumn("id", t.rule_id(F.col("wrong"), F.col("correct"))).withColumn("seq", F.lit(0))
+    rules = rules.withColumn("applied_count", F.when(F.col("wrong").endswith("1;"), 1).otherwise(3).cast("long"))
+    return memory.count_applied(rules, memory.replay(part.select(F.concat("p_brand", F.lit(";")).alias("text")), rules)).select("id", "applied_count")
 
 
 _RULE_ID = "substring(sha256(wrong || chr(0) || correct), 1, 16)"
-_LEARNED = f"SELECT DISTINCT lower(p_brand) AS wrong, upper(p_type) AS correct FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT 'new' || lower(p_brand), 'x' FROM part"
+_FOUND = "SELECT p_partkey AS at, lower(p_brand) AS wrong, upper(p_type) AS correct, CASE WHEN p_partkey % 3 > 0 THEN 'k' || p_size END AS kind FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'new' || lower(p_brand), 'x', 'n' FROM part"
 
 
-@register(f"""WITH r AS (SELECT {_RULE_ID} AS id, max(seen_count) AS seen FROM {RULES} r GROUP BY 1),
-c AS (SELECT {_RULE_ID} AS id, count(*) AS n FROM ({_LEARNED}) l GROUP BY 1)
-SELECT coalesce(r.id, c.id) AS id, coalesce(seen, 0) + coalesce(n, 0) AS seen_count FROM r FULL OUTER JOIN c ON r.id = c.id""")
+@register(f"""WITH r AS (SELECT {_RULE_ID} AS id, max(seen_count) AS seen, bool_or(blocked) AS blocked FROM {RULES} r GROUP BY 1),
+c AS (SELECT {_RULE_ID} AS id, count(*) AS n, arg_max(kind, "at") FILTER (WHERE kind IS NOT NULL) AS kind FROM ({_FOUND}) l GROUP BY 1)
+SELECT coalesce(r.id, c.id) AS id, CASE WHEN coalesce(r.blocked, FALSE) THEN 'old' ELSE coalesce(c.kind, CASE WHEN r.id IS NOT NULL THEN 'old' END) END AS kind, coalesce(r.blocked, FALSE) AS blocked, coalesce(seen, 0) + CASE WHEN coalesce(r.blocked, FALSE) THEN 0 ELSE coalesce(n, 0) END AS seen_count FROM r FULL OUTER JOIN c ON r.id = c.id""")
 def r8_learn(spark, sf):
-    rules = _rules(spark, sf).groupBy("id").agg(F.first("wrong").alias("wrong"), F.first("correct").alias("correct"), F.max("seen_count").alias("seen_count"), F.max("applied_count").alias("applied_count"))
+    same = [F.first(c).alias(c) for c in ("wrong", "correct")]  # equal in all rows of an id
+    rules = _rules(spark, sf).groupBy("id").agg(*same, F.max("seen_count").alias("seen_count"), F.max("applied_count").alias("applied_count"), F.bool_or("blocked").alias("blocked"), F.lit("old").alias("kind"))
     part = spark.read.parquet(f"{sf}/part.parquet")
-    found = part.where("p_partkey % 2 = 0").select(F.lower("p_brand").alias("wrong"), F.upper("p_type").alias("correct")).distinct()
-    found = found.union(part.select(F.concat(F.lit("new"), F.lower("p_brand")), F.lit("x")).distinct())
-    return memory.learn(rules, found.withColumn("id", t.rule_id(F.col("wrong"), F.col("correct")))).select("id", "seen_count")
+    found = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("at"), F.lower("p_brand").alias("wrong"), F.upper("p_type").alias("correct"), F.expr("IF(p_partkey % 3 > 0, 'k' || p_size, NULL)").alias("kind"))
+    found = found.unionAll(part.select("p_partkey", F.concat(F.lit("new"), F.lower("p_brand")), F.lit("x"), F.lit("n")))
+    return memory.learn(rules, found.withColumn("id", t.rule_id(F.col("wrong"), F.col("correct")))).select("id", "kind", "blocked", "seen_count")
 
 
 @register(f"SELECT seq, CASE WHEN seq % 11 = 0 THEN TRUE WHEN seq % 7 = 0 THEN seq % 2 = 0 ELSE blocked END AS blocked FROM {RULES} r")
@@ -520,22 +624,40 @@ def r9_set_blocked(spark, sf):
     return memory.set_blocked(rules, commands).select("seq", "blocked")
 
 
-@register(f"SELECT count(*) AS n FROM {RULES} r WHERE NOT blocked AND NOT EXISTS (SELECT 1 FROM {RULES} b WHERE b.blocked AND b.wrong = r.wrong AND b.correct = r.correct)")
-def j9_not_blocked(spark, sf):
-    rules = relation(spark, sf, "rules")
-    return memory.not_blocked(rules, rules.where("blocked")).agg(F.count(F.lit(1)).alias("n"))
+@register("""WITH c AS (SELECT DISTINCT p_brand AS wrong, p_type AS correct FROM part), n AS (SELECT *, CAST(wrong[-1:] AS INTEGER) AS d FROM c)
+SELECT wrong, correct, CASE WHEN d = 1 THEN 2 WHEN d = 2 THEN 3 ELSE 0 END AS at FROM n WHERE d IN (1, 2) OR d = 4""")
+def r9_blocked_pairs(spark, sf):
+    pairs = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("wrong"), F.col("p_type").alias("correct")).distinct().withColumn("d", F.expr("CAST(right(wrong, 1) AS INT)"))
+    blocked = pairs.where("d > 1").select("wrong", "correct", F.lit(0).alias("at")).where("right(wrong, 1) IN ('2', '3', '4')")
+    made = lambda d, on, at: pairs.where(f"d = {d}").select("wrong", "correct", F.lit(on).alias("blocked"), F.lit(at).alias("at"))
+    commands = made(1, False, 1).unionByName(made(1, True, 2)).unionByName(made(2, True, 3)).unionByName(made(3, True, 1)).unionByName(made(3, False, 2))
+    return memory.blocked_pairs(blocked, commands)
 
 
-@register()
+@register(f"SELECT doc_id, change_id, kind, source_line, checked_line, original, output AS ai_output, FALSE AS truncated, change_id % 2 = 0 AS reversed FROM {_CHANGES} c")
 def r10_change_rows(spark, sf):
     changes = memory.hunks(_edited(spark, sf))
     return memory.change_rows(changes, changes.where("change_id % 2 = 0").select("doc_id", "change_id"))
 
 
-@register("SELECT doc_id, text AS markdown FROM documents WHERE length(text) > 0")
+@register(f"SELECT doc_id, string_agg(CASE WHEN change_id % 2 = 0 THEN original ELSE output END, '' ORDER BY hunk) AS markdown FROM {_HUNKS} h GROUP BY doc_id")
 def r11_effective(spark, sf):
     changes = memory.hunks(_edited(spark, sf))
-    return memory.effective(changes, changes.where("change_id IS NOT NULL").select("doc_id", "change_id"))
+    return memory.effective(changes, changes.where("change_id % 2 = 0").select("doc_id", "change_id"))
+
+
+@register(f"SELECT doc_id, change_id, wrong, correct FROM {_CHANGES} c WHERE change_id = 1")
+def m12_change_texts(spark, sf):
+    changes = memory.hunks(_edited(spark, sf))
+    return memory.change_texts(changes, changes.select("doc_id").distinct().withColumn("change_id", F.lit(1).cast("long")))
+
+
+@register(f"SELECT wrong, correct, change_id = 1 AS blocked, 5 AS at FROM {_CHANGES} c WHERE change_id < 2")
+def m14_reverse_changes(spark, sf):
+    changes = memory.hunks(_edited(spark, sf))
+    ids = changes.where("change_id >= 0").select("doc_id", "change_id")
+    commands = ids.where("change_id < 2").withColumn("on", F.col("change_id") == 1).withColumn("at", F.lit(5))
+    return memory.reverse_changes(changes, ids, commands)[2]
 
 
 @register("SELECT event_id, CASE WHEN event_id > 3 THEN [3, event_id] WHEN event_id = 3 THEN [3] ELSE [event_id, 3] END AS ids FROM events")
@@ -547,7 +669,7 @@ def r12_reversal_ids(spark, sf):
 # ---- declared search semantics (X1-X4) -------------------------------------
 
 _TOKENS = "SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS token FROM documents"
-_QUERY = "SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(substring(text, 1, 60)), '\\s+')) AS token FROM benchmark"
+_QUERY = "SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '\\s+')) AS token FROM benchmark"
 
 
 @register(f"""WITH q AS ({_QUERY}), p AS (SELECT * FROM ({_TOKENS}) t WHERE token <> '' AND token IN (SELECT token FROM q)),
@@ -555,7 +677,7 @@ d AS (SELECT token, count(*) AS df FROM p GROUP BY token), n AS (SELECT CAST(cou
 s AS (SELECT q.query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score FROM p JOIN q ON p.token = q.token JOIN d ON d.token = p.token, n GROUP BY q.query_id, p.doc_id)
 SELECT query_id, doc_id, CAST(round(score * 10000) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) x WHERE r <= 10""")
 def x1_term_scores(spark, sf):
-    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.term_scores(_docs(spark, sf), queries).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
@@ -570,18 +692,19 @@ def x3_nearest(spark, sf):
 # ---- smaller operators -----------------------------------------------------
 
 
-@register("SELECT event_id, CASE WHEN event_id % 900 > 512 THEN 0 ELSE event_id % 900 END + least(100, strlen(props) * 0 + 512 - CASE WHEN event_id % 900 > 512 THEN 0 ELSE event_id % 900 END) AS offset_ FROM events")
+@register("""SELECT event_id, o AS offset_, CASE WHEN p % 2 = 0 THEN repeat('ab', 50) ELSE repeat('ba', 50) END[1:o - p] AS text FROM (
+  SELECT event_id, p, p + least(100, 512 - p) AS o FROM (SELECT event_id, CASE WHEN event_id % 900 > 512 THEN 0 ELSE event_id % 900 END AS p FROM events) e) x""")
 def s11_log_tail(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("content", F.repeat(F.lit("ab"), 256).cast("binary"))
-    return events.select("event_id", *t.log_tail(F.col("content"), F.col("event_id") % 900, 100)).select("event_id", F.col("offset").alias("offset_"))
+    return events.select("event_id", *t.log_tail(F.col("content"), F.col("event_id") % 900, 100)).select("event_id", F.col("offset").alias("offset_"), "text")
 
 
-@register("SELECT o_orderkey, status, n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'succeeded' ELSE o_orderstatus END AS status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderkey < 100) x")
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'succeeded' ELSE o_orderstatus END AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders")
 def s12_history(spark, sf):
-    old = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 100").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
+    old = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
     new = old.where("o_orderkey % 2 = 0").withColumn("status", F.lit("succeeded")).withColumn("seq", F.lit(1))
-    latest = catalog.upsert(old, new, "o_orderkey")
-    return latest.select("o_orderkey", "status", F.row_number().over(Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")).cast("long").alias("n"))
+    latest = catalog.history(catalog.upsert(old, new, "o_orderkey"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")])
+    return latest.select("o_orderkey", "status", F.col("place").cast("long").alias("n"))
 
 
 @register(f"SELECT page_id, seq, x0, top, least(x1, 639) AS x1, bottom FROM {LAYOUT} l WHERE least(x1, 639) - x0 > 3 AND bottom - top > 3")
@@ -594,8 +717,8 @@ def p5_detector_quads(spark, sf):
 
 @register("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'reference' WHEN 3 THEN 'figure' END AS label FROM events")
 def p8_class_labels(spark, sf):
-    names = F.array(*map(F.lit, ("Title", "Text", "Reference", "Figure")))
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.lower(F.get(names, (F.col("event_id") % 6).cast("int"))).alias("label"))
+    number = F.when(F.col("event_id") % 6 == 5, -1).otherwise(F.col("event_id") % 6)
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.class_label(number, ("Title", "Text", "Reference", "Figure")).alias("label"))
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority ILIKE '%urgent' AND o_custkey NOT IN (1, 2) AND o_orderkey < 500")
@@ -604,38 +727,41 @@ def p11_conditions(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").where(catalog.condition(query)).select("o_orderkey")
 
 
-@register(f"SELECT page_id, count(*) AS regions, count(*) FILTER (WHERE type = 'figure') AS with_asset FROM {LAYOUT} l GROUP BY page_id")
+@register(f"SELECT page_id, string_agg(type || CASE WHEN type = 'figure' THEN '=a.png' ELSE '' END, ';' ORDER BY seq) AS regions FROM {LAYOUT} l GROUP BY page_id")
 def p13_compact_regions(spark, sf):
-    boxes = relation(spark, sf, "layout_boxes").withColumn("asset_path", F.when(F.col("type") == "figure", F.lit("a.png"))).withColumn("ignored", F.lit(1))
-    pages = boxes.groupBy("page_id").agg(F.collect_list(F.struct("type", "asset_path", "ignored")).alias("regions"))
-    compact = F.transform("regions", lambda r: F.struct(r["type"].alias("layout_type"), F.nullif(r["asset_path"], F.lit("")).alias("asset_path")))
-    out = pages.select("page_id", compact.alias("r"))
-    return out.select("page_id", F.size("r").cast("long").alias("regions"), F.size(F.filter("r", lambda r: r["asset_path"].isNotNull())).cast("long").alias("with_asset"))
+    asset = F.when(F.col("type") == "figure", "a.png").when(F.col("type") == "table", "")
+    boxes = relation(spark, sf, "layout_boxes").withColumn("asset_path", asset).withColumn("ignored", F.lit(1))
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "asset_path", "ignored"))).alias("regions"))
+    shown = F.transform(t.compact_regions(F.col("regions")), lambda r: F.concat(r["layout_type"], F.coalesce(F.concat(F.lit("="), r["asset_path"]), F.lit(""))))
+    return pages.select("page_id", F.array_join(shown, ";").alias("regions"))
 
 
 @register(f"""SELECT page_id, seq, hit FROM (SELECT a.page_id, a.seq, b.seq AS hit, row_number() OVER (PARTITION BY a.page_id, a.seq ORDER BY {_COMMON} DESC, b.seq) AS r
 FROM {OCR} a JOIN {LAYOUT} b ON a.page_id = b.page_id AND {_TOUCH} WHERE {_COMMON} > 0) x WHERE r = 1""")
 def j4_most_overlap(spark, sf):
-    found = assign.pairs(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"), ("page_id",)).withColumn("common", g.intersection("a_", "b_"))
-    return found.where("common > 0").groupBy("page_id", F.col("a_seq").alias("seq")).agg(F.max_by("b_seq", F.struct("common", -F.col("b_seq"))).alias("hit"))
+    return assign.most_overlap(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"))
 
 
-@register()
+@register(f"SELECT doc_id, change_id, CASE change_id WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS issue FROM {_CHANGES} c")
 def j10_issue_pairing(spark, sf):
-    issues = _docs(spark, sf).select("doc_id", F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("change_id", "issue"))
-    return memory.candidates(memory.hunks(_edited(spark, sf)), issues.withColumn("change_id", F.col("change_id").cast("long"))).select("doc_id", "change_id", "issue")
+    edited = _edited(spark, sf)
+    issues = edited.select("doc_id", F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("change_id", "issue"))
+    return memory.candidates(memory.hunks(edited), issues.withColumn("change_id", F.col("change_id").cast("long"))).select("doc_id", "change_id", "issue")
 
 
-@register()
+@register("""SELECT p_brand, string_agg(reason || '=' || n, ';' ORDER BY reason) AS skipped FROM (SELECT p_brand, CASE p_partkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'same' ELSE 'too_long' END AS reason, count(*) AS n FROM part WHERE p_partkey % 4 < 3 GROUP BY ALL) x GROUP BY p_brand""")
 def a7_skip_reasons(spark, sf):
-    found = memory.candidates(memory.hunks(_edited(spark, sf))).where("reason <> ''")
-    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey") % 4
+    wrong = F.when(k == 0, "").when(k == 1, "abc").when(k == 2, F.repeat(F.lit("a"), 241)).otherwise("abd")
+    found = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", memory.candidate_reason(wrong, F.lit("abc"), F.lit(0.9)).alias("reason"))
+    shown = F.transform(F.array_sort(F.map_entries("skipped")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return stats.skip_reasons(found, ["p_brand"]).select("p_brand", F.array_join(shown, ";").alias("skipped"))
 
 
-@register(f"SELECT page_id // 10 AS table_id, count(DISTINCT page_id) > 1 AS cross_page FROM {LAYOUT} l GROUP BY 1")
+@register(f"SELECT page_id // 10 AS table_id, count(DISTINCT page_id) > 1 AS cross_page FROM {LAYOUT} l WHERE page_id % 10 < 1 + (page_id // 10) % 2 GROUP BY 1")
 def a8_cross_page(spark, sf):
-    boxes = relation(spark, sf, "layout_boxes").withColumn("table_id", F.expr("page_id div 10"))
-    return boxes.groupBy("table_id").agg((F.countDistinct("page_id") > 1).alias("cross_page"))
+    boxes = relation(spark, sf, "layout_boxes").withColumn("table_id", F.expr("page_id div 10")).where("page_id % 10 < 1 + table_id % 2")
+    return stats.cross_page(boxes, ["table_id"], "page_id")
 
 
 @register()
@@ -654,10 +780,10 @@ def o6_assemble_pages(spark, sf):
     return document.assemble(regions)
 
 
-@register(f"SELECT seq, row_number() OVER (ORDER BY length(wrong) DESC, seq) AS place FROM {RULES} r WHERE seq < 200")
+@register(f"SELECT seq, row_number() OVER (PARTITION BY seq % 40 ORDER BY length(wrong) DESC, seq) AS place FROM {RULES} r")
 def o7_rule_order(spark, sf):
-    rules = relation(spark, sf, "rules").where("seq < 200")
-    return rules.select("seq", F.row_number().over(Window.orderBy(F.length("wrong").desc(), "seq")).cast("long").alias("place"))
+    rules = relation(spark, sf, "rules").withColumn("owner", F.col("seq") % 40)
+    return memory.rule_order(rules, ["owner"]).select("seq", F.col("place").cast("long").alias("place"))
 
 
 @register(f"SELECT table_id, string_agg(text, ' ' ORDER BY seq) AS caption FROM {CELLS} c WHERE seq % 4 = 3 GROUP BY table_id")
@@ -684,13 +810,20 @@ def t19_json_round_trip(spark, sf):
     return events.select("event_id", F.get_json_object(F.to_json(F.struct("props")), "$.props").alias("props"))
 
 
-@register("SELECT event_id, event_id % 3 = 0 AS low, event_id % 3 = 0 OR event_id % 2 = 0 AS risk_or_low, TRUE AS always, FALSE AS never FROM events")
+_DECIDED = {
+    "always": ("TRUE", "'always'", "'VLM_POSTCHECK_TRIGGER=always'"), "never": ("FALSE", "'never'", "'VLM_POSTCHECK_TRIGGER=never'"),
+    " Risk_Or_Low_Confidence ": ("low OR risky", "'risk_or_low_confidence'", "CASE WHEN risky THEN 'VLM risks present' WHEN low THEN 'low confidence gate matched' ELSE 'no VLM risk and OCR confidence passed' END"),
+    "other": ("low", "'low_confidence'", "CASE WHEN low THEN 'x; y' ELSE 'OCR confidence passed; VLM post-check skipped' END"),
+}
+
+
+@register("SELECT event_id, NOT off AS enabled, CASE WHEN off THEN FALSE " + " ".join(f"WHEN k = {i} THEN {v[0]}" for i, v in enumerate(_DECIDED.values())) + " END AS run, CASE WHEN off THEN 'disabled' " + " ".join(f"WHEN k = {i} THEN {v[1]}" for i, v in enumerate(_DECIDED.values())) + " END AS trigger, CASE WHEN off THEN 'GEMINI_POSTCHECK=false' " + " ".join(f"WHEN k = {i} THEN {v[2]}" for i, v in enumerate(_DECIDED.values())) + " END AS reason FROM (SELECT event_id, event_id % 4 AS k, event_id % 3 = 0 AS low, event_id % 5 = 0 AS risky, event_id % 7 = 0 AS off FROM events) e")
 def r2_decisions(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    reasons = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    risks = (F.col("event_id") % 2 == 0).cast("int")
-    names = {"low": "low_confidence", "risk_or_low": "risk_or_low_confidence", "always": "always", "never": "never"}
-    return events.select("event_id", *[stats.decision(trigger, reasons, risks).alias(n) for n, trigger in names.items()])
+    reasons = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    trigger = F.element_at(F.array(*map(F.lit, _DECIDED)), (F.col("event_id") % 4 + 1).cast("int"))
+    made = stats.decision(trigger, reasons, (F.col("event_id") % 5 == 0).cast("int"), F.col("event_id") % 7 != 0)
+    return events.select("event_id", made.alias("d")).select("event_id", "d.*")
 
 
 @register()
@@ -713,17 +846,17 @@ def r14_review_status(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.review_status(k != 0, k != 1, k == 2).alias("status"))
 
 
-@register("SELECT item_id, len(list_filter(string_split_regex(lower(text), '[\\s#]+'), lambda x: x <> '')) AS n FROM benchmark")
+@register("SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[\\s#]+'), lambda x: x <> ''), '|') AS tokens FROM benchmark")
 def x2_tokens(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.size(search.tokens(F.col("text"), True)).cast("long").alias("n"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.array_join(search.tokens(F.col("text"), True), "|").alias("tokens"))
 
 
-@register("SELECT event_id, TRUE AS parsed FROM events")
+@register("SELECT event_id, CAST(epoch(CASE event_id % 4 WHEN 1 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END) AS BIGINT) AS seconds FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 4 = 3")
 def x4_dates(spark, sf):
     kinds = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd_HH:mm:ss")
-    k = F.col("event_id") % 3
-    text = F.when(k == 0, F.date_format("ts", kinds[0])).when(k == 1, F.date_format("ts", kinds[1])).otherwise(F.date_format("ts", kinds[2]))
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", search.any_date(text).isNotNull().alias("parsed"))
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.date_format("ts", kinds[0])).when(k == 1, F.date_format("ts", kinds[1])).when(k == 2, F.date_format("ts", kinds[2])).otherwise("12/31/99")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.unix_seconds(search.any_date(text)).alias("seconds"))
 
 
 @register("SELECT p_partkey, CASE WHEN p_type LIKE '%\\_vec' THEN 'dense_vector' WHEN p_partkey % 3 = 0 THEN 'integer' WHEN p_partkey % 3 = 1 THEN 'dense_vector' ELSE 'date' END AS kind FROM part")

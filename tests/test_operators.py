@@ -59,34 +59,83 @@ def test_headings_keep_state(spark):
 
 
 def test_gate_reasons_one_by_one(spark):
-    fine = dict(line_count=10, score_sum=9.5, min_score=0.9, low_score_count=0, l_region_count=5, l_score_sum=4.0, l_low_score_count=0, has_text=True, uncertain=0)
+    fine = dict(line_count=10, avg_score=0.95, min_score=0.9, low_score_ratio=0.0, l_region_count=5, l_avg_score=0.8, l_low_score_ratio=0.0, has_text=True, risks=["sensitive_value"])
     cases = {
-        "too_few_lines": dict(line_count=0, score_sum=None, min_score=None),
-        "low_average": dict(score_sum=8.0),
-        "very_low_line": dict(min_score=0.5),
-        "low_line_ratio": dict(low_score_count=2),
-        "low_layout_average": dict(l_score_sum=2.9),
-        "low_layout_ratio": dict(l_low_score_count=2),
-        "uncertain_text": dict(uncertain=1),
+        "recognized OCR lines 0 < minimum 1 on a document with text/table layout": dict(line_count=0, avg_score=None, min_score=None),
+        "average OCR confidence 0.8000 < threshold 0.8600": dict(avg_score=0.8),
+        "minimum OCR line confidence 0.5000 < threshold 0.6000": dict(min_score=0.5),
+        "low-confidence OCR line ratio 0.2000 >= threshold 0.2000": dict(low_score_ratio=0.2),
+        "average layout confidence 0.5800 < threshold 0.6000": dict(l_avg_score=0.58),
+        "low-confidence layout region ratio 0.4000 >= threshold 0.3500": dict(l_low_score_ratio=0.4),
+        "3 OCR uncertainty risk(s): ambiguous_characters, ocr_too_short_for_region": dict(risks=["ocr_too_short_for_region", "ambiguous_characters", "ambiguous_characters"]),
         None: {},
     }
-    schema = "line_count long, score_sum double, min_score double, low_score_count long, l_region_count long, l_score_sum double, l_low_score_count long, has_text boolean, uncertain long"
+    schema = "line_count long, avg_score double, min_score double, low_score_ratio double, l_region_count long, l_avg_score double, l_low_score_ratio double, has_text boolean, risks array<string>"
     for reason, change in cases.items():
         row = spark.createDataFrame([tuple({**fine, **change}.values())], schema).select(stats.gate_reasons().alias("r")).first()
         assert row["r"] == ([reason] if reason else [])
 
 
 def test_weighted_median_of_medians(spark):
-    df = spark.createDataFrame([(1, 1, 5, 0.9, 0.9, 0.9, 0), (1, 3, 9, 1.5, 0.5, 0.5, 3)], "k int, line_count long, char_count long, score_sum double, min_score double, median_score double, low_score_count long")
-    row = stats.roll_up(df, ["k"]).first()
-    assert (row["line_count"], row["min_score"], row["median_score"]) == (4, 0.5, 0.5)
+    df = spark.createDataFrame(
+        [(1, 1, 5, 0.9, 0.9, 0.9, 0), (1, 3, 9, 0.5, 0.5, 0.5, 3), (1, 0, 0, None, None, None, 0), (2, 0, 0, None, None, None, 0)],
+        "k int, line_count long, char_count long, avg_score double, min_score double, median_score double, low_score_count long",
+    )
+    got = {r["k"]: r for r in stats.roll_up(df, ["k"]).collect()}
+    assert tuple(got[1][c] for c in ("line_count", "char_count", "avg_score", "min_score", "median_score", "low_score_count", "low_score_ratio")) == (4, 14, 0.6, 0.5, 0.5, 3, 0.75)
+    assert tuple(got[2][c] for c in ("line_count", "avg_score", "min_score", "median_score", "low_score_ratio")) == (0, None, None, None, 0.0)
 
 
-def test_learning_counts_candidates(spark):
-    rules = spark.createDataFrame([("a", "w", "c", 2, 1)], "id string, wrong string, correct string, seen_count long, applied_count long")
-    found = spark.createDataFrame([("a", "w", "c"), ("b", "x", "y"), ("b", "x", "y")], "id string, wrong string, correct string")
-    got = {r["id"]: (r["seen_count"], r["applied_count"]) for r in memory.learn(rules, found).collect()}
-    assert got == {"a": (3, 1), "b": (2, 0)}
+def test_learning_overwrites_what_is_said(spark):
+    rules = spark.createDataFrame([("a", "w", "c", 2, 1, "old", 5, False), ("z", "q", "r", 1, 0, "old", 6, True)], "id string, wrong string, correct string, seen_count long, applied_count long, kind string, line int, blocked boolean")
+    found = spark.createDataFrame(
+        [("a", "w", "c", "new", None, 1), ("b", "x", "y", "one", 7, 2), ("b", "x", "y", None, 8, 3), ("z", "q", "r", "new", 9, 4)], "id string, wrong string, correct string, kind string, line int, at int"
+    )
+    got = {r["id"]: (r["seen_count"], r["applied_count"], r["kind"], r["line"], r["blocked"]) for r in memory.learn(rules, found).collect()}
+    assert got == {"a": (3, 1, "new", 5, False), "b": (2, 0, "one", 8, False), "z": (1, 0, "old", 6, True)}
+
+
+def test_replay_in_several_passes(spark, monkeypatch):
+    rules = spark.createDataFrame([(i, f"r{i}", w, c) for i, (w, c) in enumerate([("a", "b"), ("bb", "c"), ("ccc", "aa"), ("b", "d")])], "seq int, id string, wrong string, correct string")
+    texts = spark.createDataFrame([("abbcccb",), ("aab",)], "text string")
+    wanted = sorted(memory.replay(texts, rules).collect())
+    monkeypatch.setattr(memory, "RULES_A_PASS", 1)
+    assert sorted(memory.replay(texts, rules).collect()) == wanted
+
+
+def test_column_sort_across_pages():
+    # One page: columns by tag; several pages: by place alone.
+    cells = [{"C": 0, "x0": 0, "x1": 9, "top": 0}, {"C": 1, "x0": 20, "x1": 29, "top": 0}]
+    for pages, wanted in (((1, 1), [0, 1]), ((1, 2), [0, 1])):
+        boxes = [dict(c, page_number=p) for c, p in zip(cells, pages, strict=True)]
+        tables.number_columns(boxes)
+        assert [b["cn"] for b in boxes] == wanted
+
+
+def test_lone_rows_move_up_or_down():
+    cell = lambda rn, cn, top: {"rn": rn, "cn": cn, "top": top, "bottom": top + 10, "text": "t"}
+    grid = [cell(r, c, 30 * r) for c in range(4) for r in (0, 2) if (r, c) != (2, 1)] + [cell(1, 1, 45)]
+    tables.relocate(grid, "rn", "cn", "top", "bottom")
+    assert sorted((b["rn"], b["cn"]) for b in grid) == [(r, c) for r in (0, 1) for c in range(4)]
+
+
+def test_captions_and_empty_tables(spark):
+    from lamina.plans import document
+
+    cells = spark.createDataFrame([(1, 0, 0, 0, 9, 9, "表 1: x", 0.5), (1, 1, 0, 20, 9, 29, "a", 1.0), (2, 0, 9, 0, 0, 9, "gone", 0.2)], "table_id long, seq long, x0 long, top long, x1 long, bottom long, text string, score double")
+    parts = spark.createDataFrame([(1, 0, "table row", 0, 20, 9, 29, 0.9), (1, 1, "table column", 0, 0, 9, 29, 0.9)], "table_id long, seq long, label string, x0 long, top long, x1 long, bottom long, score double")
+    got = {r["table_id"]: r for r in document.extract_tables(cells, parts).collect()}
+    assert got[1]["markdown"] == "**表 1: x**\n\n| a |\n| --- |\n" and got[1]["line_count"] == 2
+    assert got[2]["markdown"] == "" and got[2]["avg_score"] == 0.2
+
+
+def test_risk_assets_keep_counting(spark):
+    from lamina.plans import document
+
+    rows = [(1, 0, "a b", 0, 0, 9, 9, "old.png"), (1, 1, "a b", 0, 0, 9, 9, None), (1, 2, "c", None, None, None, None, None), (1, 3, "d", 0, 0, 9, 9, None), (1, 4, "e", 0, 0, 9, 9, None)]
+    risks = spark.createDataFrame(rows, "page_id long, seq long, category string, x0 long, top long, x1 long, bottom long, asset_path string")
+    got = [r["asset_path"] for r in document.risk_assets(risks, 4, 640, 800).orderBy("seq").collect()]
+    assert got == ["old.png", "page_001_risk_002_a_b.png", None, "page_001_risk_003_d.png", None]
 
 
 def test_diffs_candidates_and_effective_text(spark):
@@ -133,6 +182,47 @@ def test_any_date(spark):
     assert [r["d"] is not None for r in df.select(search.any_date(F.col("s")).alias("d")).collect()] == [True, True, True, False]
 
 
+def test_job_rows(spark):
+    jobs = spark.createDataFrame(
+        [("j1", 0.0, 10.0, None, 0, "/o/a.md", None, None), ("j2", 0.0, 10.0, 12.5, 1, None, None, "/o/r.json"), ("j3", 0.0, None, None, None, None, None, None), ("j4", 0.0, 9.0, 8.0, 0, "/o/b.md", "/o/m.json", None)],
+        "job_id string, created_at double, started_at double, finished_at double, exit_code int, markdown_path string, metadata_path string, review_path string",
+    )
+    jobs = jobs.withColumn("status", catalog.job_state(F.col("started_at"), F.col("finished_at"), F.col("exit_code"), F.col("markdown_path")))
+    got = {r["job_id"]: r for r in catalog.job_rows(jobs, F.lit(15.0)).collect()}
+    assert {k: (r["status"], r["elapsed_seconds"], r["markdown_name"], r["changes_name"], r["has_markdown"]) for k, r in got.items()} == {
+        "j1": ("running", 5.0, "a.md", None, True), "j2": ("failed", 2.5, None, "r.json", False), "j3": ("queued", None, None, None, False), "j4": ("succeeded", 0.0, "b.md", None, True),
+    }
+    assert got["j1"]["created_at"].startswith("1970-01-01T00:00:00")
+
+
+def test_change_sources(spark):
+    jobs = spark.createDataFrame([(1, "/o/r.json", "s.md", None), (2, "/o/r.json", None, "")], "job_id int, review_path string, source_name string, checked_name string")
+    files = spark.createDataFrame([(i, p, m) for i in (1, 2) for p, m in (("/x/a_ocr_raw.md", 1), ("/x/b_ocr_raw.md", 2), ("/x/c_vlm_checked.md", 1))], "job_id int, path string, mtime int")
+    got = {r["job_id"]: (r["source"], r["checked"]) for r in catalog.change_sources(jobs, files).collect()}
+    assert got == {1: ("/o/s.md", "/x/c_vlm_checked.md"), 2: ("/x/b_ocr_raw.md", "/x/c_vlm_checked.md")}
+
+
+def test_page_without_a_limit_numbers_nothing(spark):
+    df = spark.range(5)
+    assert [tuple(r) for r in catalog.page(df, {}, [F.col("id").desc()], offset=3).collect()] == [(1, 5), (0, 5)]
+
+
+def test_typed_json(spark):
+    from lamina.functions import text as t
+
+    df = spark.sql("SELECT timestamp'2020-01-02 03:04:05' AS at, 7 AS n, CAST(NULL AS STRING) AS gone")
+    row = df.select(t.encoded(F.struct("at", "n", "gone")).alias("j")).select("j", t.decoded(F.col("j"), "at timestamp, n int").alias("d")).first()
+    assert row["j"] == '{"at":"2020-01-02 03:04:05","n":7}'
+    assert str(row["d"]["at"]) == "2020-01-02 03:04:05" and row["d"]["n"] == 7
+
+
+def test_registry_holds_transforms(spark):
+    from lamina.plans.document import REGISTRY
+
+    df = boxes(spark, ("t", 0, 0, 9, 9, 0.9), ("t", 0, 0, 9, 9, 0.5))
+    assert [r["seq"] for r in df.transform(REGISTRY["clean_layouts"]).collect()] == [0]
+
+
 def test_ctc(spark):
     df = spark.createDataFrame([([0, 1, 1, 0, 1],)], "a array<int>")
     assert df.select(suppress.ctc_collapse("a").alias("x")).first()["x"] == [1, 1]
