@@ -114,3 +114,8 @@ def detector_size(width: Column, height: Column, limit: int, kind: str = "max")
 def line_width(width: Column, height: Column, to_height: int = 32, least: int = 32, most: int = 512) -> Column:
     """Width at ``to_height``, rounded up to tens and clamped."""
     return F.least(F.greatest(F.ceil((to_height * width / height).cast("long") / 10) * 10, F.lit(least)), F.lit(most)).cast("long")
+
+
+def ocr_line(quad: Column) -> list[Column]:
+    """A recognised line's edges; its score counts as 1."""
+    return [*quad_box(quad), F.lit(1.0).alias("score")]

@@ -109,6 +109,30 @@ def missing_jobs(folders: DataFrame, history: DataFrame) -> DataFrame:
     return latest_outputs(folders).join(history.select("job_id"), "job_id", "left_anti").withColumn("status", status)
 
 
+def audited(rows: DataFrame, now: Column, fresh: bool = True) -> DataFrame:
+    """``rows`` with their audit columns set to ``now`` (milliseconds): update_time and update_date, and for new rows create_time and create_date."""
+    moment = F.date_format(F.timestamp_millis(now), "yyyy-MM-dd HH:mm:ss")
+    for name in ("create", "update") if fresh else ("update",):
+        rows = rows.withColumn(f"{name}_time", now).withColumn(f"{name}_date", moment)
+    return rows
+
+
+def continuous(df: DataFrame) -> list[str]:
+    """Fields that take ranges: numbers, dates and times."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType | DateType | TimestampType)]
+
+
+def ensure_table(df: DataFrame, name: str) -> None:
+    """Create the table ``name`` with the columns of ``df`` if it is missing, else add those it lacks."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.limit(0).write.saveAsTable(name)
+        return
+    known = set(spark.table(name).columns)
+    if new := [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in known]:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
+
+
 def job_state(started: Column, finished: Column, exit_code: Column, markdown: Column) -> Column:
     """queued until it starts, running until it ends; succeeded with exit code 0 and a text, else failed."""
     done = (exit_code == 0) & markdown.isNotNull()

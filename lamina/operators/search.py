@@ -40,10 +40,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """The k vectors of largest cosine to the one row of ``query`` (q)."""
-    scored = vectors.crossJoin(F.broadcast(query)).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))  # one row
-    return scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(k)
+#: Query vectors that meet all others in one pass.
+QUERIES_A_PASS = 1_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, score, place): the k vectors of largest cosine to each of ``queries`` (query_id, q), by whole billionths, then by vec_id.
+
+    Queries are counted and broadcast ``QUERIES_A_PASS`` at a time; each pass reads the vectors once and keeps k of a query in every task before they meet.
+    """
+    passes = max(1, -(-queries.count() // QUERIES_A_PASS))
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
+    out = None
+    for i in range(passes):
+        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        scored = vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))  # QUERIES_A_PASS rows, about
+        found = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def any_date(text: Column) -> Column:

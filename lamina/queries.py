@@ -263,12 +263,12 @@ def p10_find(spark, sf):
     return catalog.find(orders, o_orderstatus={"F", "O"}, o_totalprice=[1000, 150000], o_orderkey=None).select("o_orderkey", "o_custkey")
 
 
-@register("""SELECT o_orderkey, place, total FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS total
-FROM orders WHERE o_orderpriority LIKE '%-URGENT' AND o_custkey >= 10) o WHERE place <= 20""")
+@register("""SELECT o_orderkey, place - 30 AS place, total FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS total
+FROM orders WHERE o_orderpriority LIKE '%-URGENT' AND o_custkey >= 10) o WHERE place > 30 AND place <= 50""")
 def p12_page(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     query = {"o_orderpriority": ("%", "%-URGENT"), "o_custkey": (">=", 10)}
-    return catalog.page(orders, query, [F.col("o_totalprice").desc(), F.col("o_orderkey")], limit=20).select("o_orderkey", "place", "total")
+    return catalog.page(orders, query, [F.col("o_totalprice").desc(), F.col("o_orderkey")], limit=20, offset=30).select("o_orderkey", F.col("place").cast("long").alias("place"), "total")
 
 
 # ---- spatial joins (J1-J9), suppression (D1-D5) --------------------------
@@ -681,12 +681,12 @@ def x1_term_scores(spark, sf):
     return search.term_scores(_docs(spark, sf), queries).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
-@register("""SELECT vec_id, CAST(round(score * 1000000) AS BIGINT) AS score FROM (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0) x
-ORDER BY round(score, 9) DESC, vec_id LIMIT 10""")
+@register("""SELECT query_id, vec_id, CAST(round(score * 1000000) AS BIGINT) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS place
+FROM (SELECT b.vec_id AS query_id, a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) x) y WHERE place <= 10""")
 def x3_nearest(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    best = search.nearest(vectors, vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))
-    return best.select("vec_id", F.round(F.col("score") * 1000000).cast("long").alias("score"))
+    best = search.nearest(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return best.select("query_id", "vec_id", F.round(F.col("score") * 1000000).cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
 # ---- smaller operators -----------------------------------------------------
@@ -707,10 +707,12 @@ def s12_history(spark, sf):
     return latest.select("o_orderkey", "status", F.col("place").cast("long").alias("n"))
 
 
-@register(f"SELECT page_id, seq, x0, top, least(x1, 639) AS x1, bottom FROM {LAYOUT} l WHERE least(x1, 639) - x0 > 3 AND bottom - top > 3")
+@register(f"SELECT page_id, seq, x0 + 3 AS x0, top, least(x1, 639) AS x1, bottom - 2 AS bottom FROM {LAYOUT} l WHERE floor(sqrt((least(x1, 639) - x0 - 3) * (least(x1, 639) - x0 - 3) + 4)) > 3 AND floor(sqrt(9 + (bottom - top - 2) * (bottom - top - 2))) > 3")
 def p5_detector_quads(spark, sf):
-    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    quad = F.array(point("x1", "bottom"), point("x0", "top"), point("x0", "bottom"), point("x1", "top"))
+    # Slightly turned, in no order: from the corner nearest the origin to the right, down and back.
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, top, x1, bottom = (F.col(c) for c in g.EDGES)
+    quad = F.array(point(x1, bottom), point(x0 + 3, top), point(x0, bottom - 2), point(x1, top + 2))
     found = relation(spark, sf, "layout_boxes").withColumn("quad", g.clipped(g.clockwise(quad), PAGE_WIDTH, PAGE_HEIGHT)).where(g.wide_enough(F.col("quad")))
     return found.select("page_id", "seq", *g.quad_box(F.col("quad")))
 
@@ -721,10 +723,15 @@ def p8_class_labels(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.class_label(number, ("Title", "Text", "Reference", "Figure")).alias("label"))
 
 
-@register("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority ILIKE '%urgent' AND o_custkey NOT IN (1, 2) AND o_orderkey < 500")
+@register("""SELECT o_orderkey, o_orderstatus <> 'F' AS ne, o_custkey < 50 AS lt, o_custkey <= 50 AS le, o_custkey > 50 AS gt, o_custkey >= 50 AS ge, o_orderstatus = 'O' AS eq, o_custkey IN (1, 2, 3) AS among, o_custkey NOT IN (1, 2) AS not_among,
+o_orderpriority LIKE '%-URGENT' AS alike, o_orderpriority ILIKE '%urgent' AS ilike, xor(o_custkey, 5) <> 0 AS differs, o_custkey BETWEEN 5 AND 9 AS ranged, contains(lower(o_orderpriority), 'high') AS holds, starts_with(o_orderpriority, '1') AS starts, ends_with(o_orderpriority, 'T') AS ends, FALSE AS missing FROM orders""")
 def p11_conditions(spark, sf):
-    query = {"o_orderstatus": ("!=", "F"), "o_orderpriority": ("**", "%urgent"), "o_custkey": ("~", [1, 2]), "o_orderkey": ("<", 500)}
-    return spark.read.parquet(f"{sf}/orders.parquet").where(catalog.condition(query)).select("o_orderkey")
+    tests = {
+        "ne": ("o_orderstatus", ("!=", "F")), "lt": ("o_custkey", ("<", 50)), "le": ("o_custkey", ("<=", 50)), "gt": ("o_custkey", (">", 50)), "ge": ("o_custkey", (">=", 50)), "eq": ("o_orderstatus", "O"),
+        "among": ("o_custkey", ("<<", [1, 2, 3])), "not_among": ("o_custkey", ("~", [1, 2])), "alike": ("o_orderpriority", ("%", "%-URGENT")), "ilike": ("o_orderpriority", ("**", "%urgent")), "differs": ("o_custkey", ("^", 5)),
+        "ranged": ("o_custkey", ("between", (5, 9))), "holds": ("o_orderpriority", ("contains", "HIGH")), "starts": ("o_orderpriority", ("startswith", "1")), "ends": ("o_orderpriority", ("endswith", "T")), "missing": ("o_custkey", (">>", None)),
+    }
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", *[catalog.condition({field: test}).alias(name) for name, (field, test) in tests.items()])
 
 
 @register(f"SELECT page_id, string_agg(type || CASE WHEN type = 'figure' THEN '=a.png' ELSE '' END, ';' ORDER BY seq) AS regions FROM {LAYOUT} l GROUP BY page_id")
@@ -894,7 +901,83 @@ def k13_line_width(spark, sf):
     return relation(spark, sf, "layout_boxes").select("page_id", "seq", g.line_width(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")).alias("width"))
 
 
-@register(f"SELECT page_id, seq, greatest(CAST(round_even((x1 - x0) / 32.0, 0) * 32 AS BIGINT), 32) AS width, greatest(CAST(round_even((bottom - top) / 32.0, 0) * 32 AS BIGINT), 32) AS height FROM {LAYOUT} l")
+_LONG, _SHORT = "greatest(w, h)", "least(w, h)"
+_SCALES = {"max": f"CASE WHEN {_LONG} > 120 THEN 120.0 / {_LONG} ELSE 1.0 END", "min": f"CASE WHEN {_SHORT} < 40 THEN 40.0 / {_SHORT} ELSE 1.0 END", "resize_long": f"120.0 / {_LONG}"}
+_SIDE = "greatest(CAST(round_even(CAST(trunc({v} * CAST({s} AS DOUBLE)) AS BIGINT) / 32.0, 0) * 32 AS BIGINT), 32) AS {n}_{k}"
+
+
+@register("SELECT page_id, seq, " + ", ".join(_SIDE.format(v=v, s=s, n=n, k=k) for k, s in _SCALES.items() for v, n in (("w", "width"), ("h", "height"))) + f" FROM (SELECT page_id, seq, x1 - x0 AS w, bottom - top AS h FROM {LAYOUT} l) b")
 def k1_detector_size(spark, sf):
-    sizes = g.detector_size(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), 960)
+    w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
+    limits = {"max": 120, "min": 40, "resize_long": 120}
+    sizes = [c.alias(f"{n}_{k}") for k, limit in limits.items() for n, c in zip(("width", "height"), g.detector_size(w, h, limit, k), strict=True)]
     return relation(spark, sf, "layout_boxes").select("page_id", "seq", *sizes)
+
+
+@register(f"SELECT page_id, seq, CAST(least(greatest(round_even(x0 - 20 + 0.5 * (seq % 2), 0), 0), 640) AS BIGINT) AS x0, CAST(least(greatest(round_even(top + 0.5, 0), 0), 800) AS BIGINT) AS top, CAST(least(greatest(round_even(x1 + 100.5, 0), 0), 640) AS BIGINT) AS x1, CAST(least(bottom, 800) AS BIGINT) AS bottom FROM {LAYOUT} l")
+def p1_clamped_box(spark, sf):
+    boxes = relation(spark, sf, "layout_boxes").select("page_id", "seq", (F.col("x0") - 20 + 0.5 * (F.col("seq") % 2)).alias("x0"), (F.col("top") + 0.5).alias("top"), (F.col("x1") + 100.5).alias("x1"), "bottom")
+    return boxes.select("page_id", "seq", *g.clamped_box(PAGE_WIDTH, PAGE_HEIGHT))
+
+
+@register(f"SELECT page_id, seq FROM {OCR} o WHERE seq % 5 <> 0 AND seq % 7 <> 0")
+def p4_fit_boxes(spark, sf):
+    boxes = relation(spark, sf, "ocr_boxes").withColumn("x1", F.when(F.col("seq") % 5 == 0, F.col("x0") - 1).otherwise(F.col("x1"))).withColumn("text", F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("text")))
+    return boxes.where(~g.degenerate() & (F.col("text") != "")).select("page_id", "seq")
+
+
+@register(f"SELECT page_id, seq, x0, top, x1, bottom, 1.0 AS score FROM {OCR} o")
+def m7_ocr_lines(spark, sf):
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    quad = F.array(point("x0", "top"), point("x1", "top"), point("x1", "bottom"), point("x0", "bottom"))
+    return relation(spark, sf, "ocr_boxes").select("page_id", "seq", *g.ocr_line(quad))
+
+
+@register(f"SELECT table_id, seq, row_number() OVER (PARTITION BY table_id ORDER BY seq % 4, seq) - 1 AS place FROM {CELLS} c")
+def o3_sort_by_columns(spark, sf):
+    return order.ordered(_tagged(spark, sf), lambda rows: order.by_tag(rows, "C", "top", "x0", "top", 40), "table_id")
+
+
+@register("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, CAST(epoch(date_trunc('second', ts)) * 1000 AS BIGINT) AS back, CAST(epoch(date_trunc('second', ts)) * 1000 AS BIGINT) AS cut, 0 AS wait FROM events")
+def t18_millis(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    text = t.from_millis(F.col("ms"))
+    return events.select("event_id", text.alias("text"), t.to_millis(text).alias("back"), t.to_second(F.col("ms")).alias("cut"), t.seconds_between(F.col("ms") + 999, F.col("ms")).alias("wait"))
+
+
+@register("SELECT event_id, '{\"at\":\"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '\",\"n\":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',\"kind\":\"' || event_type || '\"' ELSE '' END || '}' AS json, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, event_id AS n, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM events")
+def t19_typed_json(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    made = events.select("event_id", t.encoded(F.struct(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), F.expr("IF(event_id % 2 = 0, event_type, NULL)").alias("kind"))).alias("json"))
+    read = made.withColumn("d", t.decoded(F.col("json"), "at timestamp, n long, kind string"))
+    return read.select("event_id", "json", F.unix_seconds("d.at").alias("seconds"), "d.n", "d.kind")
+
+
+@register("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 90.0 ELSE 25.0 END AS elapsed_seconds, CASE WHEN o_orderkey % 4 = 2 THEN 'full.md' END AS markdown_name, o_orderkey % 4 = 2 AS has_markdown, o_orderkey % 8 = 2 AS changes_available FROM orders")
+def m11_job_rows(spark, sf):
+    k = F.col("o_orderkey") % 4
+    jobs = spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey", F.lit(0.0).alias("created_at"), F.when(k > 0, 10.0).alias("started_at"), F.when(k > 1, 35.0).alias("finished_at"), F.when(k > 1, k - 2).alias("exit_code"),
+        F.when(k == 2, "/out/full.md").alias("markdown_path"), F.lit(None).cast("string").alias("metadata_path"), F.when(F.col("o_orderkey") % 8 == 2, "/out/review.json").alias("review_path"),
+    )
+    state = catalog.job_state(F.col("started_at"), F.col("finished_at"), F.col("exit_code"), F.col("markdown_path"))
+    return catalog.job_rows(jobs.withColumn("status", state), F.lit(100.0)).select("o_orderkey", "status", "elapsed_seconds", "markdown_name", "has_markdown", "changes_available")
+
+
+@register(f"SELECT DISTINCT page_id // 10 AS doc_id, 'scan.pdf' AS input, 'd' || CAST(page_id // 10 AS VARCHAR) || '_full.md' AS output_markdown, 'assets' AS assets_dir FROM {LAYOUT} l")
+def m5_envelope(spark, sf):
+    docs = relation(spark, sf, "layout_boxes").select(F.expr("page_id div 10").alias("doc_id")).distinct()
+    return document.envelope(docs.withColumn("output_path", F.format_string("/out/d%d/d%d_full.md", "doc_id", "doc_id")), "scan.pdf").drop("generated_at")
+
+
+@register(f"""SELECT page_id, seq, CASE WHEN own THEN 'had.png' WHEN new THEN printf('page_%03d_risk_%03d_%s.png', page_id, count(*) FILTER (WHERE own) OVER p + count(*) FILTER (WHERE new) OVER (p ORDER BY seq), type) END AS asset_path
+FROM (SELECT page_id, seq, type, seq % 6 = 5 AS own, seq % 6 <> 5 AND seq % 4 <> 3 AND seq < 9 AS new FROM {LAYOUT} l) x WINDOW p AS (PARTITION BY page_id)""")
+def m6_risk_assets(spark, sf):
+    boxes = relation(spark, sf, "layout_boxes").withColumnRenamed("type", "category").withColumn("asset_path", F.expr("IF(seq % 6 = 5, 'had.png', NULL)"))
+    boxes = boxes.withColumns({c: F.expr(f"IF(seq % 4 = 3, NULL, {c})") for c in g.EDGES})
+    return document.risk_assets(boxes, 9, PAGE_WIDTH, PAGE_HEIGHT).select("page_id", "seq", "asset_path")
+
+
+@register("SELECT c_custkey, 1700000000123 AS create_time, '2023-11-14 22:13:20' AS create_date, 1700000000123 AS update_time, '2023-11-14 22:13:20' AS update_date FROM customer")
+def m15_audited(spark, sf):
+    return catalog.audited(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), F.lit(1_700_000_000_123))

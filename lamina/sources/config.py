@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, MutableMapping
 from typing import Any
@@ -33,3 +34,29 @@ def index_schema(fields: Mapping[str, str]) -> str:
         "dense_vector": "array<float>", "binary": "binary", "geo_point": "struct<lat:double,lon:double>",
     }
     return ", ".join(f"`{name}` {types[kind]}" for name, kind in fields.items())
+
+
+def read_settings(text: str, kind: str) -> dict[str, Any]:
+    """Settings of a JSON or YAML file; an empty one has none. YAML needs its parser to be installed."""
+    if kind == "json":
+        return json.loads(text) if text.strip() else {}
+    if kind != "yaml":
+        raise ValueError(f"settings of unknown kind: {kind}")
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML settings need a YAML parser; give them as JSON") from e
+    return yaml.safe_load(text) or {}
+
+
+def base_url(value: str | None, default: str) -> str:
+    """An address without white space and slashes at its end; the default where there is none."""
+    return (value or "").strip().rstrip("/") or default.rstrip("/")
+
+
+def number(value: str | None, default: float, kind: type = float) -> float:
+    """A number from the environment; the default where it is missing or none."""
+    try:
+        return kind((value or "").strip())
+    except ValueError:
+        return default
