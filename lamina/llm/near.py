@@ -51,7 +51,7 @@ SIMILAR = (4, 5)
 SEGMENTS, BITS, ANCHORS = 13, 23, 2
 LEAD = 2
 SEED = 42
-FEW = 16
+FEW = 4
 BLOCK = 500_000
 #: Keys of one bucket in memory, about.
 BUCKET_KEYS = 1_000_000
@@ -299,9 +299,14 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
     rest = F.substring("keys", 8 * LEAD + 1, 1 << 20)
     labelled = full.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"), rest.alias("keys"))
     more, others = links(labelled, 6 * SEGMENTS, sets)
-    both = materialize(more.unionAll(known.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
-    out = materialize(components(both), "near-labels")
-    drop(lead, sets, known, more, others, both, nodes)
+    # Later links connect components: these are the nodes from here on.
+    end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    last = materialize(components(joined), "near-labels").withColumnRenamed("label", "least")
+    moved = known.join(last.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    alone = last.join(known.select("node"), "node", "left_anti").select("node", F.col("least").alias("label"))
+    out = materialize(moved.unionAll(alone), "near-labels")
+    drop(lead, sets, known, more, others, nodes)
     return out
 
 
