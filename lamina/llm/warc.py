@@ -1,8 +1,8 @@
 """WARC records in seekable Zstandard bundles.
 
 Records are grouped into frames that decompress independently. A bundle is its
-frames, then a skippable frame that maps record identifiers to (frame, offset in
-the frame, length), then the seek table, a skippable frame whose footer ends
+frames, then a skippable frame that maps record identifiers, sorted, to (frame,
+offset in the frame, length), then the seek table, a skippable frame whose footer ends
 the bundle. A reader takes the table from the end, finds the frame of a record
 and decompresses that frame alone.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize
+from lamina.llm.common import BROADCAST_ROWS, drop, materialize
 
 MIN_PAYLOAD = 1000
 FRAME_BYTES = 256 << 10
@@ -99,7 +100,7 @@ class BundleWriter:
 
     def finish(self) -> bytes:
         self._close()
-        index = struct.pack("<I", len(self._sizes)) + b"".join(self._index)
+        index = struct.pack("<I", len(self._sizes)) + b"".join(sorted(self._index))
         table = b"".join(struct.pack("<II", *s) for s in self._sizes) + struct.pack("<IBI", len(self._sizes), 0, FOOTER_MAGIC)
         skippable = lambda magic, body: struct.pack("<II", magic, len(body)) + body
         return b"".join(self._frames) + skippable(INDEX_MAGIC, index) + skippable(TABLE_MAGIC, table)
@@ -134,18 +135,22 @@ class BundleReader:
             yield uuid.UUID(bytes=self._data[at : at + 16]), *struct.unpack_from("<III", self._data, at + 16)
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        """Every record by the index, each frame decompressed once."""
+        """Every record in the order it was written, each frame decompressed once."""
         open_, frame = -1, b""
-        for _, i, at, n in self.index():
+        for i, at, n in sorted(x[1:] for x in self.index()):
             if i != open_:
                 open_, frame = i, self.frame(i)
             yield parse(frame[at : at + n])
 
     def find(self, rid: uuid.UUID) -> tuple[dict[str, str], bytes] | None:
-        for x, i, at, n in self.index():
-            if x == rid:
-                return parse(self.frame(i)[at : at + n])
-        return None
+        """A record by its identifier: bisection of the index, and one frame."""
+        entry = lambda k: self._data[self._index_at + 28 * k : self._index_at + 28 * k + 28]
+        n = (self._index_to - self._index_at) // 28
+        k = bisect_left(range(n), rid.bytes, key=lambda k: entry(k)[:16])
+        if k == n or entry(k)[:16] != rid.bytes:
+            return None
+        i, at, size = struct.unpack_from("<III", entry(k), 16)
+        return parse(self.frame(i)[at : at + size])
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -171,7 +176,10 @@ def write_bundles(pages: DataFrame) -> DataFrame:
         .agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
     )
-    decided = base.join(groups, (F.col("digest") == F.col("g")) & (F.col("n") == F.col("gn")), "left").select(
+    groups = materialize(groups, "warc-groups")
+    # Few repeated payloads are broadcast, so that no payload is shuffled; many meet in a join whose hot keys Spark splits.
+    side = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    decided = base.join(side, (F.col("digest") == F.col("g")) & (F.col("n") == F.col("gn")), "left").select(
         "page_id", "url", "digest", F.when(~F.col("of").eqNullSafe(F.col("page_id")), F.col("of")).alias("of"), "payload"
     )
 
@@ -191,7 +199,9 @@ def write_bundles(pages: DataFrame) -> DataFrame:
         if writer.total:
             yield done(writer)
 
-    return materialize(decided.mapInArrow(run, "bundle_id long, bundle binary"), "warc")
+    out = materialize(decided.mapInArrow(run, "bundle_id long, bundle binary"), "warc")
+    drop(groups)
+    return out
 
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
