@@ -799,16 +799,20 @@ def w10_captions(spark, sf):
     return tables.captions(boxes)
 
 
-@register("SELECT event_id, [1] || CASE event_id % 2 WHEN 0 THEN [4, 5] ELSE [6] END || [2] AS ids, CASE event_id % 2 WHEN 0 THEN 'ab' ELSE 'c' END AS text FROM events")
+_ALPHABET = "B#0123456789 abcdefghijklmnopqrstuvwxyz"
+
+
+@register(f"SELECT p_partkey, [1] || list_transform(string_split(said, ''), lambda c: strpos('{_ALPHABET}', c) + 3) || [2] AS ids, said AS text FROM (SELECT p_partkey, p_brand || ' ' || lower(p_type) AS said FROM part) p")
 def t21_vocabulary(spark, sf):
-    text = F.when(F.col("event_id") % 2 == 0, "ab").otherwise("c")
-    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.encode(text, "abc").alias("ids"))
-    return ids.select("event_id", "ids", t.decode(F.col("ids"), "abc").alias("text"))
+    ids = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", t.encode(F.expr("p_brand || ' ' || lower(p_type)"), _ALPHABET).alias("ids"))
+    return ids.select("p_partkey", "ids", t.decode(F.col("ids"), _ALPHABET).alias("text"))
 
 
-@register("SELECT p_partkey, (p_partkey % 1000) / 1000 AS share FROM part")
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(CAST(l_partkey AS DOUBLE) / 7, 4) AS share, CASE WHEN l_quantity > 0 THEN round(CAST(l_linenumber AS DOUBLE) / 7, 4) ELSE 0.0 END AS part FROM lineitem")
 def t12_rounded(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.round((F.col("p_partkey") % 1000) / 1000, 4).alias("share"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    share = stats.ratio(F.col("l_linenumber").cast("double"), F.when(F.col("l_quantity") > 0, F.lit(7)))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", stats.rounded(F.col("l_partkey").cast("double") / 7).alias("share"), share.alias("part"))
 
 
 @register("SELECT event_id, props AS props FROM events")
@@ -890,10 +894,10 @@ def m14_toggle(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", memory.toggle(ids, F.when(on, 5).otherwise(2), on).alias("ids"))
 
 
-@register("SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'ab12גב' ELSE 'ב' END AS text FROM events")
+@register("SELECT item_id, array_to_string(list_reverse(regexp_extract_all(text, '(?s)([a-zA-Z0-9 :*./%+-]+|.)')), '') AS text FROM benchmark UNION ALL SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(text, '(?s)([a-zA-Z0-9 :*./%+-]+|.)')), '') FROM documents")
 def m20_right_to_left(spark, sf):
-    text = F.when(F.col("event_id") % 2 == 0, "בגab12").otherwise("ב")
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.right_to_left(text).alias("text"))
+    both = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").unionAll(_docs(spark, sf).select("doc_id", "text"))
+    return both.select("item_id", t.right_to_left(F.col("text")).alias("text"))
 
 
 @register(f"SELECT page_id, seq, least(greatest(CAST(ceil(CAST(trunc(32.0 * (x1 - x0) / (bottom - top)) AS DOUBLE) / 10) * 10 AS BIGINT), 32), 512) AS width FROM {LAYOUT} l")
