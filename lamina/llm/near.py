@@ -160,12 +160,12 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, each: int) -> DataFrame:
-    """What shares a key and has unlike labels: (a, b) of a key with few sets, and else (key, a) of each set, for ``nodes`` (node, label, keys), about ``each`` keys apiece."""
+    """What shares a key and has unlike labels: (a, b) of a key with few sets, and else (key, a, n) of each set, for ``nodes`` (node, label, n, keys), about ``each`` keys apiece."""
     buckets = max(shuffle_partitions(nodes.sparkSession), nodes.count() * each // BUCKET_KEYS + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, labels = (b.column(c).to_numpy().view(np.uint64) for c in ("node", "label"))
+            ids, labels, sizes = (b.column(c).to_numpy().view(np.uint64) for c in ("node", "label", "n"))
             blobs = b.column("keys").to_pylist()
             for i in range(0, len(ids), 8192):
                 some = blobs[i : i + 8192]
@@ -176,14 +176,14 @@ def candidates(nodes: DataFrame, each: int) -> DataFrame:
                 keys, place, bucket = keys[order], place[order], bucket[order]
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
                 # Most sets are their own label: as differences, labels are mostly 0 and small when compressed.
-                parts = [x.astype("<u8") for x in (keys, ids[place], ids[place] ^ labels[place])]
+                parts = [keys.astype("<u8"), ids[place].astype("<u8"), (ids[place] ^ labels[place]).astype("<u8"), sizes[place].astype("<u4")]
                 rows = [(int(bucket[x]), *(p[x:y].tobytes() for p in parts)) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
-                columns = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "labels"])
+                columns = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(5)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes", "labels", "sizes"])
 
-    def meet(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    def meet(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, keys))
-        keys, ids, labels = keys[order], ids[order], labels[order] ^ ids[order]
+        keys, ids, labels, sizes = keys[order], ids[order], labels[order] ^ ids[order], sizes[order]
         ids = ids.view(np.int64)
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(new, len(keys)))
@@ -203,27 +203,28 @@ def candidates(nodes: DataFrame, each: int) -> DataFrame:
             pa.concat_arrays([none(len(pairs)), pa.array(keys[many].view(np.int64))]),
             pa.array(np.concatenate([pairs[:, 0], ids[many]])),
             pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), none(int(many.sum()))]),
+            pa.concat_arrays([none(len(pairs)), pa.array(sizes[many].astype(np.int64))]),
         ]
-        return pa.RecordBatch.from_arrays(out, names=["key", "a", "b"])
+        return pa.RecordBatch.from_arrays(out, names=["key", "a", "b", "n"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def flush() -> pa.RecordBatch:
-            return meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            return meet(*(np.concatenate([h[k] for h in held]) for k in range(4)))
 
         for b in batches:
-            for bucket, *parts in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("nodes"), b.column("labels"), strict=True):
+            for bucket, *parts in zip(b.column("bucket").to_pylist(), *(b.column(c) for c in ("keys", "nodes", "labels", "sizes")), strict=True):
                 if bucket != at and held:
                     yield flush()
                     held = []
                 at = bucket
-                held.append([np.frombuffer(p.as_buffer(), "<u8") for p in parts])
+                held.append([np.frombuffer(p.as_buffer(), "<u8" if i < 3 else "<u4") for i, p in enumerate(parts)])
         if held:
             yield flush()
 
-    dealt = nodes.mapInArrow(spread, "bucket long, keys binary, nodes binary, labels binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, a long, b long")
+    dealt = nodes.mapInArrow(spread, "bucket long, keys binary, nodes binary, labels binary, sizes binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, a long, b long, n long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -278,10 +279,10 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = F.substring("keys", 1, 8 * LEAD)
 
     def links(keyed: DataFrame, each: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(links, the sets that were read) of ``keyed`` (node, label, keys); ``known`` holds sets that were read before."""
+        """(links, the sets that were read) of ``keyed`` (node, label, n, keys); ``known`` holds sets that were read before."""
         met = materialize(candidates(keyed, each), "near-met")
         pairs = met.where("key IS NULL").select("a", "b").distinct()
-        many = met.where("key IS NOT NULL").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("key", "a", "n")
+        many = met.where("key IS NOT NULL").select("key", "a", "n")
         wanted = met.select(F.col("a").alias("node")).unionAll(met.where("b IS NOT NULL").select("b")).distinct()
         if known is not None:
             wanted = wanted.join(known.select("node"), "node", "left_anti")
@@ -294,10 +295,10 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame:
         drop(met, places)
         return out, sets
 
-    lead, sets = links(full.select("node", F.col("node").alias("label"), first.alias("keys")), LEAD, None)
+    lead, sets = links(full.select("node", F.col("node").alias("label"), "n", first.alias("keys")), LEAD, None)
     known = materialize(components(lead), "near-labels")
     rest = F.substring("keys", 8 * LEAD + 1, 1 << 20)
-    labelled = full.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"), rest.alias("keys"))
+    labelled = full.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n", rest.alias("keys"))
     more, others = links(labelled, 6 * SEGMENTS, sets)
     # Later links connect components: these are the nodes from here on.
     end = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
