@@ -88,9 +88,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_shard, op6_toxicity, op7_top_k, op8_language_id, op9_warc, op10_quality_rules)
+    for f in (
+        op1_pack, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_shard, op6_toxicity, op7_top_k, op8_language_id, op9_warc, op10_quality_rules,
+        op11_license_scan, op12_source_audit,
+    )
 }
 
 #: The other queries rest on hashes, models, schedules or fixpoints that SQL cannot say; tests hold them against brute force.
@@ -103,4 +118,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
   CASE WHEN strlen(h) >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN strlen(h) >= 1000 AND last <> page_id THEN last END AS refers_to
 FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages) p""",
+    "op12_source_audit": r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+lang_n AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY w.lang, w.source, w.term),
+group_n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+p AS (SELECT n.lang, n.source, kept.term, coalesce(c.n, 0) AS n,
+  1 + CAST(1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 2) // (n.total + 2 * l.v) AS BIGINT) AS p,
+  1 + CAST(1000000000 * (CAST(kept.n AS HUGEINT) + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+  FROM group_n n JOIN kept ON n.lang = kept.lang JOIN lang_n l ON n.lang = l.lang LEFT JOIN c ON n.lang = c.lang AND n.source = c.source AND kept.term = c.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON a.lang = f.lang AND a.source = f.source AND b.source = f.item),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR place <= 10""",
 }
