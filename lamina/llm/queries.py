@@ -100,11 +100,17 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pack, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_shard, op6_toxicity, op7_top_k, op8_language_id, op9_warc, op10_quality_rules,
-        op11_license_scan, op12_source_audit,
+        op11_license_scan, op12_source_audit, op13_resample,
     )
 }
 

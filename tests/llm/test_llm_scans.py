@@ -1,13 +1,16 @@
 """License scans, the divergence audit and importance resampling against brute force."""
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import divergence, licenses
+from lamina.llm import divergence, licenses, resampling
 
 DOC = "doc_id long, text string, lang string, source string"
 EXTRA = ", k1 string, w int, n int, p double, labels string"
@@ -137,3 +140,60 @@ def test_rates_beyond_a_long(spark):
     n, total, v = 9_000_000_000_000, 123_456_789_012_345, 777_777
     r = spark.createDataFrame([(n, total, v)], "n long, total long, v long").select(divergence.rate(F.col("n"), F.col("total"), F.col("v"))).first()[0]
     assert r == 1 + 10**9 * (n + 2) // (total + 2 * v)
+
+
+def brute_resample(rows, target, percent=5):
+    def features(text):
+        w = scan_words(text)
+        return w, [" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    s = Counter(bucket(f) for r in rows for f in features(r[1])[1])
+    t = Counter(bucket(f) for x in target for f in features(x)[1])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000))))
+    out = []
+    for r in rows:
+        w, f = features(r[1])
+        h = int(hashlib.sha256(f"42:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain(bucket(x)) for x in f)
+        out.append((r[0], len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(w)))
+    pool = sorted((x for x in out if x[4] >= 20), key=lambda x: (-x[3], x[0] is None, x[0]))
+    taken = Counter()
+    for i, x in enumerate(pool[: percent * len(pool) // 100], 1):
+        taken[(*x[:4], i)] += 1
+    for x in pool[percent * len(pool) // 100 :] + [x for x in out if x[4] < 20]:
+        taken[(*x[:4], None)] += 1
+    return taken
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_resampling(spark, monkeypatch, small):
+    """Whole rows against brute force; also with blocks and parts of a few texts, and all rows the same."""
+    if small:
+        monkeypatch.setattr(resampling, "BLOCK_BYTES", 500)
+        monkeypatch.setattr(resampling, "PART_BYTES", 700)
+    rows, target = odd_rows(), ["the mit license of the word", None, "", "été été a B2b", "the The of a word x1"]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(target)], "item_id long, text string, doc_id int")
+    got = resampling.resample(spark.createDataFrame(rows, DOC + EXTRA).repartition(3), bench, 20).collect()
+    wanted = brute_resample(rows, target, 20)
+    ties = lambda c: Counter({(*k[:4], k[4] is None): 0 for k in c}) + Counter(x for k, n in c.items() for x in [(*k[:4], k[4] is None)] * n)
+    assert ties(Counter(map(tuple, got))) == ties(wanted)
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, sum(k[4] is not None for k in wanted.elements()) + 1))
+    assert Counter(map(tuple, got)) == wanted
+
+
+def test_resampling_of_nothing(spark):
+    none, some = spark.createDataFrame([], DOC), spark.createDataFrame([(1, "a b", "en", "s")] * 3, DOC)
+    assert resampling.resample(none, some).count() == 0
+    assert {tuple(r)[:3] for r in resampling.resample(some, none).collect()} == {(1, 3, sum(k[2] for k in brute_resample([(1, "a b")] * 3, [])) // 1)}
+
+
+def test_large_counts_and_vocabularies_survive_the_cells():
+    rows = np.array([[0, 1, 1], [0, 1, 2], [0, 2, 0], [3, 0, 0]])
+    import pyarrow as pa
+
+    spaced = pa.array([b" a", b" bb", b" \xc3\xa9", b" d"], pa.large_binary())
+    counts = np.array([1, 2**40 + 5, 7, 2**32])
+    parts = [resampling._encode(rows[:, :k][:1] if k < 3 else rows, counts[:1] if k < 3 else counts, spaced) for k in (1, 2, 3)]
+    words, n = resampling._decode(b"".join(parts))[2]
+    assert words.to_pylist() == [b" a bb bb", b" a bb \xc3\xa9", b" a \xc3\xa9 a", b" d a a"] and n.tolist() == counts.tolist()
