@@ -1,7 +1,7 @@
 """Language ID by interpolated Kneser-Ney character models.
 
 Texts are split at white space, lower-cased, and every character that is no
-letter becomes a word boundary. Four-grams of characters are counted per
+letter, nor a combining mark after one, becomes a word boundary. Four-grams of characters are counted per
 language over all training texts; lower orders are continuation counts derived
 from the distinct four-grams, as Kneser-Ney asks, and discounts from the whole
 tables. The model keeps, per language and order, the sorted keys of its n-grams
@@ -39,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +66,20 @@ OTHER = 0xFFFE
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """Code point -> itself if it is a letter (beyond the first plane ``OTHER``), else the boundary."""
-    return np.array([(c if c < 0x10000 else OTHER) if chr(c).isalpha() else BOUNDARY for c in range(0x110000)], np.uint64)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> itself if it is a letter or a combining mark (beyond the first plane ``OTHER``), else the boundary; and which are marks."""
+    mark = np.array([unicodedata.category(chr(c)) in ("Mn", "Mc") for c in range(0x110000)])
+    return np.array([(c if c < 0x10000 else OTHER) if mark[c] or chr(c).isalpha() else BOUNDARY for c in range(0x110000)], np.uint64), mark
+
+
+def _known(code: np.ndarray) -> np.ndarray:
+    """Letters, and marks that follow one; all else is the boundary."""
+    letters, mark = _letters()
+    out, is_mark = letters[code], mark[code]
+    if is_mark.any():
+        base = np.maximum.accumulate(np.where(is_mark, 0, np.arange(len(code))))
+        out[is_mark & (is_mark[base] | (out[base] == BOUNDARY))] = BOUNDARY
+    return out
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +89,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [w.lower() for w in words]
         text = "".join(["   " + w + " " for w in words])
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    code = _letters()[code]
+    code = _known(code)
     n = len(code)
     if n < 4:
         return np.empty(0, np.uint64), np.zeros(len(words), np.int64)
@@ -200,6 +212,8 @@ class Model:
 
     def scores(self, keys: np.ndarray) -> np.ndarray:
         """(n, languages) of any keys."""
+        if not self.langs:
+            return np.zeros((len(keys), 0))
         unique, inverse = np.unique(keys, return_inverse=True)
         return np.stack([self.score(unique, j) for j in range(len(self.langs))], 1)[inverse]
 

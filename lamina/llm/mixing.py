@@ -131,8 +131,11 @@ def tilt(hist: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame:
         if before is not None:
             drop(before)
         state = written
-        if not state.where("NOT done").take(1):
+        open_ = state.where("NOT done").select("sid", "target").take(1)
+        if not open_:
             break
+    else:
+        raise RuntimeError(f"the rates of source {open_[0]['sid']} miss its target {open_[0]['target']} after {MAX_STEPS} steps")
     return state.select("sid", "lam", "mean")
 
 

@@ -4,8 +4,10 @@ Base counts are taken over each whole text. The adaptive part keeps a KLL
 quantile sketch per language and source and metric; sketches merge, so the
 language and the whole corpus get theirs from the same pass. A document is
 rejected where one of its metrics lies above the outer fence
-``q75 + FENCE * max(q75 - q25, floor)`` of the finest of its groups that has
-``MIN_GROUP`` documents: thresholds follow the data instead of being fixed. A
+``q75 + FENCE * max(q75 - q25, floor)`` of its group: thresholds follow the data
+instead of being fixed. The quantiles of a group of n documents are mixed with its
+language's, and those with the whole corpus', as n to ``SHRINK``, so a small group
+leans on a larger one and no verdict jumps as a group grows. A
 sketch's quantiles are exact up to a few hundred documents and off by about one
 per cent of the ranks beyond. Sketches are summed before the shuffle, so a hot
 group costs no more than others; the fences, a row a language and source, are
@@ -30,24 +32,25 @@ METRICS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_len")
 #: Spreads below these are widened to them, so that a group of like documents has no needle-thin fence.
 FLOOR = {"symbol_ratio": 0.01, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_len": 0.5}
 FENCE = 6.0
-MIN_GROUP = 200
+QUANTILES = (0.25, 0.75)
+#: A group of so many documents counts as much as the group above it.
+SHRINK = 200
 
 
-def _repeat_words(words: Column) -> Column:
+def _windows(words: Column) -> Column:
+    """The hash of every 3-word window, in order."""
+    n = F.size(words)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(3)])))
+
+
+def _repeat_words(hashes: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    Windows are hashed, sorted by (hash, place); equal neighbours mark repeats,
-    and the union of the marked windows is summed along sorted places.
+    Most texts have none, which their distinct hashes tell. Else windows are
+    sorted by (hash, place); equal neighbours mark repeats, and the union of the
+    marked windows is summed along sorted places.
     """
-    n = F.size(words)
-    keys = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(
-                F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"), i.alias("p")
-            ),
-        )
-    )
+    keys = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p"))))
     same = lambda a, i, j: F.coalesce(F.get(a, i)["h"] == F.get(a, j)["h"], F.lit(False))
     marked = F.transform(
         F.array(keys),  # binds the sorted array once
@@ -63,7 +66,8 @@ def _repeat_words(words: Column) -> Column:
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda s, p: F.struct((s["n"] + F.least(p - s["last"], F.lit(3))).alias("n"), p.alias("last")),
     )["n"]
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(union)
+    none = hashes.isNull() | (F.size(F.array_distinct(hashes)) == F.size(hashes))
+    return F.when(none, F.lit(0).cast("long")).otherwise(union)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -73,13 +77,14 @@ def measure(docs: DataFrame) -> DataFrame:
     counted = (
         docs.select("doc_id", "lang", "source", text.alias("text"))
         .withColumn("words", word_array(F.col("text")))
+        .withColumn("windows", _windows(F.col("words")))
         .select(
             "doc_id", "lang", "source",
             F.size("words").cast("long").alias("n_words"),
             F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             lines.alias("lines"),
-            _repeat_words(F.col("words")).alias("n_repeat_words"),
+            _repeat_words(F.col("windows")).alias("n_repeat_words"),
         )
     )
     return counted.select(
@@ -112,19 +117,19 @@ def thresholds(measured: DataFrame) -> DataFrame:
     )
     merge = [F.kll_merge_agg_double(m).alias(m) for m in METRICS]
 
-    def fences(df: DataFrame, keys: list, tag: str) -> DataFrame:
+    def quantiles(df: DataFrame, keys: list, tag: str) -> DataFrame:
         q = lambda m, p: F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))
-        return df.select(
-            *keys, F.col("n").alias(f"n_{tag}"),
-            *[(q(m, 0.75) + FENCE * F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(FLOOR[m]))).alias(f"{m}_{tag}") for m in METRICS],
-        )
+        return df.select(*keys, F.col("n").alias(f"n_{tag}"), *[q(m, p).alias(f"{m}_q{p * 100:.0f}_{tag}") for m in METRICS for p in QUANTILES])
 
     by_lang = fine.groupBy("lang").agg(F.sum("n").alias("n"), *merge)
-    everything = fences(fine.agg(F.sum("n").alias("n"), *merge).where("n > 0"), [], "all")
-    coarse = fences(by_lang, [F.col("lang").alias("lang2")], "lang").crossJoin(F.broadcast(everything))  # one row a language, and one row
-    wide = join_small(fences(fine, ["lang", "source"], "fine"), materialize(coarse, "quality-coarse"), {"lang": "lang2"})
-    pick = lambda m: F.when(F.col("n_fine") >= MIN_GROUP, F.col(f"{m}_fine")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
-    return wide.select("lang", "source", *[pick(m).alias(f"max_{m}") for m in METRICS])
+    everything = quantiles(fine.agg(F.sum("n").alias("n"), *merge).where("n > 0"), [], "all")
+    coarse = quantiles(by_lang, [F.col("lang").alias("lang2")], "lang").crossJoin(F.broadcast(everything))  # one row a language, and one row
+    wide = join_small(quantiles(fine, ["lang", "source"], "fine"), materialize(coarse, "quality-coarse"), {"lang": "lang2"})
+    lean = lambda own, tag, above: (F.col(f"n_{tag}") * F.col(own) + SHRINK * above) / (F.col(f"n_{tag}") + SHRINK)
+    q = lambda m, p: lean(f"{m}_q{p * 100:.0f}_fine", "fine", lean(f"{m}_q{p * 100:.0f}_lang", "lang", F.col(f"{m}_q{p * 100:.0f}_all")))
+    low, high = QUANTILES
+    fence = lambda m: q(m, high) + FENCE * F.greatest(q(m, high) - q(m, low), F.lit(FLOOR[m]))
+    return wide.select("lang", "source", *[fence(m).alias(f"max_{m}") for m in METRICS])
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ comparing a word with every term.
 A hit is weighed by how its term (spelled rightly or not) divides the labels,
 and by its context window: quotation marks and reporting words around it mark a
 quotation, which counts less; other hits and words of address close by count
-more. A logistic model turns the text's sums into the score. All learning uses
+more. A logistic model turns the logarithms of the text's sums into the score. All learning uses
 at most about ``FIT_ROWS`` labelled rows, picked by a hash of their doc_id; scoring
 takes whole texts.
 
@@ -46,9 +46,9 @@ from lamina.llm.packing import chunks
 
 #: Labelled rows used for learning, about, at most.
 FIT_ROWS = 40_000
-MAX_TERMS = 400
-#: Least rows (by weight) that hold a term, and the weight of one row.
+#: Least rows (by weight) that hold a term, its least share of the toxic ones in per cent, and the weight of one row.
 MIN_DOCS = 5
+MIN_SHARE = 1
 UNIT = 1_000_000
 COPY_KEYS = 4
 MIN_WEIGHT = 2.5
@@ -56,7 +56,7 @@ PREFIXES = (4, 5, 6)
 WINDOW = 8
 CACHED_WORDS = 200_000
 QUOTES = "\"'“”„«»‘’‹›"
-#: Words that report speech, and words of address (fixed values).
+#: Words that report speech, and words of address, by default (fixed values); both are parameters of ``train``.
 REPORTS = frozenset("said says say wrote writes quote quoted quotes called calls word words sagte sagt schrieb zitat wort dit écrit mot citation dijo dice escribió palabra cita".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dir ihr tu te toi vous tú usted ustedes vosotros".split())
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -180,12 +180,12 @@ def lexicon(fit: DataFrame) -> list[tuple[str, float]]:
     if not bad:
         return []
     weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+    # A term stands in MIN_SHARE per cent of the toxic texts at least: at most 100 / MIN_SHARE times the words and beginnings of an average one.
     rows = (
-        counted.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") * 100 >= bad))
+        counted.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") * 100 >= MIN_SHARE * bad))
         .withColumn("w", weight)
         .where(F.col("w") >= MIN_WEIGHT)
         .orderBy((F.col("w") * F.col("bad")).desc(), "term")
-        .limit(MAX_TERMS)
         .collect()
     )
     chosen: dict[str, tuple[float, int]] = {r["term"]: (r["w"], r["bad"]) for r in rows}
@@ -203,7 +203,8 @@ def lexicon(fit: DataFrame) -> list[tuple[str, float]]:
 
 
 class Scorer:
-    def __init__(self, terms: list[tuple[str, float]]):
+    def __init__(self, terms: list[tuple[str, float]], reports: frozenset[str] = REPORTS, address: frozenset[str] = ADDRESS):
+        self.reports, self.address = reports, address
         self.trie = Trie([t for t, _ in terms])
         self.weights = np.array([[w, 0.5 * w, 0.25 * w] for _, w in terms]).reshape(-1, 3)
         self.model: tuple[np.ndarray, float] | None = None
@@ -233,8 +234,8 @@ class Scorer:
             lo, hi = max(int(offsets[t]), at - WINDOW), min(int(offsets[t + 1]), at + WINDOW + 1)
             near = index[lo:hi].tolist()
             around = [clean[w] for w in near]
-            quoted = self._quoted([words[w] for w in near], at - lo) or any(a in REPORTS for a in around)
-            address = any(a in ADDRESS for a in around)
+            quoted = self._quoted([words[w] for w in near], at - lo) or any(a in self.reports for a in around)
+            address = any(a in self.address for a in around)
             others = sum(1 for w in near if is_hit[w]) - 1
             term, edits = hits[index[at]]
             w = self.weights[term, edits]
@@ -249,9 +250,7 @@ class Scorer:
             f[4] += address and not quoted
             f[5] += 1
         length = np.maximum(np.diff(offsets), 1)
-        out[:, 0] = np.minimum(out[:, 0], 20)
-        out[:, 2] = np.minimum(out[:, 2], 20)
-        out[:, 3:5] = np.minimum(out[:, 3:5], 5)
+        out[:, [0, 2, 3, 4]] = np.log1p(out[:, [0, 2, 3, 4]])
         out[:, 5] = np.log1p(100 * out[:, 5] / length)
         return out, seen
 
@@ -282,7 +281,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarr
     return w[:-1] / scale, float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, reports: frozenset[str] = REPORTS, address: frozenset[str] = ADDRESS) -> Scorer:
     """Learn from labelled rows whose crc32(doc_id as text) modulo ``mod`` is not ``rest``."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -292,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Sc
     rows = docs.select("doc_id", "text").join(marks, "doc_id").where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
     fit = weighted(rows.select("text", "toxic"))
     terms = lexicon(fit)
-    scorer = Scorer(terms)
+    scorer = Scorer(terms, reports, address)
     if not terms:
         return scorer
 
@@ -331,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> Sc
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score of every row."""
     scorer.cache = {}
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the lexicon, bounded as above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Scorer = shared.value

@@ -39,6 +39,18 @@ def test_quality_fences_follow_the_group(spark):
     assert all(kept.values())
 
 
+def test_fences_do_not_jump(spark):
+    """One row more or less moves a fence by little, at the old switch of 200 rows too."""
+    rows = [("en", "a", 100, 500, 0, 0, 10, 0, False)] * 300
+    last = None
+    for n in (198, 199, 200, 201, 202):
+        own = [("en", "b", 100, 900, 0, 0, 10, 0, False)] * n
+        df = spark.createDataFrame(rows + own, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean")
+        fence = {r["source"]: r["max_word_len"] for r in quality.thresholds(df).collect()}["b"]
+        assert last is None or abs(fence - last) < 0.05
+        last = fence
+
+
 def test_kept_against_exact_quantiles(spark):
     """Verdicts with fences from sketches are those with fences from exact quantiles, but for what lies within the sketch's error of a fence."""
     rng = np.random.default_rng(12)
@@ -52,19 +64,25 @@ def test_kept_against_exact_quantiles(spark):
         rows.append((i, "\n".join(lines + ([lines[0]] * 9 if i % 45 == 1 else [])), "en" if i % 5 else "de", f"s{i % 3}"))
     got = quality.judge(spark.createDataFrame(rows, DOC)).toPandas()
     passed = got[~got.base_failed]
-    fences = {}
+    quantiles = {}
     for m in quality.METRICS:
-        for name, group in (("fine", ["lang", "source"]), ("lang", ["lang"])):
+        quantiles[m, ()] = (len(passed), np.quantile(passed[m], [0.25, 0.75]))
+        for group in (["lang"], ["lang", "source"]):
             for key, g in passed.groupby(group):
-                q1, q3 = np.quantile(g[m], [0.25, 0.75])
-                fences[m, name, key] = (len(g), q3 + quality.FENCE * max(q3 - q1, quality.FLOOR[m]))
+                quantiles[m, key] = (len(g), np.quantile(g[m], [0.25, 0.75]))
+
+    def fence_of(m, lang, source):
+        q = quantiles[m, ()][1]
+        for key in ((lang,), (lang, source)):
+            n, own = quantiles[m, key]
+            q = (n * own + quality.SHRINK * q) / (n + quality.SHRINK)
+        return q[1] + quality.FENCE * max(q[1] - q[0], quality.FLOOR[m])
+
     checked = 0
     for r in got.itertuples():
         kept, clear = not r.base_failed, True
         for m in quality.METRICS:
-            n, fence = fences[m, "fine", (r.lang, r.source)]
-            if n < quality.MIN_GROUP:
-                n, fence = fences[m, "lang", (r.lang,)]
+            fence = fence_of(m, r.lang, r.source)
             value = getattr(r, m)
             kept &= value <= fence
             clear &= abs(value - fence) > 0.15 * fence or r.base_failed
@@ -236,6 +254,25 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_marks_are_parts_of_words():
+    """Vowel signs and decomposed accents stay in their words; a mark without a letter is none."""
+    keys = lambda w: langid.grams([w])[0].tolist()
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940"
+    assert len(keys(hindi)) == len(hindi) + 1
+    assert len(keys("e\u0301te\u0301")) == 6
+    assert keys("\u0301") == keys("") == keys("1\u0301") and keys("a \u0301") == keys("a ")
+    assert keys("stra\u00dfe") == keys("STRA\u00dfE")
+
+
+@pytest.mark.parametrize("langs", [(None, None), ("en", "de")])
+def test_language_id_with_nothing_to_learn(spark, langs):
+    """No lang at all, or no letter in any text."""
+    texts = ("one two three", "eins zwei") if langs == (None, None) else ("1 2 3", "!!")
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    rows = langid.predict(docs, langid.train(docs)).collect()
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in rows} == {("und", 0.0, True)}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -289,6 +289,13 @@ def test_copies_of_rows_that_share_an_id(spark):
     assert abs(by_source["x"] - 10) <= 3 and abs(by_source["y"] - 20) <= 3
 
 
+def test_rates_that_do_not_settle_raise(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", mixing.STEPS_A_WRITE)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.0)
+    with pytest.raises(RuntimeError, match="target"):
+        mixing.mix(docs).collect()
+
+
 def test_mixing_reruns_agree(docs):
     found = [Counter(tuple(r) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 5)]
     assert found[0] == found[1]
