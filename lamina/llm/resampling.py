@@ -10,8 +10,9 @@ Text stays where it is. Documents are written once as a table bucketed by block,
 blocks being parts of the partitions that are read. A block sends each of its
 distinct features once, with its count, to one of ``parts`` of the dictionary, chosen
 by a hash of the words; so a frequent word, pair or passage sends one entry a block,
-however often it occurs, and no part grows with a hot one. Features travel sorted
-and front-coded by words, as compressed cells, a cell a block and part. A part holds
+however often it occurs, and no part grows with a hot one. Features travel sorted,
+as word numbers less what they share with the one before, in compressed cells that
+bring their own words, a cell a block and part. A part holds
 about ``PART_BYTES`` of text's worth: their number grows with the input, their sizes
 do not. Back goes the bucket of each entry, in the order it came, and the block reads
 its documents again next to them; a count that differs raises.
@@ -36,6 +37,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,74 +54,86 @@ BUCKETS = 10_000
 MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
-BLOCK_BYTES = 12 << 20
-PART_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+PART_BYTES = 12 << 20
+#: The dictionary is made a share of its parts after another, so that what is shuffled at once is as much less.
+ROUNDS = 2
+PACKED_BITS = 63 // LONGEST
 
 CELLS = "kind int, blk long, part long, payload binary"
 
 
 class Features:
-    """The distinct features of one block of texts: per length a matrix of word numbers, sorted, and where each occurs."""
+    """The distinct features of one block of texts: per length a matrix of word numbers, in order of part and words, and with ``places`` which each run of words is."""
 
-    def __init__(self, texts: pa.ChunkedArray, parts: int):
+    def __init__(self, texts: pa.ChunkedArray, parts: int, places: bool):
         ids, self.names, self.text = words(texts, LETTERS_AND_DIGITS)
-        own = np.fromiter(map(zlib.crc32, self.names.to_pylist()), np.uint64, len(self.names))
+        ids = ids.astype(np.int32)
+        own = np.fromiter(map(zlib.crc32, self.names.to_numpy(zero_copy_only=False)), np.uint64, len(self.names))
         self.rows: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        #: Where the features of each part begin, and the end.
+        self.cuts: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
         self.of: list[np.ndarray] = []
-        self.n: list[np.ndarray] = []
-        self.part: list[np.ndarray] = []
-        number = ids
+        number, before = ids, np.empty((0, 0), np.int32)
+        packed = not places and len(self.names) < 1 << PACKED_BITS
         for k in range(LONGEST):
             inside = self.text[k:] == self.text[: len(self.text) - k] if k else np.ones(len(ids), bool)
-            if k:  # a run is the run before it, by number, and one word more
-                if len(number) > len(inside):
-                    number = number[: len(inside)]
-                key = number.astype(np.uint64) << np.uint64(32) | ids[k:].astype(np.uint64)
+            # A run is the run before it, by number, and one word more.
+            key = number[: len(inside)].astype(np.uint64) << np.uint64(32) | ids[k:].astype(np.uint64) if k else ids.astype(np.uint64)
+            if packed:  # all numbers of a run fit one key, which a sort without places does
+                key = ids[: len(inside)].astype(np.uint64)
+                for j in range(1, k + 1):
+                    key = key << np.uint64(PACKED_BITS) | ids[j : len(inside) + j].astype(np.uint64)
+                unique, counts = np.unique(key[inside], return_counts=True)
+                mask = np.uint64((1 << PACKED_BITS) - 1)
+                rows = np.column_stack([(unique >> np.uint64(PACKED_BITS * (k - j)) & mask).astype(np.int32) for j in range(k + 1)])
             else:
-                key = ids.astype(np.uint64)
-            unique, inverse, counts = np.unique(key[inside], return_inverse=True, return_counts=True)
-            last = (unique & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            self.rows.append(np.column_stack([self.rows[-1][(unique >> np.uint64(32)).astype(np.int64)], last]) if k else last[:, None])
-            self.at.append(np.flatnonzero(inside))
-            self.of.append(inverse)
-            self.n.append(counts)
-            h = np.full(len(last), k, np.uint64)
-            for column in self.rows[-1].T:
+                unique, inverse, counts = np.unique(key[inside], return_inverse=True, return_counts=True)
+                last = (unique & np.uint64(0xFFFFFFFF)).astype(np.int32)
+                rows = np.column_stack([before[(unique >> np.uint64(32)).astype(np.int64)], last]) if k else last[:, None]
+                before = rows
+            if k < LONGEST - 1 and not packed:
+                number = np.zeros(len(key), np.int32)
+                number[inside] = inverse
+            h = np.full(len(rows), k, np.uint64)
+            for column in rows.T:
                 h = (h ^ own[column]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            self.part.append(((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64))
-            number = np.zeros(len(key), np.int64)
-            number[inside] = inverse
-
-    def by_part(self) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(part, for each length which of its features belong there, in order)."""
-        orders = [np.argsort(p, kind="stable") for p in self.part]
-        used = np.unique(np.concatenate(self.part))
-        cuts = [(np.searchsorted(p[o], used), np.searchsorted(p[o], used, side="right")) for p, o in zip(self.part, orders, strict=True)]
-        for i, part in enumerate(used.tolist()):
-            yield part, [o[a[i] : b[i]] for o, (a, b) in zip(orders, cuts, strict=True)]
-
-    def cells(self) -> list[tuple[int, bytes]]:
-        """(part, payload) of the whole block."""
-        spaced = pc.binary_join_element_wise(pa.scalar(b"", pa.large_binary()), self.names, pa.scalar(b" ", pa.large_binary()))
+            part = (h >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+            self.cuts.append(np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)))
+            self.rows.append(rows[order])
+            self.n.append(counts[order])
+            if places:
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                self.at.append(np.flatnonzero(inside).astype(np.int32))
+                self.of.append(rank[inverse])
+
+    def cells(self, turn: int, rounds: int) -> Iterator[tuple[int, bytes]]:
+        """(part, payload) of the block, of the parts of one round."""
         pack = zstandard.ZstdCompressor(3)
-        return [(part, pack.compress(b"".join(_encode(rows[which], n[which], spaced) for rows, n, which in zip(self.rows, self.n, chosen, strict=True)))) for part, chosen in self.by_part()]
+        ended = pc.binary_join_element_wise(self.names, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+        for part in range(turn, len(self.cuts[0]) - 1, rounds):
+            own = [slice(cuts[part], cuts[part + 1]) for cuts in self.cuts]
+            if any(x.stop > x.start for x in own):
+                yield part, pack.compress(_encode([rows[x] for rows, x in zip(self.rows, own, strict=True)], [n[x] for n, x in zip(self.n, own, strict=True)], ended))
 
     def sums(self, buckets: dict[int, np.ndarray], gains: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its features and the sum of their gains; ``buckets`` has those of each part, as its cell was ordered."""
         gain = [np.zeros(len(r), np.int64) for r in self.rows]
-        for part, chosen in self.by_part():
-            cuts = np.cumsum([0, *map(len, chosen)])
+        for part in range(len(self.cuts[0]) - 1):
+            sizes = np.cumsum([0, *(cuts[part + 1] - cuts[part] for cuts in self.cuts)])
             found = buckets.get(part, np.empty(0, np.int64))
-            if len(found) != cuts[-1]:
-                raise RuntimeError(f"part {part} gives {len(found)} buckets to {cuts[-1]} features")
-            for g, which, i, j in zip(gain, chosen, cuts, cuts[1:], strict=False):
-                g[which] = gains[found[i:j]]
+            if len(found) != sizes[-1]:
+                raise RuntimeError(f"part {part} gives {len(found)} buckets to {sizes[-1]} features")
+            for g, cuts, i, j in zip(gain, self.cuts, sizes, sizes[1:], strict=False):
+                g[cuts[part] : cuts[part + 1]] = gains[found[i:j]]
         count, weight = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
         for g, at, of in zip(gain, self.at, self.of, strict=True):
-            text = self.text[at]  # ascending
-            bounds = np.searchsorted(text, np.arange(texts + 1))
+            bounds = np.searchsorted(self.text[at], np.arange(texts + 1))  # texts ascend
             upto = np.concatenate([[0], np.cumsum(g[of])])
             count += np.diff(bounds)
             weight += upto[bounds[1:]] - upto[bounds[:-1]]
@@ -135,32 +149,79 @@ def _unplanes(data: bytes | memoryview) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _encode(rows: np.ndarray, n: np.ndarray, spaced: pa.Array) -> bytes:
-    """Sorted features: their counts, how many leading words each shares with the one before, and its other words, each after a space."""
-    same = np.zeros(rows.shape, bool)
-    same[1:] = rows[1:] == rows[:-1]
-    lead = same.cumprod(1).sum(1).astype(np.uint8)
-    other = spaced.take(pa.array(rows[np.arange(rows.shape[1]) >= lead[:, None]]))
-    offsets = np.frombuffer(other.buffers()[1], np.int64)[other.offset : other.offset + len(other) + 1] if len(other) else np.zeros(1, np.int64)
-    text = other.buffers()[2][int(offsets[0]) : int(offsets[-1]) - int(offsets[0])].to_pybytes() if len(other) else b""
-    # A count beyond 32 bits is sent as two halves.
-    return np.array([len(rows), len(text)], "<i8").tobytes() + lead.tobytes() + _planes(n & 0xFFFFFFFF) + _planes(n >> 32) + text
+def _encode(rows: list[np.ndarray], counts: list[np.ndarray], ended: pa.Array) -> bytes:
+    """A cell: its words in order, each with a space after it; then per length how many features, their counts, how many leading words each shares with the one before, and the other words by number in the cell, the first of them as a step from the one above."""
+    every = np.concatenate([r.ravel() for r in rows])
+    if 8 * len(every) > len(ended):
+        used = np.zeros(len(ended), bool)
+        used[every] = True
+        vocabulary, number = np.flatnonzero(used), np.cumsum(used, dtype=np.int32) - 1
+        local = [number[r] for r in rows]
+    else:
+        vocabulary, inverse = np.unique(every, return_inverse=True)
+        ends = np.cumsum([r.size for r in rows])
+        local = [x.reshape(r.shape) for x, r in zip(np.split(inverse.astype(np.int32), ends[:-1]), rows, strict=True)]
+    words_ = ended.take(pa.array(vocabulary))
+    text = _text(words_)
+    out = [np.array([len(text)], "<i8").tobytes(), text]
+    for r, n in zip(local, counts, strict=True):
+        same = np.zeros(r.shape, bool)
+        same[1:] = r[1:] == r[:-1]
+        lead = same.cumprod(1, dtype=np.uint8).sum(1, dtype=np.uint8)
+        # A count beyond 32 bits is sent as two halves.
+        out += [np.array([len(r)], "<i8").tobytes(), lead.tobytes(), _planes(n & 0xFFFFFFFF), _planes(n >> 32)]
+        for c in range(r.shape[1]):
+            step = np.diff(r[:, c], prepend=0)[lead == c]
+            out += [_planes(step), _planes(r[:, c][lead < c])]
+    return b"".join(out)
+
+
+def _text(words_: pa.Array) -> bytes:
+    """All bytes of a binary array."""
+    if not len(words_):
+        return b""
+    offsets = np.frombuffer(words_.buffers()[1], np.int64)
+    return bytes(memoryview(words_.buffers()[2])[int(offsets[words_.offset]) : int(offsets[words_.offset + len(words_)])])
 
 
 def _decode(data: bytes) -> list[tuple[pa.Array, np.ndarray]]:
-    """Per length the features of a cell, each word after a space, and their counts."""
-    out, at = [], 0
+    """Per length the features of a cell, words joined by spaces, and their counts."""
+    at = 0
+
+    def numbers(n: int) -> np.ndarray:
+        nonlocal at
+        at += 4 * n
+        return _unplanes(data[at - 4 * n : at])
+
+    def size() -> int:
+        nonlocal at
+        at += 8
+        return int(np.frombuffer(data, "<i8", 1, at - 8)[0])
+
+    text = np.frombuffer(data, np.uint8, size(), at)
+    at += len(text)
+    ends = np.flatnonzero(text == 32)
+    offsets = np.zeros(2 * len(ends) + 1, np.int64)  # words and the spaces between, in turn
+    offsets[1::2], offsets[2::2] = ends, ends + 1
+    every = pa.Array.from_buffers(pa.large_binary(), 2 * len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(text.tobytes())])
+    vocabulary = every.take(pa.array(np.arange(0, 2 * len(ends), 2)))
+    out = []
     for k in range(1, LONGEST + 1):
-        n, size = np.frombuffer(data, "<i8", 2, at).tolist()
-        lead = np.frombuffer(data, np.uint8, n, at + 16).astype(np.int64)
-        counts = _unplanes(data[at + 16 + n : at + 16 + 5 * n]) | _unplanes(data[at + 16 + 5 * n : at + 16 + 9 * n]) << 32
-        text = np.frombuffer(data, np.uint8, size, at + 16 + 9 * n)
-        at += 16 + 9 * n + size
-        offsets = np.append(np.flatnonzero(text == 32), size).astype(np.int64)
-        every = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text.tobytes())])
-        first = np.cumsum(k - lead) - (k - lead)
-        columns = [every.take(pa.array(np.maximum.accumulate(np.where(lead <= p, first + p - lead, 0)))) for p in range(k)] if n else [every] * k
-        out.append((pc.binary_join_element_wise(*columns, pa.scalar(b"", pa.large_binary())) if k > 1 else columns[0], counts))
+        n = size()
+        lead = np.frombuffer(data, np.uint8, n, at)
+        at += n
+        counts = numbers(n) | numbers(n) << 32
+        columns = []
+        for c in range(k):
+            x = np.zeros(n, np.int64)
+            fresh = lead < c
+            step = lead == c
+            x[step] = numbers(int(step.sum()))
+            x[fresh] = numbers(int(fresh.sum()))
+            upto = np.cumsum(x)
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            columns.append(vocabulary.take(pa.array(upto - (upto[begin] - x[begin]))) if n else vocabulary[:0])
+        out.append((pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())) if k > 1 else columns[0], counts))
     return out
 
 
@@ -180,10 +241,12 @@ def _look_up(cells: pa.Table) -> pa.Table:
         strings = pa.chunked_array([d[k][0] for d in decoded], pa.large_binary()).combine_chunks().dictionary_encode()
         codes = strings.indices.to_numpy(zero_copy_only=False)
         bucket = np.empty(len(strings.dictionary), np.int64)
-        for i in range(0, len(bucket), 1 << 16):  # bounded lists
-            bucket[i : i + (1 << 16)] = [zlib.crc32(s[1:]) % BUCKETS for s in strings.dictionary[i : i + (1 << 16)].to_pylist()]
+        for i in range(0, len(bucket), 1 << 17):  # bounded lists
+            some = strings.dictionary[i : i + (1 << 17)]
+            bucket[i : i + (1 << 17)] = np.fromiter(map(zlib.crc32, some.to_numpy(zero_copy_only=False)), np.int64, len(some)) % BUCKETS
         counts = np.concatenate([d[k][1] for d in decoded])
-        np.add.at(total, bucket[codes], counts)
+        for half, low in ((counts & 0xFFFFFFFF, 0), (counts >> 32, 32)):  # sums of halves are exact as doubles
+            total += np.bincount(bucket[codes], half, BUCKETS).astype(np.int64) << low
         for own, found in zip(back, np.split(bucket[codes], np.cumsum([len(d[k][1]) for d in decoded])[:-1]), strict=True):
             own.append(found)
     rows = [(0, blk, part, pack.compress(_planes(np.concatenate(own)))) for blk, own in zip(cells.column("blk").to_pylist(), back, strict=True)]
@@ -223,15 +286,21 @@ class Dictionary:
         rows.write.bucketBy(files, "blk").sortBy("blk").option("path", new_path(spark, name, name)).option("compression", "zstd").saveAsTable(name)
         self.table = spark.table(name)
 
-        def send(block: pa.Table) -> pa.Table:
-            blk = block.column("blk")[0].as_py()
-            return _table([(0, blk, part, payload) for part, payload in Features(block.column("data__"), parts).cells()])
+        rounds = min(ROUNDS, parts)
+
+        def answers(turn: int) -> DataFrame:
+            def send(block: pa.Table) -> pa.Table:
+                blk = block.column("blk")[0].as_py()
+                return _table([(0, blk, part, payload) for part, payload in Features(block.column("data__"), parts, False).cells(turn, rounds)])
+
+            out = materialize(self.table.groupBy("blk").applyInArrow(send, CELLS).groupBy("part").applyInArrow(_look_up, CELLS), "features-answers")
+            # Shuffle files go with their plans; without this they stay until the driver is short of memory.
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            return out
 
-        cells = self.table.groupBy("blk").applyInArrow(send, CELLS)
-        self.answers = materialize(cells.groupBy("part").applyInArrow(_look_up, CELLS), "features-answers")
-        # Shuffle files go with their plans; without this they stay until the driver is short of memory.
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        self.made = [answers(i) for i in range(rounds)]
+        self.answers = reduce(DataFrame.unionAll, self.made)
         self.totals = _totals(self.answers)
 
     def weights(self, gains: np.ndarray) -> DataFrame:
@@ -240,7 +309,7 @@ class Dictionary:
 
         def run(block: pa.Table, cells: pa.Table) -> pa.Table:
             unpack = zstandard.ZstdDecompressor()
-            features = Features(block.column("data__"), parts)
+            features = Features(block.column("data__"), parts, True)
             found = {p: _unplanes(unpack.decompress(x)) for p, x in zip(cells.column("part").to_pylist(), cells.column("payload").to_pylist(), strict=True)}
             count, weight = features.sums(found, shared.value, block.num_rows)
             n_words = np.bincount(features.text, minlength=block.num_rows)
@@ -250,7 +319,7 @@ class Dictionary:
         return self.table.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
     def close(self) -> None:
-        drop(self.answers)
+        drop(*self.made)
 
 
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:

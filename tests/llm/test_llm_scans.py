@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,12 +189,12 @@ def test_resampling_of_nothing(spark):
     assert {tuple(r)[:3] for r in resampling.resample(some, none).collect()} == {(1, 3, sum(k[2] for k in brute_resample([(1, "a b")] * 3, [])) // 1)}
 
 
-def test_large_counts_and_vocabularies_survive_the_cells():
-    rows = np.array([[0, 1, 1], [0, 1, 2], [0, 2, 0], [3, 0, 0]])
-    import pyarrow as pa
-
-    spaced = pa.array([b" a", b" bb", b" \xc3\xa9", b" d"], pa.large_binary())
-    counts = np.array([1, 2**40 + 5, 7, 2**32])
-    parts = [resampling._encode(rows[:, :k][:1] if k < 3 else rows, counts[:1] if k < 3 else counts, spaced) for k in (1, 2, 3)]
-    words, n = resampling._decode(b"".join(parts))[2]
-    assert words.to_pylist() == [b" a bb bb", b" a bb \xc3\xa9", b" a \xc3\xa9 a", b" d a a"] and n.tolist() == counts.tolist()
+def test_large_counts_survive_the_cells():
+    """Counts beyond 32 bits, parts read alone, words shared with the feature before."""
+    names = pa.array([b"a ", b"bb ", "é ".encode(), b"d "], pa.large_binary())
+    rows, counts = np.array([[0, 1, 1], [0, 1, 2], [0, 2, 0], [3, 0, 0]]), np.array([1, 2**40 + 5, 7, 2**32])
+    for i, j in ((0, 2), (2, 4), (0, 0)):
+        cell = resampling._encode([rows[i:j, :k] for k in (1, 2, 3)], [counts[i:j]] * 3, names)
+        for k, (found, n) in enumerate(resampling._decode(cell), 1):
+            assert found.to_pylist() == [b"".join(names[x].as_py() for x in row[:k]).rstrip() for row in rows[i:j]]
+            assert n.tolist() == counts[i:j].tolist()
