@@ -1,63 +1,272 @@
-"""Term and vector similarity as the index configuration states them."""
+"""Term and vector similarity as the index configuration states them, with exact pruning.
+
+Term scores. A term index holds documents in blocks of ``BLOCK`` along their rank
+feature, largest first, and postings as one row a token and block with the block's
+largest feature. A query's terms are ordered by weight. A document whose first
+matching term is the i-th can score no more than the sum of the weights from the
+i-th on, plus its feature's share; so once a threshold is known, whole rows of
+postings are left unread: those of common terms in every block, and those of
+blocks whose largest feature is too small. The threshold comes from documents of the
+query's rarest terms, scored in full. What the postings read leave in doubt is
+bounded, and only documents whose bound reaches the threshold are scored.
+
+Vector scores. A vector index holds unit vectors in clusters with a centre, each
+with its angle to it. Angles on the sphere obey the triangle inequality: a vector
+whose angle to the centre differs from the query's by more than the threshold
+cannot be nearer than the threshold. The threshold is the k-th best angle in the
+query's nearest clusters; clusters, then rows, beyond it are not compared.
+
+Both return what comparing everything returns: bounds carry a slack of ``SLACK``
+against rounding, and ties are settled by id among all that reach the threshold.
+
+Defined results: null and empty texts have no tokens and match nothing; a query
+without a known token has no rows; a missing or negative rank feature counts 0;
+repeated doc_ids are documents of their own; vectors that are null, of length 0 or
+hold null or non-finite values take no part; an empty index gives an empty result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.storage import materialize
+
+BLOCK = 128
+#: Documents of the rarest terms that are scored to find a threshold, times k, about.
+SEEDS = 8
+#: Terms are looked up one by one for what is in doubt until the rest of their weights is this share of the threshold.
+DEEPER = 0.25
+SLACK = 1e-8
+
 
 def tokens(text: Column, hash_too: bool = False) -> Column:
     """Lower-cased tokens, split at white space, or also at #."""
     return F.filter(F.split(F.lower(text), r"[\s#]+" if hash_too else r"\s+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+def saturation(feature: Column, pivot: float) -> Column:
+    """A rank feature's share between 0 and 1: one half at the pivot."""
+    value = F.greatest(F.coalesce(feature.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return value / (value + pivot)
 
 
-def term_scores(docs: DataFrame, queries: DataFrame, k: int = 10, boost: float = 1.0) -> DataFrame:
-    """(query_id, doc_id, score): sum of boost * idf of shared tokens; the k best of each query.
+class TermIndex:
+    """Postings by block, documents with their tokens, and the weight of every token."""
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) / ln(1 + (N - 0.5) / 1.5). Postings
-    are cut to the queries' tokens before anything is counted.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    found = postings(docs).join(terms.select("token").distinct(), "token", "left_semi")
-    df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
-    weighted = df.crossJoin(F.broadcast(n)).select("token", (boost * idf).alias("idf"))  # one row
-    scored = found.join(weighted, "token").join(terms, "token").groupBy("query_id", "doc_id").agg(F.sum("idf").alias("score"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
-    return scored.withColumn("place", best).where(F.col("place") <= k)
+    def __init__(self, docs: DataFrame, feature: Column | None = None, block: int = BLOCK):
+        """Index ``docs`` (doc_id, text); ``feature`` is a column of each document's share of the score, 0 or more."""
+        share = F.lit(0.0) if feature is None else F.coalesce(feature, F.lit(0.0))
+        rows = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"), share.alias("share"))
+        if feature is not None:
+            rows = rows.repartitionByRange(F.col("share").desc(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("share").desc())
+        # A document is known by its place; a block never crosses a partition, so a frequent token has a row a block and no task holds it whole.
+        place = F.monotonically_increasing_id()
+        inner = F.shiftleft(F.lit(1).cast("long"), 33)
+        numbered = rows.withColumn("place", place).withColumn("block", F.floor(F.col("place") / inner) * inner + F.floor(F.pmod(F.col("place"), inner) / block))
+        numbered = materialize(numbered, "terms-places")  # places hold from here on
+        self.docs = materialize(numbered.join(numbered.groupBy("block").agg(F.max("share").alias("most")), "block"), "terms-docs")
+        exploded = self.docs.select(F.explode("tokens").alias("token"), "block", "place", "share", "most")
+        listed = exploded.groupBy("token", "block").agg(F.first("most").alias("most"), F.collect_list(F.struct("place", "share")).alias("found"))  # a block's documents at most
+        self.postings = materialize(listed, "terms-postings")
+        df = self.postings.groupBy("token").agg(F.sum(F.size("found")).alias("df"))
+        size = self.docs.agg(F.count(F.lit(1)).alias("n"), F.max("share").alias("top")).first()
+        self.n, self.top = size["n"], size["top"] or 0.0
+        # As the index counts it: documents that hold the field at all are all documents here.
+        n = F.lit(float(self.n))
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (n - 0.5) / 1.5)
+        self.weights = materialize(df.select("token", "df", idf.alias("idf")), "terms-weights")
 
+    def terms(self, queries: DataFrame, boost: float = 1.0) -> DataFrame:
+        """(query_id, token, w, i, rest, before): a query's known tokens, heaviest first; ``rest`` sums w from there on, ``before`` counts the postings ahead."""
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
+        along = Window.partitionBy("query_id").orderBy(F.col("w").desc(), "token")
+        weighed = asked.join(self.weights, "token").withColumn("w", boost * F.col("idf"))
+        return weighed.withColumns({
+            "i": F.row_number().over(along),
+            "rest": F.sum("w").over(along.rowsBetween(0, Window.unboundedFollowing)),
+            "before": F.coalesce(F.sum("df").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        })
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    def scored(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(query_id, place, doc_id, score): every pair of ``pairs`` (query_id, place) in full, from the document's own tokens."""
+        whole = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "token", "w"))).alias("asked"))
+        met = pairs.join(self.docs.select("place", "doc_id", "tokens", "share"), "place").join(whole, "query_id")
+        hit = F.filter("asked", lambda t: F.array_contains("tokens", t["token"]))
+        return met.select("query_id", "place", "doc_id", (F.aggregate(hit, F.lit(0.0), lambda s, t: s + t["w"]) + F.col("share")).alias("score"))
 
+    def candidates(self, terms: DataFrame, k: int) -> DataFrame:
+        """(query_id, place): the documents that are scored in full, among them the k best of every query; ``terms`` is materialized."""
+        rare = terms.where((F.col("i") == 1) | (F.col("before") + F.col("df") <= SEEDS * k))
+        seen = rare.join(self.postings, "token").select("query_id", "w", F.explode("found").alias("d"))
+        best = Window.partitionBy("query_id").orderBy(F.col("part").desc(), "place")
+        parts = seen.groupBy("query_id", F.col("d.place").alias("place")).agg((F.sum("w") + F.max("d.share")).alias("part"))
+        seeds = parts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= SEEDS * k).select("query_id", "place")
+        ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place")
+        kth = self.scored(materialize(seeds, "terms-seeds"), terms).withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k)
+        least = kth.select("query_id", (F.col("score") - SLACK).alias("least"))
+        known = materialize(terms.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "terms-known")
+        # A row of postings is read where a document first met there can still reach the threshold.
+        essential = known.where(F.col("rest") + self.top >= F.col("least")).select("query_id", "token", "w", "rest", "least")
+        read = essential.join(self.postings, "token").where(F.col("rest") + F.col("most") >= F.col("least"))
+        found = read.select("query_id", "block", "most", "w", "least", F.explode("found").alias("d")).groupBy("query_id", "block", "most", "least", F.col("d.place").alias("place"))
+        parts = materialize(found.agg(F.sum("w").alias("part"), F.max("d.share").alias("share")), "terms-parts")
+        rests = known.groupBy("query_id").agg(F.collect_list("rest").alias("rests"))
+        skipped = lambda r: r + F.col("most") < F.col("least")
+        open_ = lambda test: F.coalesce(F.array_max(F.filter("rests", test)), F.lit(0.0))
+        sure = F.col("part") + F.col("share")
+        left = parts.join(rests, "query_id").where(sure + open_(skipped) >= F.col("least"))
+        # Terms whose rows were not read there could add their weights; all but the commonest are looked up, in the blocks of what is left only.
+        asked = left.join(known.select("query_id", "token", "w", "rest"), "query_id").where(skipped(F.col("rest")) & (F.col("rest") >= DEEPER * F.col("least")))
+        probed = asked.join(self.postings.select("token", "block", "found"), ["token", "block"]).where(F.exists("found", lambda d: d["place"] == F.col("place")))
+        more = probed.groupBy("query_id", "place").agg(F.sum("w").alias("more"))
+        total = sure + F.coalesce("more", F.lit(0.0)) + open_(lambda r: skipped(r) & (r < DEEPER * F.col("least")))
+        return left.join(more, ["query_id", "place"], "left").where(total >= F.col("least")).select("query_id", "place")
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    def best(self, queries: DataFrame, k: int = 10, boost: float = 1.0) -> DataFrame:
+        """(query_id, doc_id, score, place): the k best of every query (query_id, query) by whole billionths of the score, then by doc_id."""
+        terms = materialize(self.terms(queries, boost), "terms-asked")
+        full = self.scored(materialize(self.candidates(terms, k), "terms-candidates"), terms)
+        order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+        return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", F.col("rank").alias("place"))
 
 
-#: Query vectors that meet all others in one pass.
+#: Query vectors that are broadcast together, and centres of an index at most.
 QUERIES_A_PASS = 1_000
+CENTRES = 1_024
+
+
+def _unit(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows hold a proper vector, these as rows of length one)."""
+    rows = column.to_pylist()
+    ok = np.array([r is not None and len(r) > 0 and None not in r for r in rows], bool)
+    width = max((len(r) for r, good in zip(rows, ok.tolist(), strict=True) if good), default=1)
+    ok &= np.array([r is not None and len(r) == width for r in rows], bool)
+    m = np.array([r for r, good in zip(rows, ok.tolist(), strict=True) if good], np.float64).reshape(-1, width)
+    with np.errstate(invalid="ignore", over="ignore"):
+        m = m / np.abs(m).max(1, initial=0, keepdims=True)
+        m = m / np.sqrt((m * m).sum(1, keepdims=True))
+    fine = np.isfinite(m).all(1)
+    ok[np.flatnonzero(ok)[~fine]] = False
+    return ok, m[fine]
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between the unit rows of ``a`` and of ``b``."""
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+class VectorIndex:
+    """Unit vectors in clusters around sampled centres, each with its angle to the centre."""
+
+    def __init__(self, vectors: DataFrame, centres: int | None = None):
+        """Index ``vectors`` (vec_id, embedding). Centres are a sample by hash of the id, about the root of their number, ``CENTRES`` at most; every vector is indexed."""
+        spark = vectors.sparkSession
+        n = vectors.count()
+        wanted = min(CENTRES, max(1, int(n**0.5))) if centres is None else centres
+        share = min(1.0, 2 * wanted / max(n, 1))
+        sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit("centre")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+        sample = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("embedding").toArrow()  # CENTRES rows at most
+        self.centres = _unit(sample.column("embedding"))[1]
+        shared = spark.sparkContext.broadcast(self.centres)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok, unit = _unit(b.column("embedding"))
+                if len(unit) and len(shared.value):
+                    angles = _angles(unit, shared.value)
+                    nearest = angles.argmin(1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nearest), b.column("vec_id").filter(pa.array(ok)), pa.array(list(unit), pa.list_(pa.float64())), pa.array(angles[np.arange(len(unit)), nearest])],
+                        names=["cluster", "vec_id", "unit", "angle"],
+                    )
+
+        kind = dict(vectors.dtypes)["vec_id"]
+        placed = vectors.select("vec_id", "embedding").mapInArrow(place, f"cluster long, vec_id {kind}, unit array<double>, angle double")
+        self.rows = materialize(placed, "vectors-rows")
+        # A row a cluster: how many it holds, and how far they reach.
+        self.clusters = {r["cluster"]: (r["n"], r["radius"]) for r in self.rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+
+    def _compare(self, ids: list, units: np.ndarray, limits: np.ndarray, k: int) -> DataFrame:
+        """(query_id, vec_id, score, compared, place): the k nearest of every query among rows within its limits by cluster; a first row of each task and query counts what was compared."""
+        spark = self.rows.sparkSession
+        shared = spark.sparkContext.broadcast((units, _angles(units, self.centres), limits))  # QUERIES_A_PASS queries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit_q, to_centre, limit = shared.value
+            count = np.zeros(len(unit_q), np.int64)
+            for b in batches:
+                cluster, angle = b.column("cluster").to_numpy(), b.column("angle").to_numpy()
+                unit = np.array(b.column("unit").flatten()).reshape(b.num_rows, -1)
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for c in np.unique(cluster).tolist():
+                    rows = np.flatnonzero(cluster == c)
+                    for q in np.flatnonzero(limit[:, c] >= 0).tolist():
+                        near = rows[np.abs(to_centre[q, c] - angle[rows]) <= limit[q, c] + SLACK]
+                        if len(near):
+                            count[q] += len(near)
+                            out.append((np.full(len(near), q), near, unit[near] @ unit_q[q]))
+                if out:
+                    q, near, score = (np.concatenate(x) for x in zip(*out, strict=True))
+                    # Of each query the k best of this batch and all that tie with the k-th.
+                    order = np.lexsort((-score, q))
+                    q, near, score = q[order], near[order], score[order]
+                    first = np.searchsorted(q, q)
+                    kth = score[np.minimum(first + k - 1, np.searchsorted(q, q, side="right") - 1)]
+                    keep = score >= kth - SLACK
+                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), b.column("vec_id").take(pa.array(near[keep])), pa.array(score[keep]), pa.array(np.zeros(keep.sum(), np.int64))], names=["q", "vec_id", "score", "compared"])
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), kind_), pa.nulls(len(some), pa.float64()), pa.array(count[some])], names=["q", "vec_id", "score", "compared"])
+
+        kind = dict(self.rows.dtypes)["vec_id"]
+        kind_ = self.rows.select("vec_id").limit(0).toArrow().schema.field("vec_id").type
+        found = materialize(self.rows.mapInArrow(run, f"q long, vec_id {kind}, score double, compared long"), "vectors-found")
+        best = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "vec_id")
+        total = found.groupBy("q").agg(F.sum("compared").alias("compared"))
+        kept = found.where("score IS NOT NULL").drop("compared").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+        names = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], f"q long, query_id {self._id_type}")
+        return kept.join(total, "q").join(F.broadcast(names), "q").select("query_id", "vec_id", "score", "compared", "place")  # QUERIES_A_PASS rows
+
+    def nearest(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, vec_id, score, place, compared): the k vectors of largest cosine to each of ``queries`` (query_id, q), by whole billionths, then by vec_id.
+
+        ``compared`` is how many vectors were compared with the query at the last.
+        Queries are taken ``QUERIES_A_PASS`` at a time.
+        """
+        self._id_type = dict(queries.dtypes)["query_id"]
+        n = queries.count()
+        passes, out = max(1, -(-n // QUERIES_A_PASS)), None
+        for i in range(passes):
+            some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+            asked = some.select("query_id", "q").toArrow()  # QUERIES_A_PASS rows, about
+            ok, units = _unit(asked.column("q"))
+            ids = [x for x, good in zip(asked.column("query_id").to_pylist(), ok.tolist(), strict=True) if good]
+            found = self._pass(ids, units, k)
+            out = found if out is None else out.unionAll(found)
+        return out
 
+    def _pass(self, ids: list, units: np.ndarray, k: int) -> DataFrame:
+        if not len(ids) or not len(self.centres) or units.shape[1] != self.centres.shape[1]:
+            return self._none()
+        reach = np.array([self.clusters.get(c, (0, -1.0)) for c in range(len(self.centres))])
+        to_centre = _angles(units, self.centres)
+        # First the nearest clusters that hold k vectors together: their k-th best angle is the threshold.
+        first = np.full(to_centre.shape, -1.0)
+        for q, row in enumerate(np.argsort(to_centre, 1)):
+            first[q, row[: int(np.searchsorted(np.cumsum(reach[row, 0]), k)) + 1]] = 7.0
+        kth = {r["query_id"]: r["score"] for r in self._compare(ids, units, first, k).where(F.col("place") == k).select("query_id", "score").collect()}  # a number a query
+        # Cosines that round alike may lie apart by SLACK, and arc cosines are good to the root of a double's precision.
+        angle = np.array([np.arccos(np.clip(kth[x] - SLACK, -1, 1)) + 1e-7 if x in kth else 7.0 for x in ids])
+        within = np.maximum(to_centre - reach[:, 1], 0) <= angle[:, None] + SLACK
+        return self._compare(ids, units, np.where(within & (reach[:, 0] > 0), angle[:, None], -1.0), k)
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, place): the k vectors of largest cosine to each of ``queries`` (query_id, q), by whole billionths, then by vec_id.
-
-    Queries are counted and broadcast ``QUERIES_A_PASS`` at a time; each pass reads the vectors once and keeps k of a query in every task before they meet.
-    """
-    passes = max(1, -(-queries.count() // QUERIES_A_PASS))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
-    out = None
-    for i in range(passes):
-        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        scored = vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))  # QUERIES_A_PASS rows, about
-        found = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-        out = found if out is None else out.unionAll(found)
-    return out
+    def _none(self) -> DataFrame:
+        kind = dict(self.rows.dtypes)["vec_id"]
+        return self.rows.sparkSession.createDataFrame([], f"query_id {self._id_type}, vec_id {kind}, score double, compared long, place int")
 
 
 def any_date(text: Column) -> Column:

@@ -678,14 +678,27 @@ s AS (SELECT q.query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(
 SELECT query_id, doc_id, CAST(round(score * 10000) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) x WHERE r <= 10""")
 def x1_term_scores(spark, sf):
     queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.term_scores(_docs(spark, sf), queries).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
+    return search.TermIndex(_docs(spark, sf)).best(queries).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
+
+
+@register(f"""WITH q AS ({_QUERY}), p AS (SELECT * FROM ({_TOKENS}) t WHERE token <> '' AND token IN (SELECT token FROM q)),
+d AS (SELECT token, count(*) AS df FROM p GROUP BY token), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+s AS (SELECT q.query_id, p.doc_id, sum(1.5 * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score FROM p JOIN q ON p.token = q.token JOIN d ON d.token = p.token, n GROUP BY q.query_id, p.doc_id),
+f AS (SELECT s.query_id, s.doc_id, s.score + 3.0 * c.n_chars / (c.n_chars + 2000.0) AS score FROM s JOIN documents c ON s.doc_id = c.doc_id)
+SELECT query_id, doc_id, CAST(round(score * 10000) AS BIGINT) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM f) x WHERE place <= 10""")
+def x4_rank_features(spark, sf):
+    """Terms and a document's length as a saturated rank feature."""
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = search.TermIndex(_docs(spark, sf), 3.0 * search.saturation(F.col("n_chars"), 2000.0))
+    return index.best(queries, boost=1.5).select("query_id", "doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @register("""SELECT query_id, vec_id, CAST(round(score * 1000000) AS BIGINT) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS place
 FROM (SELECT b.vec_id AS query_id, a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) x) y WHERE place <= 10""")
 def x3_nearest(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    best = search.nearest(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    best = search.VectorIndex(vectors).nearest(asked)
     return best.select("query_id", "vec_id", F.round(F.col("score") * 1000000).cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
