@@ -12,6 +12,9 @@ from lamina.functions import geometry as g
 from lamina.functions import text as t
 from lamina.operators import assign, catalog, headings, memory, order, search, stats, suppress, tables
 from lamina.plans import document
+from lamina.sources.byte_log import ByteLog
+from lamina.storage import new_path
+from lamina.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -998,3 +1001,52 @@ def m6_risk_assets(spark, sf):
 @register("SELECT c_custkey, 1700000000123 AS create_time, '2023-11-14 22:13:20' AS create_date, 1700000000123 AS update_time, '2023-11-14 22:13:20' AS update_date FROM customer")
 def m15_audited(spark, sf):
     return catalog.audited(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), F.lit(1_700_000_000_123))
+
+
+# ---- streams over the tables -------------------------------------------------
+
+_JOB_KINDS = "CASE event_type WHEN 'signup' THEN 'queue' WHEN 'view' THEN 'start' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'finish' END"
+_JOB_ID = "concat(CAST(user_id AS VARCHAR), '-', CAST(event_id // 97 AS VARCHAR))"
+
+
+@register(f"""WITH e AS (SELECT {_JOB_ID} AS job_id, event_id, ts, {_JOB_KINDS} AS kind, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS code FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS r FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY job_id, kind ORDER BY ts DESC, event_id DESC) AS r FROM e),
+j AS (SELECT job_id, min(CASE WHEN kind = 'queue' THEN ts END) AS created_at FROM e GROUP BY job_id),
+s AS (SELECT job_id, ts FROM k WHERE kind = 'start' AND r = 1), f AS (SELECT job_id, ts, code FROM k WHERE kind = 'finish' AND r = 1),
+w AS (SELECT max(ts) - INTERVAL 10 DAY AS mark FROM e)
+SELECT j.job_id, created_at, s.ts AS started_at, f.ts AS finished_at, f.code AS returncode,
+  CASE WHEN l.kind = 'start' AND mark >= s.ts + INTERVAL 1 DAY THEN 'failed' WHEN l.kind = 'finish' AND l.code <> 0 THEN 'failed'
+    WHEN l.kind = 'finish' THEN 'succeeded' WHEN l.kind = 'start' THEN 'running' ELSE 'queued' END AS status,
+  CASE WHEN l.kind = 'start' AND mark >= s.ts + INTERVAL 1 DAY THEN 'No result in time' WHEN l.kind = 'finish' AND l.code <> 0 THEN concat('Pipeline exited with code ', CAST(l.code AS VARCHAR)) END AS error
+FROM j JOIN l ON j.job_id = l.job_id AND l.r = 1 LEFT JOIN s ON j.job_id = s.job_id LEFT JOIN f ON j.job_id = f.job_id CROSS JOIN w""")
+def u4_job_stream(spark, sf):
+    """All events as job events, each twice, in three micro-batches that follow no order of time within a day."""
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'queue' WHEN 'view' THEN 'start' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'finish' END")
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.expr("concat(CAST(user_id AS STRING), '-', CAST(event_id DIV 97 AS STRING))").alias("job_id"), "event_id", "ts", kind.alias("kind"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("code")
+    )
+    source, out, check = (new_path(spark, f"jobs-{x}") for x in ("in", "out", "check"))
+    for i in range(3):  # each event in two of the batches
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) != i).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(jobs.EVENT).parquet(source)
+    shown = jobs.rows(stream, 86_400, 10 * 86_400)
+    shown.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return jobs.latest(spark.read.schema(jobs.ROW).parquet(out)).drop("version")
+
+
+@register("""SELECT event_type, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) AS n_lines, CAST(sum(length(line) - length(replace(line, '€', ''))) AS BIGINT) AS n_euros
+FROM (SELECT event_type, concat(CAST(event_id AS VARCHAR), ' é', repeat('€', CAST(event_id % 7 AS INTEGER)), ' ', props, chr(10)) AS line FROM events) e GROUP BY event_type""")
+def s11_log_stream(spark, sf):
+    """A log of every event, read back by byte offsets in small pieces."""
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" é"), F.expr("repeat('€', CAST(event_id % 7 AS INT))"), F.lit(" "), F.col("props"))
+    logs, out, check = (new_path(spark, f"log-{x}") for x in ("in", "out", "check"))
+    spark.read.parquet(f"{sf}/events.parquet").select("event_type", line.alias("value")).write.partitionBy("event_type").text(logs)
+    spark.dataSource.register(ByteLog)
+    stream = spark.readStream.format("byte_log").option("limit", 4_096).load(logs)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("file string, start long, end long, text string").parquet(out)
+    had = lambda c: F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).alias
+    return read.groupBy(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type")).agg(
+        F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.sum(F.length("text")).alias("n_chars"), had("\n")("n_lines"), had("€")("n_euros")
+    )
