@@ -54,8 +54,8 @@ BUCKETS = 10_000
 MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
-BLOCK_BYTES = 32 << 20
-PART_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 #: The dictionary is made a share of its parts after another, so that what is shuffled at once is as much less.
 ROUNDS = 2
 PACKED_BITS = 63 // LONGEST
@@ -250,7 +250,10 @@ def _look_up(cells: pa.Table) -> pa.Table:
         for own, found in zip(back, np.split(bucket[codes], np.cumsum([len(d[k][1]) for d in decoded])[:-1]), strict=True):
             own.append(found)
     rows = [(0, blk, part, pack.compress(_planes(np.concatenate(own)))) for blk, own in zip(cells.column("blk").to_pylist(), back, strict=True)]
-    return _table([*rows, (1, -1, part, pack.compress(total.astype("<i8").tobytes()))])
+    out = _table([*rows, (1, -1, part, pack.compress(total.astype("<i8").tobytes()))])
+    del decoded, back, strings, codes, counts
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest group took
+    return out
 
 
 def _totals(answers: DataFrame) -> np.ndarray:
@@ -291,7 +294,9 @@ class Dictionary:
         def answers(turn: int) -> DataFrame:
             def send(block: pa.Table) -> pa.Table:
                 blk = block.column("blk")[0].as_py()
-                return _table([(0, blk, part, payload) for part, payload in Features(block.column("data__"), parts, False).cells(turn, rounds)])
+                out = _table([(0, blk, part, payload) for part, payload in Features(block.column("data__"), parts, False).cells(turn, rounds)])
+                pa.default_memory_pool().release_unused()
+                return out
 
             out = materialize(self.table.groupBy("blk").applyInArrow(send, CELLS).groupBy("part").applyInArrow(_look_up, CELLS), "features-answers")
             # Shuffle files go with their plans; without this they stay until the driver is short of memory.
@@ -313,6 +318,8 @@ class Dictionary:
             found = {p: _unplanes(unpack.decompress(x)) for p, x in zip(cells.column("part").to_pylist(), cells.column("payload").to_pylist(), strict=True)}
             count, weight = features.sums(found, shared.value, block.num_rows)
             n_words = np.bincount(features.text, minlength=block.num_rows)
+            del features, found
+            pa.default_memory_pool().release_unused()
             return pa.table([block.column("doc_id"), pa.array(n_words), pa.array(count), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
         answers = self.answers.where("kind = 0")
