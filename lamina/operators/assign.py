@@ -1,7 +1,10 @@
 """Spatial joins: which region, row or column a box belongs to.
 
-All joins are equi-joins on the page or table, with the overlap as a residual
-condition, so that a page's boxes meet only each other.
+All joins are equi-joins on the page or table and, where boxes must touch, on bands
+of its height, with the overlap as a residual condition. So a page's boxes meet only
+those near them in height: a page of n boxes makes far fewer than n squared pairs, and
+a page with very many boxes is dealt out by its bands. A box lies on its page, so it
+reaches into as many bands as the page has, at most. Boxes without an edge touch nothing.
 """
 
 from __future__ import annotations
@@ -14,15 +17,31 @@ from lamina.functions import geometry as g
 #: Layout types in the order in which they are tried (fixed values).
 TAG_ORDER = ("footer", "header", "reference", "figure caption", "table caption", "title", "table", "text", "figure", "equation")
 GARBAGE_TYPES = ("footer", "header", "reference")
+#: Pixels of a band: several lines of text, so most boxes reach into one or two.
+BAND = 128
 
 
 def prefixed(df: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
+def banded(boxes: DataFrame, band: int) -> DataFrame:
+    """Each box once for every band of ``band`` rows of pixels that it reaches into, with ``band__`` and its first one, ``from__``."""
+    of = lambda edge: F.floor(edge / band)
+    first, last = of(F.least("top", "bottom")), of(F.greatest("top", "bottom"))
+    return boxes.withColumn("from__", first).withColumn("band__", F.explode(F.sequence(first, last)))
+
+
+def met(boxes: DataFrame, others: DataFrame, keys: tuple[str, ...], band: int = BAND) -> DataFrame:
+    """Boxes (a_) and others (b_) of one key that share a band, once: in the first band that they share."""
+    on = [*keys, "band__"]
+    joined = prefixed(banded(boxes, band), "a_", tuple(on)).join(prefixed(banded(others, band), "b_", tuple(on)), on)
+    return joined.where(F.col("band__") == F.greatest("a_from__", "b_from__")).drop("band__", "a_from__", "b_from__")
+
+
 def pairs(boxes: DataFrame, others: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Boxes (a_) and others (b_) of one key that touch, with both overlap ratios."""
-    joined = prefixed(boxes, "a_", keys).join(prefixed(others, "b_", keys), list(keys)).where(g.touching("a_", "b_"))
+    joined = met(boxes, others, keys).where(g.touching("a_", "b_"))
     return joined.withColumn("ov", g.overlap_ratio("a_", "b_")).withColumn("ov2", g.overlap_ratio("b_", "a_"))
 
 

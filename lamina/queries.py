@@ -13,6 +13,7 @@ from lamina.functions import text as t
 from lamina.operators import assign, catalog, headings, memory, order, search, stats, suppress, tables
 from lamina.plans import document
 from lamina.sources.byte_log import ByteLog
+from lamina.sources.versioned import VersionedTable
 from lamina.storage import new_path
 from lamina.streaming import jobs
 
@@ -70,6 +71,24 @@ SELECT lang, category, severity, count(*) AS n_risks, count(DISTINCT doc_id) AS
 QUERIES["t5_risks_by_language"] = flagship
 
 
+@register(f"""WITH l AS (SELECT doc_id, line, text[line] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents) d),
+r AS (SELECT doc_id, line, 0 AS nth, 'sensitive_value' AS category, 'high' AS severity, text FROM l WHERE {_SENSITIVE_SQL}
+UNION ALL SELECT doc_id, line, 1, 'ambiguous_characters', 'high', text FROM l WHERE {_AMBIGUOUS_SQL}
+UNION ALL SELECT doc_id, line, 2, 'checkbox_or_selection', 'medium', text FROM l WHERE {_CHECKBOX_SQL})
+SELECT doc_id AS page_id, printf('p%03d_r%03d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, nth)) AS risk_id, category, severity, substring(text, 1, 1000) AS text FROM r""")
+def t5_risk_rows(spark, sf):
+    """Every risk of every line of the documents, numbered."""
+    lines = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    return document.text_risks(lines).drop("seq")
+
+
+@register(f"""SELECT seq, wrong, correct FROM {RULES} r WHERE NOT blocked AND NOT EXISTS (SELECT 1 FROM part p WHERE p_partkey % 3 = 0 AND lower(p_brand) = r.wrong AND upper(p_type) = r.correct)""")
+def j9_not_blocked(spark, sf):
+    """Rules that are blocked neither by their mark nor as a pair; a third of the parts block theirs."""
+    blocked = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 3 = 0").select(F.lower("p_brand").alias("wrong"), F.upper("p_type").alias("correct"))
+    return memory.not_blocked(relation(spark, sf, "rules"), blocked).select("seq", "wrong", "correct")
+
+
 @register(f"SELECT doc_id, ({_SENSITIVE_SQL}) AS sensitive FROM documents")
 def t1_sensitive_value(spark, sf):
     return _docs(spark, sf).select("doc_id", t.sensitive(F.col("text")).alias("sensitive"))
@@ -108,9 +127,10 @@ def t7_passthrough(spark, sf):
     return relation(spark, sf, "heading_lines").select("doc_id", "line_no", t.passthrough(F.col("text")).alias("passthrough"))
 
 
-@register("SELECT item_id, length(text) >= 3 AND length(text) <= 140 AND regexp_matches(text, '\\p{L}') AS candidate FROM benchmark")
+@register("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN length(l) >= 3 AND length(l) <= 140 AND regexp_matches(l, '\\p{L}') THEN 1 ELSE 0 END) AS BIGINT) AS n_candidates FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) d GROUP BY doc_id")
 def t8_heading_candidate(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", t.heading_candidate(F.col("text")).alias("candidate"))
+    lines = _docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(t.heading_candidate(F.col("line"))).alias("n_candidates"))
 
 
 @register(f"""WITH k AS (SELECT doc_id, line_no, text, CASE
@@ -378,12 +398,12 @@ def d3_clean_by_text(spark, sf):
 _GARBAGE_SQL = f"(SELECT split_part(text, ' ', 1) AS t FROM {OCR} g WHERE seq = 0 GROUP BY t HAVING count(*) > 1)"
 
 
-@register(f"SELECT page_id, seq FROM {OCR} b WHERE page_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {_GARBAGE_SQL} x WHERE x.t = CASE WHEN b.seq < 4 THEN split_part(b.text, ' ', 1) ELSE b.text END)")
+@register(f"SELECT page_id, seq FROM {OCR} b WHERE NOT EXISTS (SELECT 1 FROM {_GARBAGE_SQL} x WHERE x.t = CASE WHEN b.seq < 4 THEN split_part(b.text, ' ', 1) ELSE b.text END)")
 def d4_repeated_garbage(spark, sf):
     boxes = relation(spark, sf, "ocr_boxes")
     word = F.split_part("text", F.lit(" "), F.lit(1))
     dropped = boxes.where("seq = 0").select(F.lit("header").alias("layout_type"), word.alias("text"))
-    shown = boxes.where("page_id % 2 = 0").withColumn("text", F.when(F.col("seq") < 4, word).otherwise(F.col("text")))
+    shown = boxes.withColumn("text", F.when(F.col("seq") < 4, word).otherwise(F.col("text")))
     return assign.repeated_garbage(shown, dropped).select("page_id", "seq")
 
 
@@ -587,7 +607,7 @@ def r6_candidates(spark, sf):
 FROM (SELECT p_partkey, p_brand, p_brand || ';' || p_brand || ';' AS said, CAST(p_brand[-1:] AS INTEGER) < 3 AS own FROM part) p""")
 def r7_replay(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
-    brands = part.select("p_brand").distinct().where("CAST(right(p_brand, 1) AS INT) < 3")
+    brands = part.select("p_brand").distinct().where("CAST(right(p_brand, 1) AS INT) < 3")  # the others are left to the rule of their beginning
     brands = brands.select(F.expr("p_brand || ';' AS wrong"), F.expr("'B' || substring(p_brand, 7) || ';' AS correct"), F.lit(False).alias("blocked"))
     more = spark.createDataFrame([("Brand#", "Br", False), ("Br", "zzz", True), ("B", "B", False)], "wrong string, correct string, blocked boolean")
     rules = brands.unionByName(more).withColumn("id", t.rule_id(F.col("wrong"), F.col("correct"))).withColumn("seq", F.xxhash64("wrong"))
@@ -715,6 +735,20 @@ def s11_log_tail(spark, sf):
     return events.select("event_id", *t.log_tail(F.col("content"), F.col("event_id") % 900, 100)).select("event_id", F.col("offset").alias("offset_"), "text")
 
 
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey // 1000 % 20 = 7 THEN 'later' WHEN o_orderkey % 4000 < 40 THEN 'succeeded' ELSE o_orderstatus END AS status, o_custkey AS owner FROM orders
+UNION ALL SELECT -1 - o_orderkey, 'queued', o_custkey FROM orders WHERE o_orderkey % 300 = 0""")
+def s14_versioned(spark, sf):
+    """Three commits: all records; one in a hundred side by side, and new ones before all others; a stretch again, its owners kept."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    table = VersionedTable(spark, new_path(spark, "versioned"), "o_orderkey", "o_orderkey long, status string, owner long", 20_000)
+    records = orders.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("long").alias("owner"))
+    table.upsert(records)
+    fresh = records.where("o_orderkey % 300 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("queued").alias("status"), "owner")
+    table.upsert(records.where("o_orderkey % 4000 < 40").withColumn("status", F.lit("succeeded")).unionByName(fresh))
+    table.upsert(records.where("o_orderkey div 1000 % 20 = 7").select("o_orderkey", F.lit("later").alias("status"), F.lit(-1).cast("long").alias("owner")), keep=("owner",))
+    return table.read()
+
+
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'succeeded' ELSE o_orderstatus END AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders")
 def s12_history(spark, sf):
     old = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
@@ -781,9 +815,9 @@ def a7_skip_reasons(spark, sf):
     return stats.skip_reasons(found, ["p_brand"]).select("p_brand", F.array_join(shown, ";").alias("skipped"))
 
 
-@register(f"SELECT page_id // 10 AS table_id, count(DISTINCT page_id) > 1 AS cross_page FROM {LAYOUT} l WHERE page_id % 10 < 1 + (page_id // 10) % 2 GROUP BY 1")
+@register(f"SELECT CASE WHEN page_id % 10 < 6 THEN page_id // 10 ELSE 1000000 + page_id END AS table_id, count(DISTINCT page_id) > 1 AS cross_page FROM {LAYOUT} l GROUP BY 1")
 def a8_cross_page(spark, sf):
-    boxes = relation(spark, sf, "layout_boxes").withColumn("table_id", F.expr("page_id div 10")).where("page_id % 10 < 1 + table_id % 2")
+    boxes = relation(spark, sf, "layout_boxes").withColumn("table_id", F.expr("IF(page_id % 10 < 6, page_id div 10, 1000000 + page_id)"))
     return stats.cross_page(boxes, ["table_id"], "page_id")
 
 
@@ -873,9 +907,9 @@ def r14_review_status(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", t.review_status(k != 0, k != 1, k == 2).alias("status"))
 
 
-@register("SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[\\s#]+'), lambda x: x <> ''), '|') AS tokens FROM benchmark")
+@register("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[\\s#]+'), lambda x: x <> ''), '|') AS tokens FROM documents")
 def x2_tokens(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.array_join(search.tokens(F.col("text"), True), "|").alias("tokens"))
+    return _docs(spark, sf).select("doc_id", F.array_join(search.tokens(F.col("text"), True), "|").alias("tokens"))
 
 
 @register("SELECT event_id, CAST(epoch(CASE event_id % 4 WHEN 1 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END) AS BIGINT) AS seconds FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 4 = 3")

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import geometry
 from lamina.operators import assign, catalog, headings, memory, order, search, stats, suppress, tables
 
 BOX = "page_id long, seq long, type string, x0 long, top long, x1 long, bottom long, score double"
@@ -226,3 +229,24 @@ def test_registry_holds_transforms(spark):
 def test_ctc(spark):
     df = spark.createDataFrame([([0, 1, 1, 0, 1],)], "a array<int>")
     assert df.select(suppress.ctc_collapse("a").alias("x")).first()["x"] == [1, 1]
+
+
+def test_bands_give_every_touching_pair_once(spark):
+    """Against all pairs, with boxes without height, over many bands, inverted, on the bands' edges, and without an edge."""
+    rng = random.Random(6)
+    rows = [(1, i, x := rng.randrange(500), t := rng.randrange(900), x + rng.randrange(80), t + rng.choice([0, 5, 31, 32, 33, 400, -10])) for i in range(150)]
+    rows += [(1, 200, 0, 32, 500, 64), (1, 201, 0, 64, 500, 64), (1, 202, None, 5, 10, 20), (1, 203, 0, None, 10, 20), (2, 0, 0, 0, 5, 5)]
+    df = spark.createDataFrame(rows, "page_id int, seq int, x0 int, top int, x1 int, bottom int")
+    touch = lambda a, b: None not in (*a, *b) and a[0] == b[0] and a[4] >= b[2] and a[2] <= b[4] and a[5] >= b[3] and a[3] <= b[5]
+    wanted = sorted((a[0], a[1], b[1]) for a in rows for b in rows if touch(a, b))
+    for band in (1, 32, 10_000):
+        met = assign.met(df, df, ("page_id",), band).where(geometry.touching("a_", "b_"))
+        assert sorted((r["page_id"], r["a_seq"], r["b_seq"]) for r in met.collect()) == wanted
+
+
+def test_a_large_page_makes_few_pairs(spark):
+    """Twelve hundred boxes of a line's height on one high page: a small share of all pairs meet."""
+    rng = random.Random(7)
+    rows = [(1, i, x := rng.randrange(500), t := rng.randrange(20_000), x + 60, t + 18) for i in range(1200)]
+    df = spark.createDataFrame(rows, "page_id int, seq int, x0 int, top int, x1 int, bottom int")
+    assert assign.met(df, df, ("page_id",)).count() < 1200 * 1200 / 40
