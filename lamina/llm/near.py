@@ -14,8 +14,10 @@ segment, and shares no key of ``SEGMENTS`` with probability 0.002; closer pairs
 less often. Every link is verified on the sets themselves.
 
 Equal sets are one node throughout. A key shared by few sets gives all its pairs;
-one shared by more than ``FEW`` is cut into blocks of about ``BLOCK`` shingles, and
-every two blocks meet, where a spanning forest of the true links is passed on. The
+of one shared by more than ``FEW`` a spanning forest of the true links is passed on. If
+its sets hold more than ``BLOCK`` shingles together, they are first verified against a
+few pivots; what is linked to one pivot is one group and need not meet itself, and only
+sets of unlike groups, and those linked to none, meet, in blocks of about ``BLOCK``. The
 nearest codewords of the first ``LEAD`` segments go first, as they tell most copies;
 of the other keys only sets of unlike components meet, and a key whose sets are one
 component already passes nothing on. Sets are read only for texts that have a key in
@@ -53,6 +55,8 @@ LEAD = 2
 SEED = 42
 FEW = 4
 BLOCK = 500_000
+#: Members of a large key that all others are first verified against, and salts of that join.
+PIVOTS, SALTS = 3, 16
 #: Keys of one bucket in memory, about.
 BUCKET_KEYS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -255,12 +259,50 @@ def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """True links (key, a, b) between the members of a key and its ``PIVOTS`` members b that hashes pick; ``members`` is (key, a)."""
+    pick = [F.min_by("a", F.xxhash64("a", F.lit(f"pivot {i}"))).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = members.groupBy("key").agg(*pick).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("b"))
+    of = chosen.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    # A pivot's set meets every member of its key: members are salted, pivots repeated.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    repeated = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(repeated, ["key", "salt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(_unpack(batch.column("x")), _unpack(batch.column("y")), strict=True)]
+            yield batch.select(["key", "a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return met.select("key", "a", "b", "x", "y").mapInArrow(run, "key long, a long, b long")
+
+
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the sets of each key as all their true links do; ``members`` is (key, a, n)."""
-    blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")))
-    cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a")
+    """Links (a, b) that connect the sets of each key as all their true links do; ``members`` is (key, a, n).
+
+    Sets of a key with more than ``BLOCK`` shingles are first verified against a few
+    pivots. What is linked to one pivot is one group already: its sets need not meet
+    one another, only those of other groups and those linked to no pivot. So a
+    key whose sets are copies of few texts makes few cells, however many it has.
+    """
+    sums = members.groupBy("key").agg(F.sum("n").alias("total"))
+    sized = materialize(members.join(sums, "key"), "near-members")
+    large = sized.where(F.col("total") > BLOCK)
+    linked = materialize(pivot_links(large.select("key", "a"), sets), "near-pivots")
+    group = linked.groupBy("key", "a").agg(F.min("b").alias("group"))
+    grouped = materialize(large.join(group, ["key", "a"], "left").select("key", "a", "n", F.col("group")), "near-grouped")
+    # A row a key, with its groups (one a pivot, and the rest) and how many blocks each has.
+    blocks = grouped.groupBy("key", "group").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).groupBy("key")
+    blocks = blocks.agg(F.collect_list(F.struct("group", "blocks")).alias("groups"))
+    own = F.element_at(F.filter("groups", lambda g: g["group"].eqNullSafe(F.col("group"))), 1)["blocks"]
+    numbered = grouped.join(blocks, "key").withColumn("mine", F.struct(F.coalesce("group", F.lit(0)).alias("g"), F.col("group").isNull().alias("rest"), F.pmod(F.xxhash64("a", F.lit("block")), own).alias("r")))
+    others = F.filter("groups", lambda g: g["group"].isNull() | ~g["group"].eqNullSafe(F.col("group")))
+    with_other = numbered.withColumn("other", F.explode(others)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other.blocks") - 1)))
+    theirs = F.struct(F.coalesce("other.group", F.lit(0)).alias("g"), F.col("other.group").isNull().alias("rest"), F.col("r").alias("r"))
+    pair = lambda end: F.concat_ws(".", *[F.col(f"{end}.{c}").cast("string") for c in ("g", "rest", "r")])
+    cells = with_other.select("key", F.least("mine", theirs).alias("i"), F.greatest("mine", theirs).alias("j"), "a")
+    cells = cells.select("key", pair("i").alias("i"), pair("j").alias("j"), "a")
+    small = sized.where(F.col("total") <= BLOCK).select("key", F.lit("").alias("i"), F.lit("").alias("j"), "a")
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("a").to_numpy()
@@ -268,8 +310,8 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    with_sets = cells.join(sets, F.col("a") == F.col("node")).select("key", "i", "j", "a", "hashes")
-    return with_sets.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    with_sets = small.unionAll(cells).join(sets, F.col("a") == F.col("node")).select("key", "i", "j", "a", "hashes")
+    return linked.where("a <> b").select("a", "b").unionAll(with_sets.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def labels(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -48,3 +48,25 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     members = nodes.selectExpr("1L AS key", "node AS a", "octet_length(hashes) div 8 AS n")
     label = {r["node"]: r["label"] for r in near.components(near.block_links(members, nodes)).collect()}
     assert label == {i: 0 for i in range(30)}
+
+
+def test_groups_of_a_large_key_meet_the_rest_only(spark, monkeypatch):
+    """Copies of one text, a chain that leads away from it and back to nothing, and strangers: the components of all true links, from few cells."""
+    monkeypatch.setattr(near, "BLOCK", 400)
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.sort(np.append(base[:-1], np.uint64(1000 + i))) for i in range(60)]
+    for step in range(1, 7):  # each shares nine tenths with the one before, the last ones little with the first
+        sets.append(np.sort(np.concatenate([base[8 * step :], np.arange(2000, 2000 + 8 * step, dtype=np.uint64)])))
+    sets += [base + np.uint64(10_000 * k) for k in range(1, 9)]
+    nodes = spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)], "node long, hashes binary")
+    members = nodes.selectExpr("1L AS key", "node AS a", "octet_length(hashes) div 8 AS n")
+    found = {r["node"]: r["label"] for r in near.components(near.block_links(members, nodes)).collect()}
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if near.similar(common, len(sets[a]), len(sets[b])):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {i: found.get(i, i) for i in range(len(sets))} == dict(enumerate(label))
+    assert label[65] == 0 and not near.similar(len(np.intersect1d(sets[65], sets[0])), 100, 100)
