@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.fixtures import PAGE_HEIGHT, PAGE_WIDTH, duck, relation
 from lamina.functions import geometry as g
 from lamina.functions import text as t
-from lamina.operators import assign, catalog, headings, memory, order, search, stats, suppress, tables
+from lamina.operators import assign, catalog, headings, memory, order, raster, sample, search, stats, suppress, tables
 from lamina.plans import document
 from lamina.sources.byte_log import ByteLog
 from lamina.sources.versioned import VersionedTable
@@ -1084,3 +1084,85 @@ def s11_log_stream(spark, sf):
     return read.groupBy(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type")).agg(
         F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.sum(F.length("text")).alias("n_chars"), had("\n")("n_lines"), had("€")("n_euros")
     )
+
+
+# ---- rasters (K7, W1) ----------------------------------------------------------
+
+#: One pixel an event, 30 by 30 a page; blocks of 4 by 3 pixels have one probability.
+_PIXELS = """SELECT page_id, y, x, CAST((x {d} 4 * 5 + y {d} 3 * 7 + page_id * 3) % 11 AS DOUBLE) / 10 AS p FROM (
+  SELECT event_id {d} 900 AS page_id, event_id % 900 {d} 30 AS y, event_id % 30 AS x FROM {events}) e"""
+_LIT = 0.65
+
+
+def _pixels(spark, sf):
+    return spark.sql(_PIXELS.replace("{d}", "div"), events=spark.read.parquet(f"{sf}/events.parquet"))
+
+
+@register(f"""WITH RECURSIVE px AS (SELECT page_id, y, x, p, y * 30 + x AS id FROM ({_PIXELS.replace("{d}", "//").replace("{events}", "events")}) q WHERE p > {_LIT}),
+near AS (SELECT a.page_id, a.id AS a, b.id AS b FROM px a JOIN px b ON a.page_id = b.page_id WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT page_id, id, id AS label FROM px UNION SELECT near.page_id, near.a, reach.label FROM reach JOIN near ON reach.page_id = near.page_id AND reach.id = near.b),
+least AS (SELECT page_id, id, min(label) AS label FROM reach GROUP BY page_id, id)
+SELECT px.page_id, min(x) AS x0, min(y) AS top, max(x) AS x1, max(y) AS bottom, count(*) AS n, CAST(round(1000 * sum(p) / count(*)) AS BIGINT) AS score
+FROM px JOIN least ON px.page_id = least.page_id AND px.id = least.id GROUP BY px.page_id, label""")
+def k7_regions(spark, sf):
+    boxes = raster.boxes(raster.regions(_pixels(spark, sf), _LIT))
+    return boxes.select("page_id", *[F.col(c).cast("long").alias(c) for c in (*g.EDGES, "n")], F.round(1000 * F.col("score")).cast("long").alias("score"))
+
+
+@register()
+def k7_quads(spark, sf):
+    """Widened rectangles of the regions, in pixels of a page of twice the size."""
+    found = raster.quads(raster.regions(_pixels(spark, sf), _LIT), box_threshold=0.7, scale_x=2.0, scale_y=2.0)
+    return found.select("page_id", F.col("region.y").alias("y"), F.col("region.first").alias("x"), F.round("score", 6).alias("score"), "quad")
+
+
+@register(f"""WITH rows_ AS (SELECT page_id, y FROM (SELECT DISTINCT page_id FROM {OCR} o) p CROSS JOIN (SELECT unnest(generate_series(0, {PAGE_HEIGHT - 1})) AS y) s),
+m AS (SELECT r.page_id, y, EXISTS (SELECT 1 FROM {OCR} b WHERE b.page_id = r.page_id AND b.top <= y AND b.bottom >= y) AS has_content FROM rows_ r),
+c AS (SELECT *, CASE WHEN lag(has_content) OVER (PARTITION BY page_id ORDER BY y) = has_content THEN 0 ELSE 1 END AS fresh FROM m),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY y) AS island FROM c)
+SELECT page_id, min(y) AS top, max(y) AS bottom, has_content FROM i GROUP BY page_id, island, has_content""")
+def w1_mask_bands(spark, sf):
+    """Rows of pages that recognised lines cover, by a sweep over their edges instead of pixels."""
+    return raster.mask_bands(relation(spark, sf, "ocr_boxes"), PAGE_HEIGHT)
+
+
+_PX = "(" + _PIXELS.replace("{d}", "//").replace("{events}", "events") + ")"
+_SIZES = f"(SELECT page_id, max(y) + 1 AS h0, max(x) + 1 AS w0 FROM {_PX} q GROUP BY page_id)"
+
+
+def _sampled_sql(points: str, keys: str) -> str:
+    """(page_id, keys, p) of points (page_id, keys, sy, sx, h0, w0): the four pixels around, the border repeated."""
+    return f"""SELECT n.page_id, {keys}, sum(w * coalesce(q.p, 0)) AS p FROM (SELECT page_id, {keys}, greatest(0, least(CAST(floor(sy) AS BIGINT) + i, h0 - 1)) AS y, greatest(0, least(CAST(floor(sx) AS BIGINT) + j, w0 - 1)) AS x,
+  (CASE i WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE j WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w
+  FROM ({points}) s, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j)) n LEFT JOIN {_PX} q ON n.page_id = q.page_id AND n.y = q.y AND n.x = q.x GROUP BY n.page_id, {keys}"""
+
+
+@register(f"""WITH k AS (SELECT page_id, h0, w0, CAST(round_even(h0 * least(24 / h0, 40 / w0), 0) AS BIGINT) AS h, CAST(round_even(w0 * least(24 / h0, 40 / w0), 0) AS BIGINT) AS w FROM {_SIZES} z),
+f AS (SELECT *, CAST(round_even((24 - h) / 2 - 0.1, 0) AS BIGINT) AS up, CAST(round_even((40 - w) / 2 - 0.1, 0) AS BIGINT) AS aside FROM k),
+g AS (SELECT * FROM f CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS v) a CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS u) b),
+i AS ({_sampled_sql("SELECT page_id, v, u, (v - up + 0.5) * h0 / h - 0.5 AS sy, (u - aside + 0.5) * w0 / w - 0.5 AS sx, h0, w0 FROM g WHERE v >= up AND v < up + h AND u >= aside AND u < aside + w", "v, u")})
+SELECT g.page_id, g.v, g.u, CAST(round(coalesce(i.p, 114) / 255 * 10000000) AS BIGINT) AS p FROM g LEFT JOIN i ON g.page_id = i.page_id AND g.v = i.v AND g.u = i.u""")
+def k3_letter_box(spark, sf):
+    boxed = sample.letter_boxed(_pixels(spark, sf), 24, 40)
+    return boxed.select("page_id", "v", "u", F.round(F.col("p") * 10_000_000).cast("long").alias("p"))
+
+
+#: Two quads a page: a slanted one, and one higher than wide.
+_QUADS = """SELECT page_id, 0 AS seq, 2.0 + page_id % 3 AS x0, 3.0 AS y0, 20.0 + page_id % 5 AS x1, 2.0 + page_id % 2 AS y1, 24.0 AS x2, 14.0 + page_id % 4 AS y2, 3.0 AS x3, 12.0 AS y3 FROM {pages}
+UNION ALL SELECT page_id, 1, 5.0, 2.0, 11.0, 3.0, 10.0 + page_id % 3, 25.0, 4.0, 22.0 FROM {pages}"""
+_M = {"g": "((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / det", "h": "((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / det"}
+
+
+@register(f"""WITH q AS ({_QUADS.replace("{pages}", f"(SELECT DISTINCT page_id FROM {_PX} d) p")}),
+d AS (SELECT *, CAST((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS DOUBLE) AS det, CAST(floor(greatest(sqrt((x0 - x1) ** 2 + (y0 - y1) ** 2), sqrt((x2 - x3) ** 2 + (y2 - y3) ** 2))) AS BIGINT) AS w,
+  CAST(floor(greatest(sqrt((x0 - x3) ** 2 + (y0 - y3) ** 2), sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2))) AS BIGINT) AS h FROM q),
+m AS (SELECT *, {_M["g"]} AS mg, {_M["h"]} AS mh FROM d),
+t AS (SELECT m.page_id, seq, a.v, b.u, CAST(b.u AS DOUBLE) / w AS s, CAST(a.v AS DOUBLE) / h AS t, mg, mh, x0, y0, x1, y1, x3, y3, w, h FROM m CROSS JOIN (SELECT unnest(generate_series(0, 40)) AS v) a CROSS JOIN (SELECT unnest(generate_series(0, 40)) AS u) b WHERE a.v < h AND b.u < w),
+c AS (SELECT page_id, seq, CASE WHEN h >= 1.5 * w THEN w - 1 - u ELSE v END AS v, CASE WHEN h >= 1.5 * w THEN v ELSE u END AS u,
+  ((x1 - x0 + mg * x1) * s + (x3 - x0 + mh * x3) * t + x0) / (mg * s + mh * t + 1) AS sx, ((y1 - y0 + mg * y1) * s + (y3 - y0 + mh * y3) * t + y0) / (mg * s + mh * t + 1) AS sy FROM t),
+r AS ({_sampled_sql(f"SELECT c.page_id, seq, v, u, sy, sx, h0, w0 FROM c JOIN {_SIZES} z ON c.page_id = z.page_id", "seq, v, u")})
+SELECT page_id, seq, v, u, CAST(round(p * 1000000) AS BIGINT) AS p FROM r""")
+def k8_crops(spark, sf):
+    pixels = _pixels(spark, sf)
+    quads = spark.sql(_QUADS, pages=pixels.select("page_id").distinct())
+    return sample.crops(pixels, quads).select("page_id", "seq", "v", "u", F.round(F.col("p") * 1_000_000).cast("long").alias("p"))

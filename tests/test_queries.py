@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB counterpart on the smallest tables."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -142,6 +143,58 @@ def ratios(spark):
     return [{"p_partkey": r[0], "ratio": round(2 * blocks(r[1], r[2]) / (len(r[1]) + len(r[2])), 4)} for r in rows]
 
 
+def wrapped(points):
+    """Corners of the convex hull, found by walking round it from the leftmost point, each turn as far right as any point lies."""
+    start = min(points)
+    out, at = [], start
+    while True:
+        out.append(at)
+        on = next(p for p in points if p != at)
+        for p in points:
+            turn = (on[0] - at[0]) * (p[1] - at[1]) - (on[1] - at[1]) * (p[0] - at[0])
+            if p != at and (turn < 0 or turn == 0 and math.dist(p, at) > math.dist(on, at)):
+                on = p
+        at = on
+        if at == start:
+            return out
+
+
+def quads(spark):
+    """Regions of the pixels by flood fill; of the rectangles along each edge of their hull the least, widened and doubled."""
+    left, out = {}, []
+    for (e,) in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect():
+        page, y, x = e // 900, e % 900 // 30, e % 30
+        if (p := ((x // 4 * 5 + y // 3 * 7 + page * 3) % 11) / 10) > 0.65:
+            left[page, y, x] = p
+    while left:
+        first = min(left)
+        region, todo = {first: left.pop(first)}, [first]
+        while todo:
+            page, y, x = todo.pop()
+            for k in [(page, y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if k in left:
+                    region[k] = left.pop(k)
+                    todo.append(k)
+        score = sum(region.values()) / len(region)
+        corners = wrapped([(k[2], k[1]) for k in region])
+        best = None
+        for a, b in zip(corners, corners[1:] + corners[:1], strict=True):
+            n = math.dist(a, b)
+            ux, uy = (b[0] - a[0]) / n, (b[1] - a[1]) / n
+            u, v = [ux * x + uy * y for x, y in corners], [ux * y - uy * x for x, y in corners]
+            w, h = max(u) - min(u), max(v) - min(v)
+            if best is None or round(w * h, 9) < best[0]:
+                best = round(w * h, 9), w, h, ux, uy, min(u), max(u), min(v), max(v)
+        _, w, h, ux, uy, u0, u1, v0, v1 = best
+        if score < 0.7 or min(w, h) < 3:
+            continue
+        d = w * h * 2 / (2 * (w + h))
+        quad = sorted((ux * u - uy * v, uy * u + ux * v) for u in (u0 - d, u1 + d) for v in (v0 - d, v1 + d))
+        (a, b), (c, e) = sorted(quad[:2], key=lambda q: q[1]), sorted(quad[2:], key=lambda q: q[1])
+        out.append({"page_id": first[0], "y": first[1], "x": first[2], "score": round(score, 6), "quad": [round(2 * z, 4) for q in (a, c, e, b) for z in q]})
+    return out
+
+
 #: What the queries without a counterpart in SQL must give.
 BRUTE = {
     "o1_sort_rows": lambda spark: placed(spark, lambda rows: insertion(rows, "top", "x0", 10)),
@@ -151,6 +204,7 @@ BRUTE = {
     "d3_clean_by_text": lambda spark: cleaned(spark, True),
     "w9_rebuild_tables": rebuilt,
     "r4_similarity": ratios,
+    "k7_quads": quads,
 }
 
 
