@@ -6,10 +6,12 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.text import rule_id, shortened, stripped
+from lamina.storage import materialize
 
 MAX_CHARS, MAX_LINES, MIN_SIMILARITY, SNIPPET = 240, 4, 0.72, 1800
 #: Text that stands for structure or assets, never corrected (fixed values).
@@ -88,37 +90,70 @@ def not_blocked(rules: DataFrame, blocked: DataFrame | None = None) -> DataFrame
     return left if blocked is None else left.join(blocked.select("wrong", "correct").distinct(), ["wrong", "correct"], "left_anti")
 
 
-#: Rules that are folded over the texts in one pass.
-RULES_A_PASS = 5_000
+#: Rules, about, that a task holds at once.
+RULES_A_PASS = 100_000
+
+
+class Fold:
+    """Rules in order, and an automaton of all their texts that finds which of them a text holds in one reading."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        import ahocorasick
+
+        self.rules = rules
+        self.automaton = ahocorasick.Automaton()
+        for i, (_, wrong, _) in enumerate(rules):
+            self.automaton.add_word(wrong, (*self.automaton.get(wrong, ()), i))
+        if rules:
+            self.automaton.make_automaton()
+
+    def next(self, text: str, after: int) -> int | None:
+        """The first rule beyond ``after`` that the text holds as it is now."""
+        return min((i for _, found in self.automaton.iter(text) for i in found if i > after), default=None)
+
+    def apply(self, text: str | None) -> tuple[str | None, list[tuple[str, int]]]:
+        applied: list[tuple[str, int]] = []
+        at = self.next(text, -1) if text and self.rules else None
+        while at is not None:
+            name, wrong, correct = self.rules[at]
+            applied.append((name, text.count(wrong)))
+            text = text.replace(wrong, correct)
+            at = self.next(text, at)
+        return text, applied
 
 
 def replay(texts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """``texts`` with ``corrected`` and ``applied`` (array of (id, n)), rules in order of length, longest first.
 
-    Rules are counted: they are folded over each text ``RULES_A_PASS`` at a time,
-    so that later rules see what earlier ones changed and no pass sends more.
+    A text is read once for all rules and once more after each that it holds, so what a
+    text costs does not grow with the rules that it does not hold; a rule sees
+    what earlier ones changed, and no rule comes twice. Rules are sorted by ranges and
+    sent ``RULES_A_PASS`` at a time, the texts being read once a pass. A rule without
+    a correction deletes; null texts stay null, with nothing applied.
     """
     usable = rules.where((F.coalesce("wrong", F.lit("")) != "") & (F.col("wrong") != F.col("correct")))
     if "blocked" in rules.columns:
         usable = usable.where(~F.coalesce("blocked", F.lit(False)))
-    first = [(-F.length("wrong")).alias("n"), F.col("seq"), F.col("id")]
-    passes = max(1, -(-usable.count() // RULES_A_PASS))
-    if passes > 1:
-        usable = usable.withColumn("pass", F.ntile(passes).over(Window.orderBy(*first)))  # the user's memory, narrow rows
-    start = F.struct(F.col("corrected").alias("t"), F.col("applied"))
-
-    def step(acc: Column, rule: Column) -> Column:
-        changed = F.replace(acc["t"], rule["wrong"], rule["correct"])
-        n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], rule["wrong"], F.lit("")))) / F.length(rule["wrong"])).cast("int")
-        more = F.concat(acc["applied"], F.array(F.struct(rule["id"].alias("id"), n.alias("n"))))
-        return F.when(acc["t"].contains(rule["wrong"]), F.struct(changed.alias("t"), more.alias("applied"))).otherwise(acc)
-
+    order = [F.length("wrong").desc(), F.col("seq"), F.col("id")]
+    n = usable.count()
+    ranges = usable.repartitionByRange(-(-n // RULES_A_PASS), *order).withColumn("pass", F.spark_partition_id()) if n > RULES_A_PASS else usable.withColumn("pass", F.lit(0))
+    if n > RULES_A_PASS:
+        ranges = materialize(ranges, "rules")
+    passes = sorted(r["pass"] for r in ranges.select("pass").distinct().collect())  # a row a pass
     out = texts.withColumn("corrected", F.col(text)).withColumn("applied", F.array().cast("array<struct<id:string,n:int>>"))
-    for i in range(passes):
-        own = usable if passes == 1 else usable.where(F.col("pass") == i + 1)
-        listed = own.agg(F.array_sort(F.collect_list(F.struct(*first, "wrong", "correct"))).alias("rules"))
-        folded = out.crossJoin(F.broadcast(listed)).withColumn("out", F.aggregate("rules", start, step))  # one row of RULES_A_PASS rules at most
-        out = folded.select(*texts.columns, F.col("out.t").alias("corrected"), F.col("out.applied").alias("applied"))
+    for i in passes:
+        listed = ranges.where(F.col("pass") == i).orderBy(*order).select("id", "wrong", "correct").collect()  # RULES_A_PASS rows, about
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in listed])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            fold = Fold(shared.value)
+            for b in batches:
+                done = [fold.apply(t) for t in b.column("corrected").to_pylist()]
+                more = [[*had, *({"id": x, "n": k} for x, k in new)] for had, (_, new) in zip(b.column("applied").to_pylist(), done, strict=True)]
+                columns = {**dict(zip(b.schema.names, b.columns, strict=True)), "corrected": pa.array([t for t, _ in done], pa.string()), "applied": pa.array(more, pa.list_(pa.struct([("id", pa.string()), ("n", pa.int32())])))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        out = out.mapInArrow(run, out.schema)
     return out
 
 

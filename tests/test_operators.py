@@ -106,6 +106,29 @@ def test_replay_in_several_passes(spark, monkeypatch):
     assert sorted(memory.replay(texts, rules).collect()) == wanted
 
 
+def test_replay_against_a_plain_fold(spark, monkeypatch):
+    """Overlapping, deleting, growing and chained rules, blocked and empty ones, null and empty texts, any number of rules a pass."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    rules = [(i, f"r{i}", say(rng.randrange(1, 5)), say(rng.randrange(0, 4)), rng.random() < 0.1) for i in range(60)] + [(90, "x", "", "y", False), (91, "y", None, "y", None)]
+    texts = [say(rng.randrange(0, 40)) for _ in range(80)] + [None, ""]
+
+    def fold(text):
+        applied = []
+        for _, name, wrong, correct, blocked in sorted((r for r in rules if r[2]), key=lambda r: (-len(r[2]), r[0], r[1])):
+            if not blocked and wrong != correct and text and wrong in text:
+                applied.append((name, text.count(wrong)))
+                text = text.replace(wrong, correct)
+        return text, applied
+
+    df = spark.createDataFrame(rules, "seq int, id string, wrong string, correct string, blocked boolean")
+    said = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    for size in (100_000, 7):
+        monkeypatch.setattr(memory, "RULES_A_PASS", size)
+        got = {r["i"]: (r["corrected"], [tuple(a) for a in r["applied"]]) for r in memory.replay(said, df).collect()}
+        assert got == {i: fold(t) for i, t in enumerate(texts)}
+
+
 def test_column_sort_across_pages():
     # One page: columns by tag; several pages: by place alone.
     cells = [{"C": 0, "x0": 0, "x1": 9, "top": 0}, {"C": 1, "x0": 20, "x1": 29, "top": 0}]
