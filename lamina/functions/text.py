@@ -260,3 +260,16 @@ def scored_enough(kind: Column, score: Column, least: float = 0.08, visual: floa
 def compact_regions(regions: Column) -> Column:
     """Of each region what a review sees: content and layout type, and the asset's path where there is one."""
     return F.transform(regions, lambda r: F.struct(r["type"].alias("layout_type"), F.nullif(r["asset_path"], F.lit("")).alias("asset_path")))
+
+
+def resolved(path: Column) -> Column:
+    """An absolute path without empty and ``.`` steps, each ``..`` taking back the step before it; above the root there is nothing."""
+    steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    back = lambda had, s: F.when(s == "..", F.slice(had, F.lit(1), F.greatest(F.size(had) - 1, F.lit(0)))).otherwise(F.concat(had, F.array(s)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), back), "/"))
+
+
+def contained(path: Column, root: Column) -> Column:
+    """``path``, resolved, where it lies at or below ``root``; else null. A relative path begins at the root of all."""
+    at, top = resolved(path), F.regexp_replace(resolved(root), "/$", "")
+    return F.when((F.coalesce(path, F.lit("")) != "") & (at.eqNullSafe(top) | at.startswith(F.concat(top, F.lit("/")))), at)

@@ -166,6 +166,18 @@ def duration(started: Column, finished: Column) -> Column:
     return F.greatest(F.lit(0.0), finished - started)
 
 
+def history_records(jobs: DataFrame, files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """A history record of each of ``jobs``: its own fields, how long it ran, the newest text's name, and what its metadata (job_id, metadata as JSON) says of pages, regions and confidence."""
+    found = jobs.join(latest_outputs(files).select("job_id", "markdown"), "job_id", "left").join(metadata.select("job_id", "metadata"), "job_id", "left")
+    of = lambda field, kind: F.get_json_object("metadata", f"$.{field}").try_cast(kind)
+    return found.select(
+        "job_id", "input_name", "status", "created_at", "started_at", "finished_at",
+        F.when(F.col("started_at").isNotNull() & F.col("finished_at").isNotNull(), duration(F.col("started_at"), F.col("finished_at"))).alias("duration_seconds"),
+        of("page_count", "long").alias("page_count"), of("region_count", "long").alias("region_count"), "ai_check_status", of("ocr_confidence.avg_score", "double").alias("ocr_avg_score"),
+        F.nullif(F.regexp_extract("markdown", r"([^/]*)$", 1), F.lit("")).alias("markdown_name"), F.col("markdown").isNotNull().alias("has_markdown"), "error",
+    )
+
+
 def suffix_type(name: Column) -> Column:
     """The data type that an index field's name ending declares."""
     # Name endings and their types.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as g
-from lamina.functions.text import ambiguous, checkbox, risk_categories, sensitive, severity, slug
+from lamina.functions.text import ambiguous, checkbox, json_reply, risk_categories, sensitive, severity, slug
 from lamina.operators import assign, memory, order, stats, suppress, tables
 
 LINE_RISKS = (("sensitive_value", sensitive), ("ambiguous_characters", ambiguous), ("checkbox_or_selection", checkbox))
@@ -121,3 +121,27 @@ def risk_assets(risks: DataFrame, most: int, width: int, height: int) -> DataFra
     name = F.format_string("page_%03d_risk_%03d_%s.png", F.col("page_id"), had + made, slug(F.col("category")))
     path = F.when(own, F.col("asset_path")).when(F.coalesce(new, F.lit(False)), name)
     return listed.withColumn("asset_path", path).drop("nth")
+
+
+#: Why a review failed, where nothing else says so.
+NO_KEY, NO_TEXT = "no key was given", "the reply holds no checked text"
+
+
+def reviewed(decided: DataFrame, replies: DataFrame, required: bool = False) -> DataFrame:
+    """(doc_id, status, error, text, checked): what becomes of each document's text.
+
+    ``decided`` has doc_id, markdown, enabled, run and has_key, ``replies`` doc_id, reply and failure,
+    one at most a document. A review that is enabled and due is completed by a reply whose JSON
+    object has a checked text, which is then kept; any other outcome keeps the raw text,
+    or, where reviews are ``required``, fails the query. A reply counts only where a
+    review was due; documents without a reply count as replies without a text.
+    """
+    checked = F.get_json_object(json_reply(F.col("reply")), "$.checked_markdown")
+    error = F.when(~F.col("has_key"), NO_KEY).when(F.col("failure").isNotNull(), F.col("failure")).when(checked.isNull(), NO_TEXT)
+    due = F.col("enabled") & F.col("run")
+    status = F.when(~F.col("enabled"), "disabled").when(~F.col("run"), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("completed")
+    both = decided.join(replies.select("doc_id", "reply", "failure"), "doc_id", "left").withColumn("error", F.when(due, error)).withColumn("status", status)
+    if required:
+        both = both.withColumn("status", F.when(F.col("status") == "failed", F.raise_error(F.concat(F.lit("review of "), F.col("doc_id"), F.lit(": "), F.col("error")))).otherwise(F.col("status")))
+    done = F.col("status") == "completed"
+    return both.select("doc_id", "status", "error", F.when(done, checked).otherwise(F.col("markdown")).alias("text"), done.alias("checked"))

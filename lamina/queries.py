@@ -1166,3 +1166,55 @@ def k8_crops(spark, sf):
     pixels = _pixels(spark, sf)
     quads = spark.sql(_QUADS, pages=pixels.select("page_id").distinct())
     return sample.crops(pixels, quads).select("page_id", "seq", "v", "u", F.round(F.col("p") * 1_000_000).cast("long").alias("p"))
+
+
+# ---- reviews, records, paths (R14, M9, M10) --------------------------------------
+
+
+@register("""SELECT o_orderkey AS doc_id, status, error, CASE WHEN status = 'completed' THEN upper(o_comment) ELSE o_comment END AS text, status = 'completed' AS checked FROM (
+SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'disabled' WHEN o_totalprice < 60000 THEN 'skipped' WHEN error IS NOT NULL THEN 'failed' ELSE 'completed' END AS status FROM (
+SELECT *, CASE WHEN o_orderkey % 7 = 0 OR o_totalprice < 60000 THEN NULL WHEN o_custkey % 5 = 0 THEN 'no key was given' WHEN o_orderpriority = '1-URGENT' THEN concat('timed out after ', CAST(o_custkey AS VARCHAR))
+  WHEN o_orderkey % 4 = 1 OR o_orderkey % 11 = 3 THEN 'the reply holds no checked text' END AS error FROM (SELECT *, concat(o_orderpriority, ' "', CAST(o_custkey AS VARCHAR), '"') AS o_comment FROM orders) o) e) s""")
+def r14_reviewed(spark, sf):
+    """Every order as a document: switched off, not due, without a key, with a failed call, a reply without JSON or none at all, or a checked text in fences."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    said = F.concat("o_orderpriority", F.lit(' "'), F.col("o_custkey").cast("string"), F.lit('"'))
+    decided = o.select(
+        F.col("o_orderkey").alias("doc_id"), said.alias("markdown"), (F.col("o_orderkey") % 7 != 0).alias("enabled"), (F.col("o_totalprice") >= 60000).alias("run"), (F.col("o_custkey") % 5 != 0).alias("has_key")
+    )
+    good = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.upper(said).alias("checked_markdown"), F.lit(0.9).alias("confidence"))), F.lit("\n```"))
+    reply = F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Sorry, "), said)).otherwise(good)
+    failure = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("timed out after "), F.col("o_custkey").cast("string")))
+    replies = o.where("o_orderkey % 11 <> 3").select(F.col("o_orderkey").alias("doc_id"), reply.alias("reply"), failure.alias("failure"))
+    # Of those that never replied some failed all the same; that is known of the call.
+    silent = o.where("o_orderkey % 11 = 3").select(F.col("o_orderkey").alias("doc_id"), F.lit(None).cast("string").alias("reply"), failure.alias("failure"))
+    return document.reviewed(decided, replies.unionByName(silent.where("failure IS NOT NULL")))
+
+
+@register(f"""WITH f AS (SELECT job_id, max(CASE WHEN ends_with(path, '_vlm_checked.md') THEN printf('%05d', mtime) || path END)[6:] AS a, max(CASE WHEN ends_with(path, '_full.md') THEN printf('%05d', mtime) || path END)[6:] AS b,
+  max(CASE WHEN ends_with(path, '_ocr_raw.md') THEN printf('%05d', mtime) || path END)[6:] AS c FROM {FILES} f GROUP BY job_id)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN greatest(0.0, CAST(o_orderkey % 50 - 10 AS DOUBLE)) END AS duration_seconds, CASE WHEN o_orderkey % 5 <> 2 THEN o_custkey % 30 END AS page_count,
+  CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_custkey % 100 AS DOUBLE) / 100 END AS ocr_avg_score, split_part(coalesce(a, b, c), '/', 3) AS markdown_name, coalesce(a, b, c) IS NOT NULL AS has_markdown
+FROM orders LEFT JOIN f ON f.job_id = o_orderkey % 60""")
+def m10_history_record(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    files = relation(spark, sf, "files").join(o.select((F.col("o_orderkey") % 60).alias("job_id"), F.col("o_orderkey").alias("job")), "job_id").withColumn("job_id", F.col("job"))
+    started = F.lit(100.0)
+    jobs_ = o.select(
+        F.col("o_orderkey").alias("job_id"), F.lit("scan.pdf").alias("input_name"), F.lit("succeeded").alias("status"), F.lit(50.0).alias("created_at"), started.alias("started_at"),
+        F.when(F.col("o_orderkey") % 3 > 0, started + F.col("o_orderkey") % 50 - 10).alias("finished_at"), F.lit("ok").alias("ai_check_status"), F.lit(None).cast("string").alias("error"),
+    )
+    pages, score = (F.col("o_custkey") % 30).cast("string"), (F.col("o_custkey") % 100 / 100).cast("string")
+    said = F.when(F.col("o_orderkey") % 5 < 2, F.concat(F.lit('{"page_count": '), pages, F.lit(', "ocr_confidence": {"avg_score": '), score, F.lit("}}")))
+    said = said.when(F.col("o_orderkey") % 5 > 2, F.concat(F.lit('{"page_count": '), pages, F.lit(', "ocr_confidence": null}')))
+    metadata = o.select(F.col("o_orderkey").alias("job_id"), said.alias("metadata"))
+    return catalog.history_records(jobs_, files, metadata).select(F.col("job_id").alias("id"), "duration_seconds", "page_count", "ocr_avg_score", "markdown_name", "has_markdown")
+
+
+@register(f"SELECT file_id, CASE file_id % 3 WHEN 0 THEN path WHEN 1 THEN concat('out/job', CAST(job_id AS VARCHAR), '/', split_part(path, '/', 3)) END AS at FROM {FILES} f")
+def m9_contained(spark, sf):
+    """Paths of files, some by way of other folders, some out of their job's own."""
+    k, name = F.col("file_id") % 3, F.regexp_extract("path", "([^/]*)$", 1)
+    path = F.when(k == 0, F.concat(F.lit("/"), F.col("path"))).when(k == 1, F.concat(F.lit("/out/other/../job"), F.col("job_id"), F.lit("/./"), name)).otherwise(F.concat(F.lit("/out/job"), F.col("job_id"), F.lit("/../"), name))
+    at = t.contained(path, F.concat(F.lit("/out/job"), F.col("job_id")))
+    return relation(spark, sf, "files").select("file_id", F.regexp_replace(at, "^/", "").alias("at"))

@@ -58,3 +58,12 @@ def read_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     both = text.select(F.from_json("value", shape).alias("m"))
     rules = both.select(F.posexplode("m.rules").alias("seq", "r")).select("seq", "r.*")
     return rules, both.select(F.explode("m.blocked").alias("b")).select("b.*")
+
+
+def write_memory(rules: DataFrame, blocked: DataFrame, path: str, version: int = 1) -> None:
+    """Save a correction memory as one JSON document, rules in order of seq; ``read_memory`` gives it back. It is one user's, so it fits a row."""
+    fields = [c for c in rules.columns if c != "seq"]
+    listed = rules.agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("r")))).alias("all")).select(F.transform("all", lambda x: x["r"]).alias("rules"))
+    pairs = blocked.agg(F.array_sort(F.collect_list(F.struct("wrong", "correct"))).alias("blocked"))
+    whole = listed.crossJoin(pairs).select(F.to_json(F.struct(F.lit(version).alias("version"), "rules", "blocked")).alias("value"))  # one row each
+    whole.write.mode("overwrite").text(path)

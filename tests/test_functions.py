@@ -84,3 +84,13 @@ def test_sensitive_agrees_with_a_restatement(spark):
     plain = re.compile(r"\b(\d{1,3}([.,]\d{3})+|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{9,12}|số|so|mã|ma|mst|cccd|cmnd|hợp\s*đồng|hop\s*dong|đơn|don)\b", re.I)
     df = spark.createDataFrame([(w,) for w in words], "s string")
     assert [r["x"] for r in df.select(t.sensitive(F.col("s")).alias("x")).collect()] == [bool(plain.search(w)) for w in words]
+
+
+def test_paths_stay_in_their_folder(spark):
+    cases = {
+        "/runs/j1/out/a.md": "/runs/j1/out/a.md", "/runs/j1/./out//a.md": "/runs/j1/out/a.md", "/runs/j1/../j2/a.md": None, "/runs/j1/x/../../j1/b": "/runs/j1/b",
+        "/runs/j10/a": None, "/runs/j1": "/runs/j1", "/../../runs/j1/c": "/runs/j1/c", "": None, "a.md": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
+    got = {r["p"]: r["at"] for r in df.select("p", t.contained(F.col("p"), F.lit("/runs/j1/")).alias("at")).collect()}
+    assert got == {**cases, None: None}

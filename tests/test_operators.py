@@ -273,3 +273,13 @@ def test_a_large_page_makes_few_pairs(spark):
     rows = [(1, i, x := rng.randrange(500), t := rng.randrange(20_000), x + 60, t + 18) for i in range(1200)]
     df = spark.createDataFrame(rows, "page_id int, seq int, x0 int, top int, x1 int, bottom int")
     assert assign.met(df, df, ("page_id",)).count() < 1200 * 1200 / 40
+
+
+def test_required_reviews_fail_the_query(spark):
+    from lamina.plans import document
+
+    decided = spark.createDataFrame([(1, "raw", True, True, True)], "doc_id long, markdown string, enabled boolean, run boolean, has_key boolean")
+    replies = spark.createDataFrame([(1, "no json", None)], "doc_id long, reply string, failure string")
+    assert tuple(document.reviewed(decided, replies).first()) == (1, "failed", document.NO_TEXT, "raw", False)
+    with pytest.raises(Exception, match="review of 1"):
+        document.reviewed(decided, replies, required=True).collect()

@@ -58,3 +58,36 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     lines.write(lines.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r["category"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["sensitive_value"]
+
+
+def test_memory_round_trip(spark, tmp_path):
+    rules = spark.createDataFrame([(1, "b", "sai", "đúng", True, 2, 0), (0, "a", 'x"\n', "y", False, 1, 9)], "seq int, id string, wrong string, correct string, blocked boolean, seen_count long, applied_count long")
+    blocked = spark.createDataFrame([("q", "r")], "wrong string, correct string")
+    for pair in ((rules, blocked), (rules.limit(0), blocked.limit(0))):
+        path = str(tmp_path / f"memory{pair[0].count()}")
+        files.write_memory(*pair, path)
+        got = files.read_memory(spark, path)
+        assert sorted(map(tuple, got[0].collect())) == sorted(map(tuple, pair[0].collect()))
+        assert got[1].collect() == pair[1].collect()
+
+
+def test_tables_are_made_and_widened(spark):
+    from lamina.operators import catalog
+
+    first = spark.createDataFrame([(1, "a")], "id int, name string")
+    wide = first.withColumn("more", first["id"] * 2.5)
+    spark.sql("DROP TABLE IF EXISTS lamina_test_ensured")
+    try:
+        catalog.ensure_table(first, "lamina_test_ensured")
+        first.write.insertInto("lamina_test_ensured")
+        catalog.ensure_table(wide, "lamina_test_ensured")
+        catalog.ensure_table(first, "lamina_test_ensured")
+        wide.write.insertInto("lamina_test_ensured")
+        assert sorted(map(tuple, spark.table("lamina_test_ensured").collect()), key=str) == [(1, "a", 2.5), (1, "a", None)]
+        assert catalog.continuous(wide) == ["id", "more"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS lamina_test_ensured")
+
+
+def test_configuration():
+    assert config.number("2.5", 1.0) == 2.5 and config.number("x", 1.0) == 1.0 and config.number(None, 1.0) == 1.0
