@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import drop, join_small, materialize, new_path, shuffle_partitions
@@ -256,6 +257,14 @@ def _look_up(cells: pa.Table) -> pa.Table:
     return out
 
 
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files go with their plans; without this they stay until the driver is short of memory. The second call meets what the first one let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def _totals(answers: DataFrame) -> np.ndarray:
     """Count by bucket over all parts; ``BUCKETS`` rows reach the driver."""
 
@@ -298,13 +307,12 @@ class Dictionary:
                 pa.default_memory_pool().release_unused()
                 return out
 
-            out = materialize(self.table.groupBy("blk").applyInArrow(send, CELLS).groupBy("part").applyInArrow(_look_up, CELLS), "features-answers")
-            # Shuffle files go with their plans; without this they stay until the driver is short of memory.
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            return out
+            return materialize(self.table.groupBy("blk").applyInArrow(send, CELLS).groupBy("part").applyInArrow(_look_up, CELLS), "features-answers")
 
-        self.made = [answers(i) for i in range(rounds)]
+        self.made = []
+        for i in range(rounds):
+            self.made.append(answers(i))
+            _forget(spark)
         self.answers = reduce(DataFrame.unionAll, self.made)
         self.totals = _totals(self.answers)
 
