@@ -203,9 +203,9 @@ INDEX = "dims long, rids binary, ids array<long>, m binary, bits binary, slices
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of ``ROWS`` rows, as they come."""
-    held: list[pa.RecordBatch] = []
-    waiting = 0
+    """Blocks of ``ROWS`` rows, as they come. Rows with a component too large for slices are blocks of their own, so they leave the others to the bitmaps."""
+    held: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+    waiting = {True: 0, False: 0}
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         x = _matrix(rows.column("v").combine_chunks())
@@ -220,14 +220,19 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in INDEX.split(", ")])
 
     for b in batches:
-        held.append(b)
-        waiting += b.num_rows
-        while waiting >= ROWS:
-            table = pa.Table.from_batches(held)
-            yield block(table.slice(0, ROWS))
-            held, waiting = table.slice(ROWS).to_batches(), waiting - ROWS
-    if waiting:
-        yield block(pa.Table.from_batches(held))
+        fits = (np.abs(_matrix(b.column("v"))).max(1, initial=0.0) * SCALE <= PLAIN) if b.num_rows else np.empty(0, bool)
+        for kind in (True, False):
+            part = b.filter(pa.array(fits == kind)) if len(fits) else b
+            if part.num_rows:
+                held[kind].append(part)
+                waiting[kind] += part.num_rows
+            while waiting[kind] >= ROWS:
+                table = pa.Table.from_batches(held[kind])
+                yield block(table.slice(0, ROWS))
+                held[kind], waiting[kind] = table.slice(ROWS).to_batches(), waiting[kind] - ROWS
+    for kind in (True, False):
+        if waiting[kind]:
+            yield block(pa.Table.from_batches(held[kind]))
 
 
 def _pick(every: int):

@@ -124,6 +124,16 @@ def test_top_k_over_several_blocks_and_chunks(spark, monkeypatch):
     assert got == wanted
 
 
+def test_large_rows_are_blocks_of_their_own():
+    """One row beyond the slices: the others of its batch keep their bitmaps."""
+    import pyarrow as pa
+
+    rows = [[1.0, 2.0]] * 5 + [[1e300, 0.0]] + [[3.0, 4.0]] * 4
+    b = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(rows, pa.list_(pa.float64())), pa.array(range(10))], names=["vec_id", "v", "rid"])
+    built = [r for x in topk._build([b]) for r in x.to_pylist()]
+    assert [(r["ids"], bool(r["slices"])) for r in built] == [([0, 1, 2, 3, 4, 6, 7, 8, 9], True), ([5], False)]
+
+
 def test_top_k_of_large_and_empty_vectors(spark):
     rows = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [3.0, 4.0]), (3, [-1e300, 1.0]), (4, []), (50, [2.0, -1.0])]
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
