@@ -136,9 +136,14 @@ def artifact_paths(page_path: Column) -> list[Column]:
     return [F.concat(base, F.lit(f"_{n}")).alias(n.replace(".", "_")) for n in names]
 
 
+def lossy(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def preview(content: Column, most: int) -> list[Column]:
     """The first bytes as text, damaged characters replaced, and whether there are more."""
-    cut = F.decode(F.substring(content, 1, most), "UTF-8")
+    cut = lossy(F.substring(content, 1, most))
     return [cut.alias("preview"), (F.octet_length(content) > most).alias("truncated")]
 
 
@@ -220,7 +225,7 @@ def log_tail(content: Column, offset: Column, most: int = 512 * 1024) -> list[Co
     """Text from a byte offset on and the offset after it; an offset past the end starts anew."""
     at = F.when((offset < 0) | (offset > F.octet_length(content)), 0).otherwise(offset)
     part = F.substring(content, (at + 1).cast("int"), F.lit(most))
-    return [F.decode(part, "UTF-8").alias("text"), (at + F.octet_length(part)).cast("long").alias("offset")]
+    return [lossy(part).alias("text"), (at + F.octet_length(part)).cast("long").alias("offset")]
 
 
 def review_status(enabled: Column, run: Column, failed: Column) -> Column:

@@ -52,12 +52,6 @@ def grid(cells: DataFrame) -> DataFrame:
     )
 
 
-def grid_texts(cells: DataFrame) -> DataFrame:
-    """(table_id, rn, cn, text): the texts of each place of the grid, joined by spaces."""
-    items = F.array_sort(F.collect_list(F.struct("top", "x0", "seq", "text")))
-    return cells.groupBy("table_id", "rn", "cn").agg(F.array_join(F.transform(items, lambda s: s["text"]), " ").alias("text"))
-
-
 def header_rows(cells: DataFrame) -> DataFrame:
     """(table_id, rn, header): more than half of the row's places are headers.
 
@@ -72,22 +66,6 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return places.join(most, "table_id").groupBy("table_id", "rn").agg((2 * F.count_if(is_header) > F.count(F.lit(1))).alias("header"))
 
 
-def markdown(texts: DataFrame, captions: DataFrame | None = None) -> DataFrame:
-    """(table_id, markdown) of (table_id, rn, cn, text); row 0 is the header, bars are not escaped."""
-    width = texts.groupBy("table_id").agg(F.max("cn").alias("last"))
-    places = F.map_from_entries(F.collect_list(F.struct("cn", "text")))
-    rows = texts.groupBy("table_id", "rn").agg(places.alias("m")).join(width, "table_id")
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), " | "), F.lit(" |\n"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), (F.col("last") + 1).cast("int")), " | "), F.lit(" |\n"))
-    text = F.when(F.col("rn") == 0, F.concat(line, rule)).otherwise(line)
-    items = F.array_sort(F.collect_list(F.struct("rn", "line")))
-    out = rows.select("table_id", "rn", text.alias("line")).groupBy("table_id").agg(F.array_join(F.transform(items, lambda s: s["line"]), "").alias("markdown"))
-    if captions is None:
-        return out
-    title = F.when(F.coalesce(F.col("caption"), F.lit("")) != "", F.concat(F.lit("**"), F.col("caption"), F.lit("**\n\n"))).otherwise("")
-    return out.join(captions, "table_id", "left").select("table_id", F.concat(title, "markdown").alias("markdown"))
-
-
 def captions(boxes: DataFrame) -> DataFrame:
     """(table_id, caption): the caption boxes of each table in order, joined."""
     items = F.array_sort(F.collect_list(F.struct("seq", "text")))

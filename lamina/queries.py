@@ -228,12 +228,11 @@ def s9_latest_outputs(spark, sf):
     return catalog.latest_outputs(relation(spark, sf, "files"))
 
 
-@register("SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN text[1:256] ELSE 'wide' END AS preview, strlen(text) > 256 AS truncated FROM documents")
+@register("""SELECT doc_id, coalesce(text[1:list_max(list_filter(range(1, 257), lambda k: strlen(text[1:k]) <= 256))], '') AS preview, strlen(text) > 256 AS truncated FROM documents""")
 def s10_preview(spark, sf):
-    found = _docs(spark, sf).select("doc_id", "text", *t.preview(F.col("text").cast("binary"), 256))
-    # The counterpart cannot cut a character in two: texts beyond ASCII are held against it by their flag alone.
-    wide = F.octet_length("text") > F.length("text")
-    return found.select("doc_id", F.when(wide, "wide").otherwise(F.col("preview")).alias("preview"), "truncated")
+    """The first 256 bytes as whole characters: the counterpart cannot cut one in two, so the mark that stands for the half of one is taken off."""
+    found = _docs(spark, sf).select("doc_id", *t.preview(F.col("text").cast("binary"), 256))
+    return found.withColumn("preview", F.regexp_replace("preview", "\uFFFD+$", ""))
 
 
 @register("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 2 ELSE 1 END AS update_time, 1 AS create_time FROM customer""")
@@ -324,10 +323,6 @@ def j3_nearest_column(spark, sf):
     return assign.nearest_column(relation(spark, sf, "ocr_boxes"), relation(spark, sf, "layout_boxes"))
 
 
-_SPANNED = "(table_id % 5 = 1 AND seq IN (5, 6))"
-_FIT = f"(SELECT *, {_SPANNED} AS spanned, seq // 4 AS r, seq % 4 AS c FROM {CELLS} c)"
-
-
 _SPANNED = "(table_id % 5 = 1 AND seq IN (5, 6))"
 _FIT = f"(SELECT *, {_SPANNED} AS spanned, seq // 4 AS r, seq % 4 AS c, seq // 4 = 0 OR (seq // 4 = 1 AND table_id % 4 = 2) AS head FROM {CELLS} c)"
 

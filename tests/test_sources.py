@@ -91,3 +91,4 @@ def test_tables_are_made_and_widened(spark):
 
 def test_configuration():
     assert config.number("2.5", 1.0) == 2.5 and config.number("x", 1.0) == 1.0 and config.number(None, 1.0) == 1.0
+    assert config.base_url(None, "http://a/") == config.base_url(" ", "http://a/")
