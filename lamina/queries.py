@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.fixtures import PAGE_HEIGHT, PAGE_WIDTH, duck, relation
 from lamina.functions import geometry as g
 from lamina.functions import text as t
-from lamina.operators import assign, catalog, headings, memory, order, raster, sample, search, stats, suppress, tables
+from lamina.operators import assign, catalog, decode, headings, memory, order, raster, sample, search, stats, suppress, tables
 from lamina.plans import document
 from lamina.sources.byte_log import ByteLog
 from lamina.sources.versioned import VersionedTable
@@ -1213,3 +1213,16 @@ def m9_contained(spark, sf):
     path = F.when(k == 0, F.concat(F.lit("/"), F.col("path"))).when(k == 1, F.concat(F.lit("/out/other/../job"), F.col("job_id"), F.lit("/./"), name)).otherwise(F.concat(F.lit("/out/job"), F.col("job_id"), F.lit("/../"), name))
     at = t.contained(path, F.concat(F.lit("/out/job"), F.col("job_id")))
     return relation(spark, sf, "files").select("file_id", F.regexp_replace(at, "^/", "").alias("at"))
+
+
+@register("""WITH RECURSIVE w AS (SELECT word || '$' AS w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) d WHERE length(word) >= 2 GROUP BY word),
+t AS (SELECT w[i:i + 1] AS context, w[i + 2:i + 2] AS symbol, sum(n) AS score FROM (SELECT w, n, unnest(generate_series(1, length(w) - 2)) AS i FROM w) p GROUP BY context, symbol),
+b AS (SELECT context, symbol FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, symbol) AS r FROM t) x WHERE r = 1),
+d AS (SELECT p_partkey AS row_id, lower(p_name[1:2]) AS text, 0 AS steps, false AS ended FROM part
+UNION ALL SELECT row_id, CASE WHEN coalesce(symbol, '$') = '$' THEN text ELSE text || symbol END, steps + 1, coalesce(symbol, '$') = '$' FROM d LEFT JOIN b ON text[-2:] = context WHERE NOT ended AND steps < 129)
+SELECT row_id, text, steps, ended FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY steps DESC) AS r FROM d) x WHERE r = 1""")
+def k12_greedy(spark, sf):
+    """From the first letters of every part's name, by what follows what in the words of all documents."""
+    words = _docs(spark, sf).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 2).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    starts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lower(F.substring("p_name", 1, 2)).alias("text"))
+    return decode.greedy(starts, decode.transitions(words))
