@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import BROADCAST_ROWS, drop, materialize, shuffle_partitions, survivors, with_row_key
+from lamina.llm.common import BROADCAST_ROWS, drop, lean, materialize, shuffle_partitions, survivors, with_row_key
 from lamina.llm.graph import components
 from lamina.llm.simhash import codewords
 
@@ -252,7 +252,10 @@ def true_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(_unpack(b.column("x")), _unpack(b.column("y")), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            found = b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            del b
+            pa.default_memory_pool().release_unused()
+            yield found
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -272,7 +275,10 @@ def pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(_unpack(batch.column("x")), _unpack(batch.column("y")), strict=True)]
-            yield batch.select(["key", "a", "b"]).filter(pa.array(ok, pa.bool_()))
+            found = batch.select(["key", "a", "b"]).filter(pa.array(ok, pa.bool_()))
+            del batch
+            pa.default_memory_pool().release_unused()
+            yield found
 
     return met.select("key", "a", "b", "x", "y").mapInArrow(run, "key long, a long, b long")
 
@@ -311,7 +317,7 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     with_sets = small.unionAll(cells).join(sets, F.col("a") == F.col("node")).select("key", "i", "j", "a", "hashes")
-    return linked.where("a <> b").select("a", "b").unionAll(with_sets.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"))
+    return linked.where("a <> b").select("a", "b").unionAll(with_sets.groupBy("key", "i", "j").applyInArrow(lean(run), "a long, b long"))
 
 
 def labels(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import drop, join_small, materialize, new_path, shuffle_partitions
+from lamina.llm.common import drop, join_small, lean, materialize, new_path, shuffle_partitions
 
 LENGTH = 100
 V = 31
@@ -415,10 +415,10 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
         spark.sparkContext._jvm.System.gc()
 
     def sorted_by_bucket(df: DataFrame, f) -> DataFrame:
-        return df.groupBy("bucket").applyInArrow(f, ROWS)
+        return df.groupBy("bucket").applyInArrow(lean(f), ROWS)
 
     def beside(side: DataFrame, f) -> DataFrame:
-        return table.groupBy("blk").cogroup(side.groupBy("blk")).applyInArrow(f, ROWS)
+        return table.groupBy("blk").cogroup(side.groupBy("blk")).applyInArrow(lean(f), ROWS)
 
     gone()
 
@@ -427,7 +427,7 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
         block = Block(docs)
         return _table([(0, blk, b, p) for b, p in Sent(block, block.samples(), TUPLE, sorts).filter_rows()])
 
-    named = materialize(sorted_by_bucket(table.groupBy("blk").applyInArrow(sample, ROWS), _find_repeated), "suffix-named")
+    named = materialize(sorted_by_bucket(table.groupBy("blk").applyInArrow(lean(sample), ROWS), _find_repeated), "suffix-named")
     gone()
 
     def send_named(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -494,4 +494,4 @@ def removed_spans(docs: DataFrame, extra: tuple[str, ...] = (), whole_characters
         names = ["doc_id", *extra]
         return pa.table([*(block.docs.column(c) for c in ["doc_id", *own]), pa.array(block.size), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
-    return table.groupBy("blk").cogroup(final.groupBy("blk")).applyInArrow(cut, schema)
+    return table.groupBy("blk").cogroup(final.groupBy("blk")).applyInArrow(lean(cut), schema)
