@@ -396,6 +396,6 @@ def test_scores_against_brute_force(spark):
             f[3] += min(sum(cache[x] is not None for x in clean[lo:hi]) - 1, 2) * (not quoted)
             f[4] += any(x in toxicity.ADDRESS for x in clean[lo:hi]) and not quoted
             f[5] += 1
-        f = np.array([min(f[0], 20), f[1], min(f[2], 20), min(f[3], 5), min(f[4], 5), np.log1p(100 * f[5] / max(len(words), 1))])
+        f = np.array([np.log1p(f[0]), f[1], *np.log1p(f[2:5]), np.log1p(100 * f[5] / max(len(words), 1))])
         weight, bias = scorer.model
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(f @ weight + bias, -30, 30)))) < 1e-9
