@@ -34,7 +34,8 @@ FIELDS = ("created", "last_ts", "last_id", "last_kind", "last_code", "started",
 STATE = "version long, " + ", ".join(f"{f} long" for f in FIELDS)
 ROW = "job_id string, version long, status string, created_at timestamp, started_at timestamp, finished_at timestamp, returncode int, error string"
 
-OVERDUE = "No result in time"
+#: What an error says of a job that ended with a code (fixed value), and of one that did not end.
+ENDED, OVERDUE = "Pipeline exited with code ", "No result in time"
 
 
 def proper(events: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def _shown(job_id: str, state: dict[str, Any], now: int | None, limit: int) -> d
     overdue = state["last_kind"] == 1 and now is not None and now >= state["started"] + limit
     failed = state["last_kind"] == 2 and state["last_code"] != 0
     status = "failed" if overdue or failed else ("queued", "running", "succeeded")[state["last_kind"]]
-    error = OVERDUE if overdue else f"Pipeline exited with code {state['last_code']}" if failed else None
+    error = OVERDUE if overdue else f"{ENDED}{state['last_code']}" if failed else None
     moment = lambda t: None if t is None else pd.Timestamp(t, unit="us")
     return {
         "job_id": job_id, "version": state["version"], "status": status, "created_at": moment(state["created"]), "started_at": moment(state["started"]),
@@ -106,7 +107,7 @@ def fold(events: DataFrame, limit_s: int, now: Column) -> DataFrame:
     overdue = running & (now >= F.col("start.ts") + F.make_interval(secs=F.lit(limit_s)))
     failed = ended & (F.col("last.code") != 0)
     status = F.when(overdue | failed, "failed").when(ended, "succeeded").when(running, "running").otherwise("queued")
-    error = F.when(overdue, OVERDUE).when(failed, F.concat(F.lit("Pipeline exited with code "), F.col("last.code")))
+    error = F.when(overdue, OVERDUE).when(failed, F.concat(F.lit(ENDED), F.col("last.code")))
     return folded.select(
         "job_id", status.alias("status"), "created_at", F.col("start.ts").alias("started_at"), F.col("finish.ts").alias("finished_at"), F.col("finish.code").alias("returncode"), error.alias("error")
     )
