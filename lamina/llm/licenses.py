@@ -12,11 +12,12 @@ span's, whichever are more; below ``MIN_SIMILARITY`` it falls. Of spans that ove
 the most words stands, so a license is not taken for one that it contains. Hashes only
 propose.
 
-Only matches leave the tasks that read the texts: template positions are broadcast
-(their number is checked against ``BROADCAST_ROWS``) and votes are summed before the
-shuffle. A document is known by two hashes of its text; equal texts vote once each
-and are judged alike, so copies cost one verification. Texts are read again for
-those with a candidate only.
+Texts are read once: a row keeps its counts, and its text only if one of its k-grams
+is a template's. What is broadcast are template positions (their number is checked
+against ``BROADCAST_ROWS``), nothing that grows with the texts. A document is known by
+two hashes of its text; equal texts are brought together, vote once and are judged
+alike, so copies cost one verification, and spans go back to them by a shuffled join
+(hinted: small files of spans are large in memory, where Spark would broadcast them).
 
 Labels are those of the phrases found (``PHRASES``, exact places of consecutive words)
 and those of the verified templates. The score is the similarity of the best
@@ -35,13 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import BROADCAST_ROWS, join_small, materialize
+from lamina.llm.common import BROADCAST_ROWS, materialize
 
 K = 3
 #: Diagonals so near each other are one candidate; so many words may be put in or left out at once.
 GAP = 3
 MIN_SIMILARITY = 0.9
 PHRASE_SCORE = 0.5
+#: Up to so many template k-grams are looked up while texts are read; beyond, every text is kept for the vote.
+LISTED_GRAMS = 20_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,6 +108,15 @@ def _starts(w: Column, phrases: dict[str, str]) -> Column:
     return F.concat(*[_places(w, phrase, label) for phrase, label in phrases.items()])
 
 
+def _held(w: Column, spark: SparkSession, templates: list[tuple[str, str]], k: int = K) -> Column:
+    """Whether one of the k-grams of ``w`` is a template's: texts without have no candidate."""
+    _, grams = positions(spark, templates, k)
+    listed = [r["gram"] for r in grams.select("gram").distinct().limit(LISTED_GRAMS + 1).collect()]
+    if len(listed) > LISTED_GRAMS:
+        return F.lit(True)
+    return F.coalesce(F.exists(_grams(w, k), lambda g: g.isin(listed)), F.lit(False)) if listed else F.lit(False)
+
+
 def positions(spark: SparkSession, templates: list[tuple[str, str]], k: int = K) -> tuple[DataFrame, DataFrame]:
     """(template, label, tw) and (gram, template, tpos), the templates' words and all their k-grams."""
     table = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
@@ -128,9 +140,9 @@ def candidates(texts: DataFrame, spark: SparkSession, templates: list[tuple[str,
 
 
 def verified(texts: DataFrame, found: DataFrame, templates: list[tuple[str, str]], min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(k1, k2, label, hits, wanted, first_place, last_place, similarity) of the candidates whose words agree; ``found`` is materialized."""
+    """(k1, k2, label, hits, wanted, first_place, last_place, similarity) of the candidates whose words agree; ``texts`` are one row a text."""
     table, _ = positions(texts.sparkSession, templates)
-    kept = join_small(texts, found.withColumnsRenamed({"k1": "f1", "k2": "f2"}), {"k1": "f1", "k2": "f2"}).join(F.broadcast(table), "template")
+    kept = texts.join(found.hint("merge"), ["k1", "k2"]).join(F.broadcast(table), "template")
     same = lambda d, j: (d + j >= 0) & F.coalesce(F.get("w", d + j) == F.get("tw", j), F.lit(False))
     at = F.transform(F.sequence(F.lit(0), F.size("tw") - 1), lambda j: F.array_min(F.filter("diagonals", lambda d: same(d, j))) + j)
     matched = kept.withColumn("at", F.filter(at, lambda x: x.isNotNull())).where(F.size("at") > 0)
@@ -147,16 +159,19 @@ def _best(spans: Column) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans (hits, similarity, label, first_place, last_place)."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
-    keyed = docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("license"), "text").alias("k2"))
-    texts = keyed.select("doc_id", "k1", "k2", words(F.col("t")).alias("w"))
+    keyed = docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("license"), "text").alias("k2"), words(F.col("text")).alias("w"))
+    base = keyed.select(
+        "doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), _starts(F.col("w"), phrases).alias("places"), "t", _held(F.col("w"), docs.sparkSession, templates).alias("held")
+    )
+    base = materialize(base.withColumn("t", F.when(F.col("held"), F.col("t"))), "license-base")
+    texts = materialize(base.where("held").select("k1", "k2", "t").dropDuplicates(["k1", "k2"]), "license-texts").select("k1", "k2", words(F.col("t")).alias("w"))
     found = materialize(candidates(texts, docs.sparkSession, templates), "license-candidates")
-    keys = materialize(found.select("k1", "k2").distinct(), "license-texts").withColumnsRenamed({"k1": "f1", "k2": "f2"})
-    again = join_small(keyed, keys, {"k1": "f1", "k2": "f2"}, "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("t")).alias("w"))
-    spans = verified(again, found, templates).groupBy("k1", "k2")
+    spans = verified(texts, found, templates).groupBy("k1", "k2")
     spans = spans.agg(F.sort_array(F.collect_set(F.struct("hits", "similarity", "label", "first_place", "last_place"))).alias("spans"))
     spans = materialize(spans.withColumn("spans", _best(F.col("spans"))), "license-spans")
-    base = texts.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), _starts(F.col("w"), phrases).alias("places"))
-    all_ = join_small(base, spans.withColumnsRenamed({"k1": "f1", "k2": "f2"}), {"k1": "f1", "k2": "f2"}, "left")
+    rows = base.drop("t")
+    none_held = rows.where("NOT held").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    all_ = rows.where("held").join(spans.hint("merge"), ["k1", "k2"], "left").unionByName(none_held)
     label = lambda c: F.transform(c, lambda x: x["label"])
     none = F.array().cast("array<string>")
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

@@ -77,6 +77,22 @@ def test_license_spans(spark):
     assert [s["label"] for s in found[n + 6]["spans"]].count("mit") == 2 and found[n + 6]["labels"] == "cc-by-nc-4.0,mit"
 
 
+def test_license_scan_broadcasts_no_texts(spark, monkeypatch):
+    """Only template positions are sent whole, whatever the number of texts; without a list of k-grams rows are the same."""
+    notice = licenses.TEMPLATES[2][1]
+    rows = [(i, f"w{i % 40} x {notice}" if i % 3 else f"w{i} mit license", "en", "s") for i in range(200)] + [(7, None, "en", "s")]
+    docs = spark.createDataFrame(rows, DOC)
+    monkeypatch.setattr(licenses, "materialize", lambda df, name: df)
+    whole = licenses.scan(docs)
+    # Template grams and template words.
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan, plan
+    got = Counter(str(r) for r in whole.collect())
+    monkeypatch.setattr(licenses, "LISTED_GRAMS", 0)
+    assert got == Counter(str(r) for r in licenses.scan(docs).collect())
+    assert sum("label='mit'" in r for r in got.elements()) == sum(1 for i in range(200) if i % 3)
+
+
 def test_license_candidates_are_all_diagonals(spark):
     """Votes by diagonal are those of a loop over all pairs of places."""
     rng = np.random.default_rng(8)
