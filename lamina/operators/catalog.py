@@ -167,8 +167,14 @@ def duration(started: Column, finished: Column) -> Column:
 
 
 def history_records(jobs: DataFrame, files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """A history record of each of ``jobs``: its own fields, how long it ran, the newest text's name, and what its metadata (job_id, metadata as JSON) says of pages, regions and confidence."""
-    found = jobs.join(latest_outputs(files).select("job_id", "markdown"), "job_id", "left").join(metadata.select("job_id", "metadata"), "job_id", "left")
+    """A history record of each of ``jobs``: its own fields, how long it ran, the newest text's name, and what its metadata (job_id, metadata as JSON) says of pages, regions and confidence.
+
+    Files lie in the job's own folder, or in the one that a column ``folder`` of ``jobs`` names by its job_id: jobs may share one,
+    whose newest files are found once and then joined, not its files to every job.
+    """
+    outputs = latest_outputs(files).select(F.col("job_id").alias("folder"), "markdown")
+    placed = jobs if "folder" in jobs.columns else jobs.withColumn("folder", F.col("job_id"))
+    found = placed.join(outputs, "folder", "left").join(metadata.select("job_id", "metadata"), "job_id", "left")
     of = lambda field, kind: F.get_json_object("metadata", f"$.{field}").try_cast(kind)
     return found.select(
         "job_id", "input_name", "status", "created_at", "started_at", "finished_at",

@@ -1193,17 +1193,16 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN greatest(0.0, CAST(o_
 FROM orders LEFT JOIN f ON f.job_id = o_orderkey % 60""")
 def m10_history_record(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    files = relation(spark, sf, "files").join(o.select((F.col("o_orderkey") % 60).alias("job_id"), F.col("o_orderkey").alias("job")), "job_id").withColumn("job_id", F.col("job"))
     started = F.lit(100.0)
     jobs_ = o.select(
-        F.col("o_orderkey").alias("job_id"), F.lit("scan.pdf").alias("input_name"), F.lit("succeeded").alias("status"), F.lit(50.0).alias("created_at"), started.alias("started_at"),
+        F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 60).alias("folder"), F.lit("scan.pdf").alias("input_name"), F.lit("succeeded").alias("status"), F.lit(50.0).alias("created_at"), started.alias("started_at"),
         F.when(F.col("o_orderkey") % 3 > 0, started + F.col("o_orderkey") % 50 - 10).alias("finished_at"), F.lit("ok").alias("ai_check_status"), F.lit(None).cast("string").alias("error"),
     )
     pages, score = (F.col("o_custkey") % 30).cast("string"), (F.col("o_custkey") % 100 / 100).cast("string")
     said = F.when(F.col("o_orderkey") % 5 < 2, F.concat(F.lit('{"page_count": '), pages, F.lit(', "ocr_confidence": {"avg_score": '), score, F.lit("}}")))
     said = said.when(F.col("o_orderkey") % 5 > 2, F.concat(F.lit('{"page_count": '), pages, F.lit(', "ocr_confidence": null}')))
     metadata = o.select(F.col("o_orderkey").alias("job_id"), said.alias("metadata"))
-    return catalog.history_records(jobs_, files, metadata).select(F.col("job_id").alias("id"), "duration_seconds", "page_count", "ocr_avg_score", "markdown_name", "has_markdown")
+    return catalog.history_records(jobs_, relation(spark, sf, "files"), metadata).select(F.col("job_id").alias("id"), "duration_seconds", "page_count", "ocr_avg_score", "markdown_name", "has_markdown")
 
 
 @register(f"SELECT file_id, CASE file_id % 3 WHEN 0 THEN path WHEN 1 THEN concat('out/job', CAST(job_id AS VARCHAR), '/', split_part(path, '/', 3)) END AS at FROM {FILES} f")

@@ -283,3 +283,13 @@ def test_required_reviews_fail_the_query(spark):
     assert tuple(document.reviewed(decided, replies).first()) == (1, "failed", document.NO_TEXT, "raw", False)
     with pytest.raises(Exception, match="review of 1"):
         document.reviewed(decided, replies, required=True).collect()
+
+
+def test_records_of_jobs_that_share_a_folder(spark):
+    """Files are not joined to every job of their folder: outputs are found before."""
+    files = spark.createDataFrame([(7, i, f"out/{i}_full.md") for i in range(50)], "job_id long, mtime long, path string")
+    jobs = spark.range(100).selectExpr("id AS job_id", "7L AS folder", "'a' AS input_name", "'b' AS status", "0D AS created_at", "1D AS started_at", "3D AS finished_at", "'c' AS ai_check_status", "NULL AS error")
+    metadata = spark.createDataFrame([(3, '{"page_count": 4}')], "job_id long, metadata string")
+    got = catalog.history_records(jobs, files, metadata).collect()
+    assert {r["markdown_name"] for r in got} == {"49_full.md"} and len(got) == 100
+    assert [r["page_count"] for r in got if r["job_id"] == 3] == [4] and {r["duration_seconds"] for r in got} == {2.0}
