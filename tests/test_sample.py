@@ -77,3 +77,17 @@ def test_crops(spark):
     skewed = spark.createDataFrame([(1, 0, 1, 1, 11, 3, 13, 9, 3, 11)], df.schema)
     picture = image(sample.crops(raster(spark, m), skewed))
     assert picture.shape == (10, 10) and abs(picture[0, 0] - m[1, 1]) < 1e-9
+
+
+def test_sums_do_not_hang_on_the_order_of_rows(spark):
+    """The last bit is that of one order of the four pixels, however they come."""
+    m = np.random.default_rng(5).integers(0, 11, (9, 9)) / 10
+    points = [(1, i, 0.125 * (i % 60), 0.125 * (i * 7 % 60), 9, 9) for i in range(300)]
+    df = spark.createDataFrame(points, "page_id long, n long, sy double, sx double, height long, width long")
+    get = lambda y, x: float(m[min(y, 8), min(x, 8)])
+    for seed in (1, 2):
+        got = {r["n"]: r["p"] for r in sample.sampled(raster(spark, m).orderBy(F.rand(seed)).repartition(3), df, ("n",)).collect()}
+        for _, i, sy, sx, _, _ in points:
+            y, x = int(sy), int(sx)
+            t = {(a, b): (sy - y if a else 1 - (sy - y)) * (sx - x if b else 1 - (sx - x)) * get(y + a, x + b) for a in (0, 1) for b in (0, 1)}
+            assert got[i] == t[0, 1] + t[1, 1] + t[0, 0] + t[1, 0]
