@@ -3,8 +3,8 @@
 ``spark.readStream.format("byte_log").load(folder)`` gives (file, start, end, text) for
 all files below a folder that the driver and all executors see under one path. The
 stream's offset is a byte position a file, so a restart goes on where the last batch
-ended. What a file has grown by is cut into pieces of ``LIMIT`` bytes, each read by its
-own task; nothing passes through the driver but sizes. A file that has shrunk begins
+ended. What a file has grown by is cut into pieces of ``LIMIT`` bytes, a row each; a
+task reads pieces that follow each other, ``TASK_BYTES`` together; nothing passes through the driver but sizes. A file that has shrunk begins
 again at 0.
 
 A piece ends before a character that its last bytes only begin, and so does a batch
@@ -25,6 +25,8 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 LIMIT = 512 * 1024
+#: Bytes, about, that a task reads.
+TASK_BYTES = 8 * 1024 * 1024
 
 
 def boundary(tail: bytes) -> int:
@@ -74,15 +76,22 @@ class Reader(DataSourceStreamReader):
             at = 0 if at > upto else at
             cuts = [at]
             while cuts[-1] < upto:
-                cuts.append(min(upto, max(settled(os.path.join(self.folder, name), min(upto, cuts[-1] + self.limit)), cuts[-1] + 1)))
+                cuts.append(min(upto, max(settled(os.path.join(self.folder, name), min(upto, cuts[-1] + max(self.limit, TASK_BYTES))), cuts[-1] + 1)))
             out += [Piece(name, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         with open(os.path.join(self.folder, partition.name), "rb") as f:
             f.seek(partition.start)
-            data = f.read(partition.end - partition.start)
-        yield partition.name, partition.start, partition.start + len(data), data.decode("utf-8", "replace")
+            at, data = partition.start, b""
+            while at < partition.end:
+                data += f.read(min(partition.end - at, self.limit) - len(data))
+                if not data:
+                    return
+                last = at + len(data) == partition.end or len(data) < self.limit
+                cut = len(data) if last else max(1, len(data) - boundary(data[-3:]))
+                yield partition.name, at, at + cut, data[:cut].decode("utf-8", "replace")
+                at, data = at + cut, data[cut:]
 
 
 class ByteLog(DataSource):

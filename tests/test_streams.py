@@ -137,3 +137,17 @@ def test_ends_of_characters():
             assert boundary(b"x" + b[:i]) == i
         assert boundary(b) == 0
     assert boundary(b"") == 0 and boundary(b"\x80\x80\x80\x80") == 0
+
+
+def test_tasks_read_many_pieces(tmp_path):
+    """Tasks grow with bytes, not with pieces; pieces stay small and whole."""
+    from lamina.sources.byte_log import Reader
+
+    data = ("añb€c𝒳d\n" * 3000).encode()
+    (tmp_path / "a.log").write_bytes(data)
+    reader = Reader(str(tmp_path), 64)
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(tasks) == 1
+    rows = list(reader.read(tasks[0]))
+    assert "".join(r[3] for r in rows).encode() == data and max(r[2] - r[1] for r in rows) <= 64
+    assert [r[1] for r in rows] == [0, *[r[2] for r in rows[:-1]]]
