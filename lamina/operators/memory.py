@@ -14,6 +14,8 @@ from lamina.functions.text import rule_id, shortened, stripped
 from lamina.storage import materialize
 
 MAX_CHARS, MAX_LINES, MIN_SIMILARITY, SNIPPET = 240, 4, 0.72, 1800
+#: Documents whose hunks a task holds at once.
+DOCS_AT_ONCE = 256
 #: Text that stands for structure or assets, never corrected (fixed values).
 MARKERS = ("![", "<table", "</table", "assets/")
 
@@ -28,20 +30,25 @@ def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
 def hunks(docs: DataFrame, source: str = "source_text", checked: str = "checked_text") -> DataFrame:
     """(doc_id, hunk, change_id, kind, source_line, checked_line, original, output): all line hunks of two texts; equal ones have change_id null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, a, b in zip(pdf["doc_id"], pdf[source], pdf[checked], strict=True):
-                a, b = (a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True)
-                change = 0
-                for i, (kind, a0, a1, b0, b1) in enumerate(opcodes(a, b)):
-                    rows.append((doc_id, i, None if kind == "equal" else change, kind, a0 + 1, b0 + 1, "".join(a[a0:a1]), "".join(b[b0:b1])))
-                    change += kind != "equal"
-            out = pd.DataFrame(rows, columns=["doc_id", "hunk", "change_id", "kind", "source_line", "checked_line", "original", "output"])
-            yield out.astype({"change_id": "Int64"})
+    names = ["doc_id", "hunk", "change_id", "kind", "source_line", "checked_line", "original", "output"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                rows = []
+                for doc_id, a, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    a, b = (a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True)
+                    change = 0
+                    for i, (kind, a0, a1, b0, b1) in enumerate(opcodes(a, b)):
+                        rows.append((doc_id, i, None if kind == "equal" else change, kind, a0 + 1, b0 + 1, "".join(a[a0:a1]), "".join(b[b0:b1])))
+                        change += kind != "equal"
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "doc_id long, hunk int, change_id long, kind string, source_line int, checked_line int, original string, output string"
-    return docs.select("doc_id", source, checked).mapInPandas(run, schema)
+    return docs.select("doc_id", source, checked).mapInArrow(run, schema)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -666,8 +666,8 @@ def r11_effective(spark, sf):
 
 @register(f"SELECT doc_id, change_id, wrong, correct FROM {_CHANGES} c WHERE change_id = 1")
 def m12_change_texts(spark, sf):
-    changes = memory.hunks(_edited(spark, sf))
-    return memory.change_texts(changes, changes.select("doc_id").distinct().withColumn("change_id", F.lit(1).cast("long")))
+    edited = _edited(spark, sf)
+    return memory.change_texts(memory.hunks(edited), edited.select("doc_id").withColumn("change_id", F.lit(1).cast("long")))
 
 
 @register(f"SELECT wrong, correct, change_id = 1 AS blocked, 5 AS at FROM {_CHANGES} c WHERE change_id < 2")
