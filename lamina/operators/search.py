@@ -138,6 +138,9 @@ class TermIndex:
 #: Query vectors that are broadcast together, and centres of an index at most.
 QUERIES_A_PASS = 1_000
 CENTRES = 1_024
+#: Rows compared with all centres at once, and found pairs that a task holds before it gives them out.
+ROWS_AT_ONCE = 1_024
+PAIRS_AT_ONCE = 100_000
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +181,12 @@ class VectorIndex:
             for b in batches:
                 ok, unit = _unit(b.column("embedding"))
                 if len(unit) and len(shared.value):
-                    angles = _angles(unit, shared.value)
-                    nearest = angles.argmin(1)
+                    nearest, angle = np.empty(len(unit), np.int64), np.empty(len(unit))
+                    for at in range(0, len(unit), ROWS_AT_ONCE):
+                        angles = _angles(unit[at : at + ROWS_AT_ONCE], shared.value)
+                        nearest[at : at + ROWS_AT_ONCE], angle[at : at + ROWS_AT_ONCE] = angles.argmin(1), angles.min(1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(nearest), b.column("vec_id").filter(pa.array(ok)), pa.array(list(unit), pa.list_(pa.float64())), pa.array(angles[np.arange(len(unit)), nearest])],
+                        [pa.array(nearest), b.column("vec_id").filter(pa.array(ok)), pa.array(list(unit), pa.list_(pa.float64())), pa.array(angle)],
                         names=["cluster", "vec_id", "unit", "angle"],
                     )
 
@@ -196,29 +201,36 @@ class VectorIndex:
         spark = self.rows.sparkSession
         shared = spark.sparkContext.broadcast((units, _angles(units, self.centres), limits))  # QUERIES_A_PASS queries
 
+        def pairs(b: pa.RecordBatch, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            q, near, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(q), b.column("vec_id").take(pa.array(near)), pa.array(score), pa.array(np.zeros(len(q), np.int64))], names=["q", "vec_id", "score", "compared"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit_q, to_centre, limit = shared.value
-            count = np.zeros(len(unit_q), np.int64)
+            count, kth = np.zeros(len(unit_q), np.int64), np.full(len(unit_q), -np.inf)
             for b in batches:
                 cluster, angle = b.column("cluster").to_numpy(), b.column("angle").to_numpy()
                 unit = np.array(b.column("unit").flatten()).reshape(b.num_rows, -1)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for c in np.unique(cluster).tolist():
-                    rows = np.flatnonzero(cluster == c)
-                    for q in np.flatnonzero(limit[:, c] >= 0).tolist():
-                        near = rows[np.abs(to_centre[q, c] - angle[rows]) <= limit[q, c] + SLACK]
-                        if len(near):
-                            count[q] += len(near)
-                            out.append((np.full(len(near), q), near, unit[near] @ unit_q[q]))
-                if out:
-                    q, near, score = (np.concatenate(x) for x in zip(*out, strict=True))
-                    # Of each query the k best of this batch and all that tie with the k-th.
-                    order = np.lexsort((-score, q))
-                    q, near, score = q[order], near[order], score[order]
-                    first = np.searchsorted(q, q)
-                    kth = score[np.minimum(first + k - 1, np.searchsorted(q, q, side="right") - 1)]
-                    keep = score >= kth - SLACK
-                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), b.column("vec_id").take(pa.array(near[keep])), pa.array(score[keep]), pa.array(np.zeros(keep.sum(), np.int64))], names=["q", "vec_id", "score", "compared"])
+                held = 0
+                for q in range(len(unit_q)):
+                    within = limit[q, cluster]
+                    near = np.flatnonzero((within >= 0) & (np.abs(to_centre[q, cluster] - angle) <= within + SLACK))
+                    if not len(near):
+                        continue
+                    count[q] += len(near)
+                    score = unit[near] @ unit_q[q]
+                    # Of each query the k best of this batch and all that tie with the k-th, or with that of a batch before.
+                    if len(near) >= k:
+                        kth[q] = max(kth[q], np.partition(score, -k)[-k])
+                    keep = score >= kth[q] - SLACK
+                    out.append((np.full(keep.sum(), q), near[keep], score[keep]))
+                    held += len(out[-1][0])
+                    if held >= PAIRS_AT_ONCE:
+                        yield pairs(b, out)
+                        out, held = [], 0
+                if held:
+                    yield pairs(b, out)
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), kind_), pa.nulls(len(some), pa.float64()), pa.array(count[some])], names=["q", "vec_id", "score", "compared"])
 
