@@ -21,8 +21,10 @@ code of null is a failure with code -1.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +36,17 @@ FIELDS = ("created", "last_ts", "last_id", "last_kind", "last_code", "started",
 STATE = "version long, " + ", ".join(f"{f} long" for f in FIELDS)
 ROW = "job_id string, version long, status string, created_at timestamp, started_at timestamp, finished_at timestamp, returncode int, error string"
 
+COLUMNS = pd.Index([c.split()[0] for c in ROW.split(", ")])
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 #: What an error says of a job that ended with a code (fixed value), and of one that did not end.
 ENDED, OVERDUE = "Pipeline exited with code ", "No result in time"
 
 
 def proper(events: DataFrame) -> DataFrame:
-    """Events as the machine takes them: ts in microseconds, the exit code a number."""
+    """Events as the machine takes them: their time in microseconds, the exit code a number."""
     known = events.where(F.col("kind").isin(*KINDS) & F.col("job_id").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull())
-    return known.select("job_id", "event_id", "ts", "kind", F.coalesce("code", F.lit(-1)).alias("code"))
+    return known.select("job_id", "event_id", "ts", "kind", F.coalesce("code", F.lit(-1)).alias("code"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 def merged(state: dict[str, Any], ts: int, event_id: int, kind: int, code: int) -> None:
@@ -57,16 +62,13 @@ def merged(state: dict[str, Any], ts: int, event_id: int, kind: int, code: int)
         state.update(finished=ts, finished_id=event_id, code=code)
 
 
-def _shown(job_id: str, state: dict[str, Any], now: int | None, limit: int) -> dict[str, Any]:
+def _shown(job_id: str, state: dict[str, Any], now: int | None, limit: int) -> tuple:
     overdue = state["last_kind"] == 1 and now is not None and now >= state["started"] + limit
     failed = state["last_kind"] == 2 and state["last_code"] != 0
     status = "failed" if overdue or failed else ("queued", "running", "succeeded")[state["last_kind"]]
     error = OVERDUE if overdue else f"{ENDED}{state['last_code']}" if failed else None
-    moment = lambda t: None if t is None else pd.Timestamp(t, unit="us")
-    return {
-        "job_id": job_id, "version": state["version"], "status": status, "created_at": moment(state["created"]), "started_at": moment(state["started"]),
-        "finished_at": moment(state["finished"]), "returncode": state["code"], "error": error,
-    }
+    moment = lambda t: None if t is None else EPOCH + timedelta(microseconds=t)
+    return job_id, state["version"], status, moment(state["created"]), moment(state["started"]), moment(state["finished"]), state["code"], error
 
 
 def rows(events: DataFrame, limit_s: int, delay_s: int) -> DataFrame:
@@ -76,16 +78,18 @@ def rows(events: DataFrame, limit_s: int, delay_s: int) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = dict(zip(("version", *FIELDS), held.get, strict=True)) if held.exists else {"version": 0, **dict.fromkeys(FIELDS)}
         for part in parts:
-            times = part["ts"].astype("datetime64[us]").astype("int64")
-            for ts, event_id, kind, code in zip(times, part["event_id"], part["kind"], part["code"], strict=True):
-                merged(state, int(ts), int(event_id), KINDS.index(kind), int(code))
+            for ts, event_id, kind, code in zip(*(part[c].tolist() for c in ("us", "event_id", "kind", "code")), strict=True):
+                merged(state, ts, event_id, KINDS.index(kind), code)
         state["version"] += 1
         now = held.getCurrentWatermarkMs() * 1000
         held.update(tuple(state.values()))
         due = state["started"] + limit if state["last_kind"] == 1 else None
         if due is not None and due > now:
             held.setTimeoutTimestamp(-(-due // 1000))
-        yield pd.DataFrame([_shown(key[0], state, now, limit)]).astype({"returncode": "Int32"})
+        # There may be a job an event, so a row is one block of objects: types are given to the whole batch by Spark.
+        row = np.empty((1, len(COLUMNS)), object)
+        row[0] = _shown(key[0], state, now, limit)
+        yield pd.DataFrame(row, columns=COLUMNS, copy=False)
 
     timed = proper(events).withWatermark("ts", f"{delay_s} seconds")
     return timed.groupBy("job_id").applyInPandasWithState(step, ROW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
