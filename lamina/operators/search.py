@@ -1,14 +1,15 @@
 """Term and vector similarity as the index configuration states them, with exact pruning.
 
 Term scores. A term index holds documents in blocks of ``BLOCK`` along their rank
-feature, largest first, and postings as one row a token and block with the block's
-largest feature. A query's terms are ordered by weight. A document whose first
-matching term is the i-th can score no more than the sum of the weights from the
-i-th on, plus its feature's share; so once a threshold is known, whole rows of
-postings are left unread: those of common terms in every block, and those of
-blocks whose largest feature is too small. The threshold comes from documents of the
-query's rarest terms, scored in full. What the postings read leave in doubt is
-bounded, and only documents whose bound reaches the threshold are scored.
+feature, largest first; a block is one row with its largest feature and its postings,
+so a task has all that a document's score needs and no posting is shuffled.
+A query's terms are ordered by weight. A document whose first matching term is the
+i-th can score no more than the sum of the weights from the i-th on, plus its
+feature's share; so once a threshold is known, common terms are looked up for other
+terms' documents only, and blocks whose largest feature is too small are left out.
+The threshold comes from documents of the query's rarest terms, scored in full, and
+rises with the k-th best that a task has met. Only documents whose bound reaches it
+are scored.
 
 Vector scores. A vector index holds unit vectors in clusters with a centre, each
 with its angle to it. Angles on the sphere obey the triangle inequality: a vector
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 from lamina.storage import materialize
 
 BLOCK = 128
-#: Documents of the rarest terms that are scored to find a threshold, times k, about.
+#: Tokens of a block at most, one document aside.
+TOKENS_A_BLOCK = 1 << 18
+#: Rare terms of a query hold so many postings together, times k, at most; the rarest always counts.
 SEEDS = 8
-#: Terms are looked up one by one for what is in doubt until the rest of their weights is this share of the threshold.
-DEEPER = 0.25
+#: Terms of queries that are broadcast together, about.
+TERMS_A_PASS = 100_000
 SLACK = 1e-8
 
 
@@ -56,83 +59,193 @@ def saturation(feature: Column, pivot: float) -> Column:
 
 
 class TermIndex:
-    """Postings by block, documents with their tokens, and the weight of every token."""
+    """Blocks of documents: each a row with its documents, its largest share and its postings."""
 
     def __init__(self, docs: DataFrame, feature: Column | None = None, block: int = BLOCK):
         """Index ``docs`` (doc_id, text); ``feature`` is a column of each document's share of the score, 0 or more."""
-        share = F.lit(0.0) if feature is None else F.coalesce(feature, F.lit(0.0))
-        rows = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"), share.alias("share"))
+        share = F.lit(0.0) if feature is None else F.nanvl(F.coalesce(feature, F.lit(0.0)), F.lit(0.0))
+        rows = docs.select("doc_id", "text", share.alias("share"))
         if feature is not None:
             rows = rows.repartitionByRange(F.col("share").desc(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("share").desc())
-        # A document is known by its place; a block never crosses a partition, so a frequent token has a row a block and no task holds it whole.
-        place = F.monotonically_increasing_id()
-        inner = F.shiftleft(F.lit(1).cast("long"), 33)
-        numbered = rows.withColumn("place", place).withColumn("block", F.floor(F.col("place") / inner) * inner + F.floor(F.pmod(F.col("place"), inner) / block))
-        numbered = materialize(numbered, "terms-places")  # places hold from here on
-        self.docs = materialize(numbered.join(numbered.groupBy("block").agg(F.max("share").alias("most")), "block"), "terms-docs")
-        exploded = self.docs.select(F.explode("tokens").alias("token"), "block", "place", "share", "most")
-        listed = exploded.groupBy("token", "block").agg(F.first("most").alias("most"), F.collect_list(F.struct("place", "share")).alias("found"))  # a block's documents at most
-        self.postings = materialize(listed, "terms-postings")
-        df = self.postings.groupBy("token").agg(F.sum(F.size("found")).alias("df"))
-        size = self.docs.agg(F.count(F.lit(1)).alias("n"), F.max("share").alias("top")).first()
-        self.n, self.top = size["n"], size["top"] or 0.0
+        found = F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>"))
+        rows = rows.select(F.monotonically_increasing_id().alias("place"), "doc_id", "share", found.alias("tokens"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ends = np.asarray(b.column("tokens").offsets)
+                ends, coded = ends - ends[0], b.column("tokens").flatten().dictionary_encode()
+                code, low = coded.indices.to_numpy(), 0
+                while low < b.num_rows:
+                    high = min(low + block, max(low + 1, int(np.searchsorted(ends, ends[low] + TOKENS_A_BLOCK, "right")) - 1), b.num_rows)
+                    held = code[ends[low] : ends[high]]
+                    order = np.argsort(held, kind="stable")
+                    at = np.repeat(np.arange(high - low, dtype=np.int32), np.diff(ends[low : high + 1]))[order]
+                    token, first = np.unique(held[order], return_index=True)
+                    listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at))
+                    postings = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(token)), listed], names=["token", "at"])
+                    part = b.slice(low, high - low)
+                    documents = pa.StructArray.from_arrays([part.column(c) for c in ("place", "doc_id", "share")], names=["place", "doc_id", "share"])
+                    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                    most = part.column("share").to_numpy().max()
+                    yield pa.RecordBatch.from_arrays([part.column("place").slice(0, 1), pa.array([most]), whole(documents), whole(postings)], names=["block", "most", "docs", "postings"])
+                    low = high
+
+        kind = dict(docs.dtypes)["doc_id"]
+        schema = f"block long, most double, docs array<struct<place: long, doc_id: {kind}, share: double>>, postings array<struct<token: string, at: array<int>>>"
+        # A block is known by its first place, and a document by its place: they hold from here on.
+        self.blocks = materialize(rows.mapInArrow(cut, schema), "terms-blocks")
+        self.docs = self.blocks.select(F.inline("docs"))
+        size = self.blocks.agg(F.sum(F.size("docs")).alias("n"), F.max("most").alias("top")).first()
+        self.n, self.top = size["n"] or 0, size["top"] or 0.0
+
+    @property
+    def postings(self) -> DataFrame:
+        """(token, block, most, found): the documents (place, share) of a block that hold the token."""
+        return self._listed().select("token", "block", "most", F.transform("at", lambda a: F.struct((F.col("block") + a).alias("place"), F.get("docs", a)["share"].alias("share"))).alias("found"))
+
+    def _listed(self) -> DataFrame:
+        rows = self.blocks.select("block", "most", "docs", F.explode("postings").alias("p"))
+        return rows.select("block", "most", "docs", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
+
+    def terms(self, queries: DataFrame, boost: float = 1.0) -> DataFrame:
+        """(query_id, token, df, w, i, rest, before): a query's known tokens, heaviest first; ``rest`` sums w from there on, ``before`` counts the postings ahead.
+
+        The tokens asked for are broadcast: ``queries`` are those of one pass.
+        """
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token")).distinct()
+        df = self._listed().join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").agg(F.sum(F.size("at")).alias("df"))
         # As the index counts it: documents that hold the field at all are all documents here.
         n = F.lit(float(self.n))
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (n - 0.5) / 1.5)
-        self.weights = materialize(df.select("token", "df", idf.alias("idf")), "terms-weights")
-
-    def terms(self, queries: DataFrame, boost: float = 1.0) -> DataFrame:
-        """(query_id, token, w, i, rest, before): a query's known tokens, heaviest first; ``rest`` sums w from there on, ``before`` counts the postings ahead."""
-        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
         along = Window.partitionBy("query_id").orderBy(F.col("w").desc(), "token")
-        weighed = asked.join(self.weights, "token").withColumn("w", boost * F.col("idf"))
+        weighed = asked.join(df, "token").withColumn("w", boost * idf)
         return weighed.withColumns({
             "i": F.row_number().over(along),
             "rest": F.sum("w").over(along.rowsBetween(0, Window.unboundedFollowing)),
             "before": F.coalesce(F.sum("df").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         })
 
-    def scored(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-        """(query_id, place, doc_id, score): every pair of ``pairs`` (query_id, place) in full, from the document's own tokens."""
-        whole = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "token", "w"))).alias("asked"))
-        met = pairs.join(self.docs.select("place", "doc_id", "tokens", "share"), "place").join(whole, "query_id")
-        hit = F.filter("asked", lambda t: F.array_contains("tokens", t["token"]))
-        return met.select("query_id", "place", "doc_id", (F.aggregate(hit, F.lit(0.0), lambda s, t: s + t["w"]) + F.col("share")).alias("score"))
+    def _reached(self, asked: _Asked, least: np.ndarray, k: int, first: bool) -> DataFrame:
+        """(query_id, place, score): in each task, what reaches a query's ``least`` and the task's k-th best; with ``first`` only k scores a query and task, of documents with a rare term."""
+        spark = self.blocks.sparkSession
+        shared = spark.sparkContext.broadcast((asked, least))  # TERMS_A_PASS terms
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, least = shared.value
+            least, best = least.copy(), np.full((len(least), k), -np.inf)
+            heaviest = np.array([rest[0] for _, _, rest, _ in asked.queries])
+            row_of = np.full(len(asked.tokens), -1)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def given() -> pa.RecordBatch:
+                q, place, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                keep = score >= least[q]
+                return pa.RecordBatch.from_arrays([asked.names.take(pa.array(q[keep])), pa.array(place[keep]), pa.array(score[keep])], names=["query_id", "place", "score"])
+
+            for part in _by_block(batches):
+                block, most, number, lists = part["block"][0].as_py(), part["most"][0].as_py(), part["number"].to_numpy(), part["at"].combine_chunks()
+                at = lists.flatten().to_numpy()
+                holds, share = np.zeros((len(number), at.max() + 1)), np.zeros(at.max() + 1)
+                holds[np.repeat(np.arange(len(number)), lists.value_lengths().to_numpy()), at] = 1
+                share[at] = part["share"].combine_chunks().flatten().to_numpy()
+                row_of[number] = np.arange(len(number))
+                for q in np.flatnonzero(heaviest + most >= least).tolist():
+                    numbers, w, _, rare = asked.queries[q]
+                    rows = row_of[numbers]
+                    known = np.flatnonzero(rows >= 0)
+                    # Documents that first meet a later term cannot reach the threshold: these terms, of all that the block holds, only add to others.
+                    rest = np.cumsum(w[known][::-1])[::-1]
+                    met = np.searchsorted(known, rare) if first else np.searchsorted(-rest, most - least[q] + SLACK, "right")
+                    early, late = known[:met], known[met:]
+                    if not len(early):
+                        continue
+                    some = holds[rows[early]]
+                    bound = w[early] @ some + share + w[late].sum()
+                    left = np.flatnonzero(some.any(0) & (bound + SLACK >= least[q]))
+                    if not len(left):
+                        continue
+                    score = (w[known, None] * holds[np.ix_(rows[known], left)]).sum(0) + share[left]
+                    keep = np.flatnonzero(score >= least[q])
+                    if not len(keep):
+                        continue
+                    best[q] = np.partition(np.concatenate([best[q], score[keep]]), -k)[-k:]
+                    least[q] = max(least[q], best[q].min() - SLACK)
+                    if not first:
+                        out.append((np.full(len(keep), q), block + left[keep], score[keep]))
+                row_of[number] = -1
+                if sum(len(x[0]) for x in out) >= PAIRS_AT_ONCE:
+                    yield given()
+                    out.clear()
+            if first:
+                q, i = np.nonzero(best > -np.inf)
+                out.append((q, np.full(len(q), -1), best[q, i]))
+            yield given()
+
+        # A token's row is read where a query that asks for it can reach its threshold at all.
+        need = np.full(len(asked.tokens), np.inf)
+        for (numbers, _, rest, _), limit in zip(asked.queries, least, strict=True):
+            need[numbers] = np.minimum(need[numbers], limit - rest[0] - SLACK)
+        wanted = spark.createDataFrame(pa.table({"token": asked.tokens.cast(pa.string()), "number": pa.array(np.arange(len(need))), "need": pa.array(need)}))
+        read = self._listed().where(F.col("most") >= float(need.min(initial=np.inf))).join(F.broadcast(wanted), "token").where(F.col("most") >= F.col("need"))
+        read = read.select("block", "most", "number", "at", F.transform("at", lambda a: F.get("docs", a)["share"]).alias("share"))
+        return read.mapInArrow(run, f"query_id {asked.kind}, place long, score double")
 
     def candidates(self, terms: DataFrame, k: int) -> DataFrame:
-        """(query_id, place): the documents that are scored in full, among them the k best of every query; ``terms`` is materialized."""
-        rare = terms.where((F.col("i") == 1) | (F.col("before") + F.col("df") <= SEEDS * k))
-        seen = rare.join(self.postings, "token").select("query_id", "w", F.explode("found").alias("d"))
-        best = Window.partitionBy("query_id").orderBy(F.col("part").desc(), "place")
-        parts = seen.groupBy("query_id", F.col("d.place").alias("place")).agg((F.sum("w") + F.max("d.share")).alias("part"))
-        seeds = parts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= SEEDS * k).select("query_id", "place")
-        ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place")
-        kth = self.scored(materialize(seeds, "terms-seeds"), terms).withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k)
-        least = kth.select("query_id", (F.col("score") - SLACK).alias("least"))
-        known = materialize(terms.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "terms-known")
-        # A row of postings is read where a document first met there can still reach the threshold.
-        essential = known.where(F.col("rest") + self.top >= F.col("least")).select("query_id", "token", "w", "rest", "least")
-        read = essential.join(self.postings, "token").where(F.col("rest") + F.col("most") >= F.col("least"))
-        found = read.select("query_id", "block", "most", "w", "least", F.explode("found").alias("d")).groupBy("query_id", "block", "most", "least", F.col("d.place").alias("place"))
-        parts = materialize(found.agg(F.sum("w").alias("part"), F.max("d.share").alias("share")), "terms-parts")
-        rests = known.groupBy("query_id").agg(F.collect_list("rest").alias("rests"))
-        skipped = lambda r: r + F.col("most") < F.col("least")
-        open_ = lambda test: F.coalesce(F.array_max(F.filter("rests", test)), F.lit(0.0))
-        sure = F.col("part") + F.col("share")
-        left = parts.join(rests, "query_id").where(sure + open_(skipped) >= F.col("least"))
-        # Terms whose rows were not read there could add their weights; all but the commonest are looked up, in the blocks of what is left only.
-        asked = left.join(known.select("query_id", "token", "w", "rest"), "query_id").where(skipped(F.col("rest")) & (F.col("rest") >= DEEPER * F.col("least")))
-        probed = asked.join(self.postings.select("token", "block", "found"), ["token", "block"]).where(F.exists("found", lambda d: d["place"] == F.col("place")))
-        more = probed.groupBy("query_id", "place").agg(F.sum("w").alias("more"))
-        total = sure + F.coalesce("more", F.lit(0.0)) + open_(lambda r: skipped(r) & (r < DEEPER * F.col("least")))
-        return left.join(more, ["query_id", "place"], "left").where(total >= F.col("least")).select("query_id", "place")
+        """(query_id, place, score): documents scored in full that reach the threshold, among them the k best of every query; ``terms`` are those of one pass."""
+        asked = _Asked(terms, k)
+        # Every task's k best of the rarest terms: the k-th of them all is the threshold.
+        ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+        seeds = self._reached(asked, np.full(len(asked.queries), -np.inf), k, True).withColumn("r", F.row_number().over(ranked))
+        kth = {r["query_id"]: r["score"] for r in seeds.where(F.col("r") == k).select("query_id", "score").collect()}  # a number a query
+        least = np.array([kth.get(x, -np.inf) - SLACK for x in asked.names.to_pylist()])
+        return materialize(self._reached(asked, least, k, False), "terms-candidates")
 
     def best(self, queries: DataFrame, k: int = 10, boost: float = 1.0) -> DataFrame:
-        """(query_id, doc_id, score, place): the k best of every query (query_id, query) by whole billionths of the score, then by doc_id."""
-        terms = materialize(self.terms(queries, boost), "terms-asked")
-        full = self.scored(materialize(self.candidates(terms, k), "terms-candidates"), terms)
+        """(query_id, doc_id, score, place): the k best of every query (query_id, query) by whole billionths of the score, then by doc_id.
+
+        Queries are taken ``TERMS_A_PASS`` tokens at a time, about.
+        """
+        n = queries.agg(F.sum(F.size(F.coalesce(F.array_distinct(tokens(F.col("query"))), F.array().cast("array<string>"))))).first()[0] or 0
+        passes, full = max(1, -(-n // TERMS_A_PASS)), None
+        for i in range(passes):
+            some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+            found = self.candidates(self.terms(some, boost), k)
+            full = found if full is None else full.unionAll(found)
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-        return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", F.col("rank").alias("place"))
+        ranked = full.join(self.docs.select("place", "doc_id"), "place").withColumn("rank", F.row_number().over(order))
+        return ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "score", F.col("rank").alias("place"))
+
+
+class _Asked:
+    """The terms of one pass on the driver: for each query the numbers, weights and rests of its terms, and how many of them are rare."""
+
+    def __init__(self, terms: DataFrame, k: int):
+        self.kind = dict(terms.dtypes)["query_id"]
+        held = terms.select("query_id", "token", "w", "i", "rest", (F.col("before") + F.col("df")).alias("until")).toArrow().combine_chunks()  # TERMS_A_PASS rows, about
+        whole = lambda c: pa.concat_arrays(held.column(c).chunks) if held.column(c).num_chunks else pa.array([], held.schema.field(c).type)
+        asked, said = whole("query_id").dictionary_encode(), whole("token").dictionary_encode()
+        self.names, self.tokens = asked.dictionary, said.dictionary
+        of, i = asked.indices.to_numpy(), held.column("i").to_numpy()
+        order = np.lexsort((i, of))
+        ends = np.searchsorted(of[order], np.arange(len(self.names) + 1))
+        number, w, rest = said.indices.to_numpy()[order], held.column("w").to_numpy()[order], held.column("rest").to_numpy()[order]
+        rare = ((i == 1) | (held.column("until").to_numpy() <= SEEDS * k))[order]
+        self.queries = [(number[a:b], w[a:b], rest[a:b], int(rare[a:b].sum())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after another; a block's rows come from one row of the index, so they follow each other."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        block = b.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column("block")[0].as_py() != block[low]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 #: Query vectors that are broadcast together, and centres of an index at most.

@@ -2,12 +2,14 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import search
+from lamina.queries import QUERIES
 from lamina.storage import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +76,40 @@ def test_blocks_with_small_features_are_left_unread(spark):
     assert [r["doc_id"] for r in best] == [3999, 3998, 3997, 3996, 3995]
 
 
+def moved(spark):
+    """MB shuffled, spilled and written by all stages so far."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in (stages.apply(i) for i in range(stages.size()))) / 1e6
+
+
+@pytest.mark.parametrize("name", ["x4_rank_features"])
+def test_postings_are_not_shuffled(spark, name):
+    """What is shuffled, spilled and written stays below four times the table read."""
+    path = "/root/testdata/sf0.01"
+    before = moved(spark)
+    assert len(QUERIES[name](spark, path).collect()) == 400
+    assert moved(spark) - before < 4 * Path(f"{path}/documents.parquet").stat().st_size / 1e6
+
+
+def test_passes_of_terms_and_small_blocks(spark, monkeypatch):
+    """Many passes, blocks cut by their tokens and groups of copies give the same; a query's repeated rows are one query."""
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 40, n))
+    rows = [(i, say(int(rng.integers(0, 12))), i % 7) for i in range(120)] + [(200 + i, "w1 w2 w3", 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    asked = [(str(i), say(5)) for i in range(9)] + [("copies", "w1 w2 w3")]
+    queries = spark.createDataFrame([*asked, asked[0]], "query_id string, query string")
+    wanted = best_of(all_scores(docs.collect(), asked, 1.0, lambda r: r["n_chars"] / (r["n_chars"] + 2.0)), 5)
+    monkeypatch.setattr(search, "TERMS_A_PASS", 20)
+    monkeypatch.setattr(search, "TOKENS_A_BLOCK", 30)
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 3)
+    index = search.TermIndex(docs, search.saturation(F.col("n_chars"), 2.0))
+    got = {(r["query_id"], r["doc_id"], round(r["score"], 6), r["place"]) for r in index.best(queries, 5).collect()}
+    assert got == wanted
+
+
 def test_index_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert search.TermIndex(docs).best(spark.createDataFrame([(1, "a")], "query_id long, query string")).count() == 0
