@@ -84,7 +84,7 @@ def moved(spark):
     return sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in (stages.apply(i) for i in range(stages.size()))) / 1e6
 
 
-@pytest.mark.parametrize("name", ["x4_rank_features"])
+@pytest.mark.parametrize("name", ["x1_term_scores", "x4_rank_features"])
 def test_postings_are_not_shuffled(spark, name):
     """What is shuffled, spilled and written stays below four times the table read."""
     path = "/root/testdata/sf0.01"
