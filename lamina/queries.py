@@ -1059,7 +1059,7 @@ def u4_job_stream(spark, sf):
     for i in range(3):  # each event in two of the batches
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) != i).write.mode("append").parquet(source)
     stream = spark.readStream.schema(jobs.EVENT).parquet(source)
-    shown = jobs.rows(stream, 86_400, 10 * 86_400)
+    shown = jobs.rows(stream, 86_400, 10 * 86_400, slots=64 + events.count() // 4_096)
     shown.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return jobs.latest(spark.read.schema(jobs.ROW).parquet(out)).drop("version")
 

@@ -6,8 +6,13 @@ or failed by the exit code, the end, the code and its error. Each field holds wh
 latest event says that sets it, by the event's own time and then its number, so
 states merge: events may come late, twice, or in any micro-batches, and the row is
 the same. A job that has run longer than ``limit`` when the watermark passes is
-shown as failed for want of a result; a timer of the job's key tells it. The event
-that ends it may still come, and wins.
+shown as failed for want of a result; a timer tells it. The event that ends it may
+still come, and wins.
+
+State is kept by slots, a hash of the job: a call of Python costs as much as thousands
+of merged events, and there may be a job an event. A slot holds its jobs as one Arrow
+batch, read and written when one of them has news. ``slots`` should grow with the jobs,
+a few thousand to a slot, and stays what it is as long as the checkpoint lives.
 
 ``rows`` appends a row with the next version whenever a job has news; ``latest`` keeps
 each job's last. ``fold`` says the same of a table of events at once.
@@ -21,11 +26,10 @@ code of null is a failure with code -1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 from typing import Any
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,11 +37,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KINDS = ("queue", "start", "finish")
 EVENT = "job_id string, event_id long, ts timestamp, kind string, code int"
 FIELDS = ("created", "last_ts", "last_id", "last_kind", "last_code", "started", "started_id", "finished", "finished_id", "code")
-STATE = "version long, " + ", ".join(f"{f} long" for f in FIELDS)
+#: The watermark that a slot has seen, in microseconds, and its jobs.
+STATE = "seen long, jobs binary"
+HELD = pa.schema([("job_id", pa.string()), *((f, pa.int64()) for f in ("version", *FIELDS))])
 ROW = "job_id string, version long, status string, created_at timestamp, started_at timestamp, finished_at timestamp, returncode int, error string"
 
-COLUMNS = pd.Index([c.split()[0] for c in ROW.split(", ")])
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 #: What an error says of a job that ended with a code (fixed value), and of one that did not end.
 ENDED, OVERDUE = "Pipeline exited with code ", "No result in time"
@@ -62,37 +67,68 @@ def merged(state: dict[str, Any], ts: int, event_id: int, kind: int, code: int)
         state.update(finished=ts, finished_id=event_id, code=code)
 
 
-def _shown(job_id: str, state: dict[str, Any], now: int | None, limit: int) -> tuple:
-    overdue = state["last_kind"] == 1 and now is not None and now >= state["started"] + limit
+def _shown(job_id: str, state: dict[str, Any], now: int, limit: int) -> tuple:
+    overdue = state["last_kind"] == 1 and now >= state["started"] + limit
     failed = state["last_kind"] == 2 and state["last_code"] != 0
     status = "failed" if overdue or failed else ("queued", "running", "succeeded")[state["last_kind"]]
     error = OVERDUE if overdue else f"{ENDED}{state['last_code']}" if failed else None
-    moment = lambda t: None if t is None else EPOCH + timedelta(microseconds=t)
-    return job_id, state["version"], status, moment(state["created"]), moment(state["started"]), moment(state["finished"]), state["code"], error
+    return job_id, state["version"], status, state["created"], state["started"], state["finished"], state["code"], error
+
+
+def _frame(shown: list[tuple]) -> pd.DataFrame:
+    columns = dict(zip(COLUMNS, zip(*shown, strict=True), strict=True))
+    moment = lambda c: pa.array(c, pa.timestamp("us", "UTC")).to_pandas()
+    return pd.DataFrame({n: moment(c) if n.endswith("_at") else pd.Series(c, dtype=object) for n, c in columns.items()})
+
 
+def _packed(held: dict[str, tuple]) -> bytes:
+    columns = [list(held), *zip(*held.values(), strict=True)]
+    batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, HELD, strict=True)], schema=HELD)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def rows(events: DataFrame, limit_s: int, delay_s: int) -> DataFrame:
+
+def _unpacked(packed: bytes) -> dict[str, tuple]:
+    ids, *columns = (c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns)
+    return dict(zip(ids, zip(*columns, strict=True), strict=True))
+
+
+def rows(events: DataFrame, limit_s: int, delay_s: int, slots: int = 1_024) -> DataFrame:
     """A stream of ``ROW`` from a stream of ``EVENT``."""
     limit = limit_s * 1_000_000
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = dict(zip(("version", *FIELDS), held.get, strict=True)) if held.exists else {"version": 0, **dict.fromkeys(FIELDS)}
+    names = ("version", *FIELDS)
+    kind_at, start_at = names.index("last_kind"), names.index("started")
+    fresh = (0, *[None] * len(FIELDS))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], slot: GroupState) -> Iterator[pd.DataFrame]:
+        seen, packed = slot.get if slot.exists else (0, None)
+        held = _unpacked(packed) if packed else {}
+        news: dict[str, dict[str, Any]] = {}
         for part in parts:
-            for ts, event_id, kind, code in zip(*(part[c].tolist() for c in ("us", "event_id", "kind", "code")), strict=True):
-                merged(state, ts, event_id, KINDS.index(kind), code)
-        state["version"] += 1
-        now = held.getCurrentWatermarkMs() * 1000
-        held.update(tuple(state.values()))
-        due = state["started"] + limit if state["last_kind"] == 1 else None
-        if due is not None and due > now:
-            held.setTimeoutTimestamp(-(-due // 1000))
-        # There may be a job an event, so a row is one block of objects: types are given to the whole batch by Spark.
-        row = np.empty((1, len(COLUMNS)), object)
-        row[0] = _shown(key[0], state, now, limit)
-        yield pd.DataFrame(row, columns=COLUMNS, copy=False)
+            for job_id, *event in zip(*(part[c].tolist() for c in ("job_id", "us", "event_id", "kind", "code")), strict=True):
+                if job_id not in news:
+                    news[job_id] = dict(zip(names, held.get(job_id, fresh), strict=True))
+                merged(news[job_id], *event)
+        now = slot.getCurrentWatermarkMs() * 1000
+        for job_id, state in held.items():  # that became overdue since the slot was last met
+            if state[kind_at] == 1 and seen < state[start_at] + limit <= now and job_id not in news:
+                news[job_id] = dict(zip(names, state, strict=True))
+        for job_id, state in news.items():
+            state["version"] += 1
+            held[job_id] = tuple(state.values())
+        slot.update((now, _packed(held)))
+        due = min((state[start_at] + limit for state in held.values() if state[kind_at] == 1 and state[start_at] + limit > now), default=None)
+        if due is not None:  # a timer goes off when the watermark is beyond it
+            slot.setTimeoutTimestamp(max(-(-due // 1000) - 1, 1))
+        if news:
+            yield _frame([_shown(job_id, state, now, limit) for job_id, state in news.items()])
 
     timed = proper(events).withWatermark("ts", f"{delay_s} seconds")
-    return timed.groupBy("job_id").applyInPandasWithState(step, ROW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    dealt = timed.withColumn("kind", number).withColumn("slot", F.pmod(F.xxhash64("job_id"), F.lit(slots)))
+    return dealt.groupBy("slot").applyInPandasWithState(step, ROW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(shown: DataFrame) -> DataFrame:

@@ -77,6 +77,38 @@ def test_overdue_jobs_fail_and_late_results_win(spark, tmp_path):
     assert read()["a"][0] == "succeeded" and read()["a"][5] is None and read()["b"][0] == "failed"
 
 
+def test_many_jobs_share_few_states(spark, tmp_path):
+    """Jobs by the thousand cost a few calls of Python a batch, and each keeps its own versions and its own time to fail."""
+    rng = random.Random(7)
+    n, slots = 3000, 6
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    rows = [(f"j{rng.randrange(n)}", i, T0 + 5 * i, rng.choice(["queue", "start", "start", "finish"]), rng.choice([0, 0, 1, None])) for i in range(6000)]
+    parts = rows[4000:], rows[:2000] + rows[4500:4800], rows[2000:4000]
+    for part in parts:
+        table(spark, part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(jobs.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    query = jobs.rows(stream, 900, 20_000, slots).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= slots
+    shown = spark.read.parquet(out)
+    mark = F.timestamp_seconds(F.lit(T0 + 5 * 5999 - 20_000))
+    assert seen(jobs.latest(shown)) == seen(jobs.fold(table(spark, rows), 900, mark))
+    had = {r["job_id"]: (r["n"], r["top"]) for r in shown.groupBy("job_id").agg(F.count("*").alias("n"), F.max("version").alias("top")).collect()}
+    assert all(k == top for k, top in had.values()), "versions count the rows of a job"
+    due = {r["job_id"] for r in shown.where(F.col("error") == jobs.OVERDUE).collect()}
+    batches = lambda j: sum(any(e[0] == j for e in part) for part in parts)
+    assert due and all(had[j][0] <= batches(j) + (j in due) for j in had), "a row only when there is news"
+
+
+def test_overdue_at_the_very_mark(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for row in (("a", 1, T0, "start", None), ("b", 2, T0 + 1, "start", None), ("c", 3, T0 + 1500, "start", None)):
+        table(spark, [row]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(jobs.EVENT).parquet(source)
+        jobs.rows(stream, 900, 600).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert {k: v[0] for k, v in seen(jobs.latest(spark.read.parquet(out))).items()} == {"a": "failed", "b": "running", "c": "running"}
+
+
 def test_merging_knows_no_order():
     rng = random.Random(4)
     for _ in range(50):
